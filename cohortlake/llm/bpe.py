@@ -23,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlake.llm.stage import ship_package
+
 SPACE_THEN_WORD = re.compile(r" (?=\S)")
 SPACE_NO_WORD = re.compile(r" (?!\S)")
 #: Entries of the per-worker cache; it is emptied when full.
@@ -95,6 +97,7 @@ def worker(ranks: Broadcast, pattern: str) -> PieceEncoder:
 
 def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
     """A vocabulary file, read on the driver and sent to the executors (a few MB at most)."""
+    ship_package(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

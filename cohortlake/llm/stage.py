@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        ship_package(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/cohortlake/{what}-{uuid.uuid4().hex}"
 
@@ -47,3 +50,18 @@ class Scratch:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's source to the executors' Python workers, once for each SparkContext."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cohortlake_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="cohortlake-src-")) / f"{package.name}_src.zip"
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._cohortlake_shipped = True

@@ -23,12 +23,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.stage import ship_package
+from cohortlake.llm.stage import prepare
 
 SPACE_THEN_WORD = re.compile(r" (?=\S)")
 SPACE_NO_WORD = re.compile(r" (?!\S)")
 #: Entries of the per-worker cache; it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 64
 
 _workers: dict[tuple[int, str], "PieceEncoder"] = {}
@@ -97,16 +97,17 @@ def worker(ranks: Broadcast, pattern: str) -> PieceEncoder:
 
 def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
     """A vocabulary file, read on the driver and sent to the executors (a few MB at most)."""
-    ship_package(spark)
+    prepare(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
-           chunk_chars: int = 32_768, overlap_chars: int = 1_024) -> DataFrame:
+           chunk_chars: int = 32_768, overlap_chars: int = 1_024, with_decoded: bool = False) -> DataFrame:
     """One row ``(id, ids)`` for each row of df; ids is binary, little-endian unsigned 32-bit.
 
+    With ``with_decoded``, a column ``decoded`` has the bytes that decoding each piece's ids gives.
     Null text counts as empty; empty text has no ids. Repeated rows and null keys give a row each.
     Other columns of df are ignored.
     """
@@ -115,17 +116,19 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_i
     ranks = broadcast_file(df.sparkSession, ranks_path)
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"id {id_type}, ids binary"
+    names = ["ids", "decoded"][:1 + with_decoded]
+    schema = f"id {id_type}, " + ", ".join(f"{n} binary" for n in names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker(ranks, pattern)
         for batch in batches:
-            ids = pa.array([enc.encode(t) for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+            ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
+            out = [ids, map(enc.decode, ids)][:len(names)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in out)], names=["id", *names])
 
     short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(whole, schema)
     long = rows.filter(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
-    pieces = _stitch(_chunks(long, id_type, chunk_chars, overlap_chars), ranks, pattern, id_type)
+    pieces = _stitch(_chunks(long, id_type, chunk_chars, overlap_chars), ranks, pattern, id_type, names)
     return short.unionAll(pieces).withColumnRenamed("id", id_col)
 
 
@@ -147,7 +150,7 @@ def _chunks(long: DataFrame, id_type: str, size: int, overlap: int) -> DataFrame
     return chunks.repartition("row", "chunk").withColumns({"size": F.lit(size), "overlap": F.lit(overlap)})
 
 
-def _stitch(chunks: DataFrame, ranks: Broadcast, pattern: str, id_type: str) -> DataFrame:
+def _stitch(chunks: DataFrame, ranks: Broadcast, pattern: str, id_type: str, names: list[str]) -> DataFrame:
     ints = pa.list_(pa.int32())
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +183,12 @@ def _stitch(chunks: DataFrame, ranks: Broadcast, pattern: str, id_type: str) ->
                 end = parts[-1]
                 text = "".join(p["part"][:p["size"]] for p in parts[:-1]) + (end["part"] if end["last"] else end["part"][:end["size"] + end["sync"]])
                 out.append(enc.encode(text[parts[0]["begin"]:]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["row", "piece", "id", "ids"])
+            columns = [out, map(enc.decode, out)][:len(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.binary()) for x in columns)], names=["row", "piece", "id", *names])
 
-    ids = pieces.select("row", "piece", "id", "parts").repartition("row", "piece").mapInArrow(encode_piece, f"row long, piece int, id {id_type}, ids binary")
-    return ids.groupBy("row").agg(F.first("id").alias("id"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY piece)").alias("ids")).drop("row")
+    ids = pieces.select("row", "piece", "id", "parts").repartition("row", "piece").mapInArrow(encode_piece, f"row long, piece int, id {id_type}, " + ", ".join(f"{n} binary" for n in names))
+    in_order = [F.expr(f"listagg({n}) WITHIN GROUP (ORDER BY piece)").alias(n) for n in names]
+    return ids.groupBy("row").agg(F.first("id").alias("id"), *in_order).drop("row")
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

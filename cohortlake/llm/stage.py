@@ -37,7 +37,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        ship_package(spark)
+        prepare(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/cohortlake/{what}-{uuid.uuid4().hex}"
 
@@ -52,11 +52,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package's source to the executors' Python workers, once for each SparkContext."""
+#: Rows of an Arrow batch where the session has Spark's default of 10,000: whole texts can be long.
+BATCH_ROWS = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends this package's source to the executors' Python workers and bounds Arrow's batches, once for each SparkContext."""
     sc = spark.sparkContext
-    if getattr(sc, "_cohortlake_shipped", False):
+    if getattr(sc, "_cohortlake_prepared", False):
         return
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     package = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="cohortlake-src-")) / f"{package.name}_src.zip"
     atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
@@ -64,4 +70,4 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             z.write(source, source.relative_to(package.parent))
     sc.addPyFile(str(target))
-    sc._cohortlake_shipped = True
+    sc._cohortlake_prepared = True

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.stage import ship_package
+from cohortlake.llm.stage import prepare
 
 BUCKETS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -54,7 +54,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     The sample (at most 2 * max_per_class documents, whole texts) is the only thing gathered on the driver.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     chosen = F.broadcast(training_ids(labels, id_col=id_col, label_col=label_col, max_per_class=max_per_class))  # 2 * max_per_class rows at most
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
 
@@ -103,7 +103,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
     A sentence is (begin, end, probability) in characters of the text. Null and empty texts score 0.
     Null keys and repeated rows give a row each; other columns are ignored.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS floats
     id_type = docs.schema[id_col].dataType.simpleString()
     found = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.stage import ship_package
+from cohortlake.llm.stage import prepare
 
 #: Entries of the per-worker cache of counted words (words of up to CACHE_CHARS); it is emptied when full.
 CACHE_ENTRIES = 500_000
@@ -106,7 +106,7 @@ def count_tokens(df: DataFrame, begin: list[str], inside: list[str], *, id_col:
     A word the pieces can't cover is one token and counts in n_unknown too. Null and empty texts have
     none. Null keys and repeated rows give a row each; other columns of df are ignored.
     """
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     pieces = df.sparkSession.sparkContext.broadcast((begin, inside))  # a vocabulary: its size doesn't depend on df
     key = hash((tuple(begin), tuple(inside)))
     id_type = df.schema[id_col].dataType.simpleString()

@@ -44,7 +44,7 @@ class ProjectionIndex:
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that collide with the query in COLLIDES of the windows, once these hold enough rows."""
         n = len(self.vectors)
-        wanted = min(n, max(4 * k, int(np.ceil(VERIFIED * n))))
+        wanted = min(n, max(10 * k, int(np.ceil(VERIFIED * n))))
         if wanted == n:
             return np.arange(n)
         centre = query @ self.lines
@@ -98,11 +98,11 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id",
 
     row_hash = F.xxhash64("row")
     # every block of queries meets every shard: each side is sent once for each part of the other
-    candidates = rows.select(F.lit(False).alias("asks"), "row", "id", "v", F.pmod(row_hash, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
-    queries = rows.filter("asks").select(F.lit(True).alias("asks"), "row", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(row_hash, F.lit(blocks)).alias("block"))
+    candidates = rows.select(F.lit(False).alias("asks"), "row", "id", "v", F.pmod(row_hash, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    queries = rows.filter("asks").select(F.lit(True).alias("asks"), "row", "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(row_hash, F.lit(blocks)).alias("block"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+    def one(part: pd.DataFrame) -> pd.DataFrame:
         shard, ask = part[~part["asks"]], part[part["asks"]]
         if not len(shard) or not len(ask):
             return pd.DataFrame({"query": [], "query_row": [], "vec_id": [], "score": []})

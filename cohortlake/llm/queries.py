@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, tokenio, toxicity, urlfilter, wordpiece
+from cohortlake.llm import bpe, collision, itq, minhash, tokenio, toxicity, urlfilter, wordpiece
 from cohortlake.llm.stage import Scratch
 
 
@@ -16,8 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    both = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    both = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_decoded=True)
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return both.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -34,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("sentences").alias("n_sentences"))
 
 
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: The query's list: canonical URLs of pages with less HTML than this.
 THIN_HTML_BYTES = 1_000
@@ -74,6 +77,10 @@ FROM ruled
 """
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'token-files').path}/ids"
     tokenio.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -81,6 +88,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 def op10_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin, inside = wordpiece.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), begin, inside)
@@ -89,8 +100,11 @@ def op10_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_files": op8_token_files,
+    "op9_near_dedup": op9_near_dedup,
     "op10_wordpiece_counts": op10_wordpiece_counts,
 }
 ORACLE_SQL = {"op5_url_filter": OP5_SQL}

@@ -12,6 +12,7 @@ A file is a Parquet file of packets. A packet holds the ids of one or more whole
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ BLOCK = 256
 #: Ids after which a packet is closed; a longer document has a packet of its own.
 PACKET_IDS = 1 << 19
 #: Entries of the per-worker cache of encoded strings (of up to CACHE_CHARS); it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 64
 
 
@@ -104,7 +105,8 @@ class LibraryEncoder:
     """The tokenizers library's ids of whole texts, as uint32, through a cache of the strings between spaces.
 
     The library's byte-level pre-tokeniser always begins a match at a space that a non-space follows, so
-    a text's ids are those of its cuts there.
+    a text's ids are those of its cuts there. Cuts not yet in the cache are encoded many in one string,
+    each behind its space; a token that begins with a space then begins a cut.
     """
 
     def __init__(self, raw: bytes):
@@ -115,34 +117,42 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins_cut = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins_cut[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level alphabet's space
         self.cache: dict[str, bytes] = {}
 
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join([" " + c for c in cuts])], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(self.begins_cut[ids]) * 4
+        if len(at) != len(cuts):
+            return self._encode_each([" " + c for c in cuts])
+        raw = ids.tobytes()
+        at = at.tolist()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cuts = []
+        firsts, cuts, needed = [], [], set()
         for text in texts:
             first, *rest = cut_at_words(text)
-            cuts.append((first, rest))
-        needed = set()
-        for _, rest in cuts:
+            firsts.append(first)
+            cuts.append(rest)
             needed.update(rest)
-        if len(self.cache) + len(needed) > CACHE_ENTRIES:
+        new = needed.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
-        new = [c for c in needed if c not in self.cache]
-        cache = self.cache
-        over = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for cut, e in zip(part, self.tokenizer.encode_batch_fast([" " + c for c in part], add_special_tokens=False), strict=True):
-                ids = np.asarray(e.ids, dtype="<u4").tobytes()
-                if len(cut) <= CACHE_CHARS:
-                    cache[cut] = ids
-                else:
-                    over[cut] = ids
-        firsts = self.tokenizer.encode_batch_fast([f for f, _ in cuts], add_special_tokens=False)
-        get = cache.__getitem__
-        if not over:
-            return [np.asarray(f.ids, dtype="<u4").tobytes() + b"".join(map(get, rest)) for f, (_, rest) in zip(firsts, cuts, strict=True)]
-        return [np.asarray(f.ids, dtype="<u4").tobytes() + b"".join(cache[c] if c in cache else over[c] for c in rest) for f, (_, rest) in zip(firsts, cuts, strict=True)]
+            new = needed
+        ids = self.cache
+        plain = [c for c in new if " " not in c and len(c) <= CACHE_CHARS]
+        for i in range(0, len(plain), 4_096):
+            ids.update(zip(plain[i:i + 4_096], self._encode_cuts(plain[i:i + 4_096]), strict=True))
+        odd = [c for c in new if " " in c or len(c) > CACHE_CHARS]
+        if odd:
+            ids = ChainMap(dict(zip(odd, self._encode_each([" " + c for c in odd]), strict=True)), ids)
+        return [first + b"".join(map(ids.__getitem__, rest)) for first, rest in zip(self._encode_each(firsts), cuts, strict=True)]
 
 
 _workers: dict[int, LibraryEncoder] = {}

@@ -120,6 +120,7 @@ class LibraryEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins_cut = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.begins_cut[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level alphabet's space
+        self.marks = dict(zip(".,:;!?", self._encode_each([*".,:;!?"]), strict=True))
         self.cache: dict[str, bytes] = {}
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
@@ -146,12 +147,28 @@ class LibraryEncoder:
             self.cache.clear()
             new = needed
         ids = self.cache
-        plain = [c for c in new if " " not in c and len(c) <= CACHE_CHARS]
+        # most cuts are letters, or letters and one mark, which are two matches: " letters" and the mark
+        words, marked, odd = set(), [], []
+        for c in new:
+            if len(c) > CACHE_CHARS:
+                odd.append(c)
+            elif c.isalpha():
+                words.add(c)
+            elif c[-1:] in self.marks and c[:-1].isalpha():
+                words.add(c[:-1])
+                marked.append(c)
+            else:
+                odd.append(c)
+        plain = [w for w in words if w not in ids]
         for i in range(0, len(plain), 4_096):
             ids.update(zip(plain[i:i + 4_096], self._encode_cuts(plain[i:i + 4_096]), strict=True))
-        odd = [c for c in new if " " in c or len(c) > CACHE_CHARS]
-        if odd:
-            ids = ChainMap(dict(zip(odd, self._encode_each([" " + c for c in odd]), strict=True)), ids)
+        for c in marked:
+            ids[c] = ids[c[:-1]] + self.marks[c[-1]]
+        long = {}
+        for c, found in zip(odd, self._encode_each([" " + c for c in odd]), strict=True):
+            (ids if len(c) <= CACHE_CHARS else long)[c] = found
+        if long:
+            ids = ChainMap(long, ids)
         return [first + b"".join(map(ids.__getitem__, rest)) for first, rest in zip(self._encode_each(firsts), cuts, strict=True)]
 
 

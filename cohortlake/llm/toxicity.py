@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.stage import prepare
+from cohortlake.llm.stage import Scratch, prepare
 
 BUCKETS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -52,43 +52,58 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         max_per_class: int = 4_000, least_z: float = 3.0, rounds: int = 150, rate: float = 0.1, decay: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights by word bucket, and the bias. Without a labelled document of either class, all weights are 0.
 
-    The sample (at most 2 * max_per_class documents, whole texts) is the only thing gathered on the driver.
+    Of the sample (at most 2 * max_per_class documents, whole texts), the driver gathers the features
+    chosen, and the sentences that have one of them.
     """
-    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = F.broadcast(training_ids(labels, id_col=id_col, label_col=label_col, max_per_class=max_per_class))  # 2 * max_per_class rows at most
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    sample = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "label"), "sample")
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cached = lru_cache(100_000)(features_of)
+    def has(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cached, sums = lru_cache(100_000)(features_of), np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            rows = [[sorted(set().union(*map(cached, WORD.findall(s)))) for s in SENTENCE.findall(t.lower())] for t in batch["text"].fillna("")]
-            yield pd.DataFrame({"label": batch["label"], "sizes": [[len(s) for s in doc if s] for doc in rows], "words": [[w for s in doc for w in s] for doc in rows]})
+            for text, label in zip(batch["text"].fillna(""), batch["label"], strict=True):
+                found = set().union(*map(cached, WORD.findall(text.lower())))
+                sums[int(label > 0), list(found)] += 1
+        used = np.flatnonzero(sums.any(axis=0))
+        yield pd.DataFrame({"feature": used, "clean": sums[0, used], "toxic": sums[1, used]})
 
-    data = sample.mapInPandas(features, "label int, sizes array<int>, words array<int>").toPandas()
+    # documents of each class that have a feature; log odds over their standard error
+    sizes = {bool(r["label"]): r["count"] for r in sample.groupBy(F.col("label") > 0).count().toDF("label", "count").collect()}
+    n_clean, n_toxic = sizes.get(False, 0), sizes.get(True, 0)
     weights = np.zeros(BUCKETS)
-    y = data["label"].to_numpy(dtype=float)
-    if not len(data) or y.min() == y.max():
-        return weights, 0.0 if not len(data) or y.min() == 0 else 4.0
-    words = np.concatenate([*data["words"].map(np.asarray), np.empty(0, int)]).astype(np.int64)
-    sizes = np.concatenate([*data["sizes"].map(np.asarray), np.empty(0, int)]).astype(np.int64)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    if not n_clean or not n_toxic:
+        return weights, 4.0 if n_toxic else 0.0
+    counts = sample.mapInPandas(has, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    telling = counts.select("feature", odds.alias("odds")).filter(F.col("odds") > least_z * error).orderBy("feature").toPandas()  # BUCKETS rows at most
+    used, w = telling["feature"].to_numpy(dtype=np.int64), telling["odds"].to_numpy(dtype=float) / 2
+    place = {f: i for i, f in enumerate(used.tolist())}
+
+    def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cached = lru_cache(100_000)(lambda word: [place[f] for f in features_of(word) if f in place])
+        for batch in batches:
+            each = [[sorted({f for word in WORD.findall(s) for f in cached(word)}) for s in SENTENCE.findall(t.lower())] for t in batch["text"].fillna("")]
+            yield pd.DataFrame({"label": batch["label"], "plain": [sum(not s for s in doc) for doc in each],
+                                "sizes": [[len(s) for s in doc if s] for doc in each], "features": [[f for s in doc for f in s] for doc in each]})
+
+    data = sample.mapInPandas(sentences, "label int, plain int, sizes array<int>, features array<int>").toPandas()
+    y, plain = (data["label"].to_numpy() > 0).astype(float), data["plain"].to_numpy(dtype=float)
+    at = np.concatenate([*data["features"].map(np.asarray), np.empty(0)]).astype(np.int64)
+    lengths = np.concatenate([*data["sizes"].map(np.asarray), np.empty(0)]).astype(np.int64)
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
     doc = np.repeat(np.arange(len(data)), data["sizes"].map(len))
-    used, at = np.unique(words, return_inverse=True)
-    # documents of each class that have a feature; log odds over their standard error
-    has = np.unique(doc[sentence] * len(used) + at)
-    toxic = np.bincount(has % len(used), y[has // len(used)], len(used))
-    clean = np.bincount(has % len(used), 1 - y[has // len(used)], len(used))
-    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / (len(y) - y.sum() + 1))
-    chosen = odds > least_z * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    in_fit = chosen[at]
-    at, sentence, used = (np.cumsum(chosen) - 1)[at[in_fit]], sentence[in_fit], used[chosen]
-    w, bias = odds[chosen] / 2, -math.log(max(2.0, 4 * len(sizes) / len(y))) - 1
+    bias = -math.log(max(2.0, 4 * (plain.sum() + len(lengths)) / len(y))) - 1
     mean, square, bias_mean, bias_square = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for k in range(1, rounds + 1):  # Adam on the whole sample
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[at], len(sizes)) + bias, -30, 30)))
-        off = np.exp(np.bincount(doc, np.log1p(-p), len(y)))  # the chance that no sentence is toxic
-        pull = np.where(y == 1, -off / np.maximum(1 - off, 1e-6), 1.0)[doc] * p / len(y)
-        grad, bias_grad = np.bincount(at, pull[sentence], len(used)) + decay * w / len(y), pull.sum()
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[at], len(lengths)) + bias, -30, 30)))
+        p_plain = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias))))  # of a sentence with no telling feature
+        off = np.exp(np.bincount(doc, np.log1p(-p), len(y)) + plain * math.log1p(-p_plain))  # the chance that no sentence is toxic
+        pull_doc = np.where(y == 1, -off / np.maximum(1 - off, 1e-6), 1.0) / len(y)
+        pull = pull_doc[doc] * p
+        grad = np.bincount(at, pull[sentence], len(used)) + decay * w / len(y)
+        bias_grad = pull.sum() + (pull_doc * plain).sum() * p_plain
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         bias_mean, bias_square = 0.9 * bias_mean + 0.1 * bias_grad, 0.99 * bias_square + 0.01 * bias_grad**2
         w = w - rate * mean / (1 - 0.9**k) / (np.sqrt(square / (1 - 0.99**k)) + 1e-7)

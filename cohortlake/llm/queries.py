@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, collision, itq, minhash, tokenio, toxicity, urlfilter, wordpiece
+from cohortlake.llm import bpe, collision, itq, minhash, mixing, repeats, tokenio, toxicity, urlfilter, wordpiece
 from cohortlake.llm.stage import Scratch
 
 
@@ -21,6 +21,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, least_entropy_share=0.97, budget_share=1.0)
+    return mixed.select("doc_id", "source", "n_tokens", "block", F.col("copies").cast("int").alias("copies"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -77,6 +83,13 @@ FROM ruled
 """
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_spans(repeats.mark_repeats(table(spark, sf_dir, "documents"), length=400))
+    n_bytes, n_kept = F.octet_length("text").cast("long"), F.octet_length("kept").cast("long")
+    return cut.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - n_kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -99,9 +112,11 @@ def op10_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_repeats": op6_repeats,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,

@@ -10,7 +10,7 @@ repeats are spread out into single windows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -138,17 +138,18 @@ class Pieces:
 
 
 
-def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200) -> DataFrame:
+def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, carry: Sequence[str] = ()) -> DataFrame:
     """(id, text, spans) for each row of docs: the text as bytes, and its repeated stretches as sorted, separate (begin, end).
 
     A byte is repeated if a string of length bytes that covers it also starts anywhere else in docs, in
     another row or in the same one, overlapping or not. Null texts count as empty. Equal rows are each
-    other's repeats. Other columns are ignored.
+    other's repeats. The columns in ``carry`` follow; others are ignored.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    rows = rows.select(F.xxhash64("id").alias("k"), F.xxhash64("text").alias("t"), "id", "text")
+    carried = [F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *carried)
+    rows = rows.withColumns({"k": F.xxhash64("id"), "t": F.xxhash64("text")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(length, gram)
@@ -200,7 +201,7 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("windows", "met", "wholes")
 
     per_text = starts.groupBy("k", "t").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
-    joined = rows.join(per_text, ["k", "t"], "left").select("id", "text", "starts")
+    joined = rows.join(per_text, ["k", "t"], "left").select("id", "text", "starts", *(f"carried{i}" for i in range(len(carry))))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -214,22 +215,37 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     else:
                         merged.append({"begin": first, "end": last + length})
                 out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["id", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind), *batch.columns[3:]], names=["id", "text", "spans", *batch.schema.names[3:]])
 
-    return joined.mapInArrow(spans, f"id {id_type}, text binary, spans array<struct<begin:int,end:int>>").withColumnRenamed("id", id_col)
+    types = "".join(f", carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    return joined.mapInArrow(spans, f"id {id_type}, text binary, spans array<struct<begin:int,end:int>>{types}").toDF(id_col, "text", "spans", *carry)
 
 
-def cut_spans(marked: DataFrame, *, out_col: str = "kept") -> DataFrame:
-    """marked (as mark_repeats gives it) with the bytes outside its spans in out_col."""
+def cut_spans(marked: DataFrame, *, out_col: str = "kept", whole_characters: bool = False) -> DataFrame:
+    """marked (as mark_repeats gives it) with the bytes outside its spans in out_col.
+
+    With whole_characters, a UTF-8 character that a span cuts into is removed as a whole.
+    """
     names = [f.name for f in marked.schema.fields if f.name != out_col]
     text, spans = names.index("text"), names.index("spans")
 
+    def inside(data: bytes, at: int) -> bool:
+        return at < len(data) and data[at] & 0xC0 == 0x80
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for data, cuts in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True):
-                edges = [0, *(x for c in cuts for x in (c["begin"], c["end"])), len(data)]
-                kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
+                out, at = [], 0
+                for cut in cuts:
+                    begin, end = cut["begin"], cut["end"]
+                    while whole_characters and inside(data, begin):
+                        begin -= 1
+                    while whole_characters and inside(data, end):
+                        end += 1
+                    out.append(data[at:begin])
+                    at = max(at, end)
+                kept.append(b"".join([*out, data[at:]]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], names=[*names, out_col])
 
     schema = ", ".join([f"`{n}` {marked.schema[n].dataType.simpleString()}" for n in names] + [f"`{out_col}` binary"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from zlib import crc32
 
@@ -112,11 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return weights, float(bias)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
+          carry: Sequence[str] = ()) -> DataFrame:
     """(id, score, sentences) for each row of docs: the noisy-or, and the sentences at or over the threshold.
 
     A sentence is (begin, end, probability) in characters of the text. Null and empty texts score 0.
-    Null keys and repeated rows give a row each; other columns are ignored.
+    Null keys and repeated rows give a row each. The columns in ``carry`` follow; others are ignored.
     """
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS floats
@@ -152,7 +153,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
                     # lower-casing can lengthen a text, so its places are looked up in the text itself
                     hits = [{"begin": m.start(), "end": m.end(), "probability": p} for m in SENTENCE.finditer(text) if (p := probability(m.group().lower())) >= threshold]
                 spans.append(hits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, found)], names=["id", "score", "sentences"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, found), *batch.columns[2:]],
+                                             names=["id", "score", "sentences", *(f"carried{i}" for i in range(len(carry)))])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, score double, sentences array<struct<begin:int,end:int,probability:double>>").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
+    carried = "".join(f", carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    scored = rows.mapInArrow(run, f"id {id_type}, score double, sentences array<struct<begin:int,end:int,probability:double>>{carried}")
+    return scored.toDF(id_col, "score", "sentences", *carry)

@@ -20,26 +20,30 @@ def apart(key: str) -> Column:
 def components(links: DataFrame, scratch: Scratch, name: str, *, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of links (columns a, b): the smallest node it reaches.
 
-    Alternating large-star and small-star steps; each round is a few joins and aggregations over at
-    most as many edges as there were at first, written out so that no lineage grows. Links with a null
-    end and links of a node to itself are left out.
+    Nodes are ordered by a hash. Each round labels a node with the first of itself and its neighbours and
+    replaces every link by the link of its ends' labels, until none is left between different labels. Links
+    only get fewer, stars around their first node vanish in one round, and each round is written out, so no
+    lineage grows. Links with a null end and links of a node to itself are left out.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
-    edges, seen = scratch.keep(edges, f"{name}0"), None
-    for k in range(1, max_rounds + 1):
-        around = edges.select(F.col("low").alias("node"), F.col("high").alias("other")).unionAll(edges.select(F.col("high"), F.col("low")))
-        least = around.groupBy("node", apart("node")).agg(F.min("other").alias("other")).select(F.col("node").alias("low"), F.least("node", "other").alias("least"))
-        large = edges.join(least, "low").select("high", F.col("least").alias("low"))
-        least = large.groupBy("high", apart("high")).agg(F.min("low").alias("least")).select("high", "least")
-        small = large.join(least, "high").filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
-        after = scratch.keep(small.unionAll(least.select("high", F.col("least").alias("low"))).distinct(), f"{name}{k}")
-        scratch.drop(f"{name}{k - 1}")
-        edges = after
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    own = edges.select("low").distinct()
-    return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionAll(own.select(F.col("low"), F.col("low")))
+    edges = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), f"{name}0")
+    labels = []
+    while not edges.isEmpty():
+        if len(labels) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        around = edges.select(F.col("low").alias("node"), F.col("high").alias("other")).unionAll(edges.select("high", "low"))
+        turn = [F.struct(F.xxhash64(c).alias("turn"), F.col(c).alias("node")) for c in ("node", "other")]
+        first = around.groupBy("node", apart("node")).agg(F.min(turn[1]).alias("other")).select("node", F.least(turn[0], "other")["node"].alias("component"))
+        high = first.select(F.col("node").alias("high"), F.col("component").alias("of_high"))
+        low = first.select(F.col("node").alias("low"), F.col("component").alias("of_low"))
+        between = edges.join(high, "high").join(low, "low").filter("of_high <> of_low")
+        between = between.select(F.greatest("of_high", "of_low").alias("high"), F.least("of_high", "of_low").alias("low")).distinct()
+        labels.append(first)
+        edges = scratch.keep(between, f"{name}{len(labels)}")
+    if not labels:
+        return edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
+    found = labels[0]
+    for further in labels[1:]:
+        step = further.select(F.col("node").alias("component"), F.col("component").alias("then"))
+        found = found.join(step, "component", "left").select("node", F.coalesce("then", "component").alias("component"))
+    smallest = found.groupBy("component", apart("component")).agg(F.min("node").alias("smallest")).select("component", "smallest")
+    return found.join(smallest, "component").select("node", F.col("smallest").alias("component"))

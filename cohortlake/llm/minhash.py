@@ -2,19 +2,21 @@
 
 One hash of each shingle gives both its bin (the high bits) and its rank in the bin; an empty bin
 copies the first filled bin of a fixed random order of bins, which is its own (optimal
-densification). Bands of bins are the bucket keys. In each bucket the members are compared with one
-centre, a star, so a bucket of m members costs m - 1 comparisons and not m * (m - 1) / 2. Members
-that a star leaves in different components are compared with further centres, and in the end with
-each other, until every bucket is settled. Links are confirmed on the full shingle sets.
+densification). Bands of bins are the bucket keys. In a large bucket the members are compared with
+one centre, a star, so that m members cost m - 1 comparisons; small buckets are compared whole.
+Members that a star leaves in different components are compared with each other afterwards. A pair
+is screened by two bits of each bin first; links are confirmed on the full shingle sets.
 
-With 32 bands of 6 bins, a pair at the threshold of 0.85 shares no bucket with a chance of 3e-7.
+With 32 bands of 6 bins, a pair at the threshold of 0.85 shares no bucket with a chance of 3e-7, and
+the screen (5.5 standard deviations under the threshold) loses it with about the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,8 +28,13 @@ from cohortlake.llm.stage import Scratch
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Rounds of stars before the members still apart are compared with each other, and pairs a document (on average) that are few enough to do so at once.
-STAR_ROUNDS, FEW_PAIRS = 3, 2
+#: Two bits of each bin, as longs.
+LONGS = 2 * BINS // 64
+#: Buckets up to this size are compared whole.
+SMALL = 64
+#: Documents of a block, where clusters are compared in blocks.
+BLOCK = 512
+SCREEN = 5.5
 CACHE_ENTRIES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,14 +72,14 @@ def shingles(text: bytes, width: int, hashes: dict[bytes, int]) -> np.ndarray:
 
 
 class Sketcher:
-    """Band keys of shingle sets."""
+    """Band keys of shingle sets, and two bits of each bin."""
 
     def __init__(self, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.orders = np.argsort(rng.random((BINS, BINS)), axis=1).astype(np.int16)
         self.band = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)
 
-    def bands(self, found: np.ndarray) -> np.ndarray:
+    def of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bins = ((found >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)  # ascending, as the hashes are
         first = np.searchsorted(bins, np.arange(BINS, dtype=np.uint64))
         filled = (first < len(bins)) & (bins[np.minimum(first, len(bins) - 1)] == np.arange(BINS))
@@ -84,32 +91,32 @@ class Sketcher:
         key = self.band.copy()
         for column in values.reshape(BANDS, ROWS).T:
             key = _mix(key * _ODD + column)
-        return key.view(np.int64)
+        bits = np.concatenate([values & np.uint64(1), values >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)
+        return key.view(np.int64), np.packbits(bits).view("<i8")
 
 
 def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, n, k1, k2, bands): the size of each row's shingle set, a 128-bit key of the set, and its bucket keys (none for an empty set)."""
+    """(id, n, k1, k2, bands, bits): the size of each row's shingle set, a 128-bit key of the set, its bucket keys and screening bits (none for an empty set)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketcher = _WordHashes(), Sketcher()
         none = np.empty(0, np.int64)
+
+        def lists(arrays: list[np.ndarray]) -> pa.Array:
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, none])))
+
         for batch in batches:
-            sizes, keys, bands = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text or b"", width, hashes)
-                sizes.append(len(found))
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(sketcher.bands(found) if len(found) else none)
-            k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            flat = np.concatenate([*bands, none])
-            offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
+            found = [shingles(text or b"", width, hashes) for text in batch.column(1).to_pylist()]
+            k = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in found), "<i8").reshape(-1, 2)
+            sketches = [sketcher.of(x) if len(x) else (none, none) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", "n", "k1", "k2", "bands"])
+                [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), lists([b for b, _ in sketches]), lists([b for _, b in sketches])],
+                names=["id", "n", "k1", "k2", "bands", "bits"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, n long, k1 long, k2 long, bands array<long>")
+    return rows.mapInArrow(run, f"id {id_type}, n long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -154,51 +161,106 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.keep(sketch(docs, id_col=id_col, text_col=text_col, width=width), "rows")
-    classes = rows.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bands")).alias("m"))
-    classes = scratch.keep(classes.select("k1", "k2", "m.id", "m.n", "m.bands"), "classes")
-
-    placed = classes.select("id", "n", F.explode("bands").alias("key"))
-    centres = placed.groupBy("key", apart("key")).agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("centre")).filter("m > 1")
-    members = placed.join(centres.select("key", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")), "key")
-    members = scratch.keep(members, "members")
-    in_buckets = members.select("id").distinct()
+    classes = rows.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bands", "bits")).alias("m"))
+    classes = scratch.keep(classes.select("k1", "k2", "m.*"), "classes")
+
+    placed = classes.select("id", F.explode("bands").alias("key"))
+    centres = placed.groupBy("key", apart("key")).agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id"), "id")).alias("centre")).filter("m > 1")
+    members = placed.join(centres.select("key", "m", F.col("centre.id").alias("centre")), "key")
+    bits = classes.select("id", "n", *(F.col("bits")[i].alias(f"s{i}") for i in range(LONGS)))
+    members = scratch.keep(members.join(bits, "id"), "members")
+
+    def pairs_of(some: DataFrame, others: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        """Pairs of a bucket that may reach the threshold: sets of like sizes whose bits differ little."""
+        columns = ["id", "n", *(f"s{i}" for i in range(LONGS)), *extra]
+        x = some.select("key", "m", *(F.col(c).alias(f"{c}_a") for c in columns))
+        y = others.select("key", *(F.col(c).alias(f"{c}_b") for c in columns))
+        fewer, more = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+        differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(LONGS)), F.lit(0))
+        return x.join(y, "key").filter((100 * fewer >= percent * more) & (1 - differ / BINS >= percent / 100 - _off(F.least(fewer, F.lit(BINS)), percent)))
+
+    small = F.col("m") <= SMALL
+    first = pairs_of(members.filter(small | (F.col("id") == F.col("centre"))), members).filter(F.when(small, F.col("id_a") < F.col("id_b")).otherwise(F.col("id_a") != F.col("id_b")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = scratch.keep(full_sets(texts.join(in_buckets, "id", "left_semi"), id_col="id", width=width).dropDuplicates(["id"]), "sets")
-
-    def near(a, b):  # sets of too different size can't reach the threshold
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    stars = members.filter(F.col("id") != F.col("centre")).filter(near(F.col("n"), F.col("centre_n")))
-    links = scratch.keep(confirm(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), sets, percent), "links0")
-    found = scratch.keep(components(links, scratch, "stars0-"), "components0")
-    for k in range(1, STAR_ROUNDS + 2):
-        labelled = members.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pairs = scratch.keep(first.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs0")
+    links = scratch.keep(_confirmed(scratch, pairs, texts, width, percent, 0), "links0")
+    found = scratch.keep(components(links, scratch, "graph0-"), "components0")
+
+    # large buckets whose star left several components: the documents they connect are compared in blocks
+    large = members.filter(~small)
+    if not large.isEmpty():
+        labelled = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_keys = labelled.groupBy("key", apart("key")).agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        unsettled = scratch.keep(labelled.join(open_keys, "key", "left_semi"), f"open{k}")
-        counts = unsettled.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        n_pairs = counts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
-        if not n_pairs:
-            break
-        last = k > STAR_ROUNDS or n_pairs <= FEW_PAIRS * classes.count()
-        x = unsettled.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-        y = unsettled.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-        if last:
-            # all members still apart, once each; a pair at the threshold shares 12 of the 32 buckets, and fewer than 2 with a chance of 5e-6
-            pairs = x.join(y, "key").filter("of_a < of_b").filter(near(F.col("n_a"), F.col("n_b"))).groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared > 1")
-        else:
-            by = F.struct(F.xxhash64("id", F.lit(k)).alias("turn"), "id", "n", "component")
-            centre = unsettled.groupBy("key", apart("key")).agg(F.min(by).alias("c")).select("key", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"), F.col("c.component").alias("of_a"))
-            pairs = y.join(centre, "key").filter("of_a <> of_b").filter(near(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
-        more = scratch.keep(confirm(pairs.select("a", "b"), sets, percent), f"links{k}")
-        links = links.unionAll(more)
-        if more.limit(1).count():
-            found = scratch.keep(components(links, scratch, f"stars{k}-"), f"components{k}")
-        scratch.drop(f"open{k}")
-        if last:
-            break
-    scratch.drop("members", "sets")
+        unsettled = scratch.keep(labelled.join(open_keys, "key", "left_semi").drop("key", "m").distinct(), "open")
+        if not unsettled.isEmpty():
+            more = scratch.keep(_across(scratch, unsettled, texts, width, percent), "links1")
+            if not more.isEmpty():
+                found = scratch.keep(components(links.unionAll(more), scratch, "graph1-"), "components1")
+    scratch.drop("members", "open")
 
     stands = classes.select("k1", "k2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    stands = scratch.keep(stands, "stands")
     out = rows.select("id", "n", "k1", "k2").join(stands, ["k1", "k2"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _off(n, percent: int):
+    """How far below the threshold the similarity estimated from bits can be for a pair at it; n: the smaller set's size."""
+    j = percent / 100
+    return SCREEN * ((j * (1 - j)) / n + (1 - j) / 2 / BINS) ** 0.5
+
+
+def _confirmed(scratch: Scratch, pairs: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    sets = scratch.keep(full_sets(texts.join(ids, "id", "left_semi"), id_col="id", width=width).dropDuplicates(["id"]), f"sets{k}")
+    return confirm(pairs, sets, percent)
+
+
+def _across(scratch: Scratch, unsettled: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of documents that buckets connect.
+
+    Each cluster of connected documents is cut into blocks of about BLOCK; a task compares two blocks, so
+    no group grows with its cluster, and only links leave it.
+    """
+    clusters = scratch.keep(components(unsettled.select(F.col("centre").alias("a"), F.col("id").alias("b")), scratch, "cluster-"), "clusters")
+    docs = unsettled.drop("centre").distinct().join(clusters.withColumnRenamed("node", "id").withColumnRenamed("component", "cluster"), "id")
+    sizes = clusters.groupBy("component", apart("component")).count().select(F.col("component").alias("cluster"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    sets = scratch.keep(full_sets(texts.join(docs.select("id"), "id", "left_semi"), id_col="id", width=width).dropDuplicates(["id"]), "sets1")
+    docs = docs.join(sizes, "cluster").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = docs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    id_type = docs.schema["id"].dataType.simpleString()
+    off = _off
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", ignore_index=True)
+        one, two = part[part["block"] == part["x"]].index, part[part["block"] == part["y"]].index
+        bits = part[[f"s{i}" for i in range(LONGS)]].to_numpy().view(np.uint64)
+        n, components, ids = part["n"].to_numpy(), part["component"].to_numpy(), part["id"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in part["shingles"]]
+        joined = {}  # components linked in this task
+
+        def root(c):
+            while c in joined:
+                c = joined[c]
+            return c
+
+        a, b = [], []
+        for i in one:
+            others = two[two > i] if len(one) == len(two) and (one == two).all() else two
+            others = np.asarray(others)
+            fewer, more = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
+            differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
+            likely = (components[others] != components[i]) & (100 * fewer >= percent * more) & (1 - differ / BINS >= percent / 100 - off(np.minimum(fewer, BINS), percent))
+            for k in others[likely]:
+                if root(components[i]) != root(components[k]):
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[k] - both):
+                        joined[root(components[i])] = root(components[k])
+                        a.append(ids[i])
+                        b.append(ids[k])
+        return pd.DataFrame({"a": pd.Series(a, dtype=ids.dtype), "b": pd.Series(b, dtype=ids.dtype)})
+
+    columns = ["id", "n", "component", "block", "x", "y", "shingles", *(f"s{i}" for i in range(LONGS))]
+    return placed.select("cluster", *columns).groupBy("cluster", "x", "y").applyInPandas(compare, f"a {id_type}, b {id_type}")

@@ -24,8 +24,10 @@ from cohortlake.llm.vectors import dimensions, usable
 
 PROJECTIONS = 64
 #: Share of the projections that must collide, and share of a shard's vectors verified before the windows stop widening.
-COLLIDES, VERIFIED = 0.6, 0.25
-SHARD_ROWS, BLOCK_ROWS = 8_192, 2_048
+COLLIDES, VERIFIED = 0.8, 0.08
+#: Factor by which windows widen.
+WIDENS = 1.05
+SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 
 
 class ProjectionIndex:
@@ -38,36 +40,38 @@ class ProjectionIndex:
         lines = np.linalg.qr(lines)[0] if lines.shape[0] >= PROJECTIONS else lines / np.linalg.norm(lines, axis=0)
         self.lines = lines[:-1]
         projected = vectors @ lines[:-1] + rest[:, None] * lines[-1]
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.intp, order="C")
         self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide with the query in COLLIDES of the windows, once these hold enough rows."""
+    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For each query, the rows that collide with it in COLLIDES of the windows, once these hold enough rows."""
         n = len(self.vectors)
         wanted = min(n, max(10 * k, int(np.ceil(VERIFIED * n))))
         if wanted == n:
-            return np.arange(n)
-        centre = query @ self.lines
+            yield from (np.arange(n) for _ in queries)
+            return
         least = int(np.ceil(COLLIDES * PROJECTIONS))
-        counts = np.zeros(n, dtype=np.int32)
-        begin = np.array([np.searchsorted(row, c) for row, c in zip(self.sorted, centre, strict=True)])
-        low, high = begin.copy(), begin.copy()
-        spread = float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
-        radius = 0.1 * spread
-        while True:
-            parts = []
-            for i, c in enumerate(centre):
-                a, b = np.searchsorted(self.sorted[i], (c - radius, c + radius))
-                parts += [self.order[i, a:low[i]], self.order[i, high[i]:b]]
-                low[i], high[i] = a, b
-            counts += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= wanted or (low == 0).all() and (high == n).all():
-                return found
-            radius *= 1.15
-
-    def nearest(self, query: np.ndarray, own: np.ndarray | None, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.candidates(query, k + 1)
+        radius = 0.1 * float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
+        found: np.ndarray = np.empty(0, np.int64)
+        for centre in queries @ self.lines:
+            # a query begins with the windows that the last one needed, narrower if they held too much
+            if len(found) > 1.3 * wanted:
+                radius /= WIDENS
+            while True:
+                # wide windows hold most rows: it is those outside that are counted
+                outside = []
+                for row, order, c in zip(self.sorted, self.order, centre, strict=True):
+                    low, high = row.searchsorted((c - radius, c + radius))
+                    outside += [order[:low], order[high:]]
+                missing = np.concatenate(outside)
+                found = np.flatnonzero(np.bincount(missing, minlength=n) <= PROJECTIONS - least)
+                if len(found) >= wanted or not len(missing):
+                    break
+                radius *= WIDENS
+            yield found
+
+    def nearest(self, query: np.ndarray, rows: np.ndarray, own: np.ndarray | None, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of the rows, all verified, by exact product and then id."""
         if own is not None:
             rows = rows[~own[rows]]
         scores = self.vectors[rows] @ query
@@ -110,9 +114,10 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id",
         vectors, ids, numbers = np.stack([*shard["v"]]), shard["id"].to_numpy(), shard["row"].to_numpy()
         index = ProjectionIndex(vectors, longest)
         found = []
-        for number, query, v in zip(ask["row"], ask["id"], ask["v"], strict=True):
+        found_rows = index.candidates(np.stack([*ask["v"]]), k + 1)
+        for number, query, v, rows in zip(ask["row"], ask["id"], ask["v"], found_rows, strict=True):
             own = numbers == number
-            best, scores = index.nearest(v, own if own.any() else None, ids, k)
+            best, scores = index.nearest(v, rows, own if own.any() else None, ids, k)
             found.append(pd.DataFrame({"query": query, "query_row": number, "vec_id": ids[best], "score": scores}))
         return pd.concat(found)
 

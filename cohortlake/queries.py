@@ -1,6 +1,403 @@
-"""The registered queries of the analytics operators, on the driver's tables."""
+"""The registered queries of the analytics operators, on the given tables, with their SQL.
+
+``events`` becomes users, features, usage and conversions: a feature for each k of props, named by its
+last digit and released on that day after New Year; a user's signup is their first signup event; views
+and clicks are usage; the latest purchase over 150 is the conversion. ``orders`` becomes a history of
+customers: status and priority of their latest order of a day.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortlake.functions.columns import day, event_time, natural_id, or_default, record_hash
+from cohortlake.operators import cohort, dims, facts, ingest, profile, quality, scd2
+from cohortlake.plans import registry
+from cohortlake.sources import tables
+from cohortlake.sources.raw import CORRUPT, read_raw
+from cohortlake.streaming import bronze
+from cohortlake.workdir import fresh_folder
+
+AS_OF = datetime.date(2024, 1, 31)
+MID_JANUARY = datetime.date(2024, 1, 15)
+SPLIT = "1999-01-01"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- events as users, features, usage and conversions
+
+
+def events_of(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, d, "events").withColumns({"feature_id": k, "event_date": day("ts")})
+
+
+def features_of(spark: SparkSession, d: str) -> DataFrame:
+    k = events_of(spark, d).select("feature_id").filter("feature_id IS NOT NULL").distinct()
+    digit = F.col("feature_id") % 10
+    return k.select("feature_id", F.concat(F.lit("feature_"), digit.cast("string")).alias("feature_name"), F.date_add(F.lit("2024-01-01").cast("date"), digit).alias("effective_from"))
+
+
+def users_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "signup", day("ts"))).alias("signup_date"))
+
+
+def usage_events_of(spark: SparkSession, d: str) -> DataFrame:
+    return events_of(spark, d).filter(F.col("event_type").isin("view", "click")).select("user_id", "feature_id", "event_date")
+
+
+def conversions_of(spark: SparkSession, d: str) -> DataFrame:
+    bought = table(spark, d, "events").filter("event_type = 'purchase' AND value > 150")
+    latest = dims.latest_per_key(bought, ["user_id"], "ts", tie_break=["event_id"])
+    return latest.select("user_id", day("ts").alias("conversion_date"), F.round("value").cast("int").alias("mrr"))
+
+
+def q_usage_facts(spark, d):
+    return facts.usage_facts(usage_events_of(spark, d), as_of=AS_OF)
+
+
+def q_usage_facts_as_of(spark, d):
+    return facts.usage_facts(usage_events_of(spark, d), as_of=MID_JANUARY, up_to_as_of=True)
+
+
+def _cohort_inputs(spark, d):
+    return users_of(spark, d), features_of(spark, d), q_usage_facts(spark, d), conversions_of(spark, d)
+
+
+def q_cohort_impact(spark, d):
+    return cohort.impact(*_cohort_inputs(spark, d))
+
+
+def q_cohort_impact_rewrite(spark, d):
+    return cohort.impact_rewrite(*_cohort_inputs(spark, d))
+
+
+def q_cohort_assign(spark, d):
+    users, features, usage, conversions = _cohort_inputs(spark, d)
+    labelled = cohort.assign(cohort.with_conversions(users, conversions), features, usage)
+    return labelled.groupBy("feature_id", "cohort").agg(F.count("*").alias("n"), F.sum("user_id").alias("user_ids"))
+
+
+def q_user_feature_grid(spark, d):
+    return cohort.grid(users_of(spark, d), features_of(spark, d)).groupBy("feature_id", "feature_name").agg(F.count("*").alias("n_users"))
+
+
+def q_cohort_ranked(spark, d):
+    return cohort.ranked(q_cohort_impact_rewrite(spark, d))
+
+
+def q_cohort_lookup(spark, d):
+    return q_cohort_impact_rewrite(spark, d).filter("feature_name = 'feature_3' AND cohort = 'used_feature'")
+
+
+def q_cohort_pivot(spark, d):
+    return cohort.pivot(q_cohort_impact_rewrite(spark, d))
+
+
+def q_conversion_lift(spark, d):
+    return cohort.lift(q_cohort_impact_rewrite(spark, d))
+
+
+def q_feature_adoption(spark, d):
+    users = users_of(spark, d).agg(F.count("*").alias("n"))
+    return profile.feature_adoption(usage_events_of(spark, d), users)
+
+
+def q_mrr_summary(spark, d):
+    return profile.mrr_summary(conversions_of(spark, d), users_of(spark, d))
+
+
+def q_with_without_feature(spark, d):
+    named = usage_events_of(spark, d).filter("feature_id % 10 = 3 AND feature_id < 30")
+    return profile.with_without_feature(users_of(spark, d), named, conversions_of(spark, d))
+
+
+def q_dedupe_by_key(spark, d):
+    return dims.dedupe_by_key(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "ts")
+
+
+def q_parse_event_time(spark, d):
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    # every seventh text is broken, and must give null
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(text, F.lit("?"))).otherwise(text)
+    parsed = table(spark, d, "events").select("event_id", event_time(text).alias("event_timestamp"))
+    return parsed.withColumn("event_date", day("event_timestamp")).select("event_id", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "event_date")
+
+
+def q_stable_event_id(spark, d):
+    natural = ["user_id", "event_type", "props"]
+    ids = ingest.with_stable_id(table(spark, d, "events").select(*natural), natural, id_col="stable_id")
+    return ids.agg(F.count("*").alias("n_rows"), F.countDistinct("stable_id").alias("n_ids"))
+
+
+def q_natural_keys(spark, d):
+    return table(spark, d, "events").agg(F.countDistinct(natural_id("user_id", "event_type", "props")).alias("n_keys"))
+
+
+def q_null_and_duplicate_keys(spark, d):
+    keyed = table(spark, d, "orders").withColumn("urgent_key", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")))
+    return quality.null_and_duplicate_keys(keyed, ["urgent_key"])
+
+
+# --- orders as a history of customers
+
+TRACKED = ["o_orderstatus", "o_orderpriority"]
+HISTORY = ["o_custkey", *TRACKED, "effective_from", "effective_to", "is_current", "record_hash"]
+
+
+def _initial(orders: DataFrame, **options: bool) -> DataFrame:
+    return scd2.initial(orders, "o_custkey", day("o_orderdate"), TRACKED, tie_break=["o_orderkey"], **options)
+
+
+def _first_part(spark, d):
+    return table(spark, d, "orders").filter(f"o_orderdate < '{SPLIT}' AND o_custkey % 10 <> 0")
+
+
+def _batch(spark, d):
+    rest = table(spark, d, "orders").filter(f"NOT (o_orderdate < '{SPLIT}' AND o_custkey % 10 <> 0)")
+    return scd2.versions(rest, "o_custkey", day("o_orderdate"), TRACKED, tie_break=["o_orderkey"])
+
+
+def _old_history(spark, d):
+    return _initial(_first_part(spark, d), collapse_unchanged=True)
+
+
+VERSION = ["o_custkey", *TRACKED, "effective_from", "record_hash"]
+
+
+def q_record_hash(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", record_hash(*TRACKED).alias("record_hash"))
+
+
+def q_scd2_initial(spark, d):
+    return _initial(table(spark, d, "orders")).select(*HISTORY)
+
+
+def q_scd2_current(spark, d):
+    return scd2.current(q_scd2_initial(spark, d))
+
+
+def q_scd2_as_of(spark, d):
+    return scd2.as_of(_initial(table(spark, d, "orders")), datetime.date(1998, 1, 1)).select(*HISTORY)
+
+
+def q_scd2_history(spark, d):
+    return scd2.ordered(_initial(table(spark, d, "orders"), collapse_unchanged=True), "o_custkey").select(*HISTORY)
+
+
+def q_scd2_changes(spark, d):
+    return scd2.changes(_old_history(spark, d), _batch(spark, d), "o_custkey").select(*VERSION)
+
+
+def q_scd2_new_keys(spark, d):
+    return scd2.new_keys(_old_history(spark, d), _batch(spark, d), "o_custkey").select(*VERSION)
+
+
+def q_scd2_stage(spark, d):
+    return scd2.stage(_old_history(spark, d), _batch(spark, d), "o_custkey").select("merge_key", *HISTORY)
+
+
+def q_scd2_apply(spark, d):
+    once = scd2.apply(_old_history(spark, d), _batch(spark, d), "o_custkey")
+    return once.select(*HISTORY)
+
+
+def q_as_of_join(spark, d):
+    history = _initial(table(spark, d, "orders"), collapse_unchanged=True).withColumnRenamed("o_orderstatus", "status_then")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    joined = scd2.as_of_join(lines, history, "o_custkey", day("l_shipdate"))
+    return joined.groupBy("o_custkey", "effective_from", "status_then").agg(F.count("*").alias("n_lines"))
+
+
+def q_latest_per_key(spark, d):
+    return dims.latest_per_key(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", tie_break=["o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+def q_user_dim(spark, d):
+    urgent = table(spark, d, "orders").filter("o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    latest = dims.latest_per_key(urgent, ["o_custkey"], "o_orderdate", tie_break=["o_orderkey"]).select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    return table(spark, d, "customer").join(latest, "c_custkey", "left").select("c_custkey", "c_mktsegment", "c_nationkey", or_default("o_orderpriority", "free").alias("current_plan"))
+
+
+def q_profile_counts(spark, d):
+    return profile.counts_by(q_user_dim(spark, d), ["c_mktsegment", "c_nationkey", "current_plan"])
+
+
+def q_partition_pruned_scan(spark, d):
+    """Orders are written by year and read back for the last two; only those partitions are listed."""
+    path = fresh_folder(spark, "pruned")
+    by_year = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
+    tables.append(by_year, path, partition_by=["o_year"])
+    return tables.read(spark, path, by_year.schema).filter("o_year >= 2000").groupBy("o_year").agg(F.count("*").alias("n_orders"), F.sum("o_custkey").alias("custkeys"))
+
+
+def q_preview_limit(spark, d):
+    return profile.preview(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], 20)
+
+
+def q_raw_profile(spark, d):
+    """Events written as JSON lines, some of them broken, and profiled as raw records."""
+    path = fresh_folder(spark, "raw-profile")
+    line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    broken = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("{"), line)).otherwise(line)
+    table(spark, d, "events").select(broken.alias("value")).write.text(path)
+    schema = table(spark, d, "events").select("event_id", "user_id", "event_type", "value").schema
+    return profile.raw_profile(read_raw(spark, path, schema, corrupt=True), corrupt=CORRUPT)
+
+
+# --- whole runs over raw files made from the tables
+
+
+def _raw_files(spark, d) -> str:
+    raw = fresh_folder(spark, "raw")
+    features = features_of(spark, d).select(F.col("feature_id").alias("id"), F.col("feature_name").alias("name"), F.col("effective_from").cast("string").alias("release_date"), F.lit("v1.0").alias("version"))
+    catalogue = features.agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "name", "release_date", "version")))).alias("value"))  # a release file is one JSON array
+    catalogue.write.text(f"{raw}/feature_releases.json")
+    users_of(spark, d).select("user_id", F.lit("someone@example.com").alias("email"), F.coalesce(F.col("signup_date").cast("string"), F.lit("unknown")).alias("signup_date"), F.lit("1-10").alias("company_size"), F.lit("retail").alias("industry")).write.json(f"{raw}/user_signups.jsonl")
+    used = events_of(spark, d).filter(F.col("event_type").isin("view", "click"))
+    used.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "user_id", "feature_id", F.concat(F.lit("feature_"), (F.col("feature_id") % 10).cast("string")).alias("feature_name"), "event_type").write.json(f"{raw}/feature_usage_events.jsonl")
+    conversions_of(spark, d).select("user_id", F.col("conversion_date").cast("string").alias("conversion_date"), F.lit("pro").alias("plan"), "mrr").write.json(f"{raw}/conversions.jsonl")
+    return raw
+
+
+def _ran(spark, d) -> registry.Workspace:
+    ws = registry.Workspace(spark, _raw_files(spark, d), fresh_folder(spark, "tables"), as_of=AS_OF)
+    registry.run_all(ws)
+    return ws
+
+
+def q_pipeline_gold(spark, d):
+    return _ran(spark, d).read("feature_conversion_impact")
+
+
+def q_pipeline_rerun(spark, d):
+    """All tables twice with dedupe: nothing may change."""
+    ws = registry.Workspace(spark, _raw_files(spark, d), fresh_folder(spark, "tables"), as_of=AS_OF, dedupe=True)
+    registry.run_all(ws)
+    registry.run_all(ws)
+    return ws.read("feature_states").select("feature_id", "feature_name", "effective_from", "effective_to", "is_current")
+
+
+def q_stream_daily_counts(spark, d):
+    raw, path = _raw_files(spark, d), fresh_folder(spark, "stream")
+    for _ in range(2):  # the second run finds nothing new
+        bronze.ingest_available(spark, f"{raw}/feature_usage_events.jsonl", f"{path}/events", f"{path}/checkpoint")
+    return bronze.daily_counts(spark.read.parquet(f"{path}/events"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
+
+_E = r"""e AS (
+  SELECT *, CAST(regexp_extract(props, '"k": *(\d+)', 1) AS INTEGER) AS feature_id, CAST(ts AS DATE) AS event_date FROM events
+), features AS (
+  SELECT DISTINCT feature_id, 'feature_' || (feature_id % 10) AS feature_name, CAST(DATE '2024-01-01' + CAST(feature_id % 10 AS INTEGER) AS DATE) AS effective_from FROM e
+), users AS (
+  SELECT user_id, min(CASE WHEN event_type = 'signup' THEN event_date END) AS signup_date FROM e GROUP BY user_id
+), used AS (
+  SELECT user_id, feature_id, event_date FROM e WHERE event_type IN ('view', 'click')
+), conv AS (
+  SELECT user_id, event_date AS conversion_date, CAST(round(value) AS INTEGER) AS mrr FROM e WHERE event_type = 'purchase' AND value > 150
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+)"""
+_LABELLED = _E + """, labelled AS (
+  SELECT u.user_id, f.feature_id, f.feature_name, u.signup_date, c.conversion_date, c.mrr,
+    CASE WHEN g.user_id IS NOT NULL THEN 'used_feature' WHEN f.effective_from <= u.signup_date THEN 'available_not_used' ELSE 'not_available' END AS cohort
+  FROM users u CROSS JOIN features f LEFT JOIN (SELECT DISTINCT user_id, feature_id FROM used) g ON g.user_id = u.user_id AND g.feature_id = f.feature_id
+  LEFT JOIN conv c ON c.user_id = u.user_id
+)"""
+_IMPACT = _LABELLED + """, impact AS (
+  SELECT feature_name, cohort, count(*) AS total_users, count(conversion_date) AS converted_users,
+    avg(CASE WHEN conversion_date IS NOT NULL THEN 1.0 ELSE 0.0 END) AS conversion_rate,
+    avg(CASE WHEN conversion_date IS NOT NULL THEN date_diff('day', signup_date, conversion_date) END) AS avg_days_to_convert,
+    avg(CASE WHEN conversion_date IS NOT NULL THEN mrr END) AS avg_mrr
+  FROM labelled GROUP BY ALL
+)"""
+_FACTS = """SELECT user_id, feature_id, min(event_date) AS first_used_date, max(event_date) AS last_used_date, count(*) AS total_usage_count,
+  CAST(count(*) AS DOUBLE) / (date_diff('day', min(event_date), max(event_date)) + 1) AS avg_daily_usage, DATE '{day}' AS as_of_date FROM used {where} GROUP BY user_id, feature_id"""
+_V = """{name} AS (
+  SELECT o_custkey, o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE) AS effective_from, md5(concat_ws('|', o_orderstatus, o_orderpriority)) AS record_hash
+  FROM orders WHERE {where} QUALIFY row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) = 1
+)"""
+_CHANGED = """{name} AS (SELECT * FROM {of} QUALIFY record_hash IS DISTINCT FROM lag(record_hash) OVER (PARTITION BY o_custkey ORDER BY effective_from))"""
+_CHAIN = """SELECT o_custkey, o_orderstatus, o_orderpriority, effective_from,
+  coalesce(lead(effective_from) OVER w, DATE '9999-12-31') AS effective_to, lead(effective_from) OVER w IS NULL AS is_current, record_hash
+  FROM {of} WINDOW w AS (PARTITION BY o_custkey ORDER BY effective_from)"""
+_FIRST = f"o_orderdate < TIMESTAMP '{SPLIT}' AND o_custkey % 10 <> 0"
+_BATCHED = "WITH " + ", ".join([
+    _V.format(name="v0", where=_FIRST), _CHANGED.format(name="c0", of="v0"), f"old AS ({_CHAIN.format(of='c0')})", _V.format(name="incoming", where=f"NOT ({_FIRST})"),
+    """newer AS (SELECT i.*, o.record_hash AS old_hash FROM incoming i JOIN old o ON o.o_custkey = i.o_custkey AND o.is_current WHERE i.effective_from > o.effective_from)""",
+    """changes AS (SELECT * EXCLUDE (old_hash) FROM newer QUALIFY record_hash <> coalesce(lag(record_hash) OVER (PARTITION BY o_custkey ORDER BY effective_from), old_hash))""",
+    """fresh AS (SELECT * FROM incoming WHERE o_custkey NOT IN (SELECT o_custkey FROM old) QUALIFY record_hash IS DISTINCT FROM lag(record_hash) OVER (PARTITION BY o_custkey ORDER BY effective_from))""",
+]) + "\n"
+_WITH_V = "WITH " + _V.format(name="v", where="true")
+_WITH_C = _WITH_V + ", " + _CHANGED.format(name="c", of="v")
+_DIM = """dim AS (
+  SELECT c_custkey, c_mktsegment, c_nationkey, coalesce(o_orderpriority, 'free') AS current_plan FROM customer LEFT JOIN (
+    SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) ON o_custkey = c_custkey
+)"""
+_LIFT = """SELECT used_rate, baseline_rate, feature_name,
+  CASE WHEN baseline_rate > 0 THEN (used_rate - baseline_rate) / baseline_rate * 100 ELSE CAST('inf' AS DOUBLE) END AS lift_percent,
+  CASE WHEN baseline_rate > 0 THEN used_rate / baseline_rate ELSE CAST('inf' AS DOUBLE) END AS lift_ratio
+  FROM (SELECT u.feature_name, u.conversion_rate AS used_rate, b.conversion_rate AS baseline_rate FROM impact u JOIN impact b ON b.feature_name = u.feature_name AND b.cohort = 'available_not_used' WHERE u.cohort = 'used_feature')"""
+
+ORACLE_SQL = {
+    "q_usage_facts": f"WITH {_E} " + _FACTS.format(day="2024-01-31", where=""),
+    "q_usage_facts_as_of": f"WITH {_E} " + _FACTS.format(day="2024-01-15", where="WHERE event_date <= DATE '2024-01-15'"),
+    "q_cohort_impact": f"WITH {_IMPACT} SELECT * FROM impact",
+    "q_cohort_impact_rewrite": f"WITH {_IMPACT} SELECT * FROM impact",
+    "q_cohort_assign": f"WITH {_LABELLED} SELECT feature_id, cohort, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS user_ids FROM labelled GROUP BY ALL",
+    "q_user_feature_grid": f"WITH {_E} SELECT feature_id, feature_name, count(*) AS n_users FROM users CROSS JOIN features GROUP BY ALL",
+    "q_cohort_ranked": f"WITH {_IMPACT} SELECT * FROM impact ORDER BY feature_name, conversion_rate DESC",
+    "q_cohort_lookup": f"WITH {_IMPACT} SELECT * FROM impact WHERE feature_name = 'feature_3' AND cohort = 'used_feature'",
+    "q_cohort_pivot": f"WITH {_IMPACT} SELECT feature_name, " + ", ".join(f"max(CASE WHEN cohort = '{c}' THEN conversion_rate END) AS {c}" for c in cohort.COHORTS) + " FROM impact GROUP BY feature_name",
+    "q_conversion_lift": f"WITH {_IMPACT} {_LIFT}",
+    "q_feature_adoption": f"WITH {_E} SELECT feature_id, count(*) AS n_events, count(DISTINCT user_id) AS n_users, 100.0 * CAST(count(DISTINCT user_id) AS DOUBLE) / (SELECT count(*) FROM users) AS percent_of_users FROM used GROUP BY feature_id",
+    "q_mrr_summary": f"""WITH {_E} SELECT count(*) AS n_conversions, min(mrr) AS min_mrr, max(mrr) AS max_mrr, avg(mrr) AS avg_mrr, CAST(sum(mrr) AS BIGINT) AS total_mrr,
+      (SELECT count(*) FROM users) AS n_users, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM users) AS conversion_rate FROM conv""",
+    "q_with_without_feature": f"""WITH {_E}, p AS (
+      SELECT u.user_id, u.signup_date, c.conversion_date, u.user_id IN (SELECT user_id FROM used WHERE feature_id % 10 = 3 AND feature_id < 30) AS uses FROM users u LEFT JOIN conv c ON c.user_id = u.user_id
+    ), r AS (
+      SELECT count(*) FILTER (uses) AS n_with, count(*) FILTER (NOT uses) AS n_without,
+        coalesce(avg(CASE WHEN uses THEN CAST(conversion_date IS NOT NULL AS INTEGER) END), 0) AS rate_with, coalesce(avg(CASE WHEN NOT uses THEN CAST(conversion_date IS NOT NULL AS INTEGER) END), 0) AS rate_without,
+        coalesce(avg(CASE WHEN uses THEN date_diff('day', signup_date, conversion_date) END), 0) AS days_with, coalesce(avg(CASE WHEN NOT uses THEN date_diff('day', signup_date, conversion_date) END), 0) AS days_without FROM p
+    ) SELECT *, 100 * (rate_with - rate_without) AS lift_points FROM r""",
+    "q_dedupe_by_key": "SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
+    "q_parse_event_time": """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS event_time, CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS event_date FROM events""",
+    "q_stable_event_id": "SELECT count(*) AS n_rows, count(*) AS n_ids FROM events",
+    "q_natural_keys": "SELECT count(*) AS n_keys FROM (SELECT DISTINCT user_id, event_type, props FROM events)",
+    "q_null_and_duplicate_keys": """WITH k AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS k FROM orders)
+      SELECT count(*) AS n_rows, count(*) - count(k) AS n_null_keys, count(k) - count(DISTINCT k) AS n_duplicate_keys FROM k""",
+    "q_record_hash": "SELECT o_orderkey, md5(concat_ws('|', o_orderstatus, o_orderpriority)) AS record_hash FROM orders",
+    "q_scd2_initial": f"{_WITH_V} {_CHAIN.format(of='v')}",
+    "q_scd2_current": f"{_WITH_V} SELECT * FROM ({_CHAIN.format(of='v')}) WHERE is_current",
+    "q_scd2_as_of": f"{_WITH_V} SELECT * FROM ({_CHAIN.format(of='v')}) WHERE effective_from <= DATE '1998-01-01' AND effective_to > DATE '1998-01-01'",
+    "q_scd2_history": f"{_WITH_C} {_CHAIN.format(of='c')} ORDER BY o_custkey, effective_from",
+    "q_scd2_changes": _BATCHED + "SELECT * FROM changes",
+    "q_scd2_new_keys": _BATCHED + "SELECT * FROM fresh",
+    "q_scd2_stage": _BATCHED + f""", added AS (SELECT * FROM changes UNION ALL SELECT * FROM fresh), firsts AS (SELECT o_custkey, min(effective_from) AS closes FROM changes GROUP BY o_custkey)
+      SELECT old.o_custkey AS merge_key, old.* EXCLUDE (effective_to, is_current), closes AS effective_to, false AS is_current FROM old JOIN firsts USING (o_custkey) WHERE is_current
+      UNION ALL BY NAME SELECT NULL AS merge_key, * FROM ({_CHAIN.format(of='added')})""".lstrip(),
+    "q_scd2_apply": f"{_WITH_C} {_CHAIN.format(of='c')}",
+    "q_as_of_join": f"""{_WITH_C}, h AS ({_CHAIN.format(of='c')})
+      SELECT o.o_custkey, h.effective_from, h.o_orderstatus AS status_then, count(*) AS n_lines FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+      JOIN h ON h.o_custkey = o.o_custkey AND h.effective_from <= CAST(l.l_shipdate AS DATE) AND h.effective_to > CAST(l.l_shipdate AS DATE) GROUP BY ALL""",
+    "q_latest_per_key": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "q_user_dim": f"WITH {_DIM} SELECT * FROM dim",
+    "q_profile_counts": f"""WITH {_DIM} SELECT 'c_mktsegment' AS dimension, c_mktsegment AS value, count(*) AS n FROM dim GROUP BY c_mktsegment
+      UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM dim GROUP BY c_nationkey UNION ALL SELECT 'current_plan', current_plan, count(*) FROM dim GROUP BY current_plan""",
+    "q_partition_pruned_scan": "SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, count(*) AS n_orders, CAST(sum(o_custkey) AS BIGINT) AS custkeys FROM orders WHERE year(o_orderdate) >= 2000 GROUP BY ALL",
+    "q_preview_limit": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
+    "q_raw_profile": """SELECT count(*) AS n_records, count(*) FILTER (event_id % 11 = 0) AS n_corrupt, count(*) FILTER (event_id % 11 = 0) AS null_event_id, count(*) FILTER (event_id % 11 = 0) AS null_user_id,
+      count(*) FILTER (event_id % 11 = 0) AS null_event_type, count(*) FILTER (event_id % 11 = 0) AS null_value FROM events""",
+    "q_pipeline_gold": f"WITH {_IMPACT} SELECT * FROM impact",
+    "q_pipeline_rerun": f"WITH {_E} SELECT feature_id, feature_name, effective_from, DATE '9999-12-31' AS effective_to, true AS is_current FROM features",
+    "q_stream_daily_counts": f"""WITH {_E} SELECT event_date, event_type, count(*) AS n FROM (
+      SELECT DISTINCT strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, user_id, feature_id, event_type, event_date FROM e WHERE event_type IN ('view', 'click')) GROUP BY ALL""",
+}

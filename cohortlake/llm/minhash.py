@@ -182,8 +182,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small = F.col("m") <= SMALL
     first = pairs_of(members.filter(small | (F.col("id") == F.col("centre"))), members).filter(F.when(small, F.col("id_a") < F.col("id_b")).otherwise(F.col("id_a") != F.col("id_b")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pairs = scratch.keep(first.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs0")
-    links = scratch.keep(_confirmed(scratch, pairs, texts, width, percent, 0), "links0")
+    # whole texts are shuffled once, for those in any bucket
+    in_buckets = texts.join(members.select("id").distinct(), "id", "left_semi")
+    sets = scratch.keep(full_sets(in_buckets, id_col="id", width=width).dropDuplicates(["id"]), "sets")
+    pairs = first.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    links = scratch.keep(confirm(pairs, sets, percent), "links0")
     found = scratch.keep(components(links, scratch, "graph0-"), "components0")
 
     # large buckets whose star left several components: the documents they connect are compared in blocks
@@ -193,10 +196,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         open_keys = labelled.groupBy("key", apart("key")).agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         unsettled = scratch.keep(labelled.join(open_keys, "key", "left_semi").drop("key", "m").distinct(), "open")
         if not unsettled.isEmpty():
-            more = scratch.keep(_across(scratch, unsettled, texts, width, percent), "links1")
+            more = scratch.keep(_across(scratch, unsettled, sets, percent), "links1")
             if not more.isEmpty():
                 found = scratch.keep(components(links.unionAll(more), scratch, "graph1-"), "components1")
-    scratch.drop("members", "open")
+    scratch.drop("members", "open", "sets")
 
     stands = classes.select("k1", "k2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     stands = scratch.keep(stands, "stands")
@@ -211,13 +214,7 @@ def _off(n, percent: int):
     return SCREEN * ((j * (1 - j)) / n + (1 - j) / 2 / BINS) ** 0.5
 
 
-def _confirmed(scratch: Scratch, pairs: DataFrame, texts: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    sets = scratch.keep(full_sets(texts.join(ids, "id", "left_semi"), id_col="id", width=width).dropDuplicates(["id"]), f"sets{k}")
-    return confirm(pairs, sets, percent)
-
-
-def _across(scratch: Scratch, unsettled: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(scratch: Scratch, unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of documents that buckets connect.
 
     Each cluster of connected documents is cut into blocks of about BLOCK; a task compares two blocks, so
@@ -226,7 +223,6 @@ def _across(scratch: Scratch, unsettled: DataFrame, texts: DataFrame, width: int
     clusters = scratch.keep(components(unsettled.select(F.col("centre").alias("a"), F.col("id").alias("b")), scratch, "cluster-"), "clusters")
     docs = unsettled.drop("centre").distinct().join(clusters.withColumnRenamed("node", "id").withColumnRenamed("component", "cluster"), "id")
     sizes = clusters.groupBy("component", apart("component")).count().select(F.col("component").alias("cluster"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    sets = scratch.keep(full_sets(texts.join(docs.select("id"), "id", "left_semi"), id_col="id", width=width).dropDuplicates(["id"]), "sets1")
     docs = docs.join(sizes, "cluster").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     placed = docs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})

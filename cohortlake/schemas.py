@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructType, TimestampType
 
 #: The end of a version that is still valid.
 END_OF_TIME = datetime.date(9999, 12, 31)
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+_TYPES = {"int": IntegerType, "bigint": LongType, "double": DoubleType, "string": StringType, "boolean": BooleanType, "date": DateType, "timestamp": TimestampType}
+
+
+def _schema(columns: str) -> StructType:
+    """From ``name type, ...``; Spark's own parser needs a session, and importing this module must not."""
+    schema = StructType()
+    for column in columns.split(", "):
+        name, kind = column.split(" ")
+        schema.add(name, _TYPES[kind]())
+    return schema
 
 
 RAW = {

@@ -6,7 +6,7 @@ from pyspark.sql.types import StructType
 from cohortlake.operators import quality
 from cohortlake.sources import raw, tables
 
-SAMPLE = StructType.fromDDL("id int, name string")
+SAMPLE = StructType().add("id", "integer").add("name", "string")
 
 
 @pytest.fixture
@@ -62,7 +62,7 @@ def test_overwrite_may_read_what_it_replaces(spark, two, tmp_path):
 
 def test_partitions_prune_and_keep_their_type(spark, tmp_path):
     path = str(tmp_path / "t")
-    schema = StructType.fromDDL("id int, day string")
+    schema = StructType().add("id", "integer").add("day", "string")
     tables.append(spark.createDataFrame([(1, "2024-01-15"), (2, "2024-01-16")], schema), path, partition_by=["day"])
     assert sorted(p.name for p in (tmp_path / "t").glob("day=*")) == ["day=2024-01-15", "day=2024-01-16"]
     df = tables.read(spark, path, schema).filter("day >= '2024-01-16'")

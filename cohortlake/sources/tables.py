@@ -24,9 +24,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, path: str, schema: StructType | None = None, *, fmt: str = FORMAT) -> DataFrame:
-    """With the schema, so that partition columns keep their type."""
-    reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    """With the schema, so that partition columns keep their type and place."""
+    if schema is None:
+        return spark.read.format(fmt).load(path)
+    return spark.read.format(fmt).schema(schema).load(path).select(*schema.names)
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime
 import json
+from pathlib import Path
 
 import pytest
 
@@ -58,8 +59,10 @@ def test_event_ids_are_stable_and_unique(spark, raw):
 
 def test_stream_takes_each_file_once(spark, raw, tmp_path):
     path = str(tmp_path / "stream")
+    (tmp_path / "incoming").mkdir()
+    (tmp_path / "incoming/a.jsonl").write_text((Path(raw) / "feature_usage_events.jsonl").read_text())
     for _ in range(2):
-        bronze.ingest_available(spark, f"{raw}/feature_usage_events.jsonl", f"{path}/events", f"{path}/checkpoint")
+        bronze.ingest_available(spark, str(tmp_path / "incoming"), f"{path}/events", f"{path}/checkpoint")
     events = spark.read.parquet(f"{path}/events")
     assert events.count() == 1
     assert [tuple(r) for r in bronze.daily_counts(events).collect()] == [(datetime.date(2024, 7, 1), "click", 1)]

@@ -171,7 +171,8 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     wholes = pieces.withColumn("key", F.xxhash64("minimizer", "piece", F.col("last") - F.col("first"), F.col("place") - F.col("first")))
     counted = wholes.groupBy("key", apart("key")).agg(F.count("*").alias("n"), F.min(one).alias("one"), F.first("minimizer").alias("minimizer"))
     counted = scratch.keep(counted.select("key", "n", "one", "minimizer"), "wholes")
-    whole_spans = wholes.join(counted.filter("n > 1").select("key"), "key").select("k", "t", "first", "last")
+    whole_spans = scratch.keep(wholes.join(counted.filter("n > 1").select("key"), "key").select("k", "t", "first", "last"), "whole_spans")
+    scratch.drop("met")
     # a minimizer with one whole piece and nothing else is settled
     mixed = counted.groupBy("minimizer", apart("minimizer")).count().filter("count > 1").select("minimizer")
     speakers = counted.join(mixed, "minimizer").select("minimizer", (F.col("n") == 1).alias("alone"), "one.*")
@@ -191,14 +192,17 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     + [pa.array(start.astype(np.int32)), pa.array(minimizer[piece]), pa.array(hashes), pa.array(np.array([x["alone"] for x in listed])[piece])],
                     names=["k", "t", "start", "minimizer", "hash", "alone"])
 
-    # equal rows are spread once
-    texts = long.dropDuplicates(["k", "t"])
-    windows = texts.join(asked, ["k", "t"]).select("k", "t", "text", "asked").mapInArrow(spread, "k long, t long, start int, minimizer long, hash long, alone boolean")
+    windows = long.join(asked, ["k", "t"]).select("k", "t", "text", "asked").mapInArrow(spread, "k long, t long, start int, minimizer long, hash long, alone boolean")
     windows = scratch.keep(windows, "windows")
-    twice = windows.groupBy("minimizer", "hash", F.hash("minimizer", "hash").alias("apart")).count().filter("count > 1").select("minimizer", "hash")
+    scratch.drop("wholes")
+    # equal rows are spread alike, so it is different places that count
+    place = F.xxhash64("k", "t", "start")
+    twice = windows.groupBy("minimizer", "hash", F.hash("minimizer", "hash").alias("apart")).agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("minimizer", "hash")
+    twice = scratch.keep(twice, "twice")
+    scratch.drop()
     single_spans = windows.filter("alone").join(twice, ["minimizer", "hash"]).select("k", "t", F.col("start").alias("first"), F.col("start").alias("last"))
     starts = scratch.keep(whole_spans.unionAll(single_spans), "starts")
-    scratch.drop("windows", "met", "wholes")
+    scratch.drop("windows", "twice", "whole_spans")
 
     per_text = starts.groupBy("k", "t").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
     joined = rows.join(per_text, ["k", "t"], "left").select("id", "text", "starts", *(f"carried{i}" for i in range(len(carry))))

@@ -47,9 +47,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Deletes tables, and has the driver collect its garbage: only then does Spark delete the shuffle files of finished writes."""
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()
 
 
 #: Rows of an Arrow batch where the session has Spark's default of 10,000: whole texts can be long.

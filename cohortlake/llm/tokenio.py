@@ -35,6 +35,13 @@ CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 64
 
 
+def _needed(ids: np.ndarray) -> np.ndarray:
+    return (1 + np.searchsorted(np.uint64(1) << BITS[1:].astype(np.uint64), ids, side="right")).astype(np.int8)
+
+
+_NEED = _needed(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, each block's first word, and places and values of the escapes."""
     ids = np.asarray(ids, dtype=np.uint64)
@@ -50,18 +57,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     left = np.minimum(BLOCK, n - np.arange(lanes) * BLOCK)
     # for each place, the first selector that holds its id, and the first whose whole count of ids it holds
     need = np.full((lanes, 2 * BLOCK), 127, dtype=np.int8)
-    need[:, :BLOCK] = (1 + np.searchsorted(np.uint64(1) << BITS[1:].astype(np.uint64), grid, side="right")).reshape(lanes, BLOCK)
+    need[:, :BLOCK] = (_NEED[grid] if grid.max() < len(_NEED) else _needed(grid)).reshape(lanes, BLOCK)
     need[:, :BLOCK][np.arange(BLOCK) >= left[:, None]] = 127
-    most = {1: need}
-    for span in (1, 2, 4, 8, 16, 32, 64):
-        most[2 * span] = m = most[span].copy()
-        m[:, :-span] = np.maximum(m[:, :-span], most[span][:, span:])
-        m[:, -span:] = 127
+    most, span = need, 1
     selector = np.full((lanes, BLOCK), 15, dtype=np.int8)
-    for s in range(15, -1, -1):
+    for s in range(14, -1, -1):
         c = int(COUNTS[s])
-        p = 1 << (c.bit_length() - 1)
-        selector[np.maximum(most[p][:, :BLOCK], most[p][:, c - p:c - p + BLOCK]) <= max(s, 1)] = s
+        while 2 * span <= c:  # the most of twice as many neighbours
+            after = np.full_like(most, 127)
+            after[:, :-span] = most[:, span:]
+            most, span = np.maximum(most, after), 2 * span
+        fits = np.maximum(most[:, :BLOCK], most[:, c - span:c - span + BLOCK]) <= max(s, 1)
+        if not fits.any() and s > 1:
+            break  # more ids of fewer bits fit even less
+        selector[fits] = s
     selector = selector.ravel()
     # all blocks take one word at each step
     at, words, owners = np.zeros(lanes, dtype=np.int64), [], []

@@ -12,17 +12,17 @@ A file is a Parquet file of packets. A packet holds the ids of one or more whole
 
 from __future__ import annotations
 
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortlake.llm.bpe import broadcast_file, cut_at_words
+from cohortlake.llm.bpe import broadcast_file
 
 #: Simple-8b's selectors: ids in a word and bits of each (fixed values of the format; 0 and 1 are runs of zeros).
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -30,8 +30,9 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 256
 #: Ids after which a packet is closed; a longer document has a packet of its own.
 PACKET_IDS = 1 << 19
+GROUP_BYTES = 12 << 20
 #: Entries of the per-worker cache of encoded strings (of up to CACHE_CHARS); it is emptied when full.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_600_000
 CACHE_CHARS = 64
 
 
@@ -144,21 +145,14 @@ class LibraryEncoder:
         at = at.tolist()
         return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        firsts, cuts, needed = [], [], set()
-        for text in texts:
-            first, *rest = cut_at_words(text)
-            firsts.append(first)
-            cuts.append(rest)
-            needed.update(rest)
-        new = needed.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
+    def _learn(self, cuts: list[str]) -> dict[str, bytes]:
+        """Puts the ids of cuts into the cache; those of long cuts are returned."""
+        if len(self.cache) + len(cuts) > CACHE_ENTRIES:
             self.cache.clear()
-            new = needed
         ids = self.cache
         # most cuts are letters, or letters and one mark, which are two matches: " letters" and the mark
         words, marked, odd = set(), [], []
-        for c in new:
+        for c in cuts:
             if len(c) > CACHE_CHARS:
                 odd.append(c)
             elif c.isalpha():
@@ -176,15 +170,57 @@ class LibraryEncoder:
         long = {}
         for c, found in zip(odd, self._encode_each([" " + c for c in odd]), strict=True):
             (ids if len(c) <= CACHE_CHARS else long)[c] = found
-        if long:
-            ids = ChainMap(long, ids)
-        return [first + b"".join(map(ids.__getitem__, rest)) for first, rest in zip(self._encode_each(firsts), cuts, strict=True)]
+        return long
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), each with the ids of ``end`` behind, and where each text's begin; one number more than texts."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        # a text with a space that no word follows can't be cut at every space: the library takes it as a whole
+        whole = pc.match_substring_regex(texts, pattern=r" ([\s\p{Z}]|\x1c|\x1d|\x1e|\x1f|\x{85}|$)")
+        cut = pc.split_pattern(pc.if_else(whole, pa.scalar("", texts.type), texts), " ")
+        begins = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        at, strings = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # the first cut of a text has no space before it
+        heads = pc.if_else(whole, texts, pc.list_element(cut, 0)).to_pylist()
+        at[begins[:-1]] = len(strings) + np.arange(len(heads))
+        used = np.zeros(len(strings) + len(heads), dtype=bool)
+        used[at] = True
+        known = list(map(self.cache.get, strings))
+        new = [i for i, (x, u) in enumerate(zip(known, used.tolist())) if x is None and u]
+        over = self._learn([strings[i] for i in new])
+        for i in new:
+            known[i] = over[strings[i]] if strings[i] in over else self.cache[strings[i]]
+        known = [x or b"" for x in known]  # a string that only begins texts isn't asked for behind a space
+        ids = [*known, *self._encode_each(heads), end]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, starts = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes
+        at = np.insert(at, begins[1:], len(ids) - 1)
+        begins = begins + np.arange(len(begins))
+        ends = np.cumsum(sizes[at])
+        source = np.repeat(starts[at] - (ends - sizes[at]), sizes[at]) + np.arange(int(ends[-1]))
+        return table[source], np.concatenate([[0], ends])[begins]
 
 
 _workers: dict[int, LibraryEncoder] = {}
 PACKETS = "shard int, packet int, first long, doc_ids array<{id}>, counts array<int>, n_ids long, words binary, block_starts array<int>, escape_places array<int>, escape_ids array<decimal(20,0)>"
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of GROUP_BYTES or more together: words repeat more often in a larger group."""
+    group, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            group.append(batch)
+            size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of whole texts, each with end_id after it, in ascending order of id_col (nulls first, then by text).
 
@@ -208,20 +244,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int =
         keys, waiting, n, first = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            words, starts, places, escapes = pack(np.frombuffer(b"".join(waiting), dtype="<u4"))
-            row = [shard, packet, first, keys, [len(x) // 4 for x in waiting], n, words.tobytes(), starts.tolist(), places.tolist(), [int(x) for x in escapes]]
+            words, starts, places, escapes = pack(np.concatenate(waiting))
+            row = [shard, packet, first, keys, [len(x) for x in waiting], n, words.tobytes(), starts.tolist(), places.tolist(), [int(x) for x in escapes]]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types.values(), strict=True)], names=list(types))
 
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
-                ids += end
-                if keys and n + len(ids) // 4 > PACKET_IDS:
+        for group in _grouped(batches):
+            ids, begins = encoder.encode(pa.concat_arrays([b.column(1) for b in group]), end)
+            for key, i, j in zip((k for b in group for k in b.column(0).to_pylist()), begins.tolist(), begins[1:].tolist(), strict=True):
+                if keys and n + j - i > PACKET_IDS:
                     yield close()
                     keys, waiting, n, packet, first = [], [], 0, packet + 1, first + n
                 keys.append(key)
-                waiting.append(ids)
-                n += len(ids) // 4
+                waiting.append(ids[i:j])
+                n += j - i
         if keys:
             yield close()
 

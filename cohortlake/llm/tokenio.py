@@ -250,7 +250,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int =
 
         for group in _grouped(batches):
             ids, begins = encoder.encode(pa.concat_arrays([b.column(1) for b in group]), end)
-            for key, i, j in zip((k for b in group for k in b.column(0).to_pylist()), begins.tolist(), begins[1:].tolist(), strict=True):
+            for key, i, j in zip((k for b in group for k in b.column(0).to_pylist()), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 if keys and n + j - i > PACKET_IDS:
                     yield close()
                     keys, waiting, n, packet, first = [], [], 0, packet + 1, first + n

@@ -28,7 +28,7 @@ from cohortlake.llm.stage import prepare
 SPACE_THEN_WORD = re.compile(r" (?=\S)")
 SPACE_NO_WORD = re.compile(r" (?!\S)")
 #: Entries of the per-worker cache; it is emptied when full.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 64
 
 _workers: dict[tuple[int, str], "PieceEncoder"] = {}

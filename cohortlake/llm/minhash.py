@@ -31,11 +31,11 @@ BINS = BANDS * ROWS
 #: Two bits of each bin, as longs.
 LONGS = 2 * BINS // 64
 #: Buckets up to this size are compared whole.
-SMALL = 64
+SMALL = 3
 #: Documents of a block, where clusters are compared in blocks.
 BLOCK = 512
 SCREEN = 5.5
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -21,7 +21,7 @@ from cohortlake.llm.graph import apart
 from cohortlake.llm.stage import Scratch
 
 #: Bytes hashed at a time; a place in them takes PLACE_BITS of a key.
-PLACE_BITS = 20
+PLACE_BITS = 18
 BUFFER = 1 << PLACE_BITS
 
 

@@ -26,7 +26,7 @@ BUCKETS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 #: Entries of the per-worker cache of words' weights; it is emptied when full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def bucket(feature: str) -> int:

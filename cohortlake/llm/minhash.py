@@ -182,8 +182,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small = F.col("m") <= SMALL
     first = pairs_of(members.filter(small | (F.col("id") == F.col("centre"))), members).filter(F.when(small, F.col("id_a") < F.col("id_b")).otherwise(F.col("id_a") != F.col("id_b")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # whole texts are shuffled once, for those in any bucket
-    in_buckets = texts.join(members.select("id").distinct(), "id", "left_semi")
+    # whole texts are shuffled once, for those in any bucket; how many that are has no bound, so they are never broadcast
+    in_buckets = texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
     sets = scratch.keep(full_sets(in_buckets, id_col="id", width=width).dropDuplicates(["id"]), "sets")
     pairs = first.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     links = scratch.keep(confirm(pairs, sets, percent), "links0")

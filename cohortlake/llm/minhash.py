@@ -7,8 +7,9 @@ one centre, a star, so that m members cost m - 1 comparisons; small buckets are
 Members that a star leaves in different components are compared with each other afterwards. A pair
 is screened by two bits of each bin first; links are confirmed on the full shingle sets.
 
-With 32 bands of 6 bins, a pair at the threshold of 0.85 shares no bucket with a chance of 3e-7, and
-the screen (5.5 standard deviations under the threshold) loses it with about the same.
+The bins of a band follow from the threshold: a pair at it shares no bucket with a chance of 3e-7 (32
+bands of 6 for 0.85, 38 of 5 for 0.8), and the screen (5.5 standard deviations under the threshold)
+loses it with about the same.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from cohortlake.llm.graph import apart, components
 from cohortlake.llm.stage import Scratch
 
-BANDS, ROWS = 32, 6
-BINS = BANDS * ROWS
+BINS = 192
+#: Chance that a pair at the threshold shares no bucket.
+MISSED = 3e-7
 #: Two bits of each bin, as longs.
 LONGS = 2 * BINS // 64
 #: Buckets up to this size are compared whole.
@@ -71,13 +73,19 @@ def shingles(text: bytes, width: int, hashes: dict[bytes, int]) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def band_rows(percent: int) -> int:
+    """The most bins of a band with which a pair at the threshold shares no bucket with a chance of MISSED at most."""
+    return max([r for r in range(1, BINS + 1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED], default=1)
+
+
 class Sketcher:
-    """Band keys of shingle sets, and two bits of each bin."""
+    """Band keys of shingle sets, and two bits of each bin; bins left over by the bands only give bits."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, rows: int, seed: int = 1):
+        self.rows, self.bands = rows, BINS // rows
         rng = np.random.default_rng(seed)
         self.orders = np.argsort(rng.random((BINS, BINS)), axis=1).astype(np.int16)
-        self.band = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)
+        self.band = _mix(np.arange(1, self.bands + 1, dtype=np.uint64) * _ODD)
 
     def of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bins = ((found >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)  # ascending, as the hashes are
@@ -89,18 +97,19 @@ class Sketcher:
             order = self.orders[empty]
             values[empty] = values[order[np.arange(len(empty)), np.argmax(filled[order], axis=1)]]
         key = self.band.copy()
-        for column in values.reshape(BANDS, ROWS).T:
+        for column in values[:self.bands * self.rows].reshape(self.bands, self.rows).T:
             key = _mix(key * _ODD + column)
         bits = np.concatenate([values & np.uint64(1), values >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)
         return key.view(np.int64), np.packbits(bits).view("<i8")
 
 
-def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """(id, n, k1, k2, bands, bits): the size of each row's shingle set, a 128-bit key of the set, its bucket keys and screening bits (none for an empty set)."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    in_band = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketcher = _WordHashes(), Sketcher()
+        hashes, sketcher = _WordHashes(), Sketcher(in_band)
         none = np.empty(0, np.int64)
 
         def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -160,7 +169,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     no other id) and isn't kept. Repeated rows get equal results; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = scratch.keep(sketch(docs, id_col=id_col, text_col=text_col, width=width), "rows")
+    rows = scratch.keep(sketch(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "rows")
     classes = rows.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bands", "bits")).alias("m"))
     classes = scratch.keep(classes.select("k1", "k2", "m.*"), "classes")
 

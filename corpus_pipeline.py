@@ -16,6 +16,8 @@ from cohortlake.llm.stage import Scratch
 
 #: No source is repeated more often than this; every document is taken at least once.
 MOST_EPOCHS = 1.2
+#: Similarity in percent from which texts are near duplicates of each other.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest doc_id; rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct()
     chosen = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 

@@ -180,3 +180,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids["mixing"]) == set(ids["near_dedup"]) and len(ids["bpe"]) == len(ids["mixing"])
     assert {r.n_tokens for r in seen["bpe"].filter("doc_id IN (400, 401)").collect()} == {0}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids["bpe"])
+
+
+def test_pipeline_drops_near_copies_of_80_percent(spark):
+    import corpus_pipeline
+
+    # one word changed inside 50: 46 shingles, of which 41 are shared; 41/51 = 0.804
+    base = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:20], "x", *base[21:]])), (3, " ".join(f"v{i}" for i in range(50)))]
+    assert 0.8 <= len(shingle_set(rows[0][1]) & shingle_set(rows[1][1])) / len(shingle_set(rows[0][1]) | shingle_set(rows[1][1])) < 0.85
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+    for percent in (50, 80, 85, 95):
+        in_band = minhash.band_rows(percent)
+        assert (1 - (percent / 100) ** in_band) ** (minhash.BINS // in_band) <= 3e-7
+    assert minhash.band_rows(85) == 6

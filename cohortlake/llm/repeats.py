@@ -5,15 +5,18 @@ out. Windows are compared through their minimizer: of the shorter grams in a win
 least hash (the leftmost of equals). Equal windows have equal minimizers at equal places, so only
 windows of one minimizer need to meet. Runs of neighbouring windows with one minimizer form a piece;
 a piece that occurs twice as a whole settles all its windows at once, and only pieces at the edges of
-repeats are spread out into single windows.
+repeats are spread out into single windows. Windows can also be counted in words, whose hashes then
+take the place of the bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +49,9 @@ class RollingHash:
         return out
 
     def sums(self, data: np.ndarray) -> np.ndarray:
+        """Of bytes, or of words' hashes."""
         total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.of_byte[data] * self.power[:len(data)], out=total[1:])
+        np.cumsum((self.of_byte[data] if data.dtype == np.uint8 else data) * self.power[:len(data)], out=total[1:])
         return total
 
     def window(self, sums: np.ndarray, begin: np.ndarray | slice, end: np.ndarray | slice, places: np.ndarray) -> np.ndarray:
@@ -67,16 +71,28 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n - width + 1], before[width - 1:n])
 
 
-def _buffers(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts of at least length bytes put together: bytes, and each part's text number, place in the text and place in the buffer.
+WORD = re.compile(rb"[^\t\n\v\f\r ]+")
 
-    A text longer than half a buffer is cut into parts that overlap by length - 1 bytes.
+
+def in_bytes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8)
+
+
+def in_words(text: bytes) -> np.ndarray:
+    """Hashes of the text's words, runs without the six ASCII white space characters."""
+    return np.fromiter((xxhash.xxh64_intdigest(m.group()) for m in WORD.finditer(text)), np.uint64)
+
+
+def _buffers(texts: Iterable[np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of at least length symbols (bytes or words) put together: symbols, and each part's text number, place in the text and place in the buffer.
+
+    A text longer than half a buffer is cut into parts that overlap by length - 1 symbols.
     """
     parts, size = [], 0
 
     def close():
         sizes = np.array([len(p) for p, _, _ in parts])
-        return b"".join(p for p, _, _ in parts), np.array([t for _, t, _ in parts]), np.array([at for _, _, at in parts]), np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate([p for p, _, _ in parts]), np.array([t for _, t, _ in parts]), np.array([at for _, _, at in parts]), np.concatenate([[0], np.cumsum(sizes)])
 
     for number, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), BUFFER // 2 - length + 1):
@@ -93,16 +109,16 @@ def _buffers(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarra
 
 
 class Pieces:
-    """Cuts texts into pieces: runs of windows that share a minimizer."""
+    """Cuts texts into pieces: runs of windows that share a minimizer. Lengths and places are in symbols, as read gives them of a text."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.hash = length, gram, RollingHash()
+    def __init__(self, length: int, gram: int, read: Callable[[bytes], np.ndarray] = in_bytes):
+        self.length, self.gram, self.read, self.hash = length, gram, read, RollingHash()
 
     def of(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """text (its number), first and last window, the minimizer's place, and hashes of the minimizer and of the piece."""
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("text", "first", "last", "place", "minimizer", "piece")}
-        for data, number, at, starts in _buffers(texts, self.length):
-            sums = self.hash.sums(np.frombuffer(data, np.uint8))
+        for data, number, at, starts in _buffers(map(self.read, texts), self.length):
+            sums = self.hash.sums(data)
             grams = np.arange(len(data) - self.gram + 1)
             hashes = self.hash.window(sums, slice(None, -self.gram), slice(self.gram, None), grams)
             keys = (hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | grams.astype(np.uint64)
@@ -123,26 +139,29 @@ class Pieces:
 
     def windows(self, text: bytes, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of pieces of one text: each window's piece, start, and hash (which its distance to the minimizer enters)."""
+        symbols = self.read(text)
         sizes = last - first + 1
         piece = np.repeat(np.arange(len(first)), sizes)
         start = np.arange(len(piece)) + (first - np.concatenate([[0], np.cumsum(sizes)[:-1]]))[piece]
         hashes = np.zeros(len(start), dtype=np.uint64)
         step = BUFFER - self.length
-        for at in range(0, len(text), step):
+        for at in range(0, len(symbols), step):
             here = np.flatnonzero((start >= at) & (start < at + step))
             if len(here):
-                sums = self.hash.sums(np.frombuffer(text[at:at + BUFFER], np.uint8))
+                sums = self.hash.sums(symbols[at:at + BUFFER])
                 hashes[here] = self.hash.window(sums, start[here] - at, start[here] - at + self.length, start[here] - at)
         return piece, start, (hashes + (place[piece] - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 
 
-def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, carry: Sequence[str] = ()) -> DataFrame:
+def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, words: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(id, text, spans) for each row of docs: the text as bytes, and its repeated stretches as sorted, separate (begin, end).
 
     A byte is repeated if a string of length bytes that covers it also starts anywhere else in docs, in
-    another row or in the same one, overlapping or not. Null texts count as empty. Equal rows are each
+    another row or in the same one, overlapping or not. With words, so is one from the first to the last
+    byte of so many neighbouring words that also occur elsewhere, however long or short they are and
+    whatever white space is between them. Null texts count as empty. Equal rows are each
     other's repeats. The columns in ``carry`` follow; others are ignored.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
@@ -150,9 +169,41 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     carried = [F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *carried)
     rows = rows.withColumns({"k": F.xxhash64("id"), "t": F.xxhash64("text")})
+    starts = _starts(scratch, rows, length, gram, in_bytes, "").withColumn("in_words", F.lit(False))
+    if words is not None:
+        starts = starts.unionAll(_starts(scratch, rows, words, -(-words // 2), in_words, "words-").withColumn("in_words", F.lit(True)))
+
+    per_text = starts.groupBy("k", "t").agg(F.collect_set(F.struct("first", "last", "in_words")).alias("starts"))
+    joined = rows.join(per_text, ["k", "t"], "left").select("id", "text", "starts", *(f"carried{i}" for i in range(len(carry))))
+
+    def places(text: bytes, listed: list[dict]) -> Iterator[tuple[int, int]]:
+        at = [m.span() for m in WORD.finditer(text)] if any(x["in_words"] for x in listed) else []
+        for x in listed:
+            yield (at[x["first"]][0], at[x["last"] + words - 1][1]) if x["in_words"] else (x["first"], x["last"] + length)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            out = []
+            for text, listed in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                merged: list[dict[str, int]] = []
+                for begin, end in sorted(places(text.as_py(), listed)) if listed else ():
+                    if merged and begin <= merged[-1]["end"]:
+                        merged[-1]["end"] = max(merged[-1]["end"], end)
+                    else:
+                        merged.append({"begin": begin, "end": end})
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind), *batch.columns[3:]], names=["id", "text", "spans", *batch.schema.names[3:]])
+
+    types = "".join(f", carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    return joined.mapInArrow(spans, f"id {id_type}, text binary, spans array<struct<begin:int,end:int>>{types}").toDF(id_col, "text", "spans", *carry)
+
+
+def _starts(scratch: Scratch, rows: DataFrame, length: int, gram: int, read: Callable[[bytes], np.ndarray], name: str) -> DataFrame:
+    """(k, t, first, last): runs of windows of the rows' texts that also occur elsewhere; lengths and places are in the symbols that read gives."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(length, gram)
+        pieces = Pieces(length, gram, read)
         for batch in batches:
             found = pieces.of(batch.column(2).to_pylist())
             of = pa.array(found["text"])
@@ -160,26 +211,26 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                                               pa.array(found["minimizer"]), pa.array(found["piece"])],
                                              names=["k", "t", "first", "last", "place", "minimizer", "piece"])
 
-    long = rows.filter(F.octet_length("text") >= length).select("k", "t", "text")
-    pieces = scratch.keep(long.mapInArrow(cut, "k long, t long, first int, last int, place int, minimizer long, piece long"), "pieces")
+    long = rows.filter(F.octet_length("text") >= (2 * length - 1 if read is in_words else length)).select("k", "t", "text")
+    pieces = scratch.keep(long.mapInArrow(cut, "k long, t long, first int, last int, place int, minimizer long, piece long"), f"{name}pieces")
     met = pieces.groupBy("minimizer", apart("minimizer")).count().filter("count > 1").select("minimizer")
-    pieces = scratch.keep(pieces.join(met, "minimizer"), "met")
-    scratch.drop("pieces")
+    pieces = scratch.keep(pieces.join(met, "minimizer"), f"{name}met")
+    scratch.drop(f"{name}pieces")
 
     # pieces that occur as a whole more than once, each with one occurrence that speaks for it
     one = F.struct("k", "t", "first", "last", "place")
     wholes = pieces.withColumn("key", F.xxhash64("minimizer", "piece", F.col("last") - F.col("first"), F.col("place") - F.col("first")))
     counted = wholes.groupBy("key", apart("key")).agg(F.count("*").alias("n"), F.min(one).alias("one"), F.first("minimizer").alias("minimizer"))
-    counted = scratch.keep(counted.select("key", "n", "one", "minimizer"), "wholes")
-    whole_spans = scratch.keep(wholes.join(counted.filter("n > 1").select("key"), "key").select("k", "t", "first", "last"), "whole_spans")
-    scratch.drop("met")
+    counted = scratch.keep(counted.select("key", "n", "one", "minimizer"), f"{name}wholes")
+    whole_spans = scratch.keep(wholes.join(counted.filter("n > 1").select("key"), "key").select("k", "t", "first", "last"), f"{name}whole_spans")
+    scratch.drop(f"{name}met")
     # a minimizer with one whole piece and nothing else is settled
     mixed = counted.groupBy("minimizer", apart("minimizer")).count().filter("count > 1").select("minimizer")
     speakers = counted.join(mixed, "minimizer").select("minimizer", (F.col("n") == 1).alias("alone"), "one.*")
     asked = speakers.groupBy("k", "t").agg(F.collect_list(F.struct("minimizer", "alone", "first", "last", "place")).alias("asked"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(length, gram)
+        pieces = Pieces(length, gram, read)
         for batch in batches:
             for i in range(batch.num_rows):
                 listed = batch.column(3)[i].as_py()
@@ -193,36 +244,17 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     names=["k", "t", "start", "minimizer", "hash", "alone"])
 
     windows = long.join(asked, ["k", "t"]).select("k", "t", "text", "asked").mapInArrow(spread, "k long, t long, start int, minimizer long, hash long, alone boolean")
-    windows = scratch.keep(windows, "windows")
-    scratch.drop("wholes")
+    windows = scratch.keep(windows, f"{name}windows")
+    scratch.drop(f"{name}wholes")
     # equal rows are spread alike, so it is different places that count
     place = F.xxhash64("k", "t", "start")
     twice = windows.groupBy("minimizer", "hash", F.hash("minimizer", "hash").alias("apart")).agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("minimizer", "hash")
-    twice = scratch.keep(twice, "twice")
+    twice = scratch.keep(twice, f"{name}twice")
     scratch.drop()
     single_spans = windows.filter("alone").join(twice, ["minimizer", "hash"]).select("k", "t", F.col("start").alias("first"), F.col("start").alias("last"))
-    starts = scratch.keep(whole_spans.unionAll(single_spans), "starts")
-    scratch.drop("windows", "twice", "whole_spans")
-
-    per_text = starts.groupBy("k", "t").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
-    joined = rows.join(per_text, ["k", "t"], "left").select("id", "text", "starts", *(f"carried{i}" for i in range(len(carry))))
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            out = []
-            for listed in batch.column(2).to_pylist():
-                merged: list[dict[str, int]] = []
-                for first, last in sorted((x["first"], x["last"]) for x in listed or ()):
-                    if merged and first <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], last + length)
-                    else:
-                        merged.append({"begin": first, "end": last + length})
-                out.append(merged)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind), *batch.columns[3:]], names=["id", "text", "spans", *batch.schema.names[3:]])
-
-    types = "".join(f", carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    return joined.mapInArrow(spans, f"id {id_type}, text binary, spans array<struct<begin:int,end:int>>{types}").toDF(id_col, "text", "spans", *carry)
+    starts = scratch.keep(whole_spans.unionAll(single_spans), f"{name}starts")
+    scratch.drop(f"{name}windows", f"{name}twice", f"{name}whole_spans")
+    return starts
 
 
 def cut_spans(marked: DataFrame, *, out_col: str = "kept", whole_characters: bool = False) -> DataFrame:

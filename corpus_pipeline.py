@@ -18,6 +18,8 @@ from cohortlake.llm.stage import Scratch
 MOST_EPOCHS = 1.2
 #: Similarity in percent from which texts are near duplicates of each other.
 NEAR_PERCENT = 80
+#: Passages of so many words that occur more than once are cut, and strings of so many bytes.
+REPEATED_WORDS, REPEATED_BYTES = 51, 400
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the strings of 400 bytes that occur more than once; n_chars is counted anew."""
-    marked = repeats.mark_repeats(docs.withColumn("__id", F.col("doc_id")), id_col="__id", carry=[c for c in docs.columns if c != "text"])
+    """All documents without the passages of over 50 words and the strings of 400 bytes that occur more than once; n_chars is counted anew."""
+    marked = repeats.mark_repeats(docs.withColumn("__id", F.col("doc_id")), id_col="__id", length=REPEATED_BYTES, words=REPEATED_WORDS, carry=[c for c in docs.columns if c != "text"])
     text = repeats.cut_spans(marked, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
     return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

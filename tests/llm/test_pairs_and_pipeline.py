@@ -195,3 +195,33 @@ def test_pipeline_drops_near_copies_of_80_percent(spark):
         in_band = minhash.band_rows(percent)
         assert (1 - (percent / 100) ** in_band) ** (minhash.BINS // in_band) <= 3e-7
     assert minhash.band_rows(85) == 6
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    ordinary, short, fifty = fresh(51), " ".join(rng.choice("abcdefgh") for _ in range(51)), fresh(50)
+    texts = [f"{fresh(30)} {p} {fresh(20)}" for p in (ordinary, short, fifty) for _ in range(2)] + [fresh(9) + " " + ordinary.replace(" ", "\n "), short, "é " * 50, "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    whole = [(t or "").split() for t in texts]
+    seen = {}
+    for i, t in enumerate(whole):
+        for at in range(len(t) - 50):
+            seen.setdefault(tuple(t[at:at + 51]), []).append((i, at))
+    cut = {(i, at + k) for places in seen.values() if len(places) > 1 for i, at in places for k in range(51)}
+    assert {i: t.split() for i, t in found.items()} == {i: [w for k, w in enumerate(t) if (i, k) not in cut] for i, t in enumerate(whole)}
+    assert found[4] == texts[4] and len(found[0].split()) == 50 and found[7] == ""
+
+
+@pytest.mark.parametrize("words", [3, 6])
+def test_repeated_words_equal_brute_force(spark, words):
+    rng = random.Random(words)
+    texts = [" ".join(rng.choices(["a", "bb", "é", "ccc", "d"], k=rng.randrange(40))) for _ in range(30)] + ["a " * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = repeats.cut_spans(repeats.mark_repeats(docs, words=words)).collect()
+    marked = spans_of([tuple(t.split()) for t in texts], words)
+    assert {r.doc_id: bytes(r.kept).decode().split() for r in found} == {i: [w for k, w in enumerate(t.split()) if k not in marked[i]] for i, t in enumerate(texts)}

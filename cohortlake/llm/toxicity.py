@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: documents carry labels, sentences carry the cause.
 
 A sentence's probability is a logistic model of its distinct hashed words and word beginnings; a
-document's is the noisy-or of its sentences, ``1 - prod(1 - p)``. The weights are fitted to the
+document's is the noisy-or of its sentences, ``1 - prod(1 - p)``. What a sentence without any telling
+feature would have, the bias alone, is taken out of each p when documents are scored: otherwise a
+long enough text would be toxic whatever it says. The weights are fitted to the
 document labels alone, on a bounded sample of labelled rows, and then point out the sentences that
 made a document toxic. Features enter the fit if toxic documents have them more often than chance.
 """
@@ -116,7 +118,8 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
           carry: Sequence[str] = ()) -> DataFrame:
     """(id, score, sentences) for each row of docs: the noisy-or, and the sentences at or over the threshold.
 
-    A sentence is (begin, end, probability) in characters of the text. Null and empty texts score 0.
+    A sentence is (begin, end, probability) in characters of the text, the probability being what its
+    features add to the bias: 0 without any, or where they speak against it. Null and empty texts score 0.
     Null keys and repeated rows give a row each. The columns in ``carry`` follow; others are ignored.
     """
     prepare(docs.sparkSession)
@@ -136,11 +139,15 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
                 return value
 
         weights_of = Weights().__getitem__
+        plain = math.log1p(math.exp(max(-30.0, min(30.0, bias))))
 
         def probability(sentence: str) -> float:
             found = {pair for pairs in filter(None, map(weights_of, WORD.findall(sentence))) for pair in pairs}
+            if not found:
+                return 0.0
             z = bias + sum(value for _, value in sorted(found))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            # 1 - (1 - p) / (1 - p of the bias alone)
+            return max(0.0, -math.expm1(plain - math.log1p(math.exp(max(-30.0, min(30.0, z))))))
 
         for batch in batches:
             scores, spans = [], []

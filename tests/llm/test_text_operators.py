@@ -129,6 +129,19 @@ def test_toxicity_learns_words_from_document_labels(spark):
     assert not none.any() and toxicity.score(data.limit(0), none, bias).count() == 0
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    random.seed(6)
+    calm = ["".join(random.choice("klmnop") for _ in range(5)) for _ in range(200)]
+    sentence = lambda extra=(): " ".join([*random.choices(calm, k=8), *extra]) + "."
+    rows = [(i, " ".join([sentence() for _ in range(8)] + ([sentence(["vile"])] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(300)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights, bias = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+    long = "Quite plain. " * 20_000
+    found = toxicity.score(spark.createDataFrame([(1, long), (2, long + "A vile thing."), (3, "A vile thing.")], "doc_id long, text string"), weights, bias).collect()
+    scores = {r.doc_id: r.score for r in found}
+    assert scores[1] == 0.0 and scores[2] == pytest.approx(scores[3]) and scores[3] >= 0.5
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.org/es/x"), (2, "https://example.org/en/1?q"), (3, "https://notexample.org/es/"), (4, "http://x.com/fr/#a"), (5, "http://x.com/de"), (6, "http://www.listed.net/p.html?x#y"),
             (7, "http://listed.net/p/"), (8, None), (9, "no scheme/org/"), (10, "http://other.net/"), (None, "http://x.com/de/1"), (7, "http://listed.net/p/"), (11, "http://example.org"), (12, "http://üÄ.net/p")]

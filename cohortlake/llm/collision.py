@@ -2,7 +2,9 @@
 
 Inner products are turned into distances: candidates get one more component that gives all of them
 the same length, queries get zero there. Each hash is a single random projection, kept as a sorted
-array. A query opens a window around its own projection in every array; widening the windows step by
+array. The candidates are cut by their own lengths into ranges, each padded to the longest of its own:
+were short ones padded to the longest of all, the padding would outweigh what they differ by. Ranges
+too short to hold one of a query's best are passed over. A query opens a window around its own projection in every array; widening the windows step by
 step (virtual rehashing) stands for coarser and coarser buckets. A candidate that lies in enough of
 the windows has collided often enough to be verified with the original vectors.
 
@@ -27,6 +29,8 @@ PROJECTIONS = 64
 COLLIDES, VERIFIED = 0.8, 0.08
 #: Factor by which windows widen.
 WIDENS = 1.05
+#: Lengths of one range differ by this factor at most, unless it holds so few vectors that all are verified.
+RANGE = 1.1
 SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
 
 
@@ -83,6 +87,33 @@ class ProjectionIndex:
         return rows[best], scores[best]
 
 
+def nearest_of_shard(vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray, queries: np.ndarray, query_numbers: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, the rows and products of the best k found, its own row (the one of its number) aside."""
+    lengths = np.sqrt((vectors**2).sum(axis=1))
+    query_lengths = np.sqrt((queries**2).sum(axis=1))
+    order = np.argsort(-lengths, kind="stable")
+    descending = lengths[order]
+    found = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
+    at = 0
+    while at < len(order):
+        end = int(np.searchsorted(-descending, -descending[at] / RANGE, side="right"))
+        end = min(len(order), max(end, at + 10 * (k + 1)))
+        # a range that can't hold a product as large as the k-th best has nothing for this query, nor have those after it
+        asks = np.array([i for i, (_, scores) in enumerate(found) if len(scores) < k or query_lengths[i] * descending[at] * (1 + 1e-9) >= scores[-1]], dtype=np.int64)
+        if not len(asks):
+            break
+        rows = np.sort(order[at:end])
+        index = ProjectionIndex(vectors[rows], float(descending[at]))
+        for i, likely in zip(asks, index.candidates(queries[asks], k + 1), strict=True):
+            own = numbers[rows] == query_numbers[i]
+            best, scores = index.nearest(queries[i], likely, own if own.any() else None, ids[rows], k)
+            best, scores = np.concatenate([found[i][0], rows[best]]), np.concatenate([found[i][1], scores])
+            first = np.lexsort((ids[best], -scores))[:k]
+            found[i] = best[first], scores[first]
+        at = end
+    return found
+
+
 def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each row that is_query holds for, its own row aside.
 
@@ -96,9 +127,8 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id",
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col), dims))
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    longest, n, asks = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*"), F.count_if("asks")).first()
+    n, asks = rows.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asks // BLOCK_ROWS))
-    longest = float(np.sqrt(longest or 0.0))
 
     row_hash = F.xxhash64("row")
     # every block of queries meets every shard: each side is sent once for each part of the other
@@ -112,12 +142,9 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id",
             return pd.DataFrame({"query": [], "query_row": [], "vec_id": [], "score": []})
         shard = shard.sort_values("row")
         vectors, ids, numbers = np.stack([*shard["v"]]), shard["id"].to_numpy(), shard["row"].to_numpy()
-        index = ProjectionIndex(vectors, longest)
         found = []
-        found_rows = index.candidates(np.stack([*ask["v"]]), k + 1)
-        for number, query, v, rows in zip(ask["row"], ask["id"], ask["v"], found_rows, strict=True):
-            own = numbers == number
-            best, scores = index.nearest(v, rows, own if own.any() else None, ids, k)
+        of_shard = nearest_of_shard(vectors, ids, numbers, np.stack([*ask["v"]]), ask["row"].to_numpy(), k)
+        for number, query, (best, scores) in zip(ask["row"], ask["id"], of_shard, strict=True):
             found.append(pd.DataFrame({"query": query, "query_row": number, "vec_id": ids[best], "score": scores}))
         return pd.concat(found)
 

@@ -225,3 +225,24 @@ def test_repeated_words_equal_brute_force(spark, words):
     found = repeats.cut_spans(repeats.mark_repeats(docs, words=words)).collect()
     marked = spans_of([tuple(t.split()) for t in texts], words)
     assert {r.doc_id: bytes(r.kept).decode().split() for r in found} == {i: [w for k, w in enumerate(t.split()) if k not in marked[i]] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("norms", ["equal", "one of 3", "one of 10", "log-normal", "even"])
+def test_nearest_with_uneven_norms(norms):
+    rng = np.random.default_rng(3)
+    n, k = collision.SHARD_ROWS, 20
+    vectors = rng.normal(size=(n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if norms.startswith("one"):
+        vectors[7] *= float(norms.split()[-1])
+    elif norms != "equal":
+        vectors *= (rng.lognormal(size=n) if norms == "log-normal" else rng.uniform(0.2, 2, size=n))[:, None]
+    asked, ids = np.arange(0, n, n // 40), np.arange(n)
+    found = collision.nearest_of_shard(vectors, ids, ids, vectors[asked], asked, k)
+    hits = 0
+    for q, (rows, scores) in zip(asked, found, strict=True):
+        exact = vectors @ vectors[q]
+        exact[q] = -np.inf
+        assert q not in rows and np.allclose(exact[rows], scores) and len(rows) == k
+        hits += len(set(np.argsort(-exact)[:k]) & set(rows))
+    assert hits >= 0.9 * k * len(asked)

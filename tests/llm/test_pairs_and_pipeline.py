@@ -246,3 +246,19 @@ def test_nearest_with_uneven_norms(norms):
         assert q not in rows and np.allclose(exact[rows], scores) and len(rows) == k
         hits += len(set(np.argsort(-exact)[:k]) & set(rows))
     assert hits >= 0.9 * k * len(asked)
+
+
+@pytest.mark.parametrize("shift", [0, 1, 2])
+def test_vector_links_of_shifted_vectors(spark, shift):
+    rng = np.random.default_rng(shift)
+    v = rng.normal(size=(1_500, 64)) / 8
+    v[:, 0] += shift
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    away = rng.normal(size=(500, 64))
+    away -= (away * v[:500]).sum(axis=1, keepdims=True) * v[:500]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.97, size=(500, 1))
+    v = np.concatenate([v, cosine * v[:500] + np.sqrt(1 - cosine**2) * away])
+    links = np.count_nonzero(np.triu(v @ v.T >= 0.95, 1))
+    found = itq.near_duplicates(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")).collect()
+    assert 0.97 * links <= sum(r.n_links for r in found) / 2 <= links

@@ -93,7 +93,8 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
 
     least_entropy_share is the target entropy as a share of the highest possible, log of the number of
     sources. budget_share is the budget as a share of all tokens. Null is a source of its own. Rows of no
-    tokens cost nothing and are taken for each epoch begun. A column of docs with one of the added names
+    tokens cost nothing and are taken for each epoch begun; with most_epochs and no budget, sources of no
+    tokens at all are taken once. A column of docs with one of the added names
     is replaced. Equal rows count each; those with equal id and text get equal copies but for the edge,
     where order among them is by chance of the row's place.
     """
@@ -110,9 +111,11 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
         budget = round(budget_share * sum(totals.values()))
     target = least_entropy_share * math.log(len(totals)) if least_entropy_share is not None and totals else least_entropy_share
     mixture = solve(totals, least_entropy=target, most_epochs=most_epochs, budget=budget)
+    # without a budget everything is taken once at least, and what has no tokens costs nothing
+    takes_all = most_epochs is not None and budget is None
 
     spark = docs.sparkSession
-    plan = [(s, int(e + 1e-9), round((e - int(e + 1e-9)) * totals[s])) for s, e in mixture.epochs.items()]
+    plan = [(s, 1, 0) if takes_all and not totals[s] else (s, int(e + 1e-9), round((e - int(e + 1e-9)) * totals[s])) for s, e in mixture.epochs.items()]
     source_type = docs.schema[source_col].dataType.simpleString()
     epochs = spark.createDataFrame(plan, f"__source {source_type}, whole int, part long")
     turn = F.xxhash64(F.lit(seed), F.lit("turn"), "__source", "block")

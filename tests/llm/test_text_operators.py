@@ -176,6 +176,14 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), most_epochs=1.5).count() == 0
 
 
+def test_mixing_takes_sources_without_tokens(spark):
+    rows = [(i, "full", "w " * 5) for i in range(40)] + [(100, "empty", ""), (101, "empty", None), (102, None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = {r.doc_id for r in mixing.realise(mixing.mix(docs, most_epochs=1.2)).collect()}
+    assert taken == {r[0] for r in rows}
+    assert mixing.realise(mixing.mix(docs.filter("doc_id >= 100"), most_epochs=1.2)).count() == 3
+
+
 def test_held_out_rule(spark):
     from cohortlake.llm.queries import held_out
 

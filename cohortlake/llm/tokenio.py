@@ -12,7 +12,9 @@ A file is a Parquet file of packets. A packet holds the ids of one or more whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ GROUP_BYTES = 12 << 20
 #: Entries of the per-worker cache of encoded strings (of up to CACHE_CHARS); it is emptied when full.
 CACHE_ENTRIES = 1_600_000
 CACHE_CHARS = 64
+#: Words that the library is given in one string.
+JOINED = 128
 
 
 def _needed(ids: np.ndarray) -> np.ndarray:
@@ -111,63 +115,87 @@ def unpack(words: np.ndarray, places: np.ndarray = (), escapes: np.ndarray = ())
     return ids
 
 
+def unpack_part(words: np.ndarray, block_starts: np.ndarray, places: np.ndarray, escapes: np.ndarray, n: int, begin: int, end: int) -> np.ndarray:
+    """The ids from begin to end (not included) of n, from the blocks that hold them alone."""
+    if begin >= end:
+        return np.empty(0, np.uint64)
+    one, last = begin // BLOCK, (end - 1) // BLOCK
+    stop = block_starts[last + 1] if last + 1 < len(block_starts) else len(words)
+    ids = unpack(np.asarray(words)[block_starts[one]:stop])
+    places = np.asarray(places, dtype=np.int64)
+    here = (places >= one * BLOCK) & (places < min(n, (last + 1) * BLOCK))
+    ids[places[here] - one * BLOCK] = np.asarray(escapes, dtype=np.uint64)[here]
+    return ids[begin - one * BLOCK:end - one * BLOCK]
+
+
+#: A word of letters that every Unicode version knows, the marks behind it, and the same after a line end: each part is a match of the pre-tokeniser of its own.
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏЀ-ҁ]+)([!-&(-/:-@\[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ɏЀ-ҁ]+)([!-&(-/:-@\[-`{-~]*))?")
+
+
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts, as uint32, through a cache of the strings between spaces.
 
     The library's byte-level pre-tokeniser always begins a match at a space that a non-space follows, so
-    a text's ids are those of its cuts there. Cuts not yet in the cache are encoded many in one string,
-    each behind its space; a token that begins with a space then begins a cut.
+    a text's ids are those of its cuts there. Of a cut not yet in the cache, words, marks behind them and a
+    word after a line end are matches of their own; new ones are encoded many in one string, each behind its
+    space or line end, whose token then begins it. Texts that hold one of the tokenizer's added tokens go to
+    the library whole, unless special_as_text makes them ordinary text.
     """
 
-    def __init__(self, raw: bytes):
-        import os
-
+    def __init__(self, raw: bytes, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and token.special)]
+        self.added = "|".join(re.escape(content) for content in added if content)
         vocabulary = self.tokenizer.get_vocab()
-        self.begins_cut = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.begins_cut[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level alphabet's space
-        self.marks = dict(zip(".,:;!?", self._encode_each([*".,:;!?"]), strict=True))
-        self.cache: dict[str, bytes] = {}
+        # the byte-level alphabet's space and line end
+        self.begins = {first: np.zeros(max(vocabulary.values()) + 1, dtype=bool) for first in " \n"}
+        self.begins[" "][[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.begins["\n"][[i for token, i in vocabulary.items() if token == "\u010a"]] = True
+        self.cache: dict[str, bytes] = {}  # ids of strings behind a space
+        self.after_line: dict[str, bytes] = {}  # ids of words behind a line end, with it
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_cuts(self, cuts: list[str]) -> list[bytes]:
-        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join([" " + c for c in cuts])], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(self.begins_cut[ids]) * 4
-        if len(at) != len(cuts):
-            return self._encode_each([" " + c for c in cuts])
-        raw = ids.tobytes()
-        at = at.tolist()
-        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+    def _encode_after(self, first: str, words: list[str]) -> list[bytes]:
+        """The ids of each word with ``first`` before it."""
+        found = []
+        for i in range(0, len(words), JOINED):
+            some = words[i:i + JOINED]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join([first + w for w in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = (np.flatnonzero(self.begins[first][ids]) * 4).tolist()
+            if len(at) != len(some):
+                found += self._encode_each([first + w for w in some])
+                continue
+            raw = ids.tobytes()
+            found += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+        return found
 
     def _learn(self, cuts: list[str]) -> dict[str, bytes]:
         """Puts the ids of cuts into the cache; those of long cuts are returned."""
-        if len(self.cache) + len(cuts) > CACHE_ENTRIES:
+        if len(self.cache) + len(self.after_line) + len(cuts) > CACHE_ENTRIES:
             self.cache.clear()
-        ids = self.cache
-        # most cuts are letters, or letters and one mark, which are two matches: " letters" and the mark
-        words, marked, odd = set(), [], []
-        for c in cuts:
-            if len(c) > CACHE_CHARS:
-                odd.append(c)
-            elif c.isalpha():
-                words.add(c)
-            elif c[-1:] in self.marks and c[:-1].isalpha():
-                words.add(c[:-1])
-                marked.append(c)
-            else:
-                odd.append(c)
-        plain = [w for w in words if w not in ids]
-        for i in range(0, len(plain), 4_096):
-            ids.update(zip(plain[i:i + 4_096], self._encode_cuts(plain[i:i + 4_096]), strict=True))
-        for c in marked:
-            ids[c] = ids[c[:-1]] + self.marks[c[-1]]
-        long = {}
+            self.after_line.clear()
+            self.marks = {"": b""}
+        ids, lines, marks = self.cache, self.after_line, self.marks
+        parts = [WORD_AND_MARKS.fullmatch(c) if len(c) <= CACHE_CHARS else None for c in cuts]
+        split = [(c, *m.groups()) for c, m in zip(cuts, parts, strict=True) if m]
+        for known, first, words in ((ids, " ", {w for _, w, _, _, _ in split}), (lines, "\n", {w for _, _, _, w, _ in split if w})):
+            new = [w for w in words if w not in known]
+            known.update(zip(new, self._encode_after(first, new), strict=True))
+        new = [m for m in {m for x in split for m in (x[2], x[4] or "")} if m not in marks]
+        marks.update(zip(new, self._encode_each(new), strict=True))
+        for c, word, behind, line, end in split:
+            if line:
+                ids[c] = ids[word] + marks[behind] + lines[line] + marks[end]
+            elif behind:
+                ids[c] = ids[word] + marks[behind]
+        odd, long = [c for c, m in zip(cuts, parts, strict=True) if not m], {}
         for c, found in zip(odd, self._encode_each([" " + c for c in odd]), strict=True):
             (ids if len(c) <= CACHE_CHARS else long)[c] = found
         return long
@@ -177,11 +205,11 @@ class LibraryEncoder:
         if not len(texts):
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
         # a text with a space that no word follows can't be cut at every space: the library takes it as a whole
-        whole = pc.match_substring_regex(texts, pattern=r" ([\s\p{Z}]|\x1c|\x1d|\x1e|\x1f|\x{85}|$)")
+        whole = pc.match_substring_regex(texts, pattern=r" ([\s\p{Z}]|\x1c|\x1d|\x1e|\x1f|\x{85}|$)" + (f"|{self.added}" if self.added else ""))
         cut = pc.split_pattern(pc.if_else(whole, pa.scalar("", texts.type), texts), " ")
         begins = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        at, strings = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, strings = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # the first cut of a text has no space before it
         heads = pc.if_else(whole, texts, pc.list_element(cut, 0)).to_pylist()
         at[begins[:-1]] = len(strings) + np.arange(len(heads))
@@ -203,7 +231,7 @@ class LibraryEncoder:
         return table[source], np.concatenate([[0], ends])[begins]
 
 
-_workers: dict[int, LibraryEncoder] = {}
+_workers: dict[tuple[int, bool], LibraryEncoder] = {}
 PACKETS = "shard int, packet int, first long, doc_ids array<{id}>, counts array<int>, n_ids long, words binary, block_starts array<int>, escape_places array<int>, escape_ids array<decimal(20,0)>"
 
 
@@ -221,24 +249,28 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
         yield group
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of whole texts, each with end_id after it, in ascending order of id_col (nulls first, then by text).
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> None:
+    """Writes the ids of whole texts, each with end_id after it, in ascending order of id_col (nulls first; rows of one id by a hash of the text).
 
-    Shards are ranges of the key: shard k is written by one task and holds smaller keys than shard k + 1.
-    Null texts count as empty. Repeated rows are written each. Other columns are ignored.
+    Shards are ranges of that order: shard k is written by one task and holds what is before shard k + 1.
+    Rows that repeat an id, or have none, spread over several shards if there are many. Null texts count as
+    empty. Repeated rows are written each. Other columns are ignored. A special token's string in a text
+    becomes that token, as the library has it by default, unless special_as_text.
     """
     tokenizer = broadcast_file(docs.sparkSession, tokenizer_path)
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # the last key only tells equal rows apart, so that any number of them can be dealt out
+    rows = rows.withColumns({"turn": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("id", "turn", "row").sortWithinPartitions("id", "turn", "row").select("id", "text")
     arrow_id, ints = to_arrow_type(id_type), pa.list_(pa.int32())
     types = {"shard": pa.int32(), "packet": pa.int32(), "first": pa.int64(), "doc_ids": pa.list_(arrow_id), "counts": ints, "n_ids": pa.int64(), "words": pa.binary(), "block_starts": ints, "escape_places": ints, "escape_ids": pa.list_(pa.decimal128(20, 0))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tokenizer.value)
+        key = (hash(tokenizer.value), special_as_text)
         if key not in _workers:
             _workers.clear()
-            _workers[key] = LibraryEncoder(tokenizer.value)
+            _workers[key] = LibraryEncoder(tokenizer.value, special_as_text)
         encoder, shard, packet = _workers[key], TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
         keys, waiting, n, first = [], [], 0, 0
@@ -263,10 +295,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int =
     rows.mapInArrow(run, PACKETS.format(id=id_type.simpleString())).write.mode("error").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str, *, id_type: str = "bigint") -> DataFrame:
+def read_ids(spark: SparkSession, path: str, *, id_type: str = "bigint", only: Sequence[object] | None = None) -> DataFrame:
     """(shard, packet, doc_id, place, start, ids) for each document of the files; ids is binary, little-endian uint32.
 
-    ``start`` counts the ids of all documents before it, ``place`` is its number in the packet.
+    ``start`` counts the ids of all documents before it, ``place`` is its number in the packet. With
+    ``only``, a list of ids, packets without any of them are skipped and of the others just the blocks
+    that hold them are decoded.
     """
     packets = spark.read.schema(PACKETS.format(id=id_type)).parquet(path)
     # a row for each shard, that is for each task that wrote: few enough for one window and a broadcast
@@ -274,18 +308,29 @@ def read_ids(spark: SparkSession, path: str, *, id_type: str = "bigint") -> Data
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("shard_start"))
     arrow_id = to_arrow_type(packets.schema["doc_ids"].dataType.elementType)
+    wanted = None if only is None else set(only)
+    if only is not None:
+        packets = packets.filter(F.arrays_overlap("doc_ids", F.array(*map(F.lit, only)).cast(f"array<{id_type}>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, packet, first, keys, counts, words, places, escapes = (batch.column(j)[i].as_py() for j in (0, 1, 2, 3, 4, 6, 8, 9))
-                ids = unpack(np.frombuffer(words, dtype="<u8"), places, [int(x) for x in escapes]).astype("<u4")
+                shard, packet, first, keys, counts, n_ids, places, escapes = (batch.column(j)[i].as_py() for j in (0, 1, 2, 3, 4, 5, 8, 9))
+                words = np.frombuffer(batch.column(6)[i].as_buffer(), dtype="<u8")
+                escapes = [int(x) for x in escapes]
                 ends = np.cumsum(counts)
                 begins = ends - np.asarray(counts)
-                n = len(keys)
+                if wanted is None:
+                    ids = unpack(words, places, escapes).astype("<u4")
+                    taken, found = range(len(keys)), [ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
+                else:
+                    starts = batch.column(7)[i].values.to_numpy()
+                    taken = [j for j, key in enumerate(keys) if key in wanted]
+                    found = [unpack_part(words, starts, places, escapes, n_ids, int(begins[j]), int(ends[j])).astype("<u4").tobytes() for j in taken]
+                n = len(taken)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * n, pa.int32()), pa.array([packet] * n, pa.int32()), pa.array(keys, arrow_id), pa.array(range(n), pa.int32()), pa.array(first + begins, pa.int64()),
-                     pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())],
+                    [pa.array([shard] * n, pa.int32()), pa.array([packet] * n, pa.int32()), pa.array([keys[j] for j in taken], arrow_id), pa.array(taken, pa.int32()), pa.array(first + begins[list(taken)], pa.int64()),
+                     pa.array(found, pa.binary())],
                     names=["shard", "packet", "doc_id", "place", "offset", "ids"])
 
     docs = packets.mapInArrow(run, f"shard int, packet int, doc_id {id_type}, place int, offset long, ids binary")

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cohortlake.llm import bpe, mixing, tokenio, toxicity, urlfilter, wordpiece
 from cohortlake.llm.queries import URL_RULES
@@ -68,19 +69,41 @@ def test_simple8b_round_trip(n, high):
         assert (tokenio.unpack(words[start:end]) == block).all()
 
 
-def test_token_files(spark, docs, library, tmp_path):
-    tokenio.write_ids(docs, str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_token_files(spark, docs, tmp_path, monkeypatch, special_as_text):
+    monkeypatch.setattr(tokenio, "PACKET_IDS", 150)  # several packets a shard
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(tokenizer)
+    library.encode_special_tokens = special_as_text
+    more = ["it.\nThen, <|endoftext|>x\n<|endoftext|>", "un.\n\nzwei &&& x's\ty's 'll", "é\nÉé,\n漢字.", "a\n\nb\n c \nd"]
+    docs = docs.unionByName(spark.createDataFrame([(200 + i, t, None, None) for i, t in enumerate(more)], docs.schema))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several shards
+    tokenio.write_ids(docs, str(tmp_path / "ids"), tokenizer, special_as_text=special_as_text)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     found = tokenio.read_ids(spark, str(tmp_path / "ids")).collect()
+    assert len({r.shard for r in found}) > 1 and max(r.packet for r in found) > 0
     rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()))
-    start = 0
+    start, wanted = 0, {}
     for (key, text), r in zip(rows, sorted(found, key=lambda r: (r.start)), strict=True):
-        ids = np.asarray([*library.encode_ordinary(text), 0], "<u4").tobytes()
+        ids = np.asarray([*library.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
         assert ((-1 if r.doc_id is None else r.doc_id), r.start, bytes(r.ids)) == (key, start, ids)
+        wanted.setdefault(r.doc_id, []).append(ids)
         start += len(ids) // 4
-    tokenio.write_ids(empty(docs), str(tmp_path / "none"), public_tokenizers.path("byte_bpe_50k.json"))
+    some = tokenio.read_ids(spark, str(tmp_path / "ids"), only=[7, 11, 203, 12345]).collect()
+    assert sorted((r.doc_id, r.start, bytes(r.ids)) for r in some) == sorted((r.doc_id, r.start, bytes(r.ids)) for r in found if r.doc_id in (7, 11, 203))
+    tokenio.write_ids(empty(docs), str(tmp_path / "none"), tokenizer)
     assert tokenio.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_blocks_are_read_on_their_own():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 50_000, 3_000, dtype=np.uint64)
+    ids[::400] = 2**63
+    packed = tokenio.pack(ids)
+    for begin, end in ((0, 3_000), (0, 1), (255, 257), (512, 768), (2_999, 3_000), (700, 2_222), (5, 5)):
+        assert (tokenio.unpack_part(*packed, 3_000, begin, end) == ids[begin:end]).all()
+
+
 def greedy(word, begin, inside):
     n = at = 0
     if not any(word.startswith(p) for p in begin):

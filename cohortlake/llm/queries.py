@@ -84,10 +84,9 @@ FROM ruled
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = repeats.cut_spans(repeats.mark_repeats(table(spark, sf_dir, "documents"), length=400))
-    n_bytes, n_kept = F.octet_length("text").cast("long"), F.octet_length("kept").cast("long")
-    return cut.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - n_kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

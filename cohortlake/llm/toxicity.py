@@ -127,6 +127,9 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
     id_type = docs.schema[id_col].dataType.simpleString()
     found = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
+    # the text, if it is carried, is sent once
+    places = [1 if c == text_col else 2 + i - (text_col in carry[:i]) for i, c in enumerate(carry)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bucket = model.value
 
@@ -160,10 +163,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
                     # lower-casing can lengthen a text, so its places are looked up in the text itself
                     hits = [{"begin": m.start(), "end": m.end(), "probability": p} for m in SENTENCE.finditer(text) if (p := probability(m.group().lower())) >= threshold]
                 spans.append(hits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, found), *batch.columns[2:]],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, found), *(batch.column(i) for i in places)],
                                              names=["id", "score", "sentences", *(f"carried{i}" for i in range(len(carry)))])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry) if c != text_col))
     carried = "".join(f", carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     scored = rows.mapInArrow(run, f"id {id_type}, score double, sentences array<struct<begin:int,end:int,probability:double>>{carried}")
     return scored.toDF(id_col, "score", "sentences", *carry)

@@ -76,7 +76,7 @@ def spans_of(texts, length):
     return marked
 
 
-@pytest.mark.parametrize("length, gram", [(20, 10), (30, 12), (12, 12)])
+@pytest.mark.parametrize("length, gram", [(20, 10), (30, 12), (12, 12), (60, 20), (60, 30)])
 def test_repeats_equal_brute_force(spark, length, gram):
     random.seed(length)
     texts = ["".join(random.choice(["ab", "c", "dd", "é ", "fg"]) for _ in range(random.randrange(60))) for _ in range(50)]
@@ -97,9 +97,32 @@ def test_repeats_across_buffers(spark, monkeypatch):
     found = pieces.of([text, b"short", text[100:900]])
     covered = sorted(i for n, a, b in zip(found["text"], found["first"], found["last"]) if n == 0 for i in range(a, b + 1))
     assert covered == list(range(3_000 - 39))
-    _, start, hashes = pieces.windows(text, np.array([0]), np.array([2_960]), np.array([5]))
-    _, again, same = pieces.windows(text[100:900], np.array([0]), np.array([700]), np.array([-95]))
-    assert (hashes[100:801] == same + np.int64(0)).all() and (start[:5] == range(5)).all() and len(again) == 701
+    # windows hash alike wherever their body begins and whichever buffer they are in
+    whole, part = pieces.bodies(text[:480], np.array([0]), np.array([440])), pieces.bodies(text[100:480], np.array([0]), np.array([340]))
+    filler = [text[500 + 90 * i:580 + 90 * i] for i in range(9)]
+    ask = lambda bodies, last, place: pieces.windows(bodies, *(np.array([x] + [0] * 9) for x in (0, 0, last, place)))
+    row, start, hashes = ask([*whole[1], *filler], 440, 5)
+    _, again, same = ask([*part[1], *filler], 340, -95)
+    assert (hashes[100:441] == same[:341]).all() and (start[:441] == range(441)).all() and len(again) == 341 + 9 and (row[:441] == 0).all()
+
+
+@pytest.mark.parametrize("read, length, gram", [(repeats.in_bytes, 100, 52), (repeats.in_words, 51, 26)])
+def test_cells_of_repeats(read, length, gram):
+    rng = random.Random(2)
+    text = bytes(rng.choices(b"abcd", k=400)) if read is repeats.in_bytes else " ".join(rng.choices(["a", "bb", "ccc"], k=400)).encode()
+    pieces, symbols = repeats.Pieces(length, gram, read), read(text)
+    found = pieces.of([text])
+    assert pieces.cell > 1
+    at, bodies = pieces.bodies(text, found["first"], found["last"])
+    cells = pieces.cells(bodies, np.array(at), found["first"], found["last"], found["place"])
+    seen = {}
+    for piece, cell, inner, outer, whole in zip(*(cells[c].tolist() for c in ("piece", "cell", "inner", "outer", "whole")), strict=True):
+        place, near, far = int(found["place"][piece]), cell * pieces.cell, min(cell * pieces.cell + pieces.cell - 1, length - gram)
+        assert whole == (place - far >= 0 and place - near + length <= len(symbols))
+        strings = [(cell, tuple(symbols[place - near:place - far + length]))] + [(cell, tuple(symbols[place - far:place - near + length]))] * whole
+        for string, value in zip(strings, (inner, outer)):  # a cell of one window has it in common and covers it
+            assert seen.setdefault(string, value) == value
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_whole_characters(spark):

@@ -6,6 +6,9 @@ it again for the next one. All stages but the last return the columns of documen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,30 +25,50 @@ NEAR_PERCENT = 80
 REPEATED_WORDS, REPEATED_BYTES = 51, 400
 
 
+#: The columns that stages read; all others are passed on as they are.
+READ = ("doc_id", "text", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keeping_columns(stage: Stage) -> Stage:
+    """The stage with docs' further columns under names that no operator uses, and back under their own after it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in READ else f"__column{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
+
+    return run_stage
+
+
+@keeping_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity below 0.5, by a model of the labelled rows that aren't held out."""
     weights, bias = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     scored = toxicity.score(docs.withColumn("__id", F.col("doc_id")), weights, bias, id_col="__id", carry=docs.columns)
-    return scored.filter("score < 0.5").select(*docs.columns)
+    return scored.filter("score < 0.5")
 
 
+@keeping_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest doc_id; rows without a doc_id stay."""
     kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id").distinct()
     chosen = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return chosen.unionByName(docs.filter("doc_id IS NULL"))
 
 
+@keeping_columns
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages of over 50 words and the strings of 400 bytes that occur more than once; n_chars is counted anew."""
-    marked = repeats.mark_repeats(docs.withColumn("__id", F.col("doc_id")), id_col="__id", length=REPEATED_BYTES, words=REPEATED_WORDS, carry=[c for c in docs.columns if c != "text"])
-    text = repeats.cut_spans(marked, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
-    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents without the passages of over 50 words and the strings of 400 bytes that occur more than once; n_chars, where there is one, is counted anew."""
+    cut = repeats.remove_repeats(docs.withColumn("__id", F.col("doc_id")), id_col="__id", length=REPEATED_BYTES, words=REPEATED_WORDS, carry=[c for c in docs.columns if c != "text"], whole_characters=True)
+    text = cut.withColumn("text", F.col("kept").cast("string"))
+    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else text
 
 
+@keeping_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of small sources again so that shares even out as far as MOST_EPOCHS allows."""
-    return mixing.realise(mixing.mix(docs, most_epochs=MOST_EPOCHS)).select(*docs.columns)
+    return mixing.realise(mixing.mix(docs, most_epochs=MOST_EPOCHS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

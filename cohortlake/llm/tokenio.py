@@ -12,6 +12,7 @@ A file is a Parquet file of packets. A packet holds the ids of one or more whole
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -32,9 +33,9 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 256
 #: Ids after which a packet is closed; a longer document has a packet of its own.
 PACKET_IDS = 1 << 19
-GROUP_BYTES = 12 << 20
-#: Entries of the per-worker cache of encoded strings (of up to CACHE_CHARS); it is emptied when full.
-CACHE_ENTRIES = 1_600_000
+GROUP_BYTES = 8 << 20
+#: Entries of the per-worker cache of encoded strings (of up to CACHE_CHARS).
+CACHE_ENTRIES = 800_000
 CACHE_CHARS = 64
 #: Words that the library is given in one string.
 JOINED = 128
@@ -155,10 +156,20 @@ class LibraryEncoder:
         self.begins = {first: np.zeros(max(vocabulary.values()) + 1, dtype=bool) for first in " \n"}
         self.begins[" "][[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.begins["\n"][[i for token, i in vocabulary.items() if token == "\u010a"]] = True
-        self.cache: dict[str, bytes] = {}  # ids of strings behind a space
+        # ids of strings behind a space; what hasn't been asked for while young filled up is forgotten
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.after_line: dict[str, bytes] = {}  # ids of words behind a line end, with it
         self.marks: dict[str, bytes] = {"": b""}
 
+    def _known(self, strings: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, strings))
+        missing = [s for s, x in zip(strings, found, strict=True) if x is None]
+        again = list(map(self.old.get, missing))
+        self.young.update({s: x for s, x in zip(missing, again, strict=True) if x is not None})
+        rest = iter(again)
+        return [next(rest) if x is None else x for x in found]
+
     def _encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -177,49 +188,60 @@ class LibraryEncoder:
         return found
 
     def _learn(self, cuts: list[str]) -> dict[str, bytes]:
-        """Puts the ids of cuts into the cache; those of long cuts are returned."""
-        if len(self.cache) + len(self.after_line) + len(cuts) > CACHE_ENTRIES:
-            self.cache.clear()
+        """The ids of cuts, which are then known, but for long ones."""
+        if len(self.young) + len(cuts) > CACHE_ENTRIES // 2:
+            self.young, self.old = {}, self.young
+        if len(self.after_line) > CACHE_ENTRIES // 8:
             self.after_line.clear()
+        if len(self.marks) > CACHE_ENTRIES // 64:
             self.marks = {"": b""}
-        ids, lines, marks = self.cache, self.after_line, self.marks
+        lines, marks, found = self.after_line, self.marks, {}
         parts = [WORD_AND_MARKS.fullmatch(c) if len(c) <= CACHE_CHARS else None for c in cuts]
         split = [(c, *m.groups()) for c, m in zip(cuts, parts, strict=True) if m]
-        for known, first, words in ((ids, " ", {w for _, w, _, _, _ in split}), (lines, "\n", {w for _, _, _, w, _ in split if w})):
-            new = [w for w in words if w not in known]
-            known.update(zip(new, self._encode_after(first, new), strict=True))
+        words = list({w for _, w, _, _, _ in split})
+        of = dict(zip(words, self._known(words), strict=True))
+        new = [w for w, ids in of.items() if ids is None]
+        of.update(zip(new, self._encode_after(" ", new), strict=True))
+        new = [w for w in {w for _, _, _, w, _ in split if w} if w not in lines]
+        lines.update(zip(new, self._encode_after("\n", new), strict=True))
         new = [m for m in {m for x in split for m in (x[2], x[4] or "")} if m not in marks]
         marks.update(zip(new, self._encode_each(new), strict=True))
         for c, word, behind, line, end in split:
-            if line:
-                ids[c] = ids[word] + marks[behind] + lines[line] + marks[end]
-            elif behind:
-                ids[c] = ids[word] + marks[behind]
+            found[c] = of[word] + marks[behind] + (lines[line] + marks[end] if line else b"")
         odd, long = [c for c, m in zip(cuts, parts, strict=True) if not m], {}
-        for c, found in zip(odd, self._encode_each([" " + c for c in odd]), strict=True):
-            (ids if len(c) <= CACHE_CHARS else long)[c] = found
-        return long
+        for c, ids in zip(odd, self._encode_each([" " + c for c in odd]), strict=True):
+            (found if len(c) <= CACHE_CHARS else long)[c] = ids
+        self.young.update(of)
+        self.young.update(found)
+        return found | long
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), each with the ids of ``end`` behind, and where each text's begin; one number more than texts."""
         if not len(texts):
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        gc.disable()  # nothing here makes cycles, and each collection would walk through the cache
+        try:
+            return self._encode(texts, end)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         # a text with a space that no word follows can't be cut at every space: the library takes it as a whole
         whole = pc.match_substring_regex(texts, pattern=r" ([\s\p{Z}]|\x1c|\x1d|\x1e|\x1f|\x{85}|$)" + (f"|{self.added}" if self.added else ""))
         cut = pc.split_pattern(pc.if_else(whole, pa.scalar("", texts.type), texts), " ")
         begins = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        at, strings = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at, strings = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # the first cut of a text has no space before it
         heads = pc.if_else(whole, texts, pc.list_element(cut, 0)).to_pylist()
         at[begins[:-1]] = len(strings) + np.arange(len(heads))
         used = np.zeros(len(strings) + len(heads), dtype=bool)
         used[at] = True
-        known = list(map(self.cache.get, strings))
+        known = self._known(strings)
         new = [i for i, (x, u) in enumerate(zip(known, used.tolist())) if x is None and u]
-        over = self._learn([strings[i] for i in new])
+        learned = self._learn([strings[i] for i in new])
         for i in new:
-            known[i] = over[strings[i]] if strings[i] in over else self.cache[strings[i]]
+            known[i] = learned[strings[i]]
         known = [x or b"" for x in known]  # a string that only begins texts isn't asked for behind a space
         ids = [*known, *self._encode_each(heads), end]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -227,11 +249,26 @@ class LibraryEncoder:
         at = np.insert(at, begins[1:], len(ids) - 1)
         begins = begins + np.arange(len(begins))
         ends = np.cumsum(sizes[at])
-        source = np.repeat(starts[at] - (ends - sizes[at]), sizes[at]) + np.arange(int(ends[-1]))
+        source = np.arange(int(ends[-1]))
+        source += np.repeat(starts[at] - (ends - sizes[at]), sizes[at])
         return table[source], np.concatenate([[0], ends])[begins]
 
 
 _workers: dict[tuple[int, bool], LibraryEncoder] = {}
+
+
+def encoder_of(raw: bytes, special_as_text: bool) -> LibraryEncoder:
+    """The Python worker's encoder, which keeps its cache from task to task.
+
+    A function of the module's own is sent to workers by name; what a nested function refers to would be copied for each task.
+    """
+    key = (hash(raw), special_as_text)
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = LibraryEncoder(raw, special_as_text)
+    return _workers[key]
+
+
 PACKETS = "shard int, packet int, first long, doc_ids array<{id}>, counts array<int>, n_ids long, words binary, block_starts array<int>, escape_places array<int>, escape_ids array<decimal(20,0)>"
 
 
@@ -267,11 +304,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int =
     types = {"shard": pa.int32(), "packet": pa.int32(), "first": pa.int64(), "doc_ids": pa.list_(arrow_id), "counts": ints, "n_ids": pa.int64(), "words": pa.binary(), "block_starts": ints, "escape_places": ints, "escape_ids": pa.list_(pa.decimal128(20, 0))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(tokenizer.value), special_as_text)
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = LibraryEncoder(tokenizer.value, special_as_text)
-        encoder, shard, packet = _workers[key], TaskContext.get().partitionId(), 0
+        encoder, shard, packet = encoder_of(tokenizer.value, special_as_text), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
         keys, waiting, n, first = [], [], 0, 0
 

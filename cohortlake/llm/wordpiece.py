@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,14 @@ def sentencepiece_pieces(path: str, mark: str = "▁") -> tuple[list[str], list[
     return [p[1:] for p in plain if p.startswith(mark) and mark not in p[1:]], [p for p in plain if p and mark not in p]
 
 
+def automaton_of(key: int, pieces: Broadcast) -> LongestMatch:
+    """The Python worker's automaton, which keeps its cache from task to task."""
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = LongestMatch(*pieces.value)
+    return _workers[key]
+
+
 def count_tokens(df: DataFrame, begin: list[str], inside: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens, n_unknown) for each row of df; words are the runs between white space.
 
@@ -112,10 +121,7 @@ def count_tokens(df: DataFrame, begin: list[str], inside: list[str], *, id_col:
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = LongestMatch(*pieces.value)
-        counted = _workers[key].counted
+        counted = automaton_of(key, pieces).counted
         for batch in batches:
             words, tokens, unknown = [], [], []
             for text in batch.column(1).to_pylist():

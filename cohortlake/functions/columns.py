@@ -1,8 +1,8 @@
-"""Column expressions that several operators share. Bad input gives null, also in ANSI mode."""
+"""What several operators share, column expressions mostly. Bad input gives null, also in ANSI mode."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -33,6 +33,13 @@ def or_default(value: ColumnLike, default: object) -> Column:
     return F.coalesce(_column(value), F.lit(default))
 
 
+def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """df with a hint to broadcast it if it has most_rows or fewer, which are then at hand and not computed again; else df as it is."""
+    rows = df.limit(most_rows + 1).collect()  # most_rows + 1 at most
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most_rows else df
+
+
 def natural_id(*natural: ColumnLike) -> Column:
     """An id that depends on the natural columns alone: the same row gets it in every run."""
-    return F.xxhash64(*(F.coalesce(_column(c).cast("string"), F.lit("\x00")) for c in natural))
+    parts = [part for c in natural for part in (F.coalesce(_column(c).cast("string"), F.lit("")), _column(c).isNull())]
+    return F.xxhash64(*parts)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.functions.columns import small
+
+# fixed values: the labels of the result
 USED, AVAILABLE, ABSENT = COHORTS = ("used_feature", "available_not_used", "not_available")
 
 
@@ -22,8 +25,8 @@ def with_conversions(users: DataFrame, conversions: DataFrame) -> DataFrame:
 
 
 def grid(users: DataFrame, features: DataFrame) -> DataFrame:
-    """Every user with every feature. Features are a catalogue, known to be few; users aren't."""
-    return users.crossJoin(F.broadcast(features.select("feature_id", "feature_name", "effective_from")))
+    """Every user with every feature. Features are broadcast if they are few, as a catalogue's should be; users never are."""
+    return users.crossJoin(small(features.select("feature_id", "feature_name", "effective_from")))
 
 
 def _available() -> Column:
@@ -77,11 +80,11 @@ def impact_rewrite(users: DataFrame, features: DataFrame, usage: DataFrame, conv
     Needs one row a user in users and conversions, one a (user, feature) in usage, one a feature_id.
     """
     people = with_conversions(users, conversions)
-    catalogue = features.select("feature_id", "feature_name", "effective_from")
+    catalogue = small(features.select("feature_id", "feature_name", "effective_from"))
     without_use = F.when(_available(), AVAILABLE).otherwise(ABSENT)
     by_day = _summed(people, "signup_date")
-    everyone = by_day.crossJoin(F.broadcast(catalogue)).select("feature_name", without_use.alias("cohort"), *_SUMS)
-    users_of = usage.filter("first_used_date IS NOT NULL").select("user_id", "feature_id").join(F.broadcast(catalogue), "feature_id").join(people, "user_id")
+    everyone = by_day.crossJoin(catalogue).select("feature_name", without_use.alias("cohort"), *_SUMS)
+    users_of = usage.filter("first_used_date IS NOT NULL").select("user_id", "feature_id").join(catalogue, "feature_id").join(people, "user_id")
     used = _summed(users_of.withColumn("cohort", without_use), "feature_name", "cohort")
     taken = used.select("feature_name", "cohort", *((-F.col(c)).alias(c) for c in _SUMS))
     given = used.select("feature_name", F.lit(USED).alias("cohort"), *_SUMS)

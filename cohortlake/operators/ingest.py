@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from cohortlake.functions.columns import day, event_time, natural_id
 
 
+#: Equal rows that one task lays out again.
+RUN_ROWS = 100_000
+
+
 def with_ingestion_timestamp(df: DataFrame) -> DataFrame:
     return df.withColumn("ingestion_timestamp", F.current_timestamp())
 
@@ -17,9 +21,17 @@ def with_ingestion_timestamp(df: DataFrame) -> DataFrame:
 def with_stable_id(df: DataFrame, natural: Sequence[str], *, id_col: str = "event_id") -> DataFrame:
     """An id from the natural columns and, among equal rows, their number: the same file gets the same ids in every run.
 
-    Equal rows can't be told apart, so numbering them is a count, spread over the cluster by the rows' own hash.
+    If the natural columns are all there are, equal rows can't be told apart: they are counted, which adds up
+    before anything moves, and laid out again in runs of RUN_ROWS, so that one record repeated without end fills no
+    task. With further columns, rows of one natural key are numbered by a window.
     """
     own = natural_id(*natural)
+    if set(natural) == set(df.columns):
+        counted = df.groupBy(*natural).agg(F.count("*").alias("__rows"))
+        runs = counted.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows"), F.lit(RUN_ROWS).cast("long"))))
+        runs = runs.withColumn("__to", F.least(F.col("__from") + (RUN_ROWS - 1), F.col("__rows"))).hint("rebalance")
+        rows = runs.withColumn("__n", F.explode(F.sequence("__from", "__to")))
+        return rows.select(*df.columns, F.xxhash64(own, "__n").alias(id_col))
     number = F.row_number().over(Window.partitionBy(*natural).orderBy(F.lit(0)))
     return df.withColumn("__n", number).withColumn(id_col, F.xxhash64(own, "__n")).drop("__n")
 
@@ -36,6 +48,7 @@ def conversions(raw: DataFrame) -> DataFrame:
     return with_ingestion_timestamp(raw)
 
 
+# fixed values: the table's columns in their order
 EVENT_COLUMNS = ("event_id", "user_id", "feature_id", "feature_name", "event_type", "event_timestamp", "event_date", "ingestion_timestamp")
 
 
@@ -49,5 +62,10 @@ def feature_usage_events(raw: DataFrame) -> DataFrame:
 def unseen(new: DataFrame, table: DataFrame, natural: Sequence[str]) -> DataFrame:
     """The rows of new whose natural columns aren't in the table yet, each once: what makes a re-run harmless."""
     key = natural_id(*natural)
-    fresh = new.withColumn("__key", key).join(table.select(key.alias("__key")), "__key", "left_anti")
-    return fresh.dropDuplicates(["__key"]).drop("__key")
+    known = table.select(key.alias("__known_key"), *(F.col(c).alias(f"__known_{c}") for c in natural))
+    # by the key first, then by the columns themselves: records whose hashes are equal by chance stay
+    same = F.col("__key") == F.col("__known_key")
+    for c in natural:
+        same = same & F.col(c).eqNullSafe(F.col(f"__known_{c}"))
+    fresh = new.withColumn("__key", key).join(known, same, "left_anti")
+    return fresh.drop("__key").dropDuplicates([*natural])

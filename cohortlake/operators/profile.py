@@ -57,4 +57,11 @@ def raw_profile(df: DataFrame, *, corrupt: str | None = None) -> DataFrame:
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first n rows."""
     return df.orderBy(*order).limit(n)
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """One row: how many rows df has, and its columns with their types; what a preview says above its rows."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.agg(F.count("*").alias("n_rows")).withColumn("columns", F.lit(columns))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from cohortlake.sources import tables
 from cohortlake.sources.raw import CORRUPT, read_raw
@@ -30,13 +30,18 @@ def check_schema(df: DataFrame, expected: StructType, table: str) -> None:
         raise SchemaValidationError(f"{table}: type mismatch: {'; '.join(wrong)}")
 
 
-def check_table(spark: SparkSession, path: str, expected: StructType, table: str, *, min_rows: int = 1, keys: Sequence[str] = (), fmt: str = tables.FORMAT) -> int:
-    """Rows of a table that exists, has the schema and at least min_rows; with keys, that they are neither null nor repeated."""
+def check_table(spark: SparkSession, path: str, expected: StructType, table: str, *, min_rows: int = 1, keys: Sequence[str] = (), partition_by: Sequence[str] = (), fmt: str = tables.FORMAT) -> int:
+    """Rows of a table that exists, has the schema and at least min_rows; with keys, that they are neither null nor repeated.
+
+    The values of partition columns are text in folder names; a column in partition_by that is to be a string is one whatever its values look like.
+    """
     if not tables.exists(spark, path):
         raise DataValidationError(f"{table}: not found at {path}")
     try:
         # without the expected schema, so that it is the files' own that is checked
-        check_schema(tables.read(spark, path, fmt=fmt), _as_read_back(expected), table)
+        found = tables.read(spark, path, fmt=fmt)
+        text = [f.name for f in expected.fields if f.name in partition_by and isinstance(f.dataType, StringType) and f.name in found.columns]
+        check_schema(found.withColumns({c: F.col(c).cast("string") for c in text}), expected, table)
     except AnalysisException as e:
         if "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -53,11 +58,6 @@ def check_table(spark: SparkSession, path: str, expected: StructType, table: str
     return rows
 
 
-def _as_read_back(expected: StructType) -> StructType:
-    """Partition columns come back typed by their values, so a table partitioned by a date string can't be held to it."""
-    return StructType([f for f in expected.fields if f.name != "signup_date" or f.dataType.simpleString() != "string"])
-
-
 def check_raw(spark: SparkSession, path: str, expected: StructType, table: str, *, file_format: str = "json", options: Mapping[str, object] | None = None, max_corrupt: int | None = None) -> int:
     """Records of a raw file that is there and not empty; with max_corrupt, that no more of them fail to parse."""
     if not tables.exists(spark, path):

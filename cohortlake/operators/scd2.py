@@ -72,11 +72,25 @@ def ordered(history: DataFrame, key: str) -> DataFrame:
 
 
 def as_of_join(facts: DataFrame, history: DataFrame, key: str, date: Column, *, history_key: str | None = None, how: str = "inner") -> DataFrame:
-    """Facts with the version of their key valid on their date; an equi-join on the key with a range condition."""
-    renamed = history.withColumnRenamed(history_key or key, "__key")
-    at = facts.withColumn("__at", date)
-    on = (at[key] == renamed["__key"]) & (renamed["effective_from"] <= at["__at"]) & (renamed["effective_to"] > at["__at"])
-    return at.join(renamed, on, how).drop("__key", "__at")
+    """Facts with the version of their key valid on their date; ``how`` is inner or left.
+
+    Versions of a key follow each other, so a fact's is the last one begun: one pass over facts and versions in
+    the order of time, whose cost is the sum of both, not their product, however many a key has. A fact without
+    a key or date has no version.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
+    of_key = history_key or key
+    payload = [c for c in history.columns if c != of_key]
+    lines = facts.select(F.col(key).alias("__key"), date.alias("__at"), F.struct(*facts.columns).alias("__fact"))
+    begun = history.filter(F.col(of_key).isNotNull()).select(F.col(of_key).alias("__key"), F.col("effective_from").alias("__at"), F.struct(*payload).alias("__version"))
+    both = lines.unionByName(begun, allowMissingColumns=True)
+    # of what is on one day, versions come before facts, and the one that goes on comes last
+    in_time = Window.partitionBy("__key").orderBy("__at", F.col("__fact").isNotNull(), F.col("__version.effective_to")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__version", F.last("__version", ignorenulls=True).over(in_time)).filter("__fact IS NOT NULL")
+    valid = F.col("__at").isNotNull() & (F.col("__version.effective_to") > F.col("__at"))
+    found = found.filter(valid) if how == "inner" else found.withColumn("__version", F.when(valid, F.col("__version")))
+    return found.select("__fact.*", *(F.col(f"__version.{c}").alias(c) for c in payload))
 
 
 def _against(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -124,8 +138,27 @@ def apply_staged(history: DataFrame, staged: DataFrame, key: str) -> DataFrame:
 
 
 def apply(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The history after a batch of versions. A batch already in it changes nothing."""
-    return apply_staged(history, stage(history, incoming, key), key)
+    """The history after a batch of versions, as staging and merging it gives. A batch already in it changes nothing.
+
+    One pass: history and batch meet once, by the key, and every window below goes by the same key. A null key
+    is a key like others here.
+    """
+    payload = [c for c in history.columns if c not in ADDED and c != key]
+    both = history.withColumn("__new", F.lit(False)).unionByName(incoming.select(key, *payload, "effective_from", "record_hash").withColumn("__new", F.lit(True)), allowMissingColumns=True)
+    of_key = Window.partitionBy(key)
+    known = both.withColumns({"__from": F.max(F.when(~F.col("__new") & F.col("is_current"), F.col("effective_from"))).over(of_key), "__known": F.max(~F.col("__new")).over(of_key)})
+    # the current version and the batch's newer ones form the chain that is to be continued; other rows of the history stay as they are
+    takes = F.when(F.col("__new"), ~F.col("__known") | F.coalesce(F.col("effective_from") > F.col("__from"), F.lit(False))).otherwise(F.col("is_current"))
+    chain = known.withColumn("__chain", takes).filter("__chain OR NOT __new")
+    in_time = Window.partitionBy(key, "__chain").orderBy("effective_from", "__new")
+    changed = ~F.col("record_hash").eqNullSafe(F.lag("record_hash").over(in_time))
+    kept = chain.withColumn("__kept", ~F.col("__new") | changed).filter("__kept")
+    following = F.when(F.col("__chain"), F.lead("effective_from").over(in_time))
+    ended = kept.withColumn("__next", following).withColumns({
+        "is_enabled": F.coalesce("is_enabled", F.lit(True)),
+        "effective_to": F.coalesce("__next", "effective_to", F.lit(END_OF_TIME)),
+        "is_current": F.col("__chain") & F.col("__next").isNull()})
+    return ended.select(*history.columns)
 
 
 def rebuild(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -121,11 +121,11 @@ def gate_input(ws: Workspace, name: str) -> dict[str, int]:
     """Rows of each input, once all of them pass."""
     if name in RAW_FILES:
         return {name: quality.check_raw(ws.spark, f"{ws.raw}/{RAW_FILES[name]}", RAW[name], name, options=RAW_OPTIONS.get(name))}
-    return {other: quality.check_table(ws.spark, ws.path(other), TABLES[other], other, fmt=ws.fmt) for other in REGISTRY[name].depends_on}
+    return {other: quality.check_table(ws.spark, ws.path(other), TABLES[other], other, partition_by=PARTITIONS.get(other, ()), fmt=ws.fmt) for other in REGISTRY[name].depends_on}
 
 
 def gate_output(ws: Workspace, name: str) -> int:
-    return quality.check_table(ws.spark, ws.path(name), TABLES[name], name, keys=KEYS.get(name, ()), fmt=ws.fmt)
+    return quality.check_table(ws.spark, ws.path(name), TABLES[name], name, keys=KEYS.get(name, ()), partition_by=PARTITIONS.get(name, ()), fmt=ws.fmt)
 
 
 def run_table(ws: Workspace, name: str) -> int:

@@ -241,6 +241,10 @@ def q_preview_limit(spark, d):
     return profile.preview(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], 20)
 
 
+def q_table_summary(spark, d):
+    return profile.summary(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+
+
 def q_raw_profile(spark, d):
     """Events written as JSON lines, some of them broken, and profiled as raw records."""
     path = fresh_folder(spark, "raw-profile")
@@ -254,9 +258,13 @@ def q_raw_profile(spark, d):
 # --- whole runs over raw files made from the tables
 
 
-def _raw_files(spark, d) -> str:
+def _raw_files(spark, d, *, second_versions: bool = False) -> str:
+    """Raw files of the events; with second_versions, every third feature has another version 12 days after its first."""
     raw = fresh_folder(spark, "raw")
     features = features_of(spark, d).select(F.col("feature_id").alias("id"), F.col("feature_name").alias("name"), F.col("effective_from").cast("string").alias("release_date"), F.lit("v1.0").alias("version"))
+    if second_versions:
+        later = features.filter("id % 3 = 0").withColumns({"release_date": F.date_add(F.col("release_date").cast("date"), 12).cast("string"), "version": F.lit("v2.0")})
+        features = features.unionByName(later)
     catalogue = features.agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "name", "release_date", "version")))).alias("value"))  # a release file is one JSON array
     catalogue.write.text(f"{raw}/feature_releases.json")
     users_of(spark, d).select("user_id", F.lit("someone@example.com").alias("email"), F.coalesce(F.col("signup_date").cast("string"), F.lit("unknown")).alias("signup_date"), F.lit("1-10").alias("company_size"), F.lit("retail").alias("industry")).write.json(f"{raw}/user_signups.jsonl")
@@ -284,6 +292,15 @@ def q_pipeline_rerun(spark, d):
     return ws.read("feature_states").select("feature_id", "feature_name", "effective_from", "effective_to", "is_current")
 
 
+def q_pipeline_new_versions(spark, d):
+    """All tables, then again from raw files with new versions of some features, then a third time without anything new."""
+    base, first, second = fresh_folder(spark, "tables"), _raw_files(spark, d), _raw_files(spark, d, second_versions=True)
+    for raw in (first, second, second):
+        ws = registry.Workspace(spark, raw, base, as_of=AS_OF, dedupe=True)
+        registry.run_all(ws)
+    return ws.read("feature_states").select("feature_id", "feature_name", "version", "effective_from", "effective_to", "is_current")
+
+
 def q_stream_daily_counts(spark, d):
     raw, path = _raw_files(spark, d), fresh_folder(spark, "stream")
     for _ in range(2):  # the second run finds nothing new
@@ -394,10 +411,14 @@ ORACLE_SQL = {
       UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM dim GROUP BY c_nationkey UNION ALL SELECT 'current_plan', current_plan, count(*) FROM dim GROUP BY current_plan""",
     "q_partition_pruned_scan": "SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, count(*) AS n_orders, CAST(sum(o_custkey) AS BIGINT) AS custkeys FROM orders WHERE year(o_orderdate) >= 2000 GROUP BY ALL",
     "q_preview_limit": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
+    "q_table_summary": "SELECT count(*) AS n_rows, 'o_orderkey bigint, o_custkey bigint, o_orderstatus string' AS columns FROM orders",
     "q_raw_profile": """SELECT count(*) AS n_records, count(*) FILTER (event_id % 11 = 0) AS n_corrupt, count(*) FILTER (event_id % 11 = 0) AS null_event_id, count(*) FILTER (event_id % 11 = 0) AS null_user_id,
       count(*) FILTER (event_id % 11 = 0) AS null_event_type, count(*) FILTER (event_id % 11 = 0) AS null_value FROM events""",
     "q_pipeline_gold": f"WITH {_IMPACT} SELECT * FROM impact",
     "q_pipeline_rerun": f"WITH {_E} SELECT feature_id, feature_name, effective_from, DATE '9999-12-31' AS effective_to, true AS is_current FROM features",
+    "q_pipeline_new_versions": f"""WITH {_E}, v AS (
+      SELECT feature_id, feature_name, 'v1.0' AS version, effective_from FROM features UNION ALL SELECT feature_id, feature_name, 'v2.0', CAST(effective_from + 12 AS DATE) FROM features WHERE feature_id % 3 = 0
+    ) SELECT *, coalesce(lead(effective_from) OVER w, DATE '9999-12-31') AS effective_to, lead(effective_from) OVER w IS NULL AS is_current FROM v WINDOW w AS (PARTITION BY feature_id ORDER BY effective_from)""",
     "q_stream_daily_counts": f"""WITH {_E} SELECT event_date, event_type, count(*) AS n FROM (
       SELECT DISTINCT strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, user_id, feature_id, event_type, event_date FROM e WHERE event_type IN ('view', 'click')) GROUP BY ALL""",
 }

@@ -60,10 +60,17 @@ def append(df: DataFrame, path: str, *, partition_by: Iterable[str] = (), fmt: s
     return _written(df, save)
 
 
+def _rename(files, source, target) -> None:
+    """Hadoop's rename says by its result that it failed, and moves into a folder that is already there."""
+    if files.exists(target) or not files.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def overwrite(df: DataFrame, path: str, *, partition_by: Iterable[str] = (), replace_schema: bool = False, fmt: str = FORMAT) -> int:
     """Replaces the table and returns the rows written. df may read the table it replaces.
 
-    The rows go to a folder beside it, which is then renamed; readers see the old or the new files.
+    The rows go to a folder beside it first. The old folder is then set aside and the new one takes its name;
+    if that fails, the old one is put back. Between the two renames a reader finds no table, never half of one.
     """
     by = list(partition_by)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
@@ -79,13 +86,15 @@ def overwrite(df: DataFrame, path: str, *, partition_by: Iterable[str] = (), rep
     old, _ = _path(spark, path)
     if files.exists(old):
         aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-        files.rename(old, aside)
-        files.rename(new, old)
+        _rename(files, old, aside)
+        try:
+            _rename(files, new, old)
+        except Exception:
+            _rename(files, aside, old)
+            raise
         files.delete(aside, True)
     else:
         files.mkdirs(old.getParent())
-        files.rename(new, old)
+        _rename(files, new, old)
     spark.catalog.refreshByPath(path)
     return rows
-
-

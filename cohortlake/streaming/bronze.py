@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import day, event_time, natural_id
+from cohortlake.operators.ingest import EVENT_COLUMNS, with_ingestion_timestamp
 from cohortlake.schemas import RAW
 
 
@@ -15,7 +16,7 @@ def stream_events(spark: SparkSession, raw: str, *, late: str = "2 days") -> Dat
     typed = read.withColumn("event_timestamp", event_time("timestamp")).filter("event_timestamp IS NOT NULL")
     typed = typed.withColumns({"event_id": natural_id(*RAW["feature_usage_events"].names), "event_date": day("event_timestamp")})
     once = typed.withWatermark("event_timestamp", late).dropDuplicatesWithinWatermark(["event_id"])
-    return once.select("event_id", "user_id", "feature_id", "feature_name", "event_type", "event_timestamp", "event_date", F.current_timestamp().alias("ingestion_timestamp"))
+    return with_ingestion_timestamp(once).select(*EVENT_COLUMNS)
 
 
 def ingest_available(spark: SparkSession, raw: str, path: str, checkpoint: str, *, late: str = "2 days") -> None:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql.types import StructType
 
-from cohortlake.operators import quality
+from cohortlake.operators import profile, quality
 from cohortlake.sources import raw, tables
 
 SAMPLE = StructType().add("id", "integer").add("name", "string")
@@ -60,6 +60,41 @@ def test_overwrite_may_read_what_it_replaces(spark, two, tmp_path):
     assert tables.read(spark, path).count() == 4
 
 
+def test_overwrite_puts_the_old_table_back(spark, two, tmp_path, monkeypatch):
+    path, rename = str(tmp_path / "t"), tables._rename
+    tables.overwrite(two, path)
+
+    def fails_for_the_new_folder(files, source, target):
+        if ".staging-" in str(source):
+            raise OSError("no")
+        rename(files, source, target)
+
+    monkeypatch.setattr(tables, "_rename", fails_for_the_new_folder)
+    with pytest.raises(OSError):
+        tables.overwrite(two.limit(1), path)
+    assert tables.read(spark, path).count() == 2
+    monkeypatch.undo()
+    at, files = tables._path(spark, path)
+    with pytest.raises(OSError, match="could not be renamed"):  # Hadoop would move it inside
+        rename(files, at, at)
+
+
+def test_schema_of_partitioned_tables(spark, tmp_path):
+    schema = StructType().add("id", "integer").add("note", "string").add("day", "string")
+    tables.append(spark.createDataFrame([(1, "a", "2024-01-15")], schema), str(tmp_path / "t"), partition_by=["day"])
+    assert quality.check_table(spark, str(tmp_path / "t"), schema, "t", partition_by=["day"]) == 1
+    wrong = StructType().add("id", "integer").add("note", "integer").add("day", "string")
+    with pytest.raises(quality.SchemaValidationError, match="note"):
+        quality.check_table(spark, str(tmp_path / "t"), wrong, "t", partition_by=["day"])
+    with pytest.raises(quality.SchemaValidationError, match="day"):
+        quality.check_table(spark, str(tmp_path / "t"), schema, "t")
+
+
+def test_preview(spark, two):
+    assert [tuple(r) for r in profile.preview(two, ["name"], 1).collect()] == [(1, "a")]
+    assert tuple(profile.summary(two).first()) == (2, "id int, name string")
+
+
 def test_partitions_prune_and_keep_their_type(spark, tmp_path):
     path = str(tmp_path / "t")
     schema = StructType().add("id", "integer").add("day", "string")

@@ -3,6 +3,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlake.operators import ingest, quality
 from cohortlake.plans import registry
@@ -15,10 +16,10 @@ def raw(tmp_path):
     folder = tmp_path / "raw"
     folder.mkdir()
     lines = lambda rows: "".join(json.dumps(r) + "\n" for r in rows)
-    (folder / "feature_releases.json").write_text(json.dumps([{"id": 1, "name": "collab", "release_date": "2024-01-01", "version": "v1.0"}, {"id": 1, "name": "collab", "release_date": "2024-06-01", "version": "v2.0"}]))
-    (folder / "user_signups.jsonl").write_text(lines({"user_id": u, "email": f"u{u}@x", "signup_date": f"2024-06-{10 + u}", "company_size": "Small", "industry": "Tech"} for u in (1, 2)))
-    (folder / "feature_usage_events.jsonl").write_text(lines([{"timestamp": t, "user_id": 1, "feature_id": 1, "feature_name": "collab", "event_type": "click"} for t in ("2024-07-01 10:30:00", "2024-07-01 10:30:00", "bad")]))
-    (folder / "conversions.jsonl").write_text(lines([{"user_id": 1, "conversion_date": "2024-07-10", "plan": "Pro", "mrr": 99, "signup_date": "2024-06-11", "days_to_convert": 29, "used_real_time_collab": True}]))
+    (folder / "feature_releases.json").write_text(json.dumps([{"id": 1, "name": "boards", "release_date": "2024-01-01", "version": "r1"}, {"id": 1, "name": "boards", "release_date": "2024-06-01", "version": "r2"}]))
+    (folder / "user_signups.jsonl").write_text(lines({"user_id": u, "email": f"someone{u}@example.net", "signup_date": f"2024-06-{10 + u}", "company_size": "11-50", "industry": "retail"} for u in (1, 2)))
+    (folder / "feature_usage_events.jsonl").write_text(lines([{"timestamp": t, "user_id": 1, "feature_id": 1, "feature_name": "boards", "event_type": "click"} for t in ("2024-07-01 08:05:07", "2024-07-01 08:05:07", "bad")]))
+    (folder / "conversions.jsonl").write_text(lines([{"user_id": 1, "conversion_date": "2024-07-10", "plan": "team", "mrr": 41, "signup_date": "2024-06-11", "days_to_convert": 29, "used_real_time_collab": True}]))
     return str(folder)
 
 
@@ -27,7 +28,7 @@ def test_all_tables(spark, raw, tmp_path):
     assert registry.run_all(ws) == {"feature_releases": 2, "user_signups": 2, "feature_usage_events": 3, "conversions": 1, "feature_states": 2, "user_dim": 2, "feature_usage_facts": 1, "feature_conversion_impact": 2}
     for name, schema in TABLES.items():
         assert [(f.name, f.dataType) for f in ws.read(name).schema] == [(f.name, f.dataType) for f in schema]
-    assert {(r.cohort, r.total_users, r.avg_days_to_convert) for r in registry.lookup(ws, "collab").collect()} == {("used_feature", 1, 29.0), ("available_not_used", 1, None)}
+    assert {(r.cohort, r.total_users, r.avg_days_to_convert) for r in registry.lookup(ws, "boards").collect()} == {("used_feature", 1, 29.0), ("available_not_used", 1, None)}
     # another run appends to bronze, and leaves history and gold as they are
     before = ws.read("feature_conversion_impact").collect()
     assert registry.run_bronze(ws)["user_signups"] == 2 and registry.run_silver(ws)["feature_states"] == 2
@@ -57,6 +58,34 @@ def test_event_ids_are_stable_and_unique(spark, raw):
     assert ids[0] == ids[1] and len(set(ids[0])) == 3
 
 
+def test_new_versions_through_the_registry(spark, raw, tmp_path):
+    ws = registry.Workspace(spark, raw, str(tmp_path / "tables"), dedupe=True)
+    registry.run_all(ws)
+    releases = json.loads((Path(raw) / "feature_releases.json").read_text())
+    releases += [{"id": 1, "name": "boards", "release_date": "2024-09-01", "version": "r3"}, {"id": 2, "name": "exports", "release_date": "2024-08-01", "version": "r1"}]
+    (Path(raw) / "feature_releases.json").write_text(json.dumps(releases))
+    assert registry.run_all(ws)["feature_releases"] == 2
+    states = {(r.feature_id, r.version): (str(r.effective_to), r.is_current) for r in ws.read("feature_states").collect()}
+    assert states == {(1, "r1"): ("2024-06-01", False), (1, "r2"): ("2024-09-01", False), (1, "r3"): ("9999-12-31", True), (2, "r1"): ("9999-12-31", True)}
+
+
+def test_equal_records_are_numbered_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "RUN_ROWS", 3)
+    df = spark.createDataFrame([("a", None)] * 8 + [(None, "a"), ("", None), (None, None)], "x string, y string")
+    found = ingest.with_stable_id(df, ["x", "y"]).collect()
+    assert len(found) == 11 and len({r.event_id for r in found}) == 11 and sum(r.x == "a" for r in found) == 8
+    assert {r.event_id for r in found} == {r.event_id for r in ingest.with_stable_id(df.repartition(3), ["x", "y"]).collect()}
+    some = ingest.with_stable_id(df.withColumn("z", F.lit(1)), ["x", "y"]).collect()
+    assert {r.event_id for r in some} == {r.event_id for r in found}
+
+
+def test_records_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "natural_id", lambda *natural: F.lit(1))
+    known = spark.createDataFrame([("a", None)], "x string, y string")
+    new = spark.createDataFrame([("a", None), ("b", None), ("b", None), (None, "a")], "x string, y string")
+    assert sorted(map(repr, ingest.unseen(new, known, ["x", "y"]).collect())) == ["Row(x='b', y=None)", "Row(x=None, y='a')"]
+
+
 def test_stream_takes_each_file_once(spark, raw, tmp_path):
     path = str(tmp_path / "stream")
     (tmp_path / "incoming").mkdir()

@@ -78,6 +78,31 @@ def test_as_of_join(spark):
     assert sorted(r.version for r in scd2.as_of_join(uses, history, "feature_id", F.col("used")).collect()) == ["v1.0", "v2.0"]
 
 
+def test_as_of_join_equals_the_range_join(spark):
+    history = initial(spark, *((k, str(D("2024-01-01") + datetime.timedelta(7 * n * k)), f"v{n}") for k in (1, 2) for n in range(9)), (None, "2024-01-01", "v0"))
+    closed = history.filter("version <> 'v4'")  # a gap in which no version holds
+    uses = spark.createDataFrame([(k, D("2023-12-25") + datetime.timedelta(3 * n), f"use {n}") for k in (1, 2, 3, None) for n in range(50)] + [(1, None, "no day")], "feature_id int, used date, version string").withColumnRenamed("version", "what")
+    on = (F.col("feature_id") == F.col("k")) & (F.col("effective_from") <= F.col("used")) & (F.col("effective_to") > F.col("used"))
+    for how in ("inner", "left"):
+        wanted = uses.join(closed.withColumnRenamed("feature_id", "k"), on, how).drop("k")
+        found = scd2.as_of_join(uses, closed, "feature_id", F.col("used"), how=how)
+        assert found.columns == wanted.columns and sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+    with pytest.raises(ValueError):
+        scd2.as_of_join(uses, history, "feature_id", F.col("used"), how="right")
+
+
+def test_apply_equals_staging_and_merging(spark):
+    history = initial(spark, (1, "2024-03-01", "a"), (1, "2024-04-01", "b"), (2, "2024-03-01", "a"), (4, "2024-03-01", "a"), (5, "2024-03-01", "a"))
+    history = history.withColumn("is_current", F.col("is_current") & (F.col("feature_id") != 5))  # a key whose last version was ended
+    batch = versions(spark, (1, "2024-02-01", "late"), (1, "2024-04-01", "same day"), (1, "2024-05-01", "b"), (1, "2024-06-01", "c"), (1, "2024-07-01", "c"), (2, "2024-04-01", "x"), (2, "2024-05-01", "y"),
+                     (3, "2024-04-01", "n"), (3, "2024-05-01", "n"), (3, "2024-06-01", "m"), (5, "2024-09-01", "z"))
+    once = scd2.apply(history, batch, "feature_id")
+    assert once.columns == history.columns and once.dtypes == history.dtypes
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, scd2.apply_staged(history, scd2.stage(history, batch, "feature_id"), "feature_id").collect()))
+    assert rows_of(scd2.apply(once, batch, "feature_id")) == rows_of(once)
+    assert rows_of(scd2.apply(history.limit(0), batch, "feature_id")) == rows_of(scd2.apply_staged(history.limit(0), scd2.stage(history.limit(0), batch, "feature_id"), "feature_id"))
+
+
 def test_closing_a_row_twice_is_an_error(spark):
     history = initial(spark, (1, "2024-03-01", "v1.0"))
     staged = scd2.stage(history, versions(spark, (1, "2024-06-01", "v2.0")), "feature_id")

@@ -35,7 +35,7 @@ BLOCK = 256
 PACKET_IDS = 1 << 19
 GROUP_BYTES = 8 << 20
 #: Entries of the per-worker cache of encoded strings (of up to CACHE_CHARS).
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 64
 #: Words that the library is given in one string.
 JOINED = 128
@@ -85,7 +85,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         first = live * BLOCK + at[live]
         s = selector[first].astype(np.int64)
         word = s.astype(np.uint64) << np.uint64(60)
-        for one in np.unique(s[s > 1]):
+        for one in np.flatnonzero(np.bincount(s)[2:]) + 2:
             rows = np.flatnonzero(s == one)
             c, b = int(COUNTS[one]), int(BITS[one])
             taken = grid[first[rows][:, None] + np.arange(c)]
@@ -107,11 +107,11 @@ def unpack(words: np.ndarray, places: np.ndarray = (), escapes: np.ndarray = ())
     ends = np.cumsum(COUNTS[s])
     ids = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
     begins = ends - COUNTS[s]
-    for one in np.unique(s[s > 1]):
+    for one in np.flatnonzero(np.bincount(s)[2:]) + 2:
         rows = np.flatnonzero(s == one)
-        c, b = int(COUNTS[one]), int(BITS[one])
-        shifted = words[rows][:, None] >> (np.arange(c, dtype=np.uint64) * np.uint64(b))
-        ids[begins[rows][:, None] + np.arange(c)] = shifted & np.uint64((1 << b) - 1)
+        b, some, at = int(BITS[one]), words[rows], begins[rows]
+        for i in range(int(COUNTS[one])):
+            ids[at + i] = (some >> np.uint64(i * b)) & np.uint64((1 << b) - 1)
     ids[np.asarray(places, dtype=np.int64)] = np.asarray(escapes, dtype=np.uint64)
     return ids
 
@@ -156,19 +156,14 @@ class LibraryEncoder:
         self.begins = {first: np.zeros(max(vocabulary.values()) + 1, dtype=bool) for first in " \n"}
         self.begins[" "][[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.begins["\n"][[i for token, i in vocabulary.items() if token == "\u010a"]] = True
-        # ids of strings behind a space; what hasn't been asked for while young filled up is forgotten
+        # ids of strings behind a space
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.after_line: dict[str, bytes] = {}  # ids of words behind a line end, with it
         self.marks: dict[str, bytes] = {"": b""}
 
     def _known(self, strings: list[str]) -> list[bytes | None]:
-        found = list(map(self.young.get, strings))
-        missing = [s for s, x in zip(strings, found, strict=True) if x is None]
-        again = list(map(self.old.get, missing))
-        self.young.update({s: x for s, x in zip(missing, again, strict=True) if x is not None})
-        rest = iter(again)
-        return [next(rest) if x is None else x for x in found]
+        return list(map(self.young.get, strings, map(self.old.get, strings)))
 
     def _encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -188,32 +183,38 @@ class LibraryEncoder:
         return found
 
     def _learn(self, cuts: list[str]) -> dict[str, bytes]:
-        """The ids of cuts, which are then known, but for long ones."""
-        if len(self.young) + len(cuts) > CACHE_ENTRIES // 2:
-            self.young, self.old = {}, self.young
+        """The ids of cuts that aren't known; they are then, but for long ones."""
         if len(self.after_line) > CACHE_ENTRIES // 8:
             self.after_line.clear()
         if len(self.marks) > CACHE_ENTRIES // 64:
             self.marks = {"": b""}
-        lines, marks, found = self.after_line, self.marks, {}
-        parts = [WORD_AND_MARKS.fullmatch(c) if len(c) <= CACHE_CHARS else None for c in cuts]
-        split = [(c, *m.groups()) for c, m in zip(cuts, parts, strict=True) if m]
-        words = list({w for _, w, _, _, _ in split})
-        of = dict(zip(words, self._known(words), strict=True))
-        new = [w for w, ids in of.items() if ids is None]
-        of.update(zip(new, self._encode_after(" ", new), strict=True))
-        new = [w for w in {w for _, _, _, w, _ in split if w} if w not in lines]
+        lines, marks, words, split, odd = self.after_line, self.marks, set(), [], []
+        for c in cuts:
+            if len(c) > CACHE_CHARS:
+                odd.append(c)
+            elif c.isascii() and c.isalpha():
+                words.add(c)
+            elif m := WORD_AND_MARKS.fullmatch(c):
+                split.append((c, m.groups()))
+                words.add(m[1])
+            else:
+                odd.append(c)
+        words = list(words)
+        found = dict(zip(words, self._known(words), strict=True))
+        new = [w for w, ids in found.items() if ids is None]
+        found.update(zip(new, self._encode_after(" ", new), strict=True))
+        new = [w for w in {x[2] for _, x in split if x[2]} if w not in lines]
         lines.update(zip(new, self._encode_after("\n", new), strict=True))
-        new = [m for m in {m for x in split for m in (x[2], x[4] or "")} if m not in marks]
+        new = [m for m in {m for _, x in split for m in (x[1], x[3] or "")} if m not in marks]
         marks.update(zip(new, self._encode_each(new), strict=True))
-        for c, word, behind, line, end in split:
-            found[c] = of[word] + marks[behind] + (lines[line] + marks[end] if line else b"")
-        odd, long = [c for c, m in zip(cuts, parts, strict=True) if not m], {}
-        for c, ids in zip(odd, self._encode_each([" " + c for c in odd]), strict=True):
-            (found if len(c) <= CACHE_CHARS else long)[c] = ids
-        self.young.update(of)
+        for c, (word, behind, line, end) in split:
+            found[c] = found[word] + marks[behind] + (lines[line] + marks[end] if line else b"")
+        found.update(zip(odd, self._encode_each([" " + c for c in odd]), strict=True))
         self.young.update(found)
-        return found | long
+        for c in odd:
+            if len(c) > CACHE_CHARS:
+                del self.young[c]
+        return found
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), each with the ids of ``end`` behind, and where each text's begin; one number more than texts."""
@@ -242,6 +243,8 @@ class LibraryEncoder:
         learned = self._learn([strings[i] for i in new])
         for i in new:
             known[i] = learned[strings[i]]
+        if len(self.young) > CACHE_ENTRIES // 2:  # what this group asked for stays, the rest will be forgotten if it isn't asked for again
+            self.young, self.old = {s: x for s, x in zip(strings, known, strict=True) if x is not None and len(s) <= CACHE_CHARS}, self.young
         known = [x or b"" for x in known]  # a string that only begins texts isn't asked for behind a space
         ids = [*known, *self._encode_each(heads), end]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -355,15 +358,16 @@ def read_ids(spark: SparkSession, path: str, *, id_type: str = "bigint", only: S
                 begins = ends - np.asarray(counts)
                 if wanted is None:
                     ids = unpack(words, places, escapes).astype("<u4")
-                    taken, found = range(len(keys)), [ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
+                    taken, offsets = range(len(keys)), np.concatenate([[0], ends * 4]).astype("<i4" if len(ids) < 1 << 29 else "<i8")
+                    found = pa.Array.from_buffers(pa.binary() if offsets.itemsize == 4 else pa.large_binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
                 else:
                     starts = batch.column(7)[i].values.to_numpy()
                     taken = [j for j, key in enumerate(keys) if key in wanted]
-                    found = [unpack_part(words, starts, places, escapes, n_ids, int(begins[j]), int(ends[j])).astype("<u4").tobytes() for j in taken]
+                    found = pa.array([unpack_part(words, starts, places, escapes, n_ids, int(begins[j]), int(ends[j])).astype("<u4").tobytes() for j in taken], pa.binary())
                 n = len(taken)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * n, pa.int32()), pa.array([packet] * n, pa.int32()), pa.array([keys[j] for j in taken], arrow_id), pa.array(taken, pa.int32()), pa.array(first + begins[list(taken)], pa.int64()),
-                     pa.array(found, pa.binary())],
+                     found],
                     names=["shard", "packet", "doc_id", "place", "offset", "ids"])
 
     docs = packets.mapInArrow(run, f"shard int, packet int, doc_id {id_type}, place int, offset long, ids binary")

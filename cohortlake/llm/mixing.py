@@ -5,12 +5,14 @@ alike) and 1 (shares as they are), normalised. The exponent is bisected until th
 or the epochs of the source repeated most, meet a target. A token budget then gives each source its
 epochs. They are realised as permutations of blocks of documents: every document is taken once for
 each whole epoch, and in the last, partial epoch blocks are taken in a keyed random order, the block
-at the edge document by document, until the source's budget is used up.
+at the edge document by document, until the source's budget is used up. Where that happens, the edge, is
+all that has to be known of a source: rows are then decided one by one, without moving.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.stage import Scratch
 
-#: Blocks of documents of one source; a window orders at most so many rows, or one block's documents.
-BLOCKS = 1_024
+#: A source has a block for so many tokens or documents, whichever are more.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 16, 1 << 12
+#: Bits of a keyed hash, and of its beginning, by which blocks are summed before single ones are ordered.
+HASH_BITS, GROUP_BITS = 60, 12
 
 
 @dataclass(frozen=True)
@@ -95,45 +99,81 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     sources. budget_share is the budget as a share of all tokens. Null is a source of its own. Rows of no
     tokens cost nothing and are taken for each epoch begun; with most_epochs and no budget, sources of no
     tokens at all are taken once. A column of docs with one of the added names
-    is replaced. Equal rows count each; those with equal id and text get equal copies but for the edge,
-    where order among them is by chance of the row's place.
+    is replaced. Equal rows count each; those with equal id and text get equal copies. What is known of a
+    source, a few numbers, is held by the driver and broadcast.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
     own = [c for c in docs.columns if c not in ("n_tokens", "block", "copies")]
-    counted = docs.withColumn("n_tokens", word_count(F.col(text_col)) if tokens is None else tokens).select(*own, "n_tokens")
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    counted = counted.withColumns({"block": F.pmod(key, F.lit(BLOCKS)).cast("int"), "__key": key})
+    counts = word_count(F.col(text_col)) if tokens is None else tokens
+    key = keyed_hash(F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    slim = scratch.keep(docs.select(F.col(source_col).alias("source"), key.alias("key"), counts.cast("long").alias("n")), "slim")
 
-    # a row for each source and block, however many documents: all that the windows below order
-    blocks = scratch.keep(counted.groupBy(F.col(source_col).alias("__source"), "block").agg(F.sum("n_tokens").alias("n")), "blocks")
-    totals = {r["__source"]: r["n"] for r in blocks.groupBy("__source").agg(F.sum("n").alias("n")).collect()}  # one number for each source
+    found = slim.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()  # a row for each source
+    totals = {r["source"]: r["n"] for r in found}
     if budget_share is not None:
         budget = round(budget_share * sum(totals.values()))
     target = least_entropy_share * math.log(len(totals)) if least_entropy_share is not None and totals else least_entropy_share
     mixture = solve(totals, least_entropy=target, most_epochs=most_epochs, budget=budget)
     # without a budget everything is taken once at least, and what has no tokens costs nothing
     takes_all = most_epochs is not None and budget is None
-
-    spark = docs.sparkSession
-    plan = [(s, 1, 0) if takes_all and not totals[s] else (s, int(e + 1e-9), round((e - int(e + 1e-9)) * totals[s])) for s, e in mixture.epochs.items()]
+    plan = []
+    for r in found:
+        epochs = 1.0 if takes_all and not r["n"] else mixture.epochs[r["source"]]
+        whole = int(epochs + 1e-9)
+        plan.append((r["source"], whole, round((epochs - whole) * r["n"]), max(1, -(-r["n"] // BLOCK_TOKENS), -(-r["rows"] // BLOCK_ROWS))))
     source_type = docs.schema[source_col].dataType.simpleString()
-    epochs = spark.createDataFrame(plan, f"__source {source_type}, whole int, part long")
-    turn = F.xxhash64(F.lit(seed), F.lit("turn"), "__source", "block")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.withColumn("before", before).join(F.broadcast(epochs), blocks["__source"].eqNullSafe(epochs["__source"])).select(
-        blocks["__source"], "block", "whole", F.greatest(F.lit(0), F.col("part") - F.col("before")).alias("room"), "n")
-    placed = scratch.keep(placed, "placed")
-    # at most BLOCKS rows a source, from the table just written
-    joined = counted.join(F.broadcast(placed.withColumnRenamed("block", "__block")), F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block")))
-
-    out = [*own, "n_tokens", "block"]
-    settled = joined.filter((F.col("room") >= F.col("n")) | (F.col("room") <= 0))
-    settled = settled.select(*out, (F.col("whole") + F.when((F.col("room") >= F.col("n")) & ((F.col("room") > 0)), 1).otherwise(0)).alias("copies"))
-    # the edge: one block of each source, in the order of the key while there is room
-    w = Window.partitionBy("__source").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.filter((F.col("room") < F.col("n")) & (F.col("room") > 0)).withColumn("__sum", F.sum("n_tokens").over(w))
-    edge = edge.select(*out, (F.col("whole") + (F.col("__sum") <= F.col("room")).cast("int")).alias("copies"))
-    return settled.unionAll(edge)
+    sources = spark.createDataFrame(plan, f"of {source_type}, whole int, part long, n_blocks long")
+    block = F.pmod("key", "n_blocks")
+    edges = _edges(scratch, slim.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", block).filter("part > 0"), seed)
+    edges = scratch.keep(sources.join(edges.withColumnRenamed("source", "at"), F.col("of").eqNullSafe(F.col("at")), "left").drop("at"), "edges")
+
+    rows = docs.select(*own, counts.cast("long").alias("n_tokens"), key.alias("key"), F.col(source_col).alias("__source"))
+    rows = rows.toDF(*(f"c{i}" for i in range(len(own))), "n_tokens", "key", "source")
+    joined = rows.join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", block)  # a row for each source
+    turn = block_turn(seed, "source", "block")
+    before = (turn < F.col("edge_turn")) | ((turn == F.col("edge_turn")) & (F.col("block") < F.col("edge_block")))
+    last = F.when(F.col("part") <= 0, 0).when(F.col("edge_turn").isNull() | before, 1)
+    last = last.when((turn == F.col("edge_turn")) & (F.col("block") == F.col("edge_block")) & (F.col("key") <= F.col("edge_key")), 1).otherwise(0)
+    return joined.select(*(f"c{i}" for i in range(len(own))), "n_tokens", "block", (F.col("whole") + last).alias("copies")).toDF(*own, "n_tokens", "block", "copies")
+
+
+def keyed_hash(*parts: Column) -> Column:
+    """HASH_BITS bits of the parts' md5; nulls are skipped."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def block_turn(seed: int, source: str, block: str) -> Column:
+    """A block's place in its source's permutation; blocks of one hash go by their number."""
+    return keyed_hash(F.lit(str(seed)), F.lit("turn"), F.col(block).cast("string"), F.col(source).cast("string"))
+
+
+def _edges(scratch: Scratch, slim: DataFrame, seed: int) -> DataFrame:
+    """(source, edge_turn, edge_block, edge_key): the block in which ``part`` is used up, and the last key of it that still fits (null: none).
+
+    Blocks are summed by the beginning of their hash first, so that no window orders all blocks of a source.
+    """
+
+    def first(df: DataFrame, order: Sequence[str]) -> DataFrame:
+        """The first row of each source after which part is used up; part becomes what is left there."""
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        over = df.withColumn("before", before).filter("before >= part OR before + n > part")
+        top = over.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(*order))).filter("rank = 1")
+        return top.select("source", *order, F.greatest(F.lit(0), F.col("part") - F.col("before")).alias("part"))
+
+    blocks = slim.groupBy("source", "block").agg(F.sum("n").alias("n"), F.first("part").alias("part")).withColumn("turn", block_turn(seed, "source", "block"))
+    blocks = scratch.keep(blocks.withColumn("group", F.shiftright("turn", HASH_BITS - GROUP_BITS)), "blocks")
+    group = first(blocks.groupBy("source", "group").agg(F.sum("n").alias("n"), F.first("part").alias("part")), ["group"])
+    group = group.select(F.col("source").alias("of"), F.col("group").alias("chosen"), F.col("part").alias("left"))
+    inside = blocks.join(F.broadcast(group), F.col("source").eqNullSafe(F.col("of")) & (F.col("group") == F.col("chosen")))  # a row for each source
+    edge = scratch.keep(first(inside.select("source", "turn", "block", "n", F.col("left").alias("part")), ["turn", "block"]), "edge")
+    asked = edge.select(F.col("source").alias("of"), F.col("block").alias("chosen"), F.col("part").alias("room"))
+    docs = slim.select("source", "key", "n", "block").join(F.broadcast(asked), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("chosen"))).filter("room > 0")
+    keys = docs.groupBy("source", "key").agg(F.sum("n").alias("n"), F.first("room").alias("room"))  # equal rows share their fate
+    taken = keys.withColumn("sum", F.sum("n").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))).filter("sum <= room")
+    last = taken.groupBy("source").agg(F.max("key").alias("edge_key")).withColumnRenamed("source", "of")
+    found = edge.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("of")), "left")
+    return found.select("source", F.col("turn").alias("edge_turn"), F.col("block").alias("edge_block"), "edge_key")
 
 
 def realise(mixed: DataFrame) -> DataFrame:

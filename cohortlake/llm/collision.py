@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.llm.stage import Scratch
-from cohortlake.llm.vectors import dimensions, usable
+from cohortlake.llm.vectors import dimensions, scaled, usable
 
 PROJECTIONS = 64
 #: Share of the projections that must collide, and share of a shard's vectors verified before the windows stop widening.
@@ -31,37 +31,39 @@ COLLIDES, VERIFIED = 0.8, 0.08
 WIDENS = 1.05
 #: Lengths of one range differ by this factor at most, unless it holds so few vectors that all are verified.
 RANGE = 1.1
-SHARD_ROWS, BLOCK_ROWS = 16_384, 4_096
+#: Bytes of a shard's vectors, and of a block's; shards are smaller, but of SMALL_SHARD rows at least, where that employs more cores.
+PART_BYTES, SMALL_SHARD = 16 << 20, 4_096
+#: Steps of widening after which all rows are verified instead.
+MOST_STEPS = 400
 
 
 class ProjectionIndex:
     """Sorted projections of one shard's vectors."""
 
     def __init__(self, vectors: np.ndarray, longest: float, seed: int = 1):
-        self.vectors = vectors
         rest = np.sqrt(np.maximum(0.0, longest**2 - (vectors**2).sum(axis=1)))
         lines = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, PROJECTIONS))
         lines = np.linalg.qr(lines)[0] if lines.shape[0] >= PROJECTIONS else lines / np.linalg.norm(lines, axis=0)
         self.lines = lines[:-1]
         projected = vectors @ lines[:-1] + rest[:, None] * lines[-1]
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.intp, order="C")
+        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32, order="C")
         self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
 
     def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """For each query, the rows that collide with it in COLLIDES of the windows, once these hold enough rows."""
-        n = len(self.vectors)
+        n = self.order.shape[1]
         wanted = min(n, max(10 * k, int(np.ceil(VERIFIED * n))))
         if wanted == n:
             yield from (np.arange(n) for _ in queries)
             return
         least = int(np.ceil(COLLIDES * PROJECTIONS))
-        radius = 0.1 * float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
+        first_radius = radius = 0.1 * float(np.median(self.sorted[:, -1] - self.sorted[:, 0]))
         found: np.ndarray = np.empty(0, np.int64)
         for centre in queries @ self.lines:
             # a query begins with the windows that the last one needed, narrower if they held too much
             if len(found) > 1.3 * wanted:
                 radius /= WIDENS
-            while True:
+            for _ in range(MOST_STEPS):
                 # wide windows hold most rows: it is those outside that are counted
                 outside = []
                 for row, order, c in zip(self.sorted, self.order, centre, strict=True):
@@ -72,45 +74,58 @@ class ProjectionIndex:
                 if len(found) >= wanted or not len(missing):
                     break
                 radius *= WIDENS
+            else:
+                radius, found = first_radius, np.arange(n)
             yield found
 
-    def nearest(self, query: np.ndarray, rows: np.ndarray, own: np.ndarray | None, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k of the rows, all verified, by exact product and then id."""
-        if own is not None:
-            rows = rows[~own[rows]]
-        scores = self.vectors[rows] @ query
-        if len(rows) > k:  # all that tie with the k-th stay until ids decide
-            worst = np.partition(scores, len(rows) - k)[len(rows) - k]
-            rows, scores = rows[scores >= worst - 1e-12 * max(1.0, abs(worst))], scores[scores >= worst - 1e-12 * max(1.0, abs(worst))]
-        scores = (self.vectors[rows] * query).sum(axis=1)
-        best = np.lexsort((ids[rows], -scores))[:k]
-        return rows[best], scores[best]
+
+def verified(vectors: np.ndarray, query: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of the rows by exact product and then id. A product that is no number, of infinities of both signs, counts as the least."""
+    scores = np.nan_to_num(vectors[rows] @ query, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    if len(rows) > k:  # all that tie with the k-th stay until ids decide
+        worst = np.partition(scores, len(rows) - k)[len(rows) - k]
+        near = scores >= (worst - 1e-12 * max(1.0, abs(worst)) if np.isfinite(worst) else worst)
+        rows = rows[near]
+    scores = np.nan_to_num((vectors[rows] * query).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    best = np.lexsort((ids[rows], -scores))[:k]
+    return rows[best], scores[best]
 
 
 def nearest_of_shard(vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray, queries: np.ndarray, query_numbers: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, the rows and products of the best k found, its own row (the one of its number) aside."""
-    lengths = np.sqrt((vectors**2).sum(axis=1))
-    query_lengths = np.sqrt((queries**2).sum(axis=1))
-    order = np.argsort(-lengths, kind="stable")
-    descending = lengths[order]
-    found = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
-    at = 0
-    while at < len(order):
-        end = int(np.searchsorted(-descending, -descending[at] / RANGE, side="right"))
-        end = min(len(order), max(end, at + 10 * (k + 1)))
-        # a range that can't hold a product as large as the k-th best has nothing for this query, nor have those after it
-        asks = np.array([i for i, (_, scores) in enumerate(found) if len(scores) < k or query_lengths[i] * descending[at] * (1 + 1e-9) >= scores[-1]], dtype=np.int64)
-        if not len(asks):
-            break
-        rows = np.sort(order[at:end])
-        index = ProjectionIndex(vectors[rows], float(descending[at]))
-        for i, likely in zip(asks, index.candidates(queries[asks], k + 1), strict=True):
-            own = numbers[rows] == query_numbers[i]
-            best, scores = index.nearest(queries[i], likely, own if own.any() else None, ids[rows], k)
-            best, scores = np.concatenate([found[i][0], rows[best]]), np.concatenate([found[i][1], scores])
-            first = np.lexsort((ids[best], -scores))[:k]
-            found[i] = best[first], scores[first]
-        at = end
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        # lengths and hashes are taken of scaled vectors, whose squares neither vanish nor overflow; products of the original ones
+        largest, asked = np.abs(vectors).max(axis=1), scaled(queries)
+        size = largest.max()
+        lengths = largest / size * np.sqrt((scaled(vectors) ** 2).sum(axis=1))
+        own_lengths = np.sqrt((asked**2).sum(axis=1))
+        query_lengths = own_lengths * np.abs(queries).max(axis=1)
+        order = np.argsort(-lengths, kind="stable")
+        descending = lengths[order]
+        own = {number: row for row, number in enumerate(numbers.tolist())}
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
+        at = 0
+        while at < len(order):
+            end = int(np.searchsorted(-descending, -descending[at] / RANGE, side="right"))
+            end = min(len(order), max(end, at + 10 * (k + 1)))
+            # a range that can't hold a product as large as the k-th best has nothing for this query, nor have those after it
+            asks = np.array([i for i, (_, scores) in enumerate(found) if len(scores) < k or query_lengths[i] * descending[at] * size * (1 + 1e-9) >= scores[-1]], dtype=np.int64)
+            if not len(asks):
+                break
+            rows = np.sort(order[at:end])
+            hashed = vectors[rows] / largest[rows].max()
+            longest = float(np.sqrt((hashed**2).sum(axis=1)).max())
+            index = ProjectionIndex(hashed, longest)
+            # a query's own length doesn't change the order of its products: windows are centred as if it were as long as the range
+            centred = asked[asks] * (longest / own_lengths[asks])[:, None]
+            for i, likely in zip(asks, index.candidates(centred, k + 1), strict=True):
+                likely = rows[likely]
+                likely = likely[likely != own.get(int(query_numbers[i]), -1)]
+                best, scores = verified(vectors, queries[i], likely, ids, k)
+                best, scores = np.concatenate([found[i][0], best]), np.concatenate([found[i][1], scores])
+                first = np.lexsort((ids[best], -scores))[:k]
+                found[i] = best[first], scores[first]
+            at = end
     return found
 
 
@@ -128,7 +143,8 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id",
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     n, asks = rows.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asks // BLOCK_ROWS))
+    part_rows = max(1, PART_BYTES // (8 * max(1, dims)))
+    shards, blocks = max(1, -(-n // part_rows), min(spark.sparkContext.defaultParallelism, -(-n // SMALL_SHARD))), max(1, -(-asks // part_rows))
 
     row_hash = F.xxhash64("row")
     # every block of queries meets every shard: each side is sent once for each part of the other

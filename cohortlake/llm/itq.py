@@ -1,10 +1,12 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal directions, learned on a bounded sample, turns each vector into a binary
-code of balanced bits. The code is cut into substrings, one table for each; two codes that differ
-little agree, up to a few bits, in some substring. Pairs found so are screened by Hamming distance
-and reranked with the original vectors. How far codes of a pair differ depends on the data (the mean is
-taken off before), so it is measured on pairs made at the threshold.
+code of balanced bits; further rotations, learned from other beginnings, lengthen the code. It is cut into
+substrings, one table for each; two codes that differ little agree, up to a few bits, in some substring.
+Pairs found so are screened by Hamming distance and reranked with the original vectors. How far codes of
+a pair differ depends on the data (the mean is taken off before), so it is measured on pairs made at the
+threshold. With more vectors substrings get longer and tables more (about n ** 0.15 at a cosine of 0.95),
+so that tables stay sparse and few bits have to be flipped.
 """
 
 from __future__ import annotations
@@ -14,31 +16,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.graph import apart, components
 from cohortlake.llm.stage import Scratch
-from cohortlake.llm.vectors import dimensions, matrix, usable
+from cohortlake.llm.vectors import dimensions, matrix, scaled, unit, usable
 
 #: Vectors that the rotation is learned on, and its iterations.
-SAMPLE, ITERATIONS = 20_000, 50
+SAMPLE, ITERATIONS = 20_000, 30
 #: Share of pairs just at the threshold that are found, measured on partners of the sample's vectors.
 RECALL = 0.99
+#: Rotations at most, each of up to 64 bits.
+ROTATIONS = 16
 
 
-def learn(sample: np.ndarray, bits: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and rotation (dims x bits): principal directions, turned so that signs lose least."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = unit.mean(axis=0)
-    _, vectors = np.linalg.eigh((unit - mean).T @ (unit - mean))
+def learn(sample: np.ndarray, bits: int, rotations: int = 1, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Mean, and rotations (dims x bits * rotations): principal directions, turned so that signs lose least."""
+    rows = unit(sample)
+    mean = rows.mean(axis=0)
+    _, vectors = np.linalg.eigh((rows - mean).T @ (rows - mean))
     directions = vectors[:, ::-1][:, :bits]
-    projected = (unit - mean) @ directions
-    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-    for _ in range(ITERATIONS):
-        u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
-        turn = (u @ v).T
-    return mean, directions @ turn
+    projected, rng, found = (rows - mean) @ directions, np.random.default_rng(seed), []
+    for _ in range(rotations):
+        turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
+        for _ in range(ITERATIONS):
+            u, _, v = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
+            turn = (u @ v).T
+        found.append(directions @ turn)
+    return mean, np.concatenate(found, axis=1)
 
 
 def differing(sample: np.ndarray, mean: np.ndarray, rotation: np.ndarray, threshold: float, seed: int = 1) -> list[np.ndarray]:
@@ -47,35 +53,44 @@ def differing(sample: np.ndarray, mean: np.ndarray, rotation: np.ndarray, thresh
     The partners lie in the directions in which the sample's vectors differ, and in any direction.
     """
     rng = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    unit = unit[np.arange(SAMPLE) % len(unit)]
+    rows = unit(sample)
+    rows = rows[np.arange(SAMPLE) % len(rows)]
     found = []
-    for away in (unit[rng.permutation(len(unit))] - unit, rng.normal(size=unit.shape)):
-        away = away - (away * unit).sum(axis=1, keepdims=True) * unit
+    for away in (rows[rng.permutation(len(rows))] - rows, rng.normal(size=rows.shape)):
+        away = away - (away * rows).sum(axis=1, keepdims=True) * rows
         size = np.linalg.norm(away, axis=1, keepdims=True)
         usable = size[:, 0] > 1e-9
         if usable.any():
-            one = unit[usable]
+            one = rows[usable]
             other = threshold * one + math.sqrt(max(0.0, 1 - threshold**2)) * away[usable] / size[usable]
             found.append(((one - mean) @ rotation >= 0) != ((other - mean) @ rotation >= 0))
     return found or [np.zeros((1, rotation.shape[1]), dtype=bool)]
 
 
-def plan(differ: list[np.ndarray], n: int) -> tuple[list[int], int, int]:
-    """Widths of the substrings, flips tried in each, and the largest Hamming distance: the least work that finds RECALL of the differing pairs."""
-    bits = differ[0].shape[1]
+def plan(differ: list[np.ndarray], bits: int, n: int) -> tuple[int, int, int, int]:
+    """Width of a substring, number of tables, flips tried in each, and the largest Hamming distance in the rotations used: the least
+    work that finds RECALL of the differing pairs. Differ has ``bits`` columns for each rotation; a substring is never cut across two."""
     sums = [np.pad(np.cumsum(d, axis=1), ((0, 0), (1, 0))) for d in differ]
-    best = None
-    for tables in range(1, min(bits, 16) + 1):
-        widths = [bits // tables + (i < bits % tables) for i in range(tables)]
-        ends = np.concatenate([[0], np.cumsum(widths)])
-        least = [np.diff(s[:, ends], axis=1).min(axis=1) for s in sums]
-        flips = next(r for r in range(max(widths) + 1) if all((m <= r).mean() >= RECALL for m in least))
-        work = sum(sum(math.comb(w, i) for i in range(flips + 1)) * n * (1 + n / 2**w) for w in widths)
-        if best is None or work < best[0]:
-            best = work, widths, flips
-    distance = next(h for h in range(bits + 1) if all((s[:, -1] <= h).mean() >= 0.9995 for s in sums))
-    return best[1], best[2], distance
+    rotations, best = differ[0].shape[1] // bits, None
+    for width in range(min(bits, 4), min(bits, 40) + 1):
+        begins = np.array([r * bits + i * width for r in range(rotations) for i in range(bits // width)])
+        # the fewest differing bits in any of the first tables
+        least = [np.minimum.accumulate(s[:, begins + width] - s[:, begins], axis=1) for s in sums]
+        for flips in range(3):
+            enough = [(m <= flips).mean(axis=0) >= RECALL for m in least]
+            if all(e.any() for e in enough):
+                tables = 1 + max(int(np.argmax(e)) for e in enough)
+                probes = sum(math.comb(width, i) for i in range(flips + 1))
+                work = tables * n * (1 + probes * (1 + n / 2**width))
+                if best is None or work < best[0]:
+                    best = work, width, tables, flips
+    if best is None:  # no substring is likely enough to agree: one table of the first bits, all flips
+        flips = next(f for f in range(bits + 1) if all((s[:, bits] <= f).mean() >= RECALL for s in sums))
+        best = 0, bits, 1, flips
+    _, width, tables, flips = best
+    used = -(-tables // (bits // width)) * bits
+    distance = next(h for h in range(used + 1) if all((s[:, used] <= h).mean() >= 0.9995 for s in sums))
+    return width, tables, flips, distance
 
 
 def _flip_masks(width: int, flips: int) -> list[int]:
@@ -108,9 +123,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     bits = min(dims, 64)
     if n:
         sample = np.stack([*sample])
-        mean, rotation = learn(sample, bits)
-        how = plan(differing(sample, mean, rotation, threshold), n)
-        links = _links(scratch, classes, mean, rotation, how, dims, threshold)
+        mean, rotation = learn(sample, bits, min(ROTATIONS, math.ceil(n**0.15)))
+        how = plan(differing(sample, mean, rotation, threshold), bits, n)
+        links = _links(scratch, classes, mean, rotation, bits, how, dims, threshold)
         found = components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), scratch, "components")
         both = links.select(F.col("a").alias("node"), F.col("copies_b").alias("n")).unionAll(links.select("b", "copies_a"))
         counts = both.groupBy("node").agg(F.sum("n").alias("linked"))
@@ -124,43 +139,47 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def _links(scratch: Scratch, classes: DataFrame, mean: np.ndarray, rotation: np.ndarray, how: tuple[list[int], int, int], dims: int, threshold: float) -> DataFrame:
-    widths, flips, distance = how
-    bits = rotation.shape[1]
-    weights = (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+def _links(scratch: Scratch, classes: DataFrame, mean: np.ndarray, rotation: np.ndarray, bits: int, how: tuple[int, int, int, int], dims: int, threshold: float) -> DataFrame:
+    width, tables, flips, distance = how
+    each = bits // width
+    codes = -(-tables // each)
+    rotation = rotation[:, :codes * bits]
+    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    names = [f"code{i}" for i in range(codes)]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column(1), dims)
-            signs = (v / np.linalg.norm(v, axis=1, keepdims=True) - mean) @ rotation >= 0
-            codes = (signs * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes)], names=["node", "code"])
-
-    coded = scratch.keep(classes.select("node", "v").mapInArrow(code, "node long, code long"), "codes")
-
-    starts = [sum(widths[:i]) for i in range(len(widths))]
-    part = [F.shiftrightunsigned("code", s).bitwiseAND((1 << w) - 1 if w < 64 else -1) for s, w in zip(starts, widths, strict=True)]
-    tables = coded.select("node", "code", F.posexplode(F.array(*part)).alias("t", "part"))
-    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in _flip_masks(w, flips)]) for w in widths])
-    probes = tables.select(F.col("node").alias("a"), F.col("code").alias("code_a"), "t", F.explode(masks[F.col("t")]).alias("mask"), "part")
-    probes = probes.select("a", "code_a", "t", F.col("part").bitwiseXOR(F.col("mask")).alias("part"))
-    pairs = probes.join(tables.select(F.col("node").alias("b"), F.col("code").alias("code_b"), "t", "part"), ["t", "part"]).filter("a < b")
-    apart_by = F.col("code_a").bitwiseXOR(F.col("code_b"))
+            signs = (unit(matrix(batch.column(1), dims)) - mean) @ rotation >= 0
+            found = (signs.reshape(len(signs), codes, bits) * weights).sum(axis=2, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(codes))], names=["node", *names])
+
+    coded = scratch.keep(classes.select("node", "v").mapInArrow(code, "node long, " + ", ".join(f"{c} long" for c in names)), "codes")
+    mask = (1 << width) - 1 if width < 64 else -1
+
+    def part(of: Column | str, t: int) -> Column:
+        """Substring t of a code."""
+        return F.shiftrightunsigned(of, t % each * width).bitwiseAND(mask)
+
+    listed = coded.select("node", *names, F.posexplode(F.array(*[part(names[t // each], t) for t in range(tables)])).alias("t", "part"))
+    masks = F.array(*[F.lit(m).cast("long") for m in _flip_masks(width, flips)])
+    probes = listed.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names), "t", F.explode(masks).alias("mask"), "part") if flips else listed.select(
+        F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names), "t", F.lit(0).cast("long").alias("mask"), "part")
+    probes = probes.withColumn("part", F.col("part").bitwiseXOR(F.col("mask"))).drop("mask")
+    pairs = probes.join(listed.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in names), "t", "part"), ["t", "part"]).filter("a < b")
+    apart_by = [F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in names]
     # a pair is taken from the first table that finds it
     first = F.lit(-1)
-    for t in reversed(range(len(widths))):
-        differ = F.bit_count(F.shiftrightunsigned(apart_by, starts[t]).bitwiseAND((1 << widths[t]) - 1 if widths[t] < 64 else -1))
-        first = F.when(differ <= flips, t).otherwise(first)
-    pairs = pairs.filter((F.bit_count(apart_by) <= distance) & (F.col("t") == first)).select("a", "b")
+    for t in reversed(range(tables)):
+        first = F.when(F.bit_count(part(apart_by[t // each], t)) <= flips, t).otherwise(first)
+    total = sum((F.bit_count(x) for x in apart_by), F.lit(0))
+    pairs = pairs.filter((total <= distance) & (F.col("t") == first)).select("a", "b")
 
     def side(x: str) -> DataFrame:
         return classes.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("copies").alias(f"copies_{x}"), F.col("v").alias(f"v_{x}"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = matrix(batch.column(6), dims), matrix(batch.column(7), dims)
-            # scaled by their largest component, so that squares neither vanish nor overflow
-            x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+            x, y = scaled(matrix(batch.column(6), dims)), scaled(matrix(batch.column(7), dims))
             cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
             chosen = pa.array(cosine >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(chosen) for i in range(6)], names=batch.schema.names[:6])

@@ -23,3 +23,13 @@ def dimensions(vectors: DataFrame, column: str) -> int:
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     """A column of lists of dims numbers as rows of doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that squares neither vanish nor overflow."""
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)

@@ -115,11 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
-          carry: Sequence[str] = ()) -> DataFrame:
+          least_evidence: float = 0.05, carry: Sequence[str] = ()) -> DataFrame:
     """(id, score, sentences) for each row of docs: the noisy-or, and the sentences at or over the threshold.
 
     A sentence is (begin, end, probability) in characters of the text, the probability being what its
-    features add to the bias: 0 without any, or where they speak against it. Null and empty texts score 0.
+    features add to the bias: 0 without any, or where they speak against it. Below least_evidence it counts as 0:
+    the traces that ordinary words leave would add up over a long text. Null and empty texts score 0.
     Null keys and repeated rows give a row each. The columns in ``carry`` follow; others are ignored.
     """
     prepare(docs.sparkSession)
@@ -150,14 +151,15 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
                 return 0.0
             z = bias + sum(value for _, value in sorted(found))
             # 1 - (1 - p) / (1 - p of the bias alone)
-            return max(0.0, -math.expm1(plain - math.log1p(math.exp(max(-30.0, min(30.0, z))))))
+            p = -math.expm1(plain - math.log1p(math.exp(max(-30.0, min(30.0, z)))))
+            return p if p >= least_evidence else 0.0
 
         for batch in batches:
             scores, spans = [], []
             for text in batch.column(1).to_pylist():
                 lower = (text or "").lower()
                 each = [probability(s) for s in SENTENCE.findall(lower)]
-                scores.append(-math.expm1(sum(math.log1p(-p) for p in each if p > 1e-9)))
+                scores.append(-math.expm1(sum(math.log1p(-p) for p in each if p)))
                 hits = []
                 if each and max(each) >= threshold:
                     # lower-casing can lengthen a text, so its places are looked up in the text itself

@@ -5,10 +5,12 @@ on its own, anywhere on the cluster. Two neighbouring chunks agree from the firs
 boundary which both of them find in their overlap: a match depends only on where it begins and on
 the characters up to one past its end, so from a common start both go on alike. The text between
 two such boundaries is one piece; pieces are encoded independently and their ids joined in order.
-A text with neighbours that share no boundary (one match spans their whole overlap) is one piece.
+Neighbours that share no boundary (one match spans their whole overlap) stay together in one piece, up to
+the next boundary that is sure.
 
-Inside a piece, a space followed by a non-space always begins a pre-token, so the piece is cut
-there and the cuts are looked up in a per-worker cache of already encoded strings.
+A space followed by a non-space always begins a pre-token, whatever is before it. So a chunk's boundaries
+are sure from its first such place on, or from where it met the chunk before. Inside a piece, the text is
+cut there too and the cuts are looked up in a per-worker cache of already encoded strings.
 """
 
 from __future__ import annotations
@@ -156,22 +158,27 @@ def _stitch(chunks: DataFrame, ranks: Broadcast, pattern: str, id_type: str, nam
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker(ranks, pattern)
         for batch in batches:
-            heads, tails = [], []
+            heads, tails, sure = [], [], []
             for part, size, overlap in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
                 heads.append(enc.boundaries(part[:overlap + 1], 0, overlap))
                 tails.append([b - size for b in enc.boundaries(part, size, size + overlap)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(heads, ints), pa.array(tails, ints), batch.column(4)],
-                                             names=["row", "id", "chunk", "part", "head", "tail", "size"])
+                sure.append(SPACE_THEN_WORD.search(part, 0, size) is not None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(heads, ints), pa.array(tails, ints), batch.column(4), pa.array(sure, pa.bool_())],
+                                             names=["row", "id", "chunk", "part", "head", "tail", "size", "sure"])
 
-    cut = chunks.mapInArrow(pretokenise, f"row long, id {id_type}, chunk int, part string, head array<int>, tail array<int>, size int")
+    cut = chunks.mapInArrow(pretokenise, f"row long, id {id_type}, chunk int, part string, head array<int>, tail array<int>, size int, sure boolean")
     of_text = Window.partitionBy("row")
     in_order = of_text.orderBy("chunk")
     cut = cut.withColumn("last", F.lead("chunk").over(in_order).isNull())
     cut = cut.withColumn("sync", F.when(~F.col("last"), F.array_min(F.array_intersect("tail", F.lead("head").over(in_order)))))
-    # a chunk that never met its neighbour says nothing certain further on: such a text is one piece
-    cut = cut.withColumn("apart", F.max(~F.col("last") & F.col("sync").isNull()).over(of_text))
-    cut = cut.withColumn("begin", F.when(F.col("apart"), 0).otherwise(F.coalesce(F.lag("sync").over(in_order), F.lit(0))))
-    pieces = cut.groupBy("row", F.when(F.col("apart"), 0).otherwise(F.col("chunk")).alias("piece")).agg(
+    # the last chunk up to this one that is sure by itself, and the last that didn't meet the one before it
+    up_to = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("missed", (F.col("chunk") > 0) & F.lag("sync").over(in_order).isNull())
+    sure = F.max(F.when(F.col("sure") | (F.col("chunk") == 0), F.col("chunk"))).over(up_to) >= F.coalesce(F.max(F.when(F.col("missed"), F.col("chunk"))).over(up_to), F.lit(0))
+    cut = cut.withColumn("sync", F.when(sure, F.col("sync")))
+    cut = cut.withColumn("met", F.lag("sync").over(in_order))
+    cut = cut.withColumns({"begin": F.coalesce("met", F.lit(0)), "piece": F.count("met").over(up_to).cast("int")})
+    pieces = cut.groupBy("row", "piece").agg(
         F.first("id").alias("id"),
         F.sort_array(F.collect_list(F.struct("chunk", "part", "begin", "sync", "size", "last"))).alias("parts"))
 

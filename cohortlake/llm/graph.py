@@ -17,22 +17,22 @@ def apart(key: str) -> Column:
     return F.hash(key).alias("apart")
 
 
-def components(links: DataFrame, scratch: Scratch, name: str, *, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for each node of links (columns a, b): the smallest node it reaches.
 
     Nodes are ordered by a hash. Each round labels a node with the first of itself and its neighbours and
-    replaces every link by the link of its ends' labels, until none is left between different labels. Links
-    only get fewer, stars around their first node vanish in one round, and each round is written out, so no
-    lineage grows. Links with a null end and links of a node to itself are left out.
+    replaces every link by the link of its ends' labels, until none is left between different labels. Every
+    round has fewer nodes than the last (the last of each component's takes another's label), stars around their
+    first node vanish in one round, and labels and links of each round are written out, so no lineage grows.
+    Links with a null end and links of a node to itself are left out.
     """
     edges = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), f"{name}0")
     labels = []
     while not edges.isEmpty():
-        if len(labels) == max_rounds:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         around = edges.select(F.col("low").alias("node"), F.col("high").alias("other")).unionAll(edges.select("high", "low"))
         turn = [F.struct(F.xxhash64(c).alias("turn"), F.col(c).alias("node")) for c in ("node", "other")]
         first = around.groupBy("node", apart("node")).agg(F.min(turn[1]).alias("other")).select("node", F.least(turn[0], "other")["node"].alias("component"))
+        first = scratch.keep(first, f"{name}labels{len(labels)}")
         high = first.select(F.col("node").alias("high"), F.col("component").alias("of_high"))
         low = first.select(F.col("node").alias("low"), F.col("component").alias("of_low"))
         between = edges.join(high, "high").join(low, "low").filter("of_high <> of_low")

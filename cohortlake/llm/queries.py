@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, collision, itq, minhash, mixing, repeats, tokenio, toxicity, urlfilter, wordpiece
+from cohortlake.llm import bpe, collision, itq, minhash, mixing, oracles, repeats, tokenio, toxicity, urlfilter, wordpiece
 from cohortlake.llm.stage import Scratch
 
 
@@ -21,9 +21,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Target entropy of the query's mixture, as a share of the highest.
+ENTROPY_SHARE = 0.97
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, least_entropy_share=0.97, budget_share=1.0)
+    mixed = mixing.mix(docs, least_entropy_share=ENTROPY_SHARE, budget_share=1.0)
     return mixed.select("doc_id", "source", "n_tokens", "block", F.col("copies").cast("int").alias("copies"))
 
 
@@ -121,4 +125,15 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_wordpiece_counts": op10_wordpiece_counts,
 }
-ORACLE_SQL = {"op5_url_filter": OP5_SQL}
+
+
+def oracle_sql() -> dict[str, str]:
+    """For the queries that SQL can express in whole. A vocabulary is read when it is asked for, not on import."""
+    begin, inside = wordpiece.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return {
+        "op2_mixing": oracles.mixing(0, ENTROPY_SHARE, mixing.BLOCK_TOKENS, mixing.BLOCK_ROWS, mixing.HASH_BITS // 4),
+        "op4_vector_near_dedup": oracles.vector_links(0.95),
+        "op5_url_filter": OP5_SQL,
+        "op9_near_dedup": oracles.near_documents(5, 85),
+        "op10_wordpiece_counts": oracles.wordpiece_counts(begin, inside),
+    }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -12,34 +11,24 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one in local mode when it is unset."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own_root is None or not os.path.isdir(_own_root):
-        _own_root = tempfile.mkdtemp(prefix="cohortlake-")
-        atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
-    return f"file://{_own_root}"
-
+from cohortlake.workdir import shared_root
 
 class Scratch:
     """Tables written by one operator call, under a folder of their own.
 
     ``keep`` writes a DataFrame and reads it back, which cuts its lineage: a lost executor costs
-    a read of the table, not a recomputation. ``drop`` frees a table that no later step reads.
+    a read of the table, not a recomputation. ``drop`` frees a table that no later step reads; the folder goes
+    when the driver ends, since results are read from it until then.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         prepare(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/cohortlake/{what}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"

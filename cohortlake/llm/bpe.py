@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.stage import prepare
+from cohortlake.llm.stage import prepare, tidied
 
 SPACE_THEN_WORD = re.compile(r" (?=\S)")
 SPACE_NO_WORD = re.compile(r" (?!\S)")
@@ -128,7 +128,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_i
             out = [ids, map(enc.decode, ids)][:len(names)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in out)], names=["id", *names])
 
-    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(whole, schema)
+    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(tidied(whole), schema)
     long = rows.filter(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
     pieces = _stitch(_chunks(long, id_type, chunk_chars, overlap_chars), ranks, pattern, id_type, names)
     return short.unionAll(pieces).withColumnRenamed("id", id_col)
@@ -193,7 +193,7 @@ def _stitch(chunks: DataFrame, ranks: Broadcast, pattern: str, id_type: str, nam
             columns = [out, map(enc.decode, out)][:len(names)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.binary()) for x in columns)], names=["row", "piece", "id", *names])
 
-    ids = pieces.select("row", "piece", "id", "parts").repartition("row", "piece").mapInArrow(encode_piece, f"row long, piece int, id {id_type}, " + ", ".join(f"{n} binary" for n in names))
+    ids = pieces.select("row", "piece", "id", "parts").repartition("row", "piece").mapInArrow(tidied(encode_piece), f"row long, piece int, id {id_type}, " + ", ".join(f"{n} binary" for n in names))
     in_order = [F.expr(f"listagg({n}) WITHIN GROUP (ORDER BY piece)").alias(n) for n in names]
     return ids.groupBy("row").agg(F.first("id").alias("id"), *in_order).drop("row")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlake.llm.graph import apart, components
-from cohortlake.llm.stage import Scratch
+from cohortlake.llm.stage import Scratch, tidied
 
 BINS = 192
 #: Chance that a pair at the threshold shares no bucket.
@@ -125,7 +125,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
                 names=["id", "n", "k1", "k2", "bands", "bits"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, n long, k1 long, k2 long, bands array<long>, bits array<long>")
+    return rows.mapInArrow(tidied(run), f"id {id_type}, n long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -138,7 +138,7 @@ def full_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             found = [shingles(t or b"", width, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {id_type}, shingles binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidied(run), f"id {id_type}, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(chosen).cast(types[i]) for i in (0, 1)], names=["a", "b"])
 
-    return both.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b").schema.fields))
+    return both.mapInArrow(tidied(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b").schema.fields))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:

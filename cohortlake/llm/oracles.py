@@ -53,10 +53,10 @@ FROM placed p JOIN ordered o ON o.source IS NOT DISTINCT FROM p.source AND o.blo
 
 
 def vector_links(threshold: float) -> str:
-    """Cosines of all pairs."""
+    """Cosines of all pairs, of vectors divided by their largest component, whose squares neither vanish nor overflow."""
     return f"""
 WITH RECURSIVE usable AS (
-  SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  SELECT vec_id AS node, [CAST(x AS DOUBLE) / list_max([abs(CAST(y AS DOUBLE)) FOR y IN embedding]) FOR x IN embedding] AS v FROM embeddings
   WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
 ), links AS (
   SELECT x.node AS a, y.node AS b FROM usable x JOIN usable y ON x.node < y.node AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= {threshold}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.graph import apart
-from cohortlake.llm.stage import Scratch
+from cohortlake.llm.stage import Scratch, tidied
 
 #: Bytes hashed at a time; a place in them takes PLACE_BITS of a key.
 PLACE_BITS = 18
@@ -233,13 +233,44 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return _repeats(docs, id_col, text_col, length, gram, words, carry, None)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, words: int | None = None, carry: Sequence[str] = (),
-                   whole_characters: bool = False) -> DataFrame:
-    """mark_repeats and cut_spans in one pass over the texts: (id, n_bytes, spans, kept) for each row of docs, and the columns in ``carry``."""
-    return _repeats(docs, id_col, text_col, length, gram, words, carry, whole_characters)
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, words: int | None = None, words_apart: bool = False,
+                   carry: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
+    """mark_repeats and cut_spans in one pass over the texts: (id, n_bytes, spans, kept) for each row of docs, and the columns in ``carry``.
 
+    With words_apart, repeats of words are not cut: they are listed in a column ``passages`` of their own, behind ``kept``.
+    """
+    return _repeats(docs, id_col, text_col, length, gram, words, carry, whole_characters, words_apart)
+
+
+def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches in order, those that touch made one."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    return begin[new], end[np.concatenate([new[1:], [True]])]
+
+
+class _Stretches:
+    """A column of lists of (begin, end), a row at a time."""
+
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def __init__(self, rows: int):
+        self.counts, self.begins, self.ends = np.zeros(rows, np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def put(self, row: int, begin: np.ndarray, end: np.ndarray) -> None:
+        if len(begin):
+            begin, end = _merged(begin, end)
+            self.counts[row] = len(begin)
+            self.begins.append(begin)
+            self.ends.append(end)
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, words: int | None, carry: Sequence[str], whole_characters: bool | None) -> DataFrame:
+    def array(self) -> pa.Array:
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in (self.begins, self.ends)], fields=list(self.kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int32)), values).cast(self.kind)
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, words: int | None, carry: Sequence[str], whole_characters: bool | None, words_apart: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     id_type = docs.schema[id_col].dataType.simpleString()
     carried = [F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)]
@@ -251,40 +282,38 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
 
     per_text = starts.groupBy("k", "t").agg(F.collect_set(F.struct("first", "last", "in_words")).alias("starts"))
     joined = rows.join(per_text, ["k", "t"], "left").select("id", "text", "starts", *(f"carried{i}" for i in range(len(carry))))
-    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column(2)
+            listed, texts = batch.column(2), batch.column(1)
             sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
             first, last, in_words = (c.to_numpy(zero_copy_only=False) for c in listed.flatten().flatten())
-            offsets, begins, ends = [0], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            stops = np.cumsum(sizes)
-            for row in np.flatnonzero(sizes):
+            found, passages, stops = _Stretches(batch.num_rows), _Stretches(batch.num_rows), np.cumsum(sizes)
+            for row in np.flatnonzero(sizes).tolist():
                 at = slice(stops[row] - sizes[row], stops[row])
+                worded = in_words[at]
                 begin, end = first[at].astype(np.int64), last[at].astype(np.int64) + length
-                if (worded := in_words[at]).any():
-                    places = word_places(batch.column(1)[int(row)].as_py())
+                if worded.any():
+                    places = word_places(texts[row].as_py())
                     begin[worded], end[worded] = places[0][first[at][worded]], places[1][last[at][worded] + words - 1]
-                order = np.argsort(begin, kind="stable")
-                begin, end = begin[order], np.maximum.accumulate(end[order])
-                new = np.concatenate([[True], begin[1:] > end[:-1]])
-                begins.append(begin[new])
-                ends.append(end[np.concatenate([new[1:], [True]])])
-            counts = np.zeros(batch.num_rows, np.int64)
-            counts[sizes > 0] = [len(x) for x in begins[1:]]
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in (begins, ends)], fields=list(kind.value_type))
-            found = pa.ListArray.from_arrays(pa.array(np.concatenate([offsets, np.cumsum(counts)]).astype(np.int32)), values)
-            head = [batch.column(0), batch.column(1), found.cast(kind)]
+                if words_apart:
+                    passages.put(row, begin[worded], end[worded])
+                    begin, end = begin[~worded], end[~worded]
+                found.put(row, begin, end)
+            found = found.array()
+            out = [batch.column(0), texts, found]
             if whole_characters is not None:
-                kept = pa.array(map(_without, batch.column(1).to_pylist(), found.to_pylist(), itertools.repeat(whole_characters)), pa.binary())
-                head = [batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), head[2], kept]
-            yield pa.RecordBatch.from_arrays([*head, *batch.columns[3:]], names=[*names, *batch.schema.names[3:]])
+                kept = pa.array(map(_without, texts.to_pylist(), found.to_pylist(), itertools.repeat(whole_characters)), pa.binary())
+                out = [batch.column(0), pc.binary_length(texts).cast(pa.int64()), found, kept]
+            out += [passages.array()] * words_apart
+            yield pa.RecordBatch.from_arrays([*out, *batch.columns[3:]], names=[*names, *batch.schema.names[3:]])
 
-    types = "".join(f", carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    schema = f"id {id_type}, text binary, spans array<struct<begin:int,end:int>>" if whole_characters is None else f"id {id_type}, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary"
-    names = ["id", "text", "spans"] if whole_characters is None else ["id", "n_bytes", "spans", "kept"]
-    return joined.mapInArrow(spans, schema + types).toDF(id_col, *names[1:], *carry)
+    stretches = "array<struct<begin:int,end:int>>"
+    columns = {"id": id_type, "text": "binary", "spans": stretches} if whole_characters is None else {"id": id_type, "n_bytes": "long", "spans": stretches, "kept": "binary"}
+    columns |= {"passages": stretches} if words_apart else {}
+    names = list(columns)
+    schema = ", ".join([f"{c} {kind}" for c, kind in columns.items()] + [f"carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)])
+    return joined.mapInArrow(tidied(spans), schema).toDF(id_col, *names[1:], *carry)
 
 
 def _starts(scratch: Scratch, rows: DataFrame, length: int, gram: int, read: Callable[[bytes], np.ndarray], name: str) -> DataFrame:
@@ -300,7 +329,7 @@ def _starts(scratch: Scratch, rows: DataFrame, length: int, gram: int, read: Cal
                                              names=["k", "t", "first", "last", "place", "minimizer", "piece"])
 
     long = rows.filter(F.octet_length("text") >= (2 * length - 1 if read is in_words else length)).select("k", "t", "text")
-    pieces = scratch.keep(long.mapInArrow(cut, "k long, t long, first int, last int, place int, minimizer long, piece long"), f"{name}pieces")
+    pieces = scratch.keep(long.mapInArrow(tidied(cut), "k long, t long, first int, last int, place int, minimizer long, piece long"), f"{name}pieces")
     met = pieces.groupBy("minimizer", apart("minimizer")).count().filter("count > 1").select("minimizer")
     pieces = scratch.keep(pieces.join(met, "minimizer"), f"{name}met")
     scratch.drop(f"{name}pieces")
@@ -335,7 +364,7 @@ def _starts(scratch: Scratch, rows: DataFrame, length: int, gram: int, read: Cal
                 bodies += found[1]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns, pa.array(at, pa.int32()), pa.array(bodies, pa.binary())], names=[*names, "at", "body"])
 
-    bodies = scratch.keep(long.join(asked, ["k", "t"]).select("k", "t", "text", "asked").mapInArrow(take, f"{of_piece}, at int, body binary"), f"{name}bodies")
+    bodies = scratch.keep(long.join(asked, ["k", "t"]).select("k", "t", "text", "asked").mapInArrow(tidied(take), f"{of_piece}, at int, body binary"), f"{name}bodies")
     scratch.drop(f"{name}wholes")
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +376,7 @@ def _starts(scratch: Scratch, rows: DataFrame, length: int, gram: int, read: Cal
             outer = pa.array(found["outer"], mask=found["whole"] == 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(7)), pa.array(found["cell"].astype(np.int32)), pa.array(found["inner"]), outer], names=[*names, "cell", "inner", "outer"])
 
-    cells = scratch.keep(bodies.mapInArrow(cells_of, f"{of_piece}, cell int, inner long, outer long"), f"{name}cells")
+    cells = scratch.keep(bodies.mapInArrow(tidied(cells_of), f"{of_piece}, cell int, inner long, outer long"), f"{name}cells")
 
     def twice(df: DataFrame, by: Sequence[str], where: str) -> DataFrame:
         """What occurs at different places, with one of them (equal rows are spread alike, so rows don't count)."""
@@ -375,7 +404,7 @@ def _starts(scratch: Scratch, rows: DataFrame, length: int, gram: int, read: Cal
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(4)), pa.array(start.astype(np.int32)), pa.array(hashes)], names=["k", "t", "minimizer", "alone", "start", "hash"])
 
     around = asking.join(bodies.select("k", "t", F.col("first").alias("of"), "at", "body").dropDuplicates(["k", "t", "of"]), ["k", "t", "of"]).select(*names, "at", "body")
-    windows = scratch.keep(around.mapInArrow(spread, "k long, t long, minimizer long, alone boolean, start int, hash long"), f"{name}windows")
+    windows = scratch.keep(around.mapInArrow(tidied(spread), "k long, t long, minimizer long, alone boolean, start int, hash long"), f"{name}windows")
     scratch.drop(f"{name}bodies")
     found = twice(windows, ["minimizer", "hash"], "start").drop("speaks")
     single_spans = windows.filter("alone").join(found, ["minimizer", "hash"]).select("k", "t", F.col("start").alias("first"), F.col("start").alias("last"))

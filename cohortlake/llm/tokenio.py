@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlake.llm.bpe import broadcast_file
+from cohortlake.llm.stage import tidied
 
 #: Simple-8b's selectors: ids in a word and bits of each (fixed values of the format; 0 and 1 are runs of zeros).
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -328,7 +329,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int =
         if keys:
             yield close()
 
-    rows.mapInArrow(run, PACKETS.format(id=id_type.simpleString())).write.mode("error").parquet(path)
+    rows.mapInArrow(tidied(run), PACKETS.format(id=id_type.simpleString())).write.mode("error").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, *, id_type: str = "bigint", only: Sequence[object] | None = None) -> DataFrame:
@@ -370,6 +371,6 @@ def read_ids(spark: SparkSession, path: str, *, id_type: str = "bigint", only: S
                      found],
                     names=["shard", "packet", "doc_id", "place", "offset", "ids"])
 
-    docs = packets.mapInArrow(run, f"shard int, packet int, doc_id {id_type}, place int, offset long, ids binary")
+    docs = packets.mapInArrow(tidied(run), f"shard int, packet int, doc_id {id_type}, place int, offset long, ids binary")
     starts = (F.col("shard_start") + F.col("offset")).alias("start")
     return docs.join(F.broadcast(shards), "shard").select("shard", "packet", "doc_id", "place", starts, "ids")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.stage import Scratch, prepare
+from cohortlake.llm.stage import Scratch, prepare, tidied
 
 BUCKETS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -170,5 +170,5 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry) if c != text_col))
     carried = "".join(f", carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    scored = rows.mapInArrow(run, f"id {id_type}, score double, sentences array<struct<begin:int,end:int,probability:double>>{carried}")
+    scored = rows.mapInArrow(tidied(run), f"id {id_type}, score double, sentences array<struct<begin:int,end:int,probability:double>>{carried}")
     return scored.toDF(id_col, "score", "sentences", *carry)

@@ -157,6 +157,39 @@ def test_vector_links(spark):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate([(v, s) for s in (1.0, 1e-200, 1e200, 1e-310) for v in base])]
+    rows += [(None, rows[0][1]), (3, rows[3][1]), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = itq.near_duplicates(df).collect()
+    # each direction four times at least, whatever its length; rounding of the smallest may cost a link
+    assert len(found) == len(rows) and {r.component_id for r in found} == set(range(40)) and all(3 <= r.n_links <= 6 for r in found)
+    assert {(r.component_id, r.kept) for r in found if r.vec_id is None} == {(0, False)}
+    nearest = collision.search(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    assert len(nearest) == 5 * 8 and not any(np.isnan(r.score) for r in nearest)
+    same = spark.createDataFrame([(i, [1.0 + i % 2] * 16) for i in range(60)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in collision.search(same, F.col("vec_id") == 0, k=3).orderBy("rank").collect()] == [1, 3, 5]
+    assert {(r.component_id, r.n_links) for r in itq.near_duplicates(same).collect()} == {(0, 59)}
+
+
+def test_recall_of_links_among_many_vectors():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20_000, 64))
+    away = rng.normal(size=(2_000, 64))
+    one = v[:2_000] / np.linalg.norm(v[:2_000], axis=1, keepdims=True)
+    away -= (away * one).sum(axis=1, keepdims=True) * one
+    cosine = rng.uniform(0.95, 0.96, size=(2_000, 1))
+    other = cosine * one + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    mean, rotation = itq.learn(v, 64, 5)
+    width, tables, flips, distance = itq.plan(itq.differing(v, mean, rotation, 0.95), 64, 10_000_000)
+    differ = ((one - mean) @ rotation >= 0) != ((other - mean) @ rotation >= 0)
+    begins = [t // (64 // width) * 64 + t % (64 // width) * width for t in range(tables)]
+    hit = np.min([differ[:, b:b + width].sum(axis=1) for b in begins], axis=0) <= flips
+    assert (hit & (differ[:, :-(-tables // (64 // width)) * 64].sum(axis=1) <= distance)).mean() >= 0.97
+
+
 def test_nearest(spark):
     rows, df = vectors_frame(spark)
     good = {i: np.array(v) for i, v in rows if usable(v)}
@@ -205,6 +238,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids["bpe"])
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    names = ["kept", "spans", "score", "sentences", "copies", "block", "n_tokens", "key", "part", "id", "starts", "a.b"]
+    passage = fresh(70)
+    rows = [(i, f"{fresh(20)}. {passage if i < 3 else fresh(40)}" + (" Vile stuff." if i % 5 == 0 else ""), "en", f"s{i % 2}", *(f"{n} {i}" for n in names)) for i in range(40)]
+    columns = ["doc_id", "text", "lang", "source", *names]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in columns))  # no n_chars
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+    found = docs.collect()
+    assert len(found) >= 20 and all(r[columns.index(n)] == f"{n} {r.doc_id}" for r in found for n in names)
+    assert corpus_pipeline.encode(spark, docs, "").count() == len(found)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_drops_near_copies_of_80_percent(spark):
     import corpus_pipeline
 
@@ -253,7 +314,7 @@ def test_repeated_words_equal_brute_force(spark, words):
 @pytest.mark.parametrize("norms", ["equal", "one of 3", "one of 10", "log-normal", "even"])
 def test_nearest_with_uneven_norms(norms):
     rng = np.random.default_rng(3)
-    n, k = collision.SHARD_ROWS, 20
+    n, k = 16_384, 20
     vectors = rng.normal(size=(n, 64))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     if norms.startswith("one"):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -25,7 +26,7 @@ def folder(spark, tmp_path_factory):
     fresh = lambda n: " ".join(rng.choices(words, k=n)).capitalize() + rng.choice([".", "!\n", " \n\n", "", ", "])
     passage = fresh(120)
     texts = [fresh(rng.randrange(5, 90)) + (passage if i % 7 == 0 else "") + (fresh(60) if i % 3 else "") for i in range(ROWS)]
-    texts += [texts[3], texts[4] + " one more word.", passage, "", None, "<|endoftext|> x", "漢字 " * 150, "a" * 900, " \t\n ", "one two"]
+    texts += [texts[3], texts[4] + " one more word.", passage, "", None, "<|endoftext|> x", "漢字 " * 150, "a" * 900, " \t\n ", "one two", fresh(15_000), "long" * 30_000]
     docs = [(i * 3, t, "en", rng.choice(["a", "b", None, "c"]), len(t or "")) for i, t in enumerate(texts)]
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
@@ -66,12 +67,21 @@ def test_op6(spark, folder, texts):
         if len(places) > 1:
             for k, i in places:
                 gone[k][i:i + 400] = b"\1" * 400
+    words, seen, passages = {k: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for k, t in raw.items()}, {}, {}
+    for k, at in words.items():
+        for i in range(len(at) - 50):
+            seen.setdefault(tuple(raw[k][a:b] for a, b in at[i:i + 51]), []).append((k, i))
+    for k, at in words.items():
+        inside = bytearray(len(raw[k]))
+        for i in {i for places in seen.values() if len(places) > 1 for d, i in places if d == k}:
+            inside[at[i][0]:at[i + 50][1]] = b"\1" * (at[i + 50][1] - at[i][0])
+        passages[k] = sum(inside)
     wanted = {}
     for k, t in raw.items():
         kept = bytes(b for b, g in zip(t, gone[k]) if not g)
         runs = sum(1 for i, g in enumerate(gone[k]) if g and (i == 0 or not gone[k][i - 1]))
-        wanted[k] = (len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest())
-    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op6_repeats(spark, folder).collect()}
+        wanted[k] = (len(t), len(t) - len(kept), runs, hashlib.sha256(kept).hexdigest(), passages[k])
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in queries.op6_repeats(spark, folder).collect()}
     assert found == wanted and sum(w[1] for w in wanted.values()) > 0
 
 

@@ -16,7 +16,7 @@ from cohortlake.llm import bpe, mixing, tokenio, toxicity, urlfilter, wordpiece
 from cohortlake.llm.queries import URL_RULES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-TEXTS = ["", "a", " a", "a ", "  two  spaces \n\n x", "tab\t x\t", "don't I'll 's", "ünïcödé ßtraße 漢字 ½ ١٢", "<|endoftext|> x", " " * 300 + "x", "\n" * 200, "word " * 200, "ab" * 400, "x y \x1c z", "👩‍👩‍👧 ok"]
+TEXTS = ["", "a", " a", "a ", "  two  spaces \n\n x", "tab\t x\t", "don't I'll 's", "ünïcödé ßtraße 漢字 ½ ١٢", "<|endoftext|> x", " " * 300 + "x", "\n" * 200, "word " * 200, "ab" * 400, "x y \x1c z", "👩‍👩‍👧 ok", "one two " * 20 + "x" * 300 + " three four" * 20 + "\n" * 90 + "5" * 200 + "six seven\n" * 9 + "y" * 150]
 
 
 @pytest.fixture(scope="module")

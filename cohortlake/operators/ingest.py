@@ -32,7 +32,7 @@ def with_stable_id(df: DataFrame, natural: Sequence[str], *, id_col: str = "even
         runs = runs.withColumn("__to", F.least(F.col("__from") + (RUN_ROWS - 1), F.col("__rows"))).hint("rebalance")
         rows = runs.withColumn("__n", F.explode(F.sequence("__from", "__to")))
         return rows.select(*df.columns, F.xxhash64(own, "__n").alias(id_col))
-    number = F.row_number().over(Window.partitionBy(*natural).orderBy(F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(*natural).orderBy(F.lit(0))).cast("long")
     return df.withColumn("__n", number).withColumn(id_col, F.xxhash64(own, "__n")).drop("__n")
 
 

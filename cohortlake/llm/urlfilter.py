@@ -22,7 +22,7 @@ BROADCAST_BYTES = 64 << 20
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or a url without ``://``."""
-    rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")), F.lit(""))
+    rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + F.lit(3))), F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
@@ -80,19 +80,20 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], *,
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    urls = urls.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    ruled = urls.filter(F.col("rule").isNotNull())
-    rest = urls.filter(F.col("rule").isNull()).withColumn("canonical", canonical(F.col("host"), F.col("path")))
+    canonicals = F.when(rule.isNull(), canonical(F.col("host"), F.col("path")))
+    urls = urls.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), canonicals.alias("canonical"))
 
     block, bits = _places(F.col("canonical"), n_blocks)
-    probed = rest.withColumn("block", F.coalesce(block, F.lit(0))).join(blocks, "block", "left")
+    # what isn't asked for, by a rule or for want of a host, is spread over blocks that aren't there
+    nowhere = -1 - F.pmod(F.xxhash64("id", "path"), F.lit(n_blocks))
+    probed = urls.withColumn("block", F.when(F.col("canonical").isNotNull(), block).otherwise(nowhere)).join(blocks, "block", "left")
     hit = F.lit(True)
     for i, bit in enumerate(bits):
         hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(_mask(bit)) != 0)
-    probed = probed.select("id", "host", "path", "rule", "canonical", F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False)).alias("hit"))
+    probed = probed.select("id", "host", "path", "rule", "verdict", "canonical", F.coalesce(hit & F.col("canonical").isNotNull(), F.lit(False)).alias("hit"))
 
-    missed = probed.filter(~F.col("hit")).withColumn("verdict", F.lit("allow"))
+    settled = probed.filter(~F.col("hit")).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     exact = probed.filter("hit").join(listed.withColumn("is_listed", F.lit(True)), "canonical", "left")
     exact = exact.withColumn("verdict", F.when(F.col("is_listed"), "block").otherwise("allow"))
     out = ["id", "host", "path", "rule", "verdict"]
-    return ruled.select(out).unionAll(missed.select(out)).unionAll(exact.select(out)).withColumnRenamed("id", id_col)
+    return settled.select(out).unionAll(exact.select(out)).withColumnRenamed("id", id_col)

@@ -176,6 +176,8 @@ def test_urls(spark):
         (5, "x.com", "/de", None, "allow"), (6, "www.listed.net", "/p.html", None, "block"), (7, "listed.net", "/p/", None, "block"), (7, "listed.net", "/p/", None, "block"), (8, "", "", None, "allow"),
         (9, "", "", None, "allow"), (10, "other.net", "/", None, "allow"), (0, "x.com", "/de/1", "com/de/", "block"), (11, "example.org", "", None, "allow"), (12, "üÄ.net", "/p", None, "allow")]))
     assert urlfilter.judge(pages.limit(0), listed, URL_RULES).count() == 0
+    host, path = urlfilter.split_url(F.col("link"))  # a column of any name
+    assert [tuple(r) for r in spark.createDataFrame([("http://A.b/c?d",)], "link string").select(host, path).collect()] == [("a.b", "/c")]
     assert {r.verdict for r in urlfilter.judge(pages.filter("page_id IN (6, 7)"), listed.limit(0), URL_RULES).collect()} == {"allow"}
 
 

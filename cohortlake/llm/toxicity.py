@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
-          least_evidence: float = 0.05, carry: Sequence[str] = ()) -> DataFrame:
+          least_evidence: float = 0.15, carry: Sequence[str] = ()) -> DataFrame:
     """(id, score, sentences) for each row of docs: the noisy-or, and the sentences at or over the threshold.
 
     A sentence is (begin, end, probability) in characters of the text, the probability being what its
@@ -159,7 +159,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
             for text in batch.column(1).to_pylist():
                 lower = (text or "").lower()
                 each = [probability(s) for s in SENTENCE.findall(lower)]
-                scores.append(-math.expm1(sum(math.log1p(-p) for p in each if p)))
+                scores.append(0.0 - math.expm1(sum(math.log1p(-p) for p in each if p)))
                 hits = []
                 if each and max(each) >= threshold:
                     # lower-casing can lengthen a text, so its places are looked up in the text itself

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, collision, itq, minhash, mixing, oracles, repeats, tokenio, toxicity, urlfilter, wordpiece
+from cohortlake.llm import align, bpe, collision, itq, minhash, mixing, oracles, repeats, tokenio, toxicity, urlfilter, wordpiece
 from cohortlake.llm.stage import Scratch
 
 
@@ -118,6 +118,11 @@ def op10_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), begin, inside)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.measure(table(spark, sf_dir, "documents"), first, second)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -129,6 +134,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_near_dedup": op9_near_dedup,
     "op10_wordpiece_counts": op10_wordpiece_counts,
+    "op11_alignment": op11_alignment,
 }
 
 

@@ -14,11 +14,13 @@ tokenised and aligned once in each cache of a Python worker, and a text's measur
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,16 @@ from cohortlake.llm.stage import Scratch, tidied
 #: Pairs that are given to the executors whole: 24 bytes each. More are joined by shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: Segments that a worker remembers, and the characters of all of them.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 400_000
 CACHE_CHARS = 8_000_000
+#: Characters of the segments that are given to the tokenizers as one string.
+JOINED_CHARS = 2_000
 #: Characters of the texts that are looked at together.
 GROUP_CHARS = 1 << 22
 #: Pairs that a task holds before it passes its counts on.
 HELD_PAIRS = 1 << 21
-#: Ids of either tokenizer are below this.
-ID_BITS = 24
+#: Bits of either tokenizer's ids: two of them and a place among the texts of a group go into 64.
+ID_BITS = 20
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁ"
 MARK = "▁"  # sentencepiece's space
@@ -86,7 +90,8 @@ class Aligner:
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.second_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.first_bytes, self.second_bytes)]
-        self.names = [[str(i) for i in range(len(x))] for x in self.sizes]
+        # an id's text within a group and at its end
+        self.names = [[np.array([f"{i}{mark}".encode() for i in range(len(x))], dtype=object) for mark in marks] for x, marks in zip(self.sizes, (",|", ",;"), strict=True)]
         if max(map(len, self.sizes)) > 1 << ID_BITS:
             raise ValueError("a vocabulary is too large")
         self.find = self._cuts(pieces).findall
@@ -103,44 +108,64 @@ class Aligner:
         word = rf"[ \n]?[{LETTERS}]+(?=[ \n]\S" + (f"|[{marks}])|[{marks}]+(?=[ \\n]\\S)" if marks else ")")
         return re.compile(rf"{word}|(?s:.)(?:(?!{cut})(?s:.))*")
 
-    def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def tokens(self, segments: list[str]) -> list[list[list[int]]]:
+        """The ids of each segment by both tokenizers."""
         first = [e.ids for e in self.first.encode_batch_fast(segments, add_special_tokens=False)]
         # the second tokenizer puts a space before each string: a segment's own, or one before a line end that is then taken off
         spaced = [s[0] == " " for s in segments]
         second = self.second.encode([s[1:] if own else "\n" + s for s, own in zip(segments, spaced, strict=True)], num_threads=1)
-        return first, [ids if own else ids[2:] for ids, own in zip(second, spaced, strict=True)]
-
-    def align(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """(tokens of the first, of the second, groups; all 0 where bytes differ), links' pair codes, each segment's links' end, and its groups' text."""
-        raw = [s.encode() for s in segments]
-        ids = self.tokens(segments)
-        same = [b"".join(map(self.first_bytes.__getitem__, a)) == r == b"".join(map(self.second_bytes.__getitem__, b)) for a, b, r in zip(*ids, raw, strict=True)]
-        places = np.flatnonzero(same)
-        counts, names = np.zeros((len(segments), 3), np.int64), [b""] * len(segments)
-        if not len(places):
-            return counts, np.empty(0, np.int64), np.zeros(len(segments), np.int64), names
-        ids = [[x[i] for i in places.tolist()] for x in ids]
+        return [first, [ids if own else ids[2:] for ids, own in zip(second, spaced, strict=True)]]
+
+    def _same(self, text: str, first: list[int], second: list[int]) -> bool:
+        raw = text.encode()
+        return b"".join(map(self.first_bytes.__getitem__, first)) == raw == b"".join(map(self.second_bytes.__getitem__, second))
+
+    def align(self, segments: list[str], named: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of each segment: tokens of the first, of the second, groups and links, all 0 where bytes differ; links' pairs of ids; if named, its groups' text, each with a ; behind."""
+        counts, names = np.zeros((len(segments), 4), np.int64), [b""] * len(segments)
+        # what begins with a space or line end and ends with neither is cut off surely from whatever is before and behind it
+        plain = [i for i, s in enumerate(segments) if s[0] in " \n" and len(s) > 1 and not s[1].isspace() and not s[-1].isspace()]
+        chunks, sizes = [], np.cumsum([len(segments[i]) for i in plain])
+        for k in np.flatnonzero(np.diff(sizes // JOINED_CHARS, append=-1)).tolist():
+            begin = chunks[-1][1] if chunks else 0
+            chunks.append((begin, k + 1))
+        texts = ["".join([segments[i] for i in plain[j:k]]) for j, k in chunks]
+        order, ids = [], [[], []]
+        for (j, k), text, *both in zip(chunks, texts, *(self.tokens(texts) if texts else [[], []]), strict=True):
+            if self._same(text, *both):
+                order += plain[j:k]
+                for every, own in zip(ids, both, strict=True):
+                    every.append(own)
+        done = set(order)
+        if rest := [i for i in range(len(segments)) if i not in done]:
+            for i, *both in zip(rest, *self.tokens([segments[i] for i in rest]), strict=True):
+                if self._same(segments[i], *both):
+                    order.append(i)
+                    for every, own in zip(ids, both, strict=True):
+                        every.append(own)
+        if not order:
+            return counts, np.empty(0, np.int64), names
         flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in ids]
         ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, flat, strict=True)]
-        closes = np.cumsum([len(raw[i]) for i in places.tolist()])  # of segments
-        every, both = np.union1d(*ends), np.intersect1d(*ends)
+        closes = np.cumsum([len(segments[i].encode()) for i in order])
+        every = np.sort(np.concatenate(ends))
+        twice = every[1:] == every[:-1]  # ends of one tokenizer differ
+        both, every = every[1:][twice], every[np.append(True, ~twice)]
         at = [np.searchsorted(x, every) for x in ends]
         codes = (flat[0][at[0]] << ID_BITS) | flat[1][at[1]]
-        counts[places, 0], counts[places, 1] = (list(map(len, x)) for x in ids)
-        group_ends = np.searchsorted(both, closes, "right")
-        counts[places, 2] = np.diff(group_ends, prepend=0)
-        links = np.zeros(len(segments), np.int64)
-        links[places] = np.diff(np.searchsorted(every, closes, "right"), prepend=0)
-        stops = [(np.searchsorted(x, both) + 1).tolist() for x in ends]
-        words = [list(map(name.__getitem__, x.tolist())) for name, x in zip(self.names, flat, strict=True)]
-        groups, i, j = [], 0, 0
-        for a, b in zip(*stops, strict=True):
-            groups.append(",".join(words[0][i:a]) + "|" + ",".join(words[1][j:b]))
-            i, j = a, b
-        begin = 0
-        for place, end in zip(places.tolist(), group_ends.tolist(), strict=True):
-            names[place], begin = ";".join(groups[begin:end]).encode(), end
-        return counts, codes, np.cumsum(links), names
+        until = [np.searchsorted(x, closes, "right") for x in (*ends, both, every)]
+        counts[order] = np.diff(np.stack(until, axis=1), axis=0, prepend=0)
+        if named:
+            # each token's number and the mark behind it, in the order of groups and, in a group, of tokenizers
+            group = [np.searchsorted(both, x) for x in ends]
+            words = [np.where(np.append(np.diff(g), 1) > 0, last[x], within[x]) for g, x, (within, last) in zip(group, flat, self.names, strict=True)]
+            placed = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+            words, stops, begin = np.concatenate(words)[placed].tolist(), (until[0] + until[1]).tolist(), 0
+            for i, stop in zip(order, stops, strict=True):
+                names[i], begin = b"".join(words[begin:stop]), stop
+        # links of segments in the order in which they were given
+        links = np.repeat(np.arange(len(order)), counts[order, 3])
+        return counts, codes[np.argsort(np.asarray(order)[links], kind="stable")], names
 
 
 class Segments:
@@ -157,13 +182,12 @@ class Segments:
         self.rows, self.codes, self.times, self.ends = Grown(np.int64, 6), Grown(np.int64), Grown(np.int64), Grown(np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        counts, codes, ends, names = self.aligner.align(new)
+        counts, codes, names = self.aligner.align(new, self.measured)
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.chars += sum(map(len, new))
-        links = np.diff(ends, prepend=0)
-        owner = np.repeat(np.arange(len(new)), links)
+        owner = np.repeat(np.arange(len(new)), counts[:, 3])
         rows = np.zeros((len(new), 6), np.int64)
-        rows[:, :3], rows[:, 3] = counts, links
+        rows[:, :4] = counts
         if self.measured:
             self.names += names
             if self.pairs is not None:
@@ -182,12 +206,16 @@ class Segments:
         """The places of all texts' segments, and where each text's begin. Each text has one segment at least."""
         if len(self.index) > CACHE_SEGMENTS or self.chars > CACHE_CHARS:
             self.clear()
-        each = [self.aligner.find(" " + t) for t in texts]
-        flat = list(chain.from_iterable(each))
-        found = list(map(self.index.get, flat))
-        if None in found:
-            self._learn(list(dict.fromkeys(s for s, i in zip(flat, found, strict=True) if i is None)))
-            found = list(map(self.index.__getitem__, flat))
+        gc.disable()  # nothing here makes cycles, and each collection would walk through all that is remembered
+        try:
+            each = [self.aligner.find(" " + t) for t in texts]
+            flat = list(chain.from_iterable(each))
+            found = list(map(self.index.get, flat))
+            if new := list(dict.fromkeys(compress(flat, map(is_, found, repeat(None))))):
+                self._learn(new)
+                found = list(map(self.index.__getitem__, flat))
+        finally:
+            gc.enable()
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter(found, np.int64, len(found)), np.cumsum(sizes) - sizes
 
@@ -195,17 +223,16 @@ class Segments:
         """Whether all segments of a text are the same bytes in both tokenizers."""
         return np.minimum.reduceat(self.rows.all[places, 0], begins) > 0
 
-    def pairs_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, code, links of it) for each pair of ids that a text links, by text."""
+    def pairs_of(self, texts: list[str], timed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(text, code, and if timed how many links) for each pair of ids that a text links, by text."""
         places, begins = self.places(texts)
         text = np.repeat(np.arange(len(texts)), np.diff(begins, append=len(places)))
         ok = self.aligned(places, begins)[text]
-        both, repeats = np.unique((text[ok] << 32) | places[ok], return_counts=True)
-        text, places = both >> 32, both & 0xFFFFFFFF
+        text, places, repeats = reduced(text[ok], places[ok], np.ones(int(ok.sum()), np.int64) if timed else None)
         starts = np.where(places > 0, self.ends.all[places - 1], 0)
         sizes = self.ends.all[places] - starts
         source = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return reduced(np.repeat(text, sizes), self.codes.all[source], self.times.all[source] * np.repeat(repeats, sizes))
+        return reduced(np.repeat(text, sizes), self.codes.all[source], self.times.all[source] * np.repeat(repeats, sizes) if timed else None)
 
     def measures(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         """n_a, n_b, n_groups, n_links, n_best, count_sum and the groups' digest of each text."""
@@ -213,15 +240,20 @@ class Segments:
         sums, ok = np.add.reduceat(self.rows.all[places], begins), self.aligned(places, begins)
         sums[~ok] = 0
         names, cut = list(map(self.names.__getitem__, places.tolist())), [*begins.tolist(), len(places)]
-        return sums, [hashlib.sha256(b";".join(names[i:j])).hexdigest() if fine else "" for i, j, fine in zip(cut, cut[1:], ok.tolist(), strict=False)]
+        return sums, [hashlib.sha256(b"".join(names[i:j])[:-1]).hexdigest() if fine else "" for i, j, fine in zip(cut, cut[1:], ok.tolist(), strict=False)]
 
 
-def reduced(owner: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sum of counts for each owner and code, in their order."""
-    order = np.lexsort((codes, owner))
-    owner, codes, counts = owner[order], codes[order], counts[order]
-    begins = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-    return owner[begins], codes[begins], (np.add.reduceat(counts, begins) if len(begins) else counts)
+def reduced(owner: np.ndarray, codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Each owner and code once, in their order, with the sum of its counts if there are any."""
+    keys = (owner << 2 * ID_BITS) | codes
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys = keys[begins]
+    return keys >> 2 * ID_BITS, keys & ((1 << 2 * ID_BITS) - 1), counts if counts is None or not len(begins) else np.add.reduceat(counts, begins)
 
 
 _workers: dict[object, Segments] = {}
@@ -309,7 +341,7 @@ def measure(df: DataFrame, first_path: str, second_path: str, *, id_col: str = "
 
     def run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, _ in _groups(batches):
-            text, codes, times = worker(first, second).pairs_of(texts)
+            text, codes, times = worker(first, second).pairs_of(texts, timed=True)
             keys = pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(text)), pa.array(codes), pa.array(times)], names=["key", "code", "times"])
 

@@ -108,3 +108,39 @@ known AS (SELECT word, max(n) AS n FROM matched WHERE place = length(word) AND n
 SELECT s.doc_id, any_value(len(s.words)) AS n_words, CAST(coalesce(sum(coalesce(k.n, 1)) FILTER (l.word IS NOT NULL), 0) AS BIGINT) AS n_tokens, count(*) FILTER (l.word IS NOT NULL AND k.word IS NULL) AS n_unknown
 FROM split s LEFT JOIN listed l ON l.doc_id = s.doc_id LEFT JOIN known k ON k.word = l.word GROUP BY s.doc_id
 """
+
+
+def collocations(least: int, inside_percent: int, top: int) -> str:
+    """Phrases of 2 and 3 words, with each order counted on its own."""
+    return rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), one AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), f AS (
+  SELECT lang, 1 AS words, w[i] AS phrase, count(*) AS f FROM one GROUP BY ALL
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1], count(*) FROM one WHERE i + 1 <= len(w) GROUP BY ALL
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], count(*) FROM one WHERE i + 2 <= len(w) GROUP BY ALL
+), c AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE words > 1 AND f >= {least}
+), cuts AS (
+  SELECT lang, words, phrase, a, 1 AS k, p[1] AS x, array_to_string(p[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, words, phrase, a, 2, p[1] || ' ' || p[2], p[3] FROM c WHERE words = 3
+), scored AS (
+  SELECT cuts.*, fx.f AS l, fy.f AS r, CAST((1000000::HUGEINT * a * a) // (fx.f::HUGEINT * fy.f) AS BIGINT) AS score
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, p[1] || ' ' || p[2] AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, p[2] || ' ' || p[3], a FROM c WHERE words = 3
+  ) GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+)
+SELECT scored.lang, row_number() OVER (PARTITION BY scored.lang ORDER BY score DESC, a DESC, scored.phrase) AS rank, scored.phrase, a, l, r, n, score
+FROM scored JOIN n ON n.lang = scored.lang LEFT JOIN longer ON longer.lang = scored.lang AND longer.phrase = scored.phrase
+WHERE longer IS NULL OR 100 * longer < {inside_percent} * a
+QUALIFY rank <= {top}
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import align, bpe, collision, itq, minhash, mixing, oracles, repeats, tokenio, toxicity, urlfilter, wordpiece
+from cohortlake.llm import align, bpe, collision, disclosure, itq, minhash, mixing, oracles, phrases, repeats, tokenio, toxicity, urlfilter, wordpiece
 from cohortlake.llm.stage import Scratch
 
 
@@ -123,6 +123,19 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.measure(table(spark, sf_dir, "documents"), first, second)
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.sanitise(table(spark, sf_dir, "documents"))
+    kinds = F.array(*map(F.lit, (*disclosure.KINDS, disclosure.TERM)))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"] < len(disclosure.KINDS))
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(disclosure.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside_percent=50, top=2000)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -135,6 +148,8 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_wordpiece_counts": op10_wordpiece_counts,
     "op11_alignment": op11_alignment,
+    "op12_disclosure": op12_disclosure,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -147,4 +162,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": OP5_SQL,
         "op9_near_dedup": oracles.near_documents(5, 85),
         "op10_wordpiece_counts": oracles.wordpiece_counts(begin, inside),
+        "op13_collocations": oracles.collocations(10, 50, 2000),
     }

@@ -161,6 +161,23 @@ def apply(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return ended.select(*history.columns)
 
 
+def replayed(known: DataFrame, key: str, *, tie_break: Sequence[str] = ()) -> DataFrame:
+    """The history of all versions known (key, payload, effective_from, record_hash), in whatever order they came, with ``repeats``.
+
+    Of a key's versions of one day the last by tie_break and record_hash holds. A version equal to the one before it
+    has repeats true and no time of its own: a late version between both can part them later.
+    """
+    w = Window.partitionBy(key).orderBy("effective_from", *(F.col(c).asc_nulls_first() for c in tie_break), "record_hash")
+    last = known.withColumn("__last", ~F.lead("effective_from").over(w).eqNullSafe(F.col("effective_from"))).filter("__last").drop("__last")
+    marked = last.withColumn("repeats", F.coalesce(F.lag("record_hash").over(_in_time(key)).eqNullSafe(F.col("record_hash")), F.lit(False)))
+    # versions that don't repeat the one before end where the next such one begins
+    following = F.min(F.when(~F.col("repeats"), F.col("effective_from"))).over(_in_time(key).rowsBetween(1, Window.unboundedFollowing))
+    payload = [c for c in known.columns if c not in ADDED]
+    return marked.withColumn("__next", following).select(
+        *payload, F.lit(True).alias("is_enabled"), "effective_from", F.when(F.col("repeats"), F.col("effective_from")).otherwise(F.coalesce("__next", F.lit(END_OF_TIME))).alias("effective_to"),
+        (F.col("__next").isNull() & ~F.col("repeats")).alias("is_current"), "record_hash", "repeats")
+
+
 def rebuild(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The history from all versions known, late ones included; a late version replaces one of the same day."""
     payload = [c for c in history.columns if c not in ADDED]

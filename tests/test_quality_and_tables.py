@@ -60,23 +60,69 @@ def test_overwrite_may_read_what_it_replaces(spark, two, tmp_path):
     assert tables.read(spark, path).count() == 4
 
 
-def test_overwrite_puts_the_old_table_back(spark, two, tmp_path, monkeypatch):
-    path, rename = str(tmp_path / "t"), tables._rename
+@pytest.mark.parametrize("step", ["write_folder", "_rename", "publish", "tidy"])
+@pytest.mark.parametrize("after", [False, True])
+def test_overwrite_that_is_cut_off(spark, two, tmp_path, monkeypatch, step, after):
+    """Before or after each step, the table is the old one or the new one; the first of all isn't there or is."""
+    path, real = str(tmp_path / "t"), getattr(tables, step)
+
+    def cut(*args, **options):
+        if after:
+            real(*args, **options)
+        raise KeyboardInterrupt
+
+    def interrupted(df):
+        monkeypatch.setattr(tables, step, cut)
+        with pytest.raises(KeyboardInterrupt):
+            tables.overwrite(df, path)
+        monkeypatch.undo()
+
+    published = step == "tidy" or after and step in ("_rename", "publish")
+    interrupted(two)
+    assert tables.exists(spark, path) == published
+    if published:
+        assert tables.read(spark, path, SAMPLE).count() == 2
     tables.overwrite(two, path)
+    reader = tables.read(spark, path)
+    interrupted(two.limit(1))
+    assert tables.exists(spark, path) and tables.read(spark, path).count() == (1 if published else 2)
+    assert reader.count() == 2  # planned before, and read after
+    assert tables.overwrite(two.unionAll(two), path) == 4 and tables.read(spark, path).count() == 4
+    assert len(list((tmp_path / "t" / tables.DATA).iterdir())) == tables.KEPT and len(list((tmp_path / "t" / tables.SNAPSHOTS).glob("*.json"))) == tables.KEPT
 
-    def fails_for_the_new_folder(files, source, target):
-        if ".staging-" in str(source):
-            raise OSError("no")
-        rename(files, source, target)
 
-    monkeypatch.setattr(tables, "_rename", fails_for_the_new_folder)
-    with pytest.raises(OSError):
-        tables.overwrite(two.limit(1), path)
-    assert tables.read(spark, path).count() == 2
-    monkeypatch.undo()
+def test_one_of_two_writers_fails(spark, two, tmp_path):
+    path = str(tmp_path / "t")
+    tables.overwrite(two, path)
+    now = tables.snapshot(spark, path)
+    slow, _ = tables.write_folder(two.limit(1), path, now)
+    tables.overwrite(two.unionAll(two), path)
+    with pytest.raises(OSError, match="could not be renamed"):
+        tables.publish(spark, path, now, {"": [slow]}, SAMPLE, {})
+    assert tables.read(spark, path).count() == 4
+    tables.overwrite(two, path)
+    assert not (tmp_path / "t" / slow).exists()
+
+
+def test_tables_of_earlier_layouts(spark, two, tmp_path):
+    path = str(tmp_path / "t")
+    two.write.parquet(f"{path}.old-1")  # what an overwrite left that was cut off between two renames
+    assert tables.exists(spark, path) and tables.read(spark, path, SAMPLE).count() == 2 and (tmp_path / "t").exists()
+    assert tables.overwrite(two.limit(1), path) == 1 and tables.read(spark, path).count() == 1
+    assert {p.name for p in (tmp_path / "t").iterdir()} == {tables.DATA, tables.SNAPSHOTS}
+    assert tables.append(two, path) == 2 and tables.read(spark, path).count() == 3
     at, files = tables._path(spark, path)
     with pytest.raises(OSError, match="could not be renamed"):  # Hadoop would move it inside
-        rename(files, at, at)
+        tables._rename(files, at, at)
+
+
+def test_other_columns_need_to_be_asked_for(spark, two, tmp_path):
+    path = str(tmp_path / "t")
+    tables.overwrite(two, path)
+    with pytest.raises(ValueError, match="other columns"):
+        tables.overwrite(two.selectExpr("id", "name AS title"), path)
+    tables.overwrite(two.selectExpr("id", "name AS title"), path, replace_schema=True)
+    assert tables.read(spark, path).columns == ["id", "title"]
 
 
 def test_schema_of_partitioned_tables(spark, tmp_path):

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from cohortlake.functions.columns import record_hash
 from cohortlake.schemas import END_OF_TIME
@@ -71,26 +72,48 @@ def ordered(history: DataFrame, key: str) -> DataFrame:
     return history.orderBy(key, "effective_from")
 
 
+def _version_at(points: DataFrame, begun: DataFrame) -> DataFrame:
+    """points (__key, __at) with __version, the last one begun: one pass over both in the order of time, by key and slice.
+
+    A key's time is cut into slices, so that a key with any number of points isn't one task's. What a slice begins with
+    is carried over from those before it, by a pass over one row for each slice.
+    """
+    kind = points.schema["__at"].dataType
+    slice_of = F.year("__at") if isinstance(kind, DateType) else F.to_date("__at")
+    points, begun = points.withColumn("__slice", slice_of), begun.withColumn("__slice", slice_of)
+    # of what begins on one day, the one that goes on comes last
+    order = F.struct(F.col("__at"), F.col("__version.effective_to"))
+    ends = begun.groupBy("__key", "__slice").agg(F.max_by("__version", order).alias("__version"))
+    slices = points.select("__key", "__slice").distinct().unionByName(ends, allowMissingColumns=True).groupBy("__key", "__slice").agg(F.first("__version", ignorenulls=True).alias("__version"))
+    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select("__key", "__slice", F.last("__version", ignorenulls=True).over(before).alias("__version")).filter("__version IS NOT NULL")
+    both = points.withColumn("__asked", F.lit(True)).unionByName(begun, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # what is carried over has no time and comes first; on one day, versions come before what is asked
+    in_time = Window.partitionBy("__key", "__slice").orderBy(F.asc_nulls_first("__at"), F.asc_nulls_first("__asked"), "__version.effective_to").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__version", F.last("__version", ignorenulls=True).over(in_time)).filter("__asked").select("__key", "__at", "__version")
+
+
 def as_of_join(facts: DataFrame, history: DataFrame, key: str, date: Column, *, history_key: str | None = None, how: str = "inner") -> DataFrame:
     """Facts with the version of their key valid on their date; ``how`` is inner or left.
 
-    Versions of a key follow each other, so a fact's is the last one begun: one pass over facts and versions in
-    the order of time, whose cost is the sum of both, not their product, however many a key has. A fact without
-    a key or date has no version.
+    All facts of a key and a date have one version. So versions are looked up for distinct keys and dates alone, which
+    any number of facts of one key hardly adds to, and facts are joined to what was found by both: a join that adaptive
+    execution can split. Where versions begin on days, times of facts count as their days. A fact without a key or
+    date has no version, and takes no part in the join.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
     of_key = history_key or key
     payload = [c for c in history.columns if c != of_key]
-    lines = facts.select(F.col(key).alias("__key"), date.alias("__at"), F.struct(*facts.columns).alias("__fact"))
-    begun = history.filter(F.col(of_key).isNotNull()).select(F.col(of_key).alias("__key"), F.col("effective_from").alias("__at"), F.struct(*payload).alias("__version"))
-    both = lines.unionByName(begun, allowMissingColumns=True)
-    # of what is on one day, versions come before facts, and the one that goes on comes last
-    in_time = Window.partitionBy("__key").orderBy("__at", F.col("__fact").isNotNull(), F.col("__version.effective_to")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__version", F.last("__version", ignorenulls=True).over(in_time)).filter("__fact IS NOT NULL")
-    valid = F.col("__at").isNotNull() & (F.col("__version.effective_to") > F.col("__at"))
-    found = found.filter(valid) if how == "inner" else found.withColumn("__version", F.when(valid, F.col("__version")))
-    return found.select("__fact.*", *(F.col(f"__version.{c}").alias(c) for c in payload))
+    kind = history.schema["effective_from"].dataType
+    lines = facts.withColumns({"__key": F.col(key), "__at": date.cast(kind)})
+    known = F.col("__key").isNotNull() & F.col("__at").isNotNull()
+    begun = history.filter(F.col(of_key).isNotNull() & F.col("effective_from").isNotNull()).select(F.col(of_key).alias("__key"), F.col("effective_from").alias("__at"), F.struct(*payload).alias("__version"))
+    found = _version_at(lines.filter(known).select("__key", "__at").distinct(), begun).filter(F.col("__version.effective_to") > F.col("__at"))
+    joined = lines.filter(known).join(found, ["__key", "__at"], how)
+    if how == "left":
+        joined = joined.unionByName(lines.filter(~known), allowMissingColumns=True)
+    return joined.select(*facts.columns, *(F.col(f"__version.{c}").alias(c) for c in payload))
 
 
 def _against(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -127,3 +127,39 @@ def test_batches_in_order_give_the_one_shot_history(spark, events):
         own.sort(key=lambda r: r[2])
         assert [r[4] for r in own] == [False] * (len(own) - 1) + [True]
         assert all(a[3] == b[2] for a, b in zip(own, own[1:]))
+
+
+def test_as_of_join_of_a_hot_key(spark):
+    """Half of all facts are of one key and a quarter of one day; others lack a key or a date. Times count as their days."""
+    history = initial(spark, *((k, str(D("2020-01-01") + datetime.timedelta(200 * n + k)), f"v{n}") for k in range(1, 5) for n in range(12)))
+    closed = history.filter("NOT (feature_id = 1 AND version IN ('v3', 'v4', 'v5'))")
+    n = F.col("id")
+    uses = spark.range(4_000).select(
+        F.when(n % 2 == 0, 1).when(n % 11 != 0, n % 7).cast("int").alias("feature_id"),
+        F.when(n % 4 == 0, F.lit("2023-03-03 10:00:00")).when(n % 13 != 0, F.timestamp_seconds(n * 86_000 + 1_560_000_000).cast("string")).cast("timestamp").alias("used"), n.alias("fact"))
+    on = (F.col("feature_id") == F.col("k")) & (F.col("effective_from") <= F.col("used")) & (F.col("effective_to") > F.col("used"))
+    for how in ("inner", "left"):
+        wanted = uses.join(closed.withColumnRenamed("feature_id", "k"), on, how).drop("k")
+        found = scd2.as_of_join(uses, closed, "feature_id", F.col("used"), how=how)
+        assert found.columns == wanted.columns and sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+    # histories that begin at a time of day
+    begun = closed.withColumns({"effective_from": F.col("effective_from").cast("timestamp") + F.expr("INTERVAL 10 HOURS"), "effective_to": F.col("effective_to").cast("timestamp") + F.expr("INTERVAL 10 HOURS")})
+    wanted = uses.join(begun.withColumnRenamed("feature_id", "k"), on, "inner").drop("k")
+    assert sorted(map(repr, scd2.as_of_join(uses, begun, "feature_id", F.col("used")).collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_no_task_of_the_as_of_join_holds_a_hot_key(spark):
+    history = initial(spark, *((k, f"202{n}-01-01", f"v{n}") for k in range(1, 300) for n in range(4)))
+    n = F.col("id")
+    uses = spark.range(40_000).select(F.when(n % 2 == 0, 1).otherwise(n % 300).cast("int").alias("feature_id"), F.date_add(F.lit("2020-01-01").cast("date"), (n % 1460).cast("int")).alias("used"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in scd2.as_of_join(uses, history, "feature_id", F.col("used")).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for name, value in {"spark.sql.shuffle.partitions": "2"}.items():
+            spark.conf.set(name, value)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.functions.columns import small
-
 # fixed values: the labels of the result
 USED, AVAILABLE, ABSENT = COHORTS = ("used_feature", "available_not_used", "not_available")
 
@@ -24,9 +22,20 @@ def with_conversions(users: DataFrame, conversions: DataFrame) -> DataFrame:
     return users.select("user_id", "signup_date").join(conversions.select("user_id", "conversion_date", "mrr"), "user_id", "left")
 
 
+def with_each(rows: DataFrame, few: DataFrame, spread: str) -> DataFrame:
+    """Every row with every row of few, by an equality join: each of as many slots as there are shuffle partitions has all of few, and rows are dealt to them by a hash of ``spread``.
+
+    No size has to be known when this is planned: adaptive execution broadcasts few if it turns out small, and else
+    each slot is a task that holds it once.
+    """
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__slot", F.pmod(F.xxhash64(spread), F.lit(slots)))
+    return dealt.join(few.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))), "__slot").drop("__slot")
+
+
 def grid(users: DataFrame, features: DataFrame) -> DataFrame:
-    """Every user with every feature. Features are broadcast if they are few, as a catalogue's should be; users never are."""
-    return users.crossJoin(small(features.select("feature_id", "feature_name", "effective_from")))
+    """Every user with every feature."""
+    return with_each(users, features.select("feature_id", "feature_name", "effective_from"), "user_id")
 
 
 def _available() -> Column:
@@ -80,10 +89,10 @@ def impact_rewrite(users: DataFrame, features: DataFrame, usage: DataFrame, conv
     Needs one row a user in users and conversions, one a (user, feature) in usage, one a feature_id.
     """
     people = with_conversions(users, conversions)
-    catalogue = small(features.select("feature_id", "feature_name", "effective_from"))
+    catalogue = features.select("feature_id", "feature_name", "effective_from")
     without_use = F.when(_available(), AVAILABLE).otherwise(ABSENT)
     by_day = _summed(people, "signup_date")
-    everyone = by_day.crossJoin(catalogue).select("feature_name", without_use.alias("cohort"), *_SUMS)
+    everyone = with_each(by_day, catalogue, "signup_date").select("feature_name", without_use.alias("cohort"), *_SUMS)
     users_of = usage.filter("first_used_date IS NOT NULL").select("user_id", "feature_id").join(catalogue, "feature_id").join(people, "user_id")
     used = _summed(users_of.withColumn("cohort", without_use), "feature_name", "cohort")
     taken = used.select("feature_name", "cohort", *((-F.col(c)).alias(c) for c in _SUMS))

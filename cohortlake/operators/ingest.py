@@ -25,15 +25,24 @@ def with_stable_id(df: DataFrame, natural: Sequence[str], *, id_col: str = "even
     before anything moves, and laid out again in runs of RUN_ROWS, so that one record repeated without end fills no
     task. With further columns, rows of one natural key are numbered by a window.
     """
-    own = natural_id(*natural)
     if set(natural) == set(df.columns):
-        counted = df.groupBy(*natural).agg(F.count("*").alias("__rows"))
-        runs = counted.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows"), F.lit(RUN_ROWS).cast("long"))))
-        runs = runs.withColumn("__to", F.least(F.col("__from") + (RUN_ROWS - 1), F.col("__rows"))).hint("rebalance")
-        rows = runs.withColumn("__n", F.explode(F.sequence("__from", "__to")))
-        return rows.select(*df.columns, F.xxhash64(own, "__n").alias(id_col))
+        return _laid_out(df.groupBy(*natural).agg(F.count("*").alias("__rows")), natural, id_col).select(*df.columns, id_col)
     number = F.row_number().over(Window.partitionBy(*natural).orderBy(F.lit(0))).cast("long")
-    return df.withColumn("__n", number).withColumn(id_col, F.xxhash64(own, "__n")).drop("__n")
+    return df.withColumn("__n", number).withColumn(id_col, F.xxhash64(natural_id(*natural), "__n")).drop("__n")
+
+
+def with_id_by_file(df: DataFrame, natural: Sequence[str], file: str, *, id_col: str = "event_id") -> DataFrame:
+    """Rows of several files with the ids that with_stable_id gives those of each alone: what several files have is taken as often as one of them has it."""
+    of_file = df.groupBy(*natural, file).agg(F.count("*").alias("__rows"))
+    return _laid_out(of_file.groupBy(*natural).agg(F.max("__rows").alias("__rows")), natural, id_col)
+
+
+def _laid_out(counted: DataFrame, natural: Sequence[str], id_col: str) -> DataFrame:
+    """Each natural row __rows times, numbered, in runs that one task lays out."""
+    runs = counted.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows"), F.lit(RUN_ROWS).cast("long"))))
+    runs = runs.withColumn("__to", F.least(F.col("__from") + (RUN_ROWS - 1), F.col("__rows"))).hint("rebalance")
+    rows = runs.withColumn("__n", F.explode(F.sequence("__from", "__to")))
+    return rows.select(*natural, F.xxhash64(natural_id(*natural), "__n").alias(id_col))
 
 
 def feature_releases(raw: DataFrame) -> DataFrame:
@@ -52,13 +61,16 @@ def conversions(raw: DataFrame) -> DataFrame:
 EVENT_COLUMNS = ("event_id", "user_id", "feature_id", "feature_name", "event_type", "event_timestamp", "event_date", "ingestion_timestamp")
 
 
-def feature_usage_events(raw: DataFrame) -> DataFrame:
-    """Typed events; a timestamp that doesn't parse is null, and so is its date."""
-    ids = with_stable_id(raw, raw.columns)
+def typed_events(ids: DataFrame) -> DataFrame:
+    """Events with their times; a timestamp that doesn't parse is null, and so is its date."""
     typed = ids.withColumn("event_timestamp", event_time("timestamp"))
     return with_ingestion_timestamp(typed.withColumn("event_date", day("event_timestamp"))).select(*EVENT_COLUMNS)
 
 
+def feature_usage_events(raw: DataFrame) -> DataFrame:
+    return typed_events(with_stable_id(raw, raw.columns))
+
+
 def unseen(new: DataFrame, table: DataFrame, natural: Sequence[str]) -> DataFrame:
     """The rows of new whose natural columns aren't in the table yet, each once: what makes a re-run harmless."""
     key = natural_id(*natural)

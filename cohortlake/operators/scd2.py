@@ -142,13 +142,12 @@ def late(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 def stage(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """What a batch does to a history, with merge_key: the key for the current row to be closed, null for a row to be added.
 
-    Several new versions of one key are chained; the first of them closes the current one.
+    Several new versions of one key are chained; the first of them closes the current one. A row without a key is
+    added, and closes none.
     """
-    found = changes(history, incoming, key).unionByName(new_keys(history, incoming, key))
-    added = _chained(found, key).withColumn("merge_key", F.lit(None).cast(history.schema[key].dataType))
-    firsts = changes(history, incoming, key).groupBy(key).agg(F.min("effective_from").alias("__closes"))
-    closed = current(history).join(firsts, key).withColumns({"effective_to": F.col("__closes"), "is_current": F.lit(False), "merge_key": F.col(key)})
-    return closed.select("merge_key", *history.columns).unionByName(added.select("merge_key", *history.columns))
+    done = _continued(history, incoming, key)
+    closed = ~F.col("__new") & F.col("__chain") & F.col("__next").isNotNull() & F.col(key).isNotNull()
+    return done.filter(F.col("__new") | closed).select(F.when(~F.col("__new"), F.col(key)).alias("merge_key"), *history.columns)
 
 
 def apply_staged(history: DataFrame, staged: DataFrame, key: str) -> DataFrame:
@@ -160,11 +159,10 @@ def apply_staged(history: DataFrame, staged: DataFrame, key: str) -> DataFrame:
     return kept.select(*history.columns).unionByName(staged.filter("merge_key IS NULL").select(*history.columns))
 
 
-def apply(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The history after a batch of versions, as staging and merging it gives. A batch already in it changes nothing.
+def _continued(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """History and batch in one pass: they meet once, by the key, and every window below goes by the same key.
 
-    One pass: history and batch meet once, by the key, and every window below goes by the same key. A null key
-    is a key like others here.
+    Columns of the history with __new, __chain (the row is part of the chain that goes on) and __next (its end there).
     """
     payload = [c for c in history.columns if c not in ADDED and c != key]
     both = history.withColumn("__new", F.lit(False)).unionByName(incoming.select(key, *payload, "effective_from", "record_hash").withColumn("__new", F.lit(True)), allowMissingColumns=True)
@@ -177,11 +175,18 @@ def apply(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     changed = ~F.col("record_hash").eqNullSafe(F.lag("record_hash").over(in_time))
     kept = chain.withColumn("__kept", ~F.col("__new") | changed).filter("__kept")
     following = F.when(F.col("__chain"), F.lead("effective_from").over(in_time))
-    ended = kept.withColumn("__next", following).withColumns({
+    return kept.withColumn("__next", following).withColumns({
         "is_enabled": F.coalesce("is_enabled", F.lit(True)),
         "effective_to": F.coalesce("__next", "effective_to", F.lit(END_OF_TIME)),
         "is_current": F.col("__chain") & F.col("__next").isNull()})
-    return ended.select(*history.columns)
+
+
+def apply(history: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """The history after a batch of versions, as staging and merging it gives. A batch already in it changes nothing.
+
+    A null key is a key like others here.
+    """
+    return _continued(history, incoming, key).select(*history.columns)
 
 
 def replayed(known: DataFrame, key: str, *, tie_break: Sequence[str] = ()) -> DataFrame:

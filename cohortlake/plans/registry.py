@@ -17,6 +17,7 @@ from cohortlake.functions.columns import iso_date
 from cohortlake.operators import cohort, dims, facts, ingest, quality, scd2
 from cohortlake.schemas import RAW, TABLES
 from cohortlake.sources import tables
+from cohortlake.sources.history import History
 from cohortlake.sources.raw import read_raw
 
 LAYERS = {
@@ -26,6 +27,8 @@ LAYERS = {
 RAW_FILES = {"feature_releases": "feature_releases.json", "user_signups": "user_signups.jsonl", "feature_usage_events": "feature_usage_events.jsonl", "conversions": "conversions.jsonl"}
 RAW_OPTIONS = {"feature_releases": {"multiLine": True}}
 PARTITIONS = {"user_signups": ("signup_date",), "feature_usage_events": ("event_date",)}
+#: Buckets of the history of features, which are thousands at most.
+HISTORY_BUCKETS = 16
 KEYS = {"feature_states": ("feature_id", "effective_from"), "user_dim": ("user_id",), "feature_usage_facts": ("user_id", "feature_id"), "feature_conversion_impact": ("feature_name", "cohort")}
 
 
@@ -59,19 +62,26 @@ def _bronze(name: str, shape: Callable[[DataFrame], DataFrame]) -> Table:
         raw = read_raw(ws.spark, f"{ws.raw}/{RAW_FILES[name]}", RAW[name], options=RAW_OPTIONS.get(name))
         new = shape(raw)
         if ws.dedupe and tables.exists(ws.spark, ws.path(name)):
-            new = ingest.unseen(new, ws.read(name), [c for c in TABLES[name].names if c not in ("ingestion_timestamp", "event_id")])
+            new = ingest.unseen(new, ws.read(name), [c for c in TABLES[name].names if c != "ingestion_timestamp"])
         return tables.append(new.select(*TABLES[name].names), ws.path(name), partition_by=PARTITIONS.get(name, ()), fmt=ws.fmt)
 
     return Table(name, process)
 
 
+def feature_history(ws: Workspace) -> History:
+    return History(ws.spark, ws.path("feature_states"), "feature_id", TABLES["feature_states"], n_buckets=HISTORY_BUCKETS, fmt=ws.fmt)
+
+
 def _feature_states(ws: Workspace) -> int:
-    found = scd2.versions(ws.read("feature_releases"), "feature_id", iso_date("release_date"), ["feature_name", "version"], tie_break=["version"])
-    if tables.exists(ws.spark, ws.path("feature_states")):
-        history = scd2.apply(ws.read("feature_states"), found, "feature_id")
+    """A batch rewrites the buckets in which it changes something; the rows that the table then has."""
+    history, found = feature_history(ws), scd2.versions(ws.read("feature_releases"), "feature_id", iso_date("release_date"), ["feature_name", "version"], tie_break=["version"])
+    if not tables.exists(ws.spark, history.path):
+        history.create(scd2.initial(ws.read("feature_releases"), "feature_id", iso_date("release_date"), ["feature_name", "version"], tie_break=["version"]))
     else:
-        history = scd2.initial(ws.read("feature_releases"), "feature_id", iso_date("release_date"), ["feature_name", "version"], tie_break=["version"])
-    return tables.overwrite(history.select(*TABLES["feature_states"].names), ws.path("feature_states"), fmt=ws.fmt)
+        if tables.snapshot(ws.spark, history.path) is None:  # written by an earlier release
+            history.create(history.read())
+        history.merge(found)
+    return history.read().count()
 
 
 def _user_dim(ws: Workspace) -> int:

@@ -1,30 +1,66 @@
-"""Usage events as a stream of files: each file is read once, however often the job runs."""
+"""Usage events and histories from a stream of files. Each micro-batch is merged into a table, so that nothing is too late and nothing counts twice."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cohortlake.operators import ingest
+from cohortlake.schemas import RAW, TABLES
+from cohortlake.sources import tables
+from cohortlake.sources.history import History
 
-from cohortlake.functions.columns import day, event_time, natural_id
-from cohortlake.operators.ingest import EVENT_COLUMNS, with_ingestion_timestamp
-from cohortlake.schemas import RAW
+FILE = "__file"
 
 
-def stream_events(spark: SparkSession, raw: str, *, late: str = "2 days") -> DataFrame:
-    """Typed events from JSON lines. Repeats of an event within the watermark are dropped; an event without a time has no id to go by and is dropped."""
-    read = spark.readStream.schema(RAW["feature_usage_events"]).json(raw)
-    typed = read.withColumn("event_timestamp", event_time("timestamp")).filter("event_timestamp IS NOT NULL")
-    typed = typed.withColumns({"event_id": natural_id(*RAW["feature_usage_events"].names), "event_date": day("event_timestamp")})
-    once = typed.withWatermark("event_timestamp", late).dropDuplicatesWithinWatermark(["event_id"])
-    return with_ingestion_timestamp(once).select(*EVENT_COLUMNS)
+def records(spark: SparkSession, raw: str, schema: StructType, *, files_at_once: int = 1000) -> DataFrame:
+    """Lines of JSON as a stream of files, with the file that each is from."""
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(raw)
+    return read.select(*schema.names, F.col("_metadata.file_path").alias(FILE))
 
 
-def ingest_available(spark: SparkSession, raw: str, path: str, checkpoint: str, *, late: str = "2 days") -> None:
-    """Takes what is there and stops. The checkpoint remembers the files and ids seen."""
-    query = stream_events(spark, raw, late=late).writeStream.format("parquet").partitionBy("event_date").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+def run_available(stream: DataFrame, checkpoint: str, take: Callable[[DataFrame, int], object]) -> None:
+    """Gives what is there to take(batch, number) and stops. The checkpoint remembers the files; a batch that was cut off comes again with its number."""
+    query = stream.writeStream.foreachBatch(lambda batch, number: take(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def ingest_available(spark: SparkSession, raw: str, path: str, checkpoint: str, *, files_at_once: int = 1000) -> None:
+    """Events of new files into the table at path, partitioned by their day; ids are those of a batch ingest of each file.
+
+    Equal events of one file are told apart by their number. An event that is in several files, or in a file and the
+    table already, is taken as often as the file has it that has it most often: whichever files come together, the
+    table is the same. However old, and also without a time, events are taken. Only the days of a micro-batch are
+    read to compare with.
+    """
+    natural = RAW["feature_usage_events"].names
+
+    def take(batch: DataFrame, number: int) -> None:
+        events = ingest.typed_events(ingest.with_id_by_file(batch, natural, FILE)).persist()
+        try:
+            if tables.exists(spark, path):
+                days = [r[0] for r in events.select("event_date").distinct().collect()]
+                of_days = F.col("event_date").isin([d for d in days if d is not None]) | (F.lit(None in days) & F.col("event_date").isNull())
+                known = tables.read(spark, path, TABLES["feature_usage_events"]).filter(of_days)
+                new = ingest.unseen(events, known, [c for c in ingest.EVENT_COLUMNS if c != "ingestion_timestamp"])
+            else:
+                new = events
+            tables.append(new.select(*ingest.EVENT_COLUMNS), path, partition_by=["event_date"])
+        finally:
+            events.unpersist()
+
+    run_available(records(spark, raw, RAW["feature_usage_events"], files_at_once=files_at_once), checkpoint, take)
+
+
+def history_available(spark: SparkSession, raw: str, schema: StructType, history: History, checkpoint: str, versions: Callable[[DataFrame], DataFrame], *, feed: str, tie_break: Sequence[str] = (), files_at_once: int = 1000) -> None:
+    """New files' records into a history, by versions(records). Files in any order, and batches that come twice, give the history of all at once."""
+    stream = records(spark, raw, schema, files_at_once=files_at_once)
+    run_available(stream, checkpoint, lambda batch, number: history.merge_late(versions(batch.drop(FILE)), batch=(feed, number), tie_break=tie_break))
+
+
 def daily_counts(events: DataFrame, *, late: str = "2 days") -> DataFrame:
     """Events by day and type, of a stream or a table; on a stream a day closes once the watermark has passed it."""
     marked = events.withWatermark("event_timestamp", late) if events.isStreaming else events

@@ -5,9 +5,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.operators import ingest, quality
+from cohortlake.functions.columns import iso_date
+from cohortlake.operators import ingest, quality, scd2
 from cohortlake.plans import registry
 from cohortlake.schemas import RAW, TABLES
+from cohortlake.sources import tables
+from cohortlake.sources.history import History
 from cohortlake.streaming import bronze
 
 
@@ -86,12 +89,66 @@ def test_records_of_one_hash_are_told_apart(spark, monkeypatch):
     assert sorted(map(repr, ingest.unseen(new, known, ["x", "y"]).collect())) == ["Row(x='b', y=None)", "Row(x=None, y='a')"]
 
 
-def test_stream_takes_each_file_once(spark, raw, tmp_path):
-    path = str(tmp_path / "stream")
-    (tmp_path / "incoming").mkdir()
-    (tmp_path / "incoming/a.jsonl").write_text((Path(raw) / "feature_usage_events.jsonl").read_text())
+def lines(*events):
+    return "".join(json.dumps(dict(zip(RAW["feature_usage_events"].names, e))) + "\n" for e in events)
+
+
+def test_stream_equals_batch(spark, raw, tmp_path):
+    """Ids are those of a batch ingest; a run that finds nothing new changes nothing."""
+    path, incoming = str(tmp_path / "stream"), tmp_path / "incoming"
+    incoming.mkdir()
+    (incoming / "a.jsonl").write_text((Path(raw) / "feature_usage_events.jsonl").read_text())
     for _ in range(2):
-        bronze.ingest_available(spark, str(tmp_path / "incoming"), f"{path}/events", f"{path}/checkpoint")
-    events = spark.read.parquet(f"{path}/events")
-    assert events.count() == 1
-    assert [tuple(r) for r in bronze.daily_counts(events).collect()] == [(datetime.date(2024, 7, 1), "click", 1)]
+        bronze.ingest_available(spark, str(incoming), f"{path}/events", f"{path}/checkpoint")
+    ws = registry.Workspace(spark, raw, str(tmp_path / "tables"))
+    registry.run_table(ws, "feature_usage_events")
+    columns = [c for c in TABLES["feature_usage_events"].names if c != "ingestion_timestamp"]
+    streamed, batch = (sorted(map(repr, df.select(*columns).collect())) for df in (tables.read(spark, f"{path}/events", TABLES["feature_usage_events"]), ws.read("feature_usage_events")))
+    assert streamed == batch and len(batch) == 3  # two equal events, and one without a time
+    assert [tuple(r) for r in bronze.daily_counts(spark.read.parquet(f"{path}/events")).filter("event_date IS NOT NULL").collect()] == [(datetime.date(2024, 7, 1), "click", 2)]
+
+
+def test_stream_loses_nothing_whatever_the_order(spark, tmp_path):
+    """Events older than any watermark, repeated in and over files, in files that come one by one or together."""
+    old, new, none = ("2024-03-01 10:00:00", 1, 1, "f", "view"), ("2024-03-20 10:00:00", 1, 1, "f", "view"), (None, 2, 1, "f", "click")
+    files = {"a": [new, new, new], "b": [old, new], "c": [none, old, old, ("bad", 1, 1, "f", "view")], "d": [new, none]}
+    found = []
+    for order in (["a", "b", "c", "d"], ["d", "c", "b", "a"], ["abcd"]):
+        path, incoming = tmp_path / f"s{len(found)}", tmp_path / f"in{len(found)}"
+        incoming.mkdir()
+        for step in order:
+            for name in step:
+                (incoming / f"{name}.jsonl").write_text(lines(*files[name]))
+            bronze.ingest_available(spark, str(incoming), f"{path}/events", f"{path}/checkpoint", files_at_once=2)
+        rows = tables.read(spark, f"{path}/events", TABLES["feature_usage_events"]).drop("ingestion_timestamp").collect()
+        assert len({r.event_id for r in rows}) == len(rows) == 7
+        found.append(sorted(map(repr, rows)))
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    incoming, path = tmp_path / "in", tmp_path / "s"
+    incoming.mkdir()
+    (incoming / "a.jsonl").write_text(lines(("2024-03-01 10:00:00", 1, 1, "f", "view"), ("2024-03-01 10:00:00", 1, 1, "f", "view")))
+    for checkpoint in ("one", "two"):  # another checkpoint knows of no file
+        bronze.ingest_available(spark, str(incoming), f"{path}/events", f"{path}/{checkpoint}")
+    assert spark.read.parquet(f"{path}/events").count() == 2
+
+
+def test_history_from_a_stream(spark, tmp_path):
+    schema = RAW["feature_releases"]
+    rows = [(k, f"f{k}", f"2024-0{m}-01", v) for k in (1, 2) for m, v in ((1, "a"), (3, "b"), (5, "b"), (7, "a"))] + [(1, "f1", "2024-04-01", "c"), (2, "f2", "2024-07-01", "z"), (3, "f3", "soon", "a")]
+    of = lambda df: scd2.versions(df, "id", iso_date("release_date"), ["name", "version"], tie_break=["version"])
+    everything = of(spark.createDataFrame(rows, schema))
+    wanted = sorted(map(repr, scd2.initial(spark.createDataFrame(rows, schema), "id", iso_date("release_date"), ["name", "version"], tie_break=["version"], collapse_unchanged=True).collect()))
+    for turn, order in enumerate((rows, rows[::-1])):
+        incoming, path = tmp_path / f"in{turn}", tmp_path / f"h{turn}"
+        incoming.mkdir()
+        for i, r in enumerate(order):
+            (incoming / f"{i:02d}.jsonl").write_text(json.dumps(dict(zip(schema.names, r))) + "\n")
+        history = History(spark, f"{path}/t", "id", scd2.initial(everything.limit(0).withColumn("release_date", F.lit("")), "id", iso_date("release_date"), ["name", "version"]).schema, n_buckets=2)
+        for _ in range(2):
+            bronze.history_available(spark, str(incoming), schema, history, f"{path}/checkpoint", of, feed="releases", tie_break=["version"], files_at_once=4)
+        assert history.last_batch("releases") == 2 and sorted(map(repr, history.read().collect())) == wanted
+        # the last batch once more, as after a driver that died between merging and noting it
+        assert history.merge_late(of(spark.createDataFrame([(1, "f1", "2030-01-01", "x")], schema)), batch=("releases", 2)) == 0

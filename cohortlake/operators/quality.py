@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -30,13 +30,21 @@ def check_schema(df: DataFrame, expected: StructType, table: str) -> None:
         raise SchemaValidationError(f"{table}: type mismatch: {'; '.join(wrong)}")
 
 
+def observed(keys: Sequence[str]) -> dict[str, Column]:
+    """What tables.overwrite is to observe for check_table to know of the keys without reading."""
+    return {"null_keys": F.coalesce(F.count_if(_any_null(keys)), F.lit(0))} if keys else {}
+
+
 def check_table(spark: SparkSession, path: str, expected: StructType, table: str, *, min_rows: int = 1, keys: Sequence[str] = (), partition_by: Sequence[str] = (), fmt: str = tables.FORMAT) -> int:
     """Rows of a table that exists, has the schema and at least min_rows; with keys, that they are neither null nor repeated.
 
     The values of partition columns are text in folder names; a column in partition_by that is to be a string is one whatever its values look like.
+    What was observed as the table was written isn't read again: without keys nothing is read then, and with them the
+    key columns alone, to find repeated ones.
     """
     if not tables.exists(spark, path):
         raise DataValidationError(f"{table}: not found at {path}")
+    now = tables.snapshot(spark, path)
     try:
         # without the expected schema, so that it is the files' own that is checked
         found = tables.read(spark, path, fmt=fmt)
@@ -46,13 +54,17 @@ def check_table(spark: SparkSession, path: str, expected: StructType, table: str
         if "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         raise DataValidationError(f"{table}: no files at {path}") from e
-    df = tables.read(spark, path, expected, fmt=fmt)
-    rows = df.count() if not keys else None
+    seen = now.facts.get("observed", {}) if now else {}
+    df, rows = tables.read(spark, path, expected, fmt=fmt), seen.get("rows")
     if keys:
-        found = null_and_duplicate_keys(df, keys).first()
-        rows = found["n_rows"]
-        if found["n_null_keys"] or found["n_duplicate_keys"]:
-            raise DataValidationError(f"{table}: {found['n_null_keys']} null and {found['n_duplicate_keys']} duplicate keys in {', '.join(keys)}")
+        if seen.get("null_keys"):  # without a look for repeated ones
+            raise DataValidationError(f"{table}: {seen['null_keys']} null keys in {', '.join(keys)}")
+        counted = null_and_duplicate_keys(df.select(*keys), keys).first()
+        rows = counted["n_rows"]
+        if counted["n_null_keys"] or counted["n_duplicate_keys"]:
+            raise DataValidationError(f"{table}: {counted['n_null_keys']} null and {counted['n_duplicate_keys']} duplicate keys in {', '.join(keys)}")
+    if rows is None:
+        rows = df.count()
     if rows < min_rows:
         raise DataValidationError(f"{table}: has {rows} rows, expected at least {min_rows} rows")
     return rows
@@ -73,11 +85,15 @@ def check_raw(spark: SparkSession, path: str, expected: StructType, table: str,
     return rows
 
 
-def null_and_duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: rows, rows with a null in the key, and rows beyond the first of their key (null keys aside)."""
+def _any_null(keys: Sequence[str]) -> Column:
     null = F.lit(False)
     for c in keys:
         null = null | F.col(c).isNull()
-    each = df.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__null", null)
+    return null
+
+
+def null_and_duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: rows, rows with a null in the key, and rows beyond the first of their key (null keys aside)."""
+    each = df.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__null", _any_null(keys))
     return each.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("__null"), F.col("__n"))), F.lit(0)).alias("n_null_keys"),
                     F.coalesce(F.sum(F.when(~F.col("__null"), F.col("__n") - 1)), F.lit(0)).alias("n_duplicate_keys"))

@@ -27,6 +27,8 @@ LAYERS = {
 RAW_FILES = {"feature_releases": "feature_releases.json", "user_signups": "user_signups.jsonl", "feature_usage_events": "feature_usage_events.jsonl", "conversions": "conversions.jsonl"}
 RAW_OPTIONS = {"feature_releases": {"multiLine": True}}
 PARTITIONS = {"user_signups": ("signup_date",), "feature_usage_events": ("event_date",)}
+#: The folder of rows whose partition column is null (fixed value).
+NO_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 #: Buckets of the history of features, which are thousands at most.
 HISTORY_BUCKETS = 16
 KEYS = {"feature_states": ("feature_id", "effective_from"), "user_dim": ("user_id",), "feature_usage_facts": ("user_id", "feature_id"), "feature_conversion_impact": ("feature_name", "cohort")}
@@ -84,18 +86,50 @@ def _feature_states(ws: Workspace) -> int:
     return history.read().count()
 
 
-def _user_dim(ws: Workspace) -> int:
-    return tables.overwrite(dims.user_dim(ws.read("user_signups"), ws.read("conversions")), ws.path("user_dim"), fmt=ws.fmt)
+def _replace(ws: Workspace, name: str, df: DataFrame, **options: object) -> int:
+    """Gates find what they need of the rows beside the table."""
+    return tables.overwrite(df, ws.path(name), fmt=ws.fmt, observed=quality.observed(KEYS.get(name, ())), **options)
 
 
-def _usage_facts(ws: Workspace) -> int:
-    return tables.overwrite(facts.usage_facts(ws.read("feature_usage_events"), as_of=ws.as_of), ws.path("feature_usage_facts"), fmt=ws.fmt)
+def _user_dim(ws: Workspace) -> int:
+    return _replace(ws, "user_dim", dims.user_dim(ws.read("user_signups"), ws.read("conversions")))
+
+
+def new_events(ws: Workspace) -> tuple[DataFrame, dict[str, list[int]], datetime.datetime | None] | None:
+    """Events that the usage facts don't have yet, all partitions' marks, and the time up to which events had been taken; None without facts to add to.
+
+    Read are only the days whose folder has grown since; in them, rows of later appends. Appends have the time they
+    began at, so one should end before the facts are refreshed: run_table does so, and _usage_facts(afresh) takes all.
+    """
+    now = tables.snapshot(ws.spark, ws.path("feature_usage_facts"))
+    if now is None or "marks" not in now.facts:
+        return None
+    marks, before = tables.partition_marks(ws.spark, ws.path("feature_usage_events")), now.facts["marks"]
+    days = [m.partition("=")[2] for m, size in marks.items() if before.get(m) != size]
+    dated = [datetime.date.fromisoformat(d) for d in days if d != NO_PARTITION]
+    grown = F.col("event_date").isin(dated) | (F.lit(NO_PARTITION in days) & F.col("event_date").isNull())
+    taken = datetime.datetime.fromisoformat(now.facts["taken"]) if now.facts["taken"] else None
+    events = ws.read("feature_usage_events").filter(grown)
+    return events if taken is None else events.filter(F.col("ingestion_timestamp") > F.lit(taken)), marks, taken
+
+
+def _usage_facts(ws: Workspace, *, afresh: bool = False) -> int:
+    """Facts of what was there before and of new events alone."""
+    found = None if afresh else new_events(ws)
+    events, marks, taken = found or (ws.read("feature_usage_events"), tables.partition_marks(ws.spark, ws.path("feature_usage_events")), None)
+    last = events.agg(F.max("ingestion_timestamp")).first()[0]  # from one column
+    # rows that come meanwhile are the next run's
+    state = facts.usage_state(events.filter(F.col("ingestion_timestamp") <= F.lit(last)) if last else events)
+    if found:
+        state = facts.merged(ws.read("feature_usage_facts"), state)
+    kept = {"marks": marks, "taken": (last or taken) and (last or taken).isoformat()}
+    return _replace(ws, "feature_usage_facts", facts.facts_of(state, ws.as_of), facts=kept)
 
 
 def _impact(ws: Workspace) -> int:
     latest = dims.latest_per_key(ws.read("conversions"), ["user_id"], "conversion_date", tie_break=["mrr", "plan"]).withColumn("conversion_date", iso_date("conversion_date"))
     gold = cohort.impact_rewrite(ws.read("user_dim"), scd2.current(ws.read("feature_states")), ws.read("feature_usage_facts"), latest)
-    return tables.overwrite(gold, ws.path("feature_conversion_impact"), replace_schema=True, fmt=ws.fmt)
+    return _replace(ws, "feature_conversion_impact", gold, replace_schema=True)
 
 
 REGISTRY = {t.name: t for t in (

@@ -13,10 +13,12 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.functions.columns import day, event_time, natural_id, or_default, record_hash
+from cohortlake.functions.columns import day, event_time, iso_date, natural_id, or_default, record_hash
 from cohortlake.operators import cohort, dims, facts, ingest, profile, quality, scd2
 from cohortlake.plans import registry
+from cohortlake.schemas import TABLES
 from cohortlake.sources import tables
+from cohortlake.sources.history import History
 from cohortlake.sources.raw import CORRUPT, read_raw
 from cohortlake.streaming import bronze
 from cohortlake.workdir import fresh_folder
@@ -208,6 +210,44 @@ def q_scd2_apply(spark, d):
     return once.select(*HISTORY)
 
 
+def q_scd2_merge(spark, d):
+    """The batch merged into a history on disk, of which it rewrites the buckets that it changes."""
+    table = History(spark, fresh_folder(spark, "history"), "o_custkey", _old_history(spark, d).schema, n_buckets=16)
+    table.create(_old_history(spark, d))
+    table.merge(_batch(spark, d), batch=("orders", 1))
+    return table.read().select(*HISTORY)
+
+
+def q_scd2_current_files(spark, d):
+    """Current versions, from the files of current ones alone."""
+    table = History(spark, fresh_folder(spark, "history"), "o_custkey", _old_history(spark, d).schema, n_buckets=16)
+    table.create(_old_history(spark, d))
+    table.merge(_batch(spark, d))
+    return table.current().select(*HISTORY)
+
+
+def q_stream_history(spark, d):
+    """Orders as files that come a few at a time, in no order, into a history; the same files once more change nothing."""
+    raw, path = fresh_folder(spark, "orders"), fresh_folder(spark, "history")
+    lines = table(spark, d, "orders").select("o_orderkey", "o_custkey", *TRACKED, day("o_orderdate").cast("string").alias("o_orderdate"))
+    lines.repartition(6, "o_orderkey").write.json(raw)
+    versions = lambda df: scd2.versions(df, "o_custkey", iso_date("o_orderdate"), TRACKED, payload=[*TRACKED, "o_orderkey"], tie_break=["o_orderkey"])
+    of_none = scd2.initial(lines.limit(0), "o_custkey", iso_date("o_orderdate"), TRACKED, payload=[*TRACKED, "o_orderkey"])
+    history = History(spark, f"{path}/table", "o_custkey", of_none.schema, n_buckets=8)
+    for checkpoint in ("one", "two"):
+        bronze.history_available(spark, raw, lines.schema, history, f"{path}/{checkpoint}", versions, feed="orders", tie_break=["o_orderkey"], files_at_once=2)
+    return history.read().select(*HISTORY)
+
+
+def q_as_of_join_left(spark, d):
+    """Half of all lines of one customer, some of no customer or day."""
+    n = F.col("l_orderkey")
+    lines = table(spark, d, "lineitem").select(F.when(n % 2 == 0, F.lit(7)).when(n % 13 != 0, n % 150).cast("long").alias("o_custkey"), F.when(n % 11 != 0, F.col("l_shipdate")).alias("shipped"))
+    history = _initial(table(spark, d, "orders"), collapse_unchanged=True).select("o_custkey", "o_orderstatus", "effective_from", "effective_to")
+    joined = scd2.as_of_join(lines, history, "o_custkey", F.col("shipped"), how="left")
+    return joined.groupBy("o_custkey", "effective_from", F.col("o_orderstatus").alias("status_then")).agg(F.count("*").alias("n_lines"))
+
+
 def q_as_of_join(spark, d):
     history = _initial(table(spark, d, "orders"), collapse_unchanged=True).withColumnRenamed("o_orderstatus", "status_then")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
@@ -258,6 +298,10 @@ def q_raw_profile(spark, d):
 # --- whole runs over raw files made from the tables
 
 
+def _event_lines(used: DataFrame) -> DataFrame:
+    return used.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "user_id", "feature_id", F.concat(F.lit("feature_"), (F.col("feature_id") % 10).cast("string")).alias("feature_name"), "event_type")
+
+
 def _raw_files(spark, d, *, second_versions: bool = False) -> str:
     """Raw files of the events; with second_versions, every third feature has another version 12 days after its first."""
     raw = fresh_folder(spark, "raw")
@@ -269,7 +313,7 @@ def _raw_files(spark, d, *, second_versions: bool = False) -> str:
     catalogue.write.text(f"{raw}/feature_releases.json")
     users_of(spark, d).select("user_id", F.lit("someone@example.com").alias("email"), F.coalesce(F.col("signup_date").cast("string"), F.lit("unknown")).alias("signup_date"), F.lit("1-10").alias("company_size"), F.lit("retail").alias("industry")).write.json(f"{raw}/user_signups.jsonl")
     used = events_of(spark, d).filter(F.col("event_type").isin("view", "click"))
-    used.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "user_id", "feature_id", F.concat(F.lit("feature_"), (F.col("feature_id") % 10).cast("string")).alias("feature_name"), "event_type").write.json(f"{raw}/feature_usage_events.jsonl")
+    _event_lines(used).write.json(f"{raw}/feature_usage_events.jsonl")
     conversions_of(spark, d).select("user_id", F.col("conversion_date").cast("string").alias("conversion_date"), F.lit("pro").alias("plan"), "mrr").write.json(f"{raw}/conversions.jsonl")
     return raw
 
@@ -309,6 +353,32 @@ def q_stream_daily_counts(spark, d):
     return bronze.daily_counts(spark.read.parquet(f"{path}/events"))
 
 
+def q_stream_event_ids(spark, d):
+    """Events streamed from files, and ingested in one batch: how many ids either has, and both."""
+    raw, path = _raw_files(spark, d), fresh_folder(spark, "stream")
+    for _ in range(2):
+        bronze.ingest_available(spark, f"{raw}/feature_usage_events.jsonl", f"{path}/events", f"{path}/checkpoint", files_at_once=3)
+    ws = registry.Workspace(spark, raw, f"{path}/tables")
+    registry.run_gated(ws, "feature_usage_events")
+    streamed = tables.read(spark, f"{path}/events", TABLES["feature_usage_events"]).groupBy("event_id").agg(F.count("*").alias("n_streamed"))
+    batch = ws.read("feature_usage_events").groupBy("event_id").agg(F.count("*").alias("n_batch"))
+    both = streamed.join(batch, "event_id", "full")
+    return both.agg(F.sum("n_streamed").alias("n_streamed"), F.sum("n_batch").alias("n_batch"), F.count_if(F.col("n_streamed").eqNullSafe(F.col("n_batch"))).alias("n_equal"))
+
+
+def q_usage_facts_refreshed(spark, d):
+    """Facts after three ingests of events, the last of which are the earliest days; each refresh reads the days that grew."""
+    base, events = fresh_folder(spark, "tables"), events_of(spark, d).filter(F.col("event_type").isin("view", "click"))
+    third = F.when(F.col("ts") < F.lit("2024-01-08").cast("timestamp"), 2).otherwise(F.col("event_id") % 2)
+    for turn in range(3):
+        raw = fresh_folder(spark, "raw")
+        _event_lines(events.filter(third == turn)).write.json(f"{raw}/feature_usage_events.jsonl")
+        ws = registry.Workspace(spark, raw, base, as_of=AS_OF)
+        for name in ("feature_usage_events", "feature_usage_facts"):
+            registry.run_gated(ws, name)
+    return ws.read("feature_usage_facts")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 _E = r"""e AS (
@@ -403,6 +473,13 @@ ORACLE_SQL = {
       SELECT old.o_custkey AS merge_key, old.* EXCLUDE (effective_to, is_current), closes AS effective_to, false AS is_current FROM old JOIN firsts USING (o_custkey) WHERE is_current
       UNION ALL BY NAME SELECT NULL AS merge_key, * FROM ({_CHAIN.format(of='added')})""".lstrip(),
     "q_scd2_apply": f"{_WITH_C} {_CHAIN.format(of='c')}",
+    "q_scd2_merge": f"{_WITH_C} {_CHAIN.format(of='c')}",
+    "q_scd2_current_files": f"{_WITH_C} SELECT * FROM ({_CHAIN.format(of='c')}) WHERE is_current",
+    "q_stream_history": f"{_WITH_C} {_CHAIN.format(of='c')}",
+    "q_as_of_join_left": f"""{_WITH_C}, h AS ({_CHAIN.format(of='c')}), lines AS (
+        SELECT CASE WHEN l_orderkey % 2 = 0 THEN 7 WHEN l_orderkey % 13 <> 0 THEN l_orderkey % 150 END AS o_custkey, CASE WHEN l_orderkey % 11 <> 0 THEN l_shipdate END AS shipped FROM lineitem)
+      SELECT l.o_custkey, h.effective_from, h.o_orderstatus AS status_then, count(*) AS n_lines FROM lines l
+      LEFT JOIN h ON h.o_custkey = l.o_custkey AND h.effective_from <= CAST(l.shipped AS DATE) AND h.effective_to > CAST(l.shipped AS DATE) GROUP BY ALL""",
     "q_as_of_join": f"""{_WITH_C}, h AS ({_CHAIN.format(of='c')})
       SELECT o.o_custkey, h.effective_from, h.o_orderstatus AS status_then, count(*) AS n_lines FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
       JOIN h ON h.o_custkey = o.o_custkey AND h.effective_from <= CAST(l.l_shipdate AS DATE) AND h.effective_to > CAST(l.l_shipdate AS DATE) GROUP BY ALL""",
@@ -420,6 +497,8 @@ ORACLE_SQL = {
     "q_pipeline_new_versions": f"""WITH {_E}, v AS (
       SELECT feature_id, feature_name, 'v1.0' AS version, effective_from FROM features UNION ALL SELECT feature_id, feature_name, 'v2.0', CAST(effective_from + 12 AS DATE) FROM features WHERE feature_id % 3 = 0
     ) SELECT *, coalesce(lead(effective_from) OVER w, DATE '9999-12-31') AS effective_to, lead(effective_from) OVER w IS NULL AS is_current FROM v WINDOW w AS (PARTITION BY feature_id ORDER BY effective_from)""",
+    "q_stream_event_ids": f"WITH {_E} SELECT count(*) AS n_streamed, count(*) AS n_batch, count(*) AS n_equal FROM used",
+    "q_usage_facts_refreshed": f"WITH {_E} " + _FACTS.format(day="2024-01-31", where=""),
     "q_stream_daily_counts": f"""WITH {_E} SELECT event_date, event_type, count(*) AS n FROM (
       SELECT DISTINCT strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, user_id, feature_id, event_type, event_date FROM e WHERE event_type IN ('view', 'click')) GROUP BY ALL""",
 }

@@ -130,22 +130,36 @@ def _written(df: DataFrame, save, observed: Mapping[str, Column] | None = None)
 
 def append(df: DataFrame, path: str, *, partition_by: Iterable[str] = (), fmt: str = FORMAT) -> int:
     """Appends and returns the rows written, gathered by partition so that a task writes few files."""
-    by, now = list(partition_by), snapshot(df.sparkSession, path)
-    if now is not None:
-        if len(now.folders()) != 1:
-            raise ValueError(f"{path} is divided into parts: rows can't be appended to it as a whole")
-        path = f"{path}/{now.folders()[0]}"
-    else:
-        _set_aside(df.sparkSession, path)
+    spark, by, table = df.sparkSession, list(partition_by), path.rstrip("/")
+    now = snapshot(spark, table)
+    if now is None:
+        _set_aside(spark, table)
+    elif len(now.folders()) != 1:
+        raise ValueError(f"{path} is divided into parts: rows can't be appended to it as a whole")
+    folder = f"{table}/{now.folders()[0]}" if now else table
     if by:
         # a hint that adaptive execution can split, so that one large day isn't one task
         df = df.hint("rebalance", *by)
 
     def save(x: DataFrame) -> None:
         writer = x.write.format(fmt).mode("append")
-        (writer.partitionBy(*by) if by else writer).save(path)
+        (writer.partitionBy(*by) if by else writer).save(folder)
+
+    rows = _written(df, save)["rows"]
+    if now is not None:  # what was observed of the rows before doesn't hold for all any more
+        publish(spark, table, now, now.parts, now.schema, {k: v for k, v in now.facts.items() if k != "observed"})
+    return rows
 
-    return _written(df, save)["rows"]
+
+def partition_marks(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Files and bytes of each partition folder of an appended table: a partition whose mark is as before has nothing new."""
+    at, files = _path(spark, path)
+    marks = {}
+    for name in _names(spark, path) if files.exists(at) else []:
+        if "=" in name:
+            size = files.getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(at, name))
+            marks[name] = [size.getFileCount(), size.getLength()]
+    return marks
 
 
 def write_folder(df: DataFrame, path: str, after: Snapshot | None, *, partition_by: Iterable[str] = (), fmt: str = FORMAT, observed: Mapping[str, Column] | None = None) -> tuple[str, dict[str, object]]:
@@ -194,11 +208,11 @@ def tidy(spark: SparkSession, path: str) -> None:
         files.delete(at, True)
 
 
-def overwrite(df: DataFrame, path: str, *, partition_by: Iterable[str] = (), replace_schema: bool = False, fmt: str = FORMAT, observed: Mapping[str, Column] | None = None) -> int:
+def overwrite(df: DataFrame, path: str, *, partition_by: Iterable[str] = (), replace_schema: bool = False, fmt: str = FORMAT, observed: Mapping[str, Column] | None = None, facts: Mapping[str, object] | None = None) -> int:
     """Replaces the table and returns the rows written. df may read the table it replaces.
 
     Wherever it is cut off, the table is the old one or the new one, whole. What is observed is kept with the new
-    state. Without replace_schema, columns have to be those that the table has.
+    state, and so are facts. Without replace_schema, columns have to be those that the table has.
     """
     spark, path = df.sparkSession, path.rstrip("/")
     now = snapshot(spark, path)
@@ -207,6 +221,6 @@ def overwrite(df: DataFrame, path: str, *, partition_by: Iterable[str] = (), rep
     elif not replace_schema and (was := {f.name: f.dataType for f in now.schema}) != (new := {f.name: f.dataType for f in df.schema}):
         raise ValueError(f"{path} has other columns: {sorted(set(map(str, was.items())) ^ set(map(str, new.items())))}")
     folder, seen = write_folder(df, path, now, partition_by=partition_by, fmt=fmt, observed=observed)
-    publish(spark, path, now, {"": [folder]}, df.schema, {"observed": seen})
+    publish(spark, path, now, {"": [folder]}, df.schema, {"observed": seen, **(facts or {})})
     tidy(spark, path)
     return seen["rows"]

@@ -156,3 +156,32 @@ def test_views_and_readers(spark, two, tmp_path):
     assert spark.sql("SELECT count(*) FROM two_rows").first()[0] == 2
     (tmp_path / "a.json").write_text('[{"id": 1, "more": 2}]')
     assert raw.read_json_array(spark, str(tmp_path / "a.json"), SAMPLE).collect() == [(1, None)]
+
+
+def jobs_of(spark, run):
+    """Spark jobs that run() starts."""
+    spark.sparkContext.setJobGroup(name := f"group {id(run)}", "")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_gates_know_what_was_observed(spark, two, tmp_path):
+    path, gate = str(tmp_path / "t"), lambda **k: quality.check_table(spark, str(tmp_path / "t"), SAMPLE, "t", **k)
+    tables.overwrite(two, path, observed=quality.observed(["id"]))
+    assert jobs_of(spark, lambda: gate()) == 0 and gate() == 2 and gate(keys=["id"]) == 2
+    with pytest.raises(quality.DataValidationError, match="has 2 rows, expected at least 3 rows"):
+        gate(min_rows=3)
+    tables.overwrite(two.selectExpr("IF(id = 1, NULL, id) AS id", "name"), path, observed=quality.observed(["id"]))
+    with pytest.raises(quality.DataValidationError, match="1 null keys in id"):
+        gate(keys=["id"])
+    tables.overwrite(two.unionAll(two), path, observed=quality.observed(["id"]))
+    with pytest.raises(quality.DataValidationError, match="0 null and 2 duplicate keys in id"):
+        gate(keys=["id"])
+    tables.overwrite(tables.empty(spark, SAMPLE), path, observed=quality.observed(["id"]))
+    with pytest.raises(quality.DataValidationError, match="has 0 rows"):
+        gate(keys=["id"])
+    tables.append(two, path)  # not observed: counted again
+    assert gate() == 2 and jobs_of(spark, lambda: gate()) > 0

@@ -152,3 +152,34 @@ def test_history_from_a_stream(spark, tmp_path):
         assert history.last_batch("releases") == 2 and sorted(map(repr, history.read().collect())) == wanted
         # the last batch once more, as after a driver that died between merging and noting it
         assert history.merge_late(of(spark.createDataFrame([(1, "f1", "2030-01-01", "x")], schema)), batch=("releases", 2)) == 0
+
+
+def test_facts_are_kept_up_to_date(spark, tmp_path):
+    """Three batches, the last with events of earlier days and none, equal one run over all; only days that have grown are read."""
+    raw, event = tmp_path / "raw", lambda t, u, f: (t, u, f, "f", "view")
+    raw.mkdir()
+    ws = registry.Workspace(spark, str(raw), str(tmp_path / "tables"), as_of=datetime.date(2024, 8, 1))
+    batches = [
+        [event(f"2024-01-{d:02d} 10:00:00", u, 1) for d in (1, 5, 9) for u in (1, 2)],
+        [event("2024-01-20 10:00:00", 1, 1), event("2024-01-20 10:00:00", 3, 1), event("bad", 4, 1)],
+        [event("2024-01-05 11:00:00", 1, 1), event("2023-12-01 10:00:00", 2, 2), event(None, 4, 1), event("2024-01-20 10:00:00", 1, 1)],
+    ]
+    for n, batch in enumerate(batches):
+        (raw / registry.RAW_FILES["feature_usage_events"]).write_text(lines(*batch))
+        registry.run_table(ws, "feature_usage_events")
+        if n:
+            new, marks, _ = registry.new_events(ws)
+            assert new.count() == len(batch) and len(marks) > n
+            plan = new._jdf.queryExecution().toString()
+            assert "PartitionFilters: [" in plan and "2024-01-09" not in plan
+            assert ("2024-01-20" in plan) and all("event_date=2024-01-09" not in f and "event_date=2024-01-01" not in f for f in read_files(new))
+        registry.run_table(ws, "feature_usage_facts")
+        rows = sorted(map(repr, ws.read("feature_usage_facts").collect()))
+        assert registry.new_events(ws)[0].count() == 0
+        assert registry.run_table(ws, "feature_usage_facts") == len(rows) and sorted(map(repr, ws.read("feature_usage_facts").collect())) == rows
+    registry._usage_facts(ws, afresh=True)
+    assert sorted(map(repr, ws.read("feature_usage_facts").collect())) == rows and len(rows) == 5
+
+
+def read_files(df):
+    return [r[0] for r in df.select("_metadata.file_path").distinct().collect()]

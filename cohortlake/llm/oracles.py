@@ -116,13 +116,15 @@ def collocations(least: int, inside_percent: int, top: int) -> str:
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), words AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+  SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
 ), one AS (
-  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+  SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS i FROM words
+), led AS (
+  SELECT lang, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM one WINDOW p AS (PARTITION BY piece ORDER BY i)
 ), f AS (
-  SELECT lang, 1 AS words, w[i] AS phrase, count(*) AS f FROM one GROUP BY ALL
-  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1], count(*) FROM one WHERE i + 1 <= len(w) GROUP BY ALL
-  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], count(*) FROM one WHERE i + 2 <= len(w) GROUP BY ALL
+  SELECT lang, 1 AS words, w1 AS phrase, count(*) AS f FROM led GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM led WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM led WHERE w3 IS NOT NULL GROUP BY ALL
 ), c AS (
   SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE words > 1 AND f >= {least}
 ), cuts AS (

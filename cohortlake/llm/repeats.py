@@ -233,13 +233,10 @@ def mark_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return _repeats(docs, id_col, text_col, length, gram, words, carry, None)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, words: int | None = None, words_apart: bool = False,
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200, words: int | None = None,
                    carry: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
-    """mark_repeats and cut_spans in one pass over the texts: (id, n_bytes, spans, kept) for each row of docs, and the columns in ``carry``.
-
-    With words_apart, repeats of words are not cut: they are listed in a column ``passages`` of their own, behind ``kept``.
-    """
-    return _repeats(docs, id_col, text_col, length, gram, words, carry, whole_characters, words_apart)
+    """mark_repeats and cut_spans in one pass over the texts: (id, n_bytes, spans, kept) for each row of docs, and the columns in ``carry``."""
+    return _repeats(docs, id_col, text_col, length, gram, words, carry, whole_characters)
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +267,7 @@ class _Stretches:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int32)), values).cast(self.kind)
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, words: int | None, carry: Sequence[str], whole_characters: bool | None, words_apart: bool = False) -> DataFrame:
+def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, words: int | None, carry: Sequence[str], whole_characters: bool | None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     id_type = docs.schema[id_col].dataType.simpleString()
     carried = [F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)]
@@ -288,7 +285,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
             listed, texts = batch.column(2), batch.column(1)
             sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
             first, last, in_words = (c.to_numpy(zero_copy_only=False) for c in listed.flatten().flatten())
-            found, passages, stops = _Stretches(batch.num_rows), _Stretches(batch.num_rows), np.cumsum(sizes)
+            found, stops = _Stretches(batch.num_rows), np.cumsum(sizes)
             for row in np.flatnonzero(sizes).tolist():
                 at = slice(stops[row] - sizes[row], stops[row])
                 worded = in_words[at]
@@ -296,21 +293,16 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
                 if worded.any():
                     places = word_places(texts[row].as_py())
                     begin[worded], end[worded] = places[0][first[at][worded]], places[1][last[at][worded] + words - 1]
-                if words_apart:
-                    passages.put(row, begin[worded], end[worded])
-                    begin, end = begin[~worded], end[~worded]
                 found.put(row, begin, end)
             found = found.array()
             out = [batch.column(0), texts, found]
             if whole_characters is not None:
                 kept = pa.array(map(_without, texts.to_pylist(), found.to_pylist(), itertools.repeat(whole_characters)), pa.binary())
                 out = [batch.column(0), pc.binary_length(texts).cast(pa.int64()), found, kept]
-            out += [passages.array()] * words_apart
             yield pa.RecordBatch.from_arrays([*out, *batch.columns[3:]], names=[*names, *batch.schema.names[3:]])
 
     stretches = "array<struct<begin:int,end:int>>"
     columns = {"id": id_type, "text": "binary", "spans": stretches} if whole_characters is None else {"id": id_type, "n_bytes": "long", "spans": stretches, "kept": "binary"}
-    columns |= {"passages": stretches} if words_apart else {}
     names = list(columns)
     schema = ", ".join([f"{c} {kind}" for c, kind in columns.items()] + [f"carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)])
     return joined.mapInArrow(tidied(spans), schema).toDF(id_col, *names[1:], *carry)

@@ -83,9 +83,11 @@ def _summed(rows: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(F.sum(mrr), F.lit(0)).alias("mrr"), F.count(mrr).alias("n_mrr"))
 
 
-def impact_rewrite(users: DataFrame, features: DataFrame, usage: DataFrame, conversions: DataFrame) -> DataFrame:
+def impact_rewrite(users: DataFrame, features: DataFrame, usage: DataFrame, conversions: DataFrame, *, require_before_conversion: bool = False) -> DataFrame:
     """impact from a histogram of signup days: its cost follows days * features + usage, not users * features.
 
+    With require_before_conversion, users who used a feature only after their conversion stay in the histogram's cohort.
+
     Needs one row a user in users and conversions, one a (user, feature) in usage, one a feature_id.
     """
     people = with_conversions(users, conversions)
@@ -93,7 +95,9 @@ def impact_rewrite(users: DataFrame, features: DataFrame, usage: DataFrame, conv
     without_use = F.when(_available(), AVAILABLE).otherwise(ABSENT)
     by_day = _summed(people, "signup_date")
     everyone = with_each(by_day, catalogue, "signup_date").select("feature_name", without_use.alias("cohort"), *_SUMS)
-    users_of = usage.filter("first_used_date IS NOT NULL").select("user_id", "feature_id").join(catalogue, "feature_id").join(people, "user_id")
+    users_of = usage.filter("first_used_date IS NOT NULL").select("user_id", "feature_id", "first_used_date").join(catalogue, "feature_id").join(people, "user_id")
+    if require_before_conversion:
+        users_of = users_of.filter("conversion_date IS NULL OR first_used_date <= conversion_date")
     used = _summed(users_of.withColumn("cohort", without_use), "feature_name", "cohort")
     taken = used.select("feature_name", "cohort", *((-F.col(c)).alias(c) for c in _SUMS))
     given = used.select("feature_name", F.lit(USED).alias("cohort"), *_SUMS)

@@ -18,7 +18,7 @@ from cohortlake.operators import cohort, dims, facts, ingest, quality, scd2
 from cohortlake.schemas import RAW, TABLES
 from cohortlake.sources import tables
 from cohortlake.sources.history import History
-from cohortlake.sources.raw import read_raw
+from cohortlake.sources.raw import read_json_array, read_raw
 
 LAYERS = {
     "feature_releases": "bronze", "user_signups": "bronze", "feature_usage_events": "bronze", "conversions": "bronze",
@@ -61,8 +61,8 @@ class Table:
 
 def _bronze(name: str, shape: Callable[[DataFrame], DataFrame]) -> Table:
     def process(ws: Workspace) -> int:
-        raw = read_raw(ws.spark, f"{ws.raw}/{RAW_FILES[name]}", RAW[name], options=RAW_OPTIONS.get(name))
-        new = shape(raw)
+        path = f"{ws.raw}/{RAW_FILES[name]}"
+        new = shape(read_json_array(ws.spark, path, RAW[name]) if name in RAW_OPTIONS else read_raw(ws.spark, path, RAW[name]))
         if ws.dedupe and tables.exists(ws.spark, ws.path(name)):
             new = ingest.unseen(new, ws.read(name), [c for c in TABLES[name].names if c != "ingestion_timestamp"])
         return tables.append(new.select(*TABLES[name].names), ws.path(name), partition_by=PARTITIONS.get(name, ()), fmt=ws.fmt)

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import day, event_time, iso_date, natural_id, or_default, record_hash
-from cohortlake.operators import cohort, dims, facts, ingest, profile, quality, scd2
+from cohortlake.operators import cohort, dims, facts, ingest, profile, quality, scd2, sketches
 from cohortlake.plans import registry
 from cohortlake.schemas import TABLES
 from cohortlake.sources import tables
 from cohortlake.sources.history import History
-from cohortlake.sources.raw import CORRUPT, read_raw
+from cohortlake.sources.raw import CORRUPT, read_json_array, read_raw
 from cohortlake.streaming import bronze
 from cohortlake.workdir import fresh_folder
 
@@ -90,6 +90,10 @@ def q_user_feature_grid(spark, d):
     return cohort.grid(users_of(spark, d), features_of(spark, d)).groupBy("feature_id", "feature_name").agg(F.count("*").alias("n_users"))
 
 
+def q_cohort_before_conversion(spark, d):
+    return cohort.impact_rewrite(*_cohort_inputs(spark, d), require_before_conversion=True)
+
+
 def q_cohort_ranked(spark, d):
     return cohort.ranked(q_cohort_impact_rewrite(spark, d))
 
@@ -111,6 +115,25 @@ def q_feature_adoption(spark, d):
     return profile.feature_adoption(usage_events_of(spark, d), users)
 
 
+def q_users_by_sketch(spark, d):
+    """Users of each feature in mid-January, exactly, and whether the estimate from daily sketches is within its bound."""
+    first, last, usage = datetime.date(2024, 1, 8), MID_JANUARY, usage_events_of(spark, d)
+    estimated = sketches.users_between(sketches.daily_users(usage), first, last)
+    exact = usage.filter(F.col("event_date").between(F.lit(first), F.lit(last))).groupBy("feature_id").agg(F.countDistinct("user_id").alias("n_exact"))
+    within = F.abs(F.col("n_users") - F.col("n_exact")) <= F.ceil(sketches.error_bound() * F.col("n_exact"))
+    return exact.join(estimated, exact.feature_id.eqNullSafe(estimated.feature_id)).select(exact.feature_id, "n_exact", "n_events", within.alias("within_bound"))
+
+
+def q_json_array(spark, d):
+    """Orders as JSON arrays with a line for each record, read by records; each task writes one array."""
+    path, lines = fresh_folder(spark, "array"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    records = lines.repartition(4, "o_orderkey").select(F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"), F.lit(1).alias("turn"), F.spark_partition_id().alias("part"))
+    edges = spark.range(4).select(F.explode(F.array(F.struct(F.lit("[").alias("value"), F.lit(0).alias("turn")), F.struct(F.lit("]").alias("value"), F.lit(2).alias("turn")))).alias("e"), F.col("id").cast("int").alias("part")).select("e.value", "e.turn", "part")
+    whole = records.unionByName(edges).repartition(4, "part").sortWithinPartitions("part", "turn")
+    whole.select("value", "part").write.partitionBy("part").text(path)
+    return read_json_array(spark, f"{path}/part=*", lines.schema)
+
+
 def q_mrr_summary(spark, d):
     return profile.mrr_summary(conversions_of(spark, d), users_of(spark, d))
 
@@ -442,6 +465,9 @@ ORACLE_SQL = {
     "q_cohort_impact_rewrite": f"WITH {_IMPACT} SELECT * FROM impact",
     "q_cohort_assign": f"WITH {_LABELLED} SELECT feature_id, cohort, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS user_ids FROM labelled GROUP BY ALL",
     "q_user_feature_grid": f"WITH {_E} SELECT feature_id, feature_name, count(*) AS n_users FROM users CROSS JOIN features GROUP BY ALL",
+    "q_cohort_before_conversion": "WITH " + _IMPACT.replace("SELECT DISTINCT user_id, feature_id FROM used", "SELECT user_id, feature_id, min(event_date) AS first_day FROM used GROUP BY ALL").replace("WHEN g.user_id IS NOT NULL THEN", "WHEN g.user_id IS NOT NULL AND (c.conversion_date IS NULL OR g.first_day <= c.conversion_date) THEN") + " SELECT * FROM impact",
+    "q_users_by_sketch": f"WITH {_E} SELECT feature_id, count(DISTINCT user_id) AS n_exact, count(*) AS n_events, true AS within_bound FROM used WHERE event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-15' GROUP BY feature_id",
+    "q_json_array": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "q_cohort_ranked": f"WITH {_IMPACT} SELECT * FROM impact ORDER BY feature_name, conversion_rate DESC",
     "q_cohort_lookup": f"WITH {_IMPACT} SELECT * FROM impact WHERE feature_name = 'feature_3' AND cohort = 'used_feature'",
     "q_cohort_pivot": f"WITH {_IMPACT} SELECT feature_name, " + ", ".join(f"max(CASE WHEN cohort = '{c}' THEN conversion_rate END) AS {c}" for c in cohort.COHORTS) + " FROM impact GROUP BY feature_name",

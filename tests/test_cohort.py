@@ -1,8 +1,9 @@
 import datetime
+import random
 
 import pytest
 
-from cohortlake.operators import cohort, dims, facts, profile
+from cohortlake.operators import cohort, dims, facts, profile, sketches
 
 D = datetime.date.fromisoformat
 
@@ -89,3 +90,40 @@ def test_profiles(spark):
     assert profile.with_without_feature(users, users.filter("user_id = 1"), none).first().asDict() == {
         "n_with": 1, "n_without": 1, "rate_with": 0.0, "rate_without": 0.0, "days_with": 0.0, "days_without": 0.0, "lift_points": 0.0}
     assert profile.mrr_summary(none, users).first().avg_mrr is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_use_before_conversion_equals_the_grid(made, seed):
+    rng = random.Random(seed)
+    day = lambda: f"2024-0{rng.randrange(1, 4)}-{rng.randrange(10, 29)}"
+    users = [(u, rng.choice([day(), None])) for u in range(40)]
+    features = [(k, f"f{k % 3}", day()) for k in range(5)]
+    usage = [(u, k, rng.choice([day(), day(), None])) for u in range(40) for k in range(5) if rng.random() < 0.5]
+    conversions = [(u, day(), rng.choice([5, None])) for u in range(40) if rng.random() < 0.6]
+    inputs = made(users, features, usage, conversions)
+    for before in (True, False):
+        assert table(cohort.impact_rewrite(*inputs, require_before_conversion=before)) == table(cohort.impact(*inputs, require_before_conversion=before))
+
+
+def test_grid_joins_by_slots(spark, made):
+    users, features, _, _ = made([(u, None) for u in range(7)] + [(None, None)], [(k, "x", "2024-01-01") for k in range(5)], [], [])
+    both = cohort.grid(users, features)
+    assert both.count() == both.distinct().count() == 40
+    assert not any(x in both._jdf.queryExecution().toString() for x in ("CartesianProduct", "NestedLoop"))
+    assert cohort.grid(users.limit(0), features).count() == cohort.grid(users, features.limit(0)).count() == 0
+
+
+def test_sketches_of_days_and_their_unions(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(3_000), k, D("2024-01-01") + datetime.timedelta(rng.randrange(20))) for k in (1, 2) for _ in range(6_000 * k)] + [(None, 1, D("2024-01-02")), (5, None, D("2024-01-02"))]
+    events = spark.createDataFrame(rows, "user_id long, feature_id int, event_date date")
+    whole = sketches.daily_users(events)
+    parts = sketches.united(sketches.daily_users(events.filter("user_id % 2 = 0")), sketches.daily_users(events.filter("user_id % 2 = 1 OR user_id IS NULL")))
+    for daily in (whole, parts):
+        for first, last in ((1, 20), (3, 5), (7, 7)):
+            found = {r.feature_id: (r.n_users, r.n_events) for r in sketches.users_between(daily, D(f"2024-01-{first:02d}"), D(f"2024-01-{last:02d}")).collect()}
+            for k in (1, 2):
+                own = [u for u, f, d in rows if f == k and first <= d.day <= last]
+                exact = len(set(own) - {None})
+                assert found[k][1] == len(own) and abs(found[k][0] - exact) <= sketches.error_bound() * exact
+    assert sketches.users_between(sketches.daily_users(events.limit(0)), D("2024-01-01"), D("2024-01-02")).collect() == []

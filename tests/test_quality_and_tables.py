@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from cohortlake.operators import profile, quality
 from cohortlake.sources import raw, tables
@@ -185,3 +185,33 @@ def test_gates_know_what_was_observed(spark, two, tmp_path):
         gate(keys=["id"])
     tables.append(two, path)  # not observed: counted again
     assert gate() == 2 and jobs_of(spark, lambda: gate()) > 0
+
+
+@pytest.mark.parametrize("layout", ["lines", "lines, no spaces", "indented", "tabs", "one line"])
+def test_json_arrays_by_records(spark, tmp_path, layout):
+    schema = StructType().add("id", "integer").add("name", "string").add("tags", ArrayType(StructType().add("a", "integer")))
+    rows = [{"id": i, "name": ["a", "}, {", "x\n  }\n]", None, "[é,"][i % 5], "tags": [{"a": k} for k in range(i % 3)]} for i in range(3_000)]
+    text = {"lines": "[\n" + ",\n".join(map(json.dumps, rows)) + "\n]\n", "lines, no spaces": "[\r\n" + "\r\n,".join(json.dumps(r, separators=(",", ":")) for r in rows) + "]",
+            "indented": json.dumps(rows, indent=2), "tabs": json.dumps(rows, indent="\t") + "\n\n", "one line": json.dumps(rows)}[layout]
+    (tmp_path / "a.json").write_text(text)
+    path = str(tmp_path / "a.json")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        df = raw.read_json_array(spark, path, schema)
+        parts = df.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, raw.read_raw(spark, path, schema, options={"multiLine": True}).collect()))
+    assert df.count() == 3_000 and (parts == 1 if layout == "one line" else parts > 2)
+    if layout == "one line":
+        with pytest.raises(ValueError, match="more than the 1000"):
+            raw.read_json_array(spark, path, schema, most_in_one_task=1000)
+
+
+def test_odd_json_arrays(spark, tmp_path):
+    for name, text, n in (("empty", "[]", 0), ("lines", "[\n]", 0), ("one", '[\n  {\n    "id": 1\n  }\n]', 1), ("single", '[\n{"id": 1}\n]', 1), ("typed", '[\n{"id": "x", "name": "b"},\n{"id": 2}\n]', 2)):
+        (tmp_path / name).write_text(text)
+        assert raw.read_json_array(spark, str(tmp_path / name), SAMPLE).count() == n
+    (tmp_path / "mixed").write_text('[\n{"id": 1},\n{"id": 2,\n"name": "b"}\n]')
+    with pytest.raises(Exception, match="doesn't parse"):
+        raw.read_json_array(spark, str(tmp_path / "mixed"), SAMPLE).collect()

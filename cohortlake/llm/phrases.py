@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.llm.stage import Scratch, give_back, tidied
@@ -77,6 +77,15 @@ def summed(columns: list[np.ndarray], *counts: np.ndarray) -> tuple[list[np.ndar
     return [c[order[begins]] for c in columns], [np.add.reduceat(c[order], begins) if n else c for c in counts]
 
 
+def bucket_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers of which each is dealt to another of n shuffle partitions, so that each holds one bucket."""
+    dealt = spark.range(40 * n + 1_000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).agg(F.min("id").cast("int").alias("key"))
+    keys = [r["key"] for r in dealt.orderBy("to").collect()]  # n rows
+    if len(keys) != n:
+        raise RuntimeError("some partition is dealt no number")
+    return keys
+
+
 def _bucket(lang: str, words: list[bytes], columns: list[np.ndarray], n_buckets: int) -> np.ndarray:
     """A bucket for each row by the language and the first two words."""
     of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -90,10 +99,10 @@ def _bucket(lang: str, words: list[bytes], columns: list[np.ndarray], n_buckets:
 PACKED = "bucket int, lang string, n_words int, words_size int, words binary, rows binary"
 
 
-def _packed(lang: str, texts: list[bytes], longest: int, n_buckets: int) -> Iterator[tuple]:
+def _packed(lang: str, texts: list[bytes], longest: int, keys: list[int]) -> Iterator[tuple]:
     words, columns = windows(texts, longest)
     columns, (counts,) = summed(columns, np.ones(len(columns[0]), np.int64))
-    bucket = _bucket(lang, words, columns, n_buckets)
+    bucket = _bucket(lang, words, columns, len(keys))
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -101,11 +110,11 @@ def _packed(lang: str, texts: list[bytes], longest: int, n_buckets: int) -> Iter
         used, at = np.unique(np.concatenate([[0], *(c[rows] for c in columns)]), return_inverse=True)
         text = b".".join([words[k] for k in used.tolist()[1:]])
         table = np.concatenate([at[1:], counts[rows]]).astype("<i4")  # a column after the other; rows are in their columns' order
-        yield int(bucket[rows[0]]), lang, j - i, len(text), pa.compress(text, CODEC, asbytes=True), pa.compress(table.tobytes(), CODEC, asbytes=True)
+        yield keys[bucket[rows[0]]], lang, j - i, len(text), pa.compress(text, CODEC, asbytes=True), pa.compress(table.tobytes(), CODEC, asbytes=True)
 
 
-def pack(df: DataFrame, longest: int, n_buckets: int, *, lang_col: str, text_col: str) -> DataFrame:
-    """The counted windows of each group of texts of one language, a row for each bucket."""
+def pack(df: DataFrame, longest: int, keys: list[int], *, lang_col: str, text_col: str) -> DataFrame:
+    """The counted windows of each group of texts of one language, a row for each bucket; keys are the buckets' names."""
     names, types = zip(*(c.split(" ") for c in PACKED.split(", ")), strict=True)
     arrow = [{"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[t] for t in types]
 
@@ -115,7 +124,7 @@ def pack(df: DataFrame, longest: int, n_buckets: int, *, lang_col: str, text_col
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                rows = list(_packed(lang, texts, longest, n_buckets))
+                rows = list(_packed(lang, texts, longest, keys))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)], names=list(names))
 
         for batch in batches:
@@ -173,9 +182,8 @@ def count_bucket(table: pa.Table, longest: int, least: int) -> pa.Table:
 def phrase_counts(df: DataFrame, longest: int, least: int, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, words, phrase, f) of all phrases that occur least times or more, and for words = 0 how many words a language has."""
     columns = [f"w{k}" for k in range(1, longest + 1)]
-    # a few buckets for each shuffle partition: tasks stay even, and each bucket small
-    n_buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = pack(df, longest, n_buckets, lang_col=lang_col, text_col=text_col)
+    keys = bucket_keys(df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = pack(df, longest, keys, lang_col=lang_col, text_col=text_col)
     schema = "lang string, " + ", ".join(f"{c} string" for c in columns) + ", n long"
     counted = packed.groupBy("bucket").applyInArrow(lambda table: count_bucket(table, longest, least), schema)
     summed_up = counted.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("set"))

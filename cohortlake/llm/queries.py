@@ -37,8 +37,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights, bias = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    scored = toxicity.score(docs, weights, bias)
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out())))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          F.size("sentences").alias("n_sentences"))
 

@@ -2,8 +2,9 @@
 
 A sentence's probability is a logistic model of its distinct hashed words and word beginnings; a
 document's is the noisy-or of its sentences, ``1 - prod(1 - p)``. What a sentence without any telling
-feature would have, the bias alone, is taken out of each p when documents are scored: otherwise a
-long enough text would be toxic whatever it says. The weights are fitted to the
+feature would have, the bias alone, is taken out of each p when documents are scored, and so is what as many
+sentences of clean documents add up to, with DEVIATIONS standard deviations: otherwise a long enough text would be
+toxic whatever it says. Both are measured on training documents that a model didn't see. The weights are fitted to the
 document labels alone, on a bounded sample of labelled rows, and then point out the sentences that
 made a document toxic. Features enter the fit if toxic documents have them more often than chance.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
@@ -27,6 +29,10 @@ from cohortlake.llm.stage import Scratch, prepare, tidied
 BUCKETS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
+#: Of the sum over as many clean sentences, what is allowed above its mean.
+DEVIATIONS = 2.0
+#: Parts of the sample, each of which is measured by a model of the others.
+FOLDS = 3
 #: Entries of the per-worker cache of words' weights; it is emptied when full.
 CACHE_ENTRIES = 200_000
 
@@ -50,16 +56,91 @@ def training_ids(labels: DataFrame, *, id_col: str = "doc_id", label_col: str =
     return of[0].unionAll(of[1])
 
 
+@dataclass(frozen=True)
+class Model:
+    """Weights by bucket and the bias; of a clean sentence's evidence, ``-log(1 - p)``, the mean and the standard deviation."""
+
+    weights: np.ndarray
+    bias: float
+    clean_mean: float = 0.0
+    clean_deviation: float = 0.0
+
+    def allowance(self, n_sentences: int) -> float:
+        return self.clean_mean * n_sentences + DEVIATIONS * self.clean_deviation * math.sqrt(n_sentences)
+
+
+@dataclass(frozen=True)
+class Bags:
+    """Documents as bags of sentences: labels, how many sentences lack any feature chosen, and of the others the document and the features."""
+
+    y: np.ndarray
+    plain: np.ndarray
+    doc: np.ndarray
+    sentence: np.ndarray
+    at: np.ndarray
+
+    def only(self, chosen: np.ndarray) -> Bags:
+        """The documents chosen."""
+        number = np.cumsum(chosen) - 1
+        sentences = chosen[self.doc]
+        place, features = np.cumsum(sentences) - 1, sentences[self.sentence]
+        return Bags(self.y[chosen], self.plain[chosen], number[self.doc[sentences]], place[self.sentence[features]], self.at[features])
+
+    def evidence(self, w: np.ndarray, bias: float) -> np.ndarray:
+        """-log(1 - p) of each sentence that has a feature, without what the bias alone gives, 0 at least."""
+        z = np.bincount(self.sentence, w[self.at], len(self.doc)) + bias
+        return np.maximum(0, np.logaddexp(0, z) - np.logaddexp(0, bias))
+
+
+def loss_and_gradient(bags: Bags, w: np.ndarray, bias: float, decay: float) -> tuple[float, np.ndarray, float]:
+    """The mean log loss of the documents' noisy-or with a penalty on w, and its gradients by w and by the bias."""
+    z = np.clip(np.bincount(bags.sentence, w[bags.at], len(bags.doc)) + bias, -30, 30)
+    p, p_plain = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-max(-30.0, min(30.0, bias))))  # the latter of a sentence without a feature
+    kept = np.bincount(bags.doc, np.log1p(-p), len(bags.y)) + bags.plain * math.log1p(-p_plain)
+    off = np.exp(kept)  # the chance that no sentence is toxic
+    some = np.maximum(1 - off, 1e-6)
+    loss = np.where(bags.y == 1, -np.log(some), -kept).mean() + decay * (w**2).sum() / (2 * len(bags.y))
+    pull_doc = np.where(bags.y == 1, -off / some, 1.0) / len(bags.y)
+    pull = pull_doc[bags.doc] * p
+    return loss, np.bincount(bags.at, pull[bags.sentence], len(w)) + decay * w / len(bags.y), pull.sum() + (pull_doc * bags.plain).sum() * p_plain
+
+
+def descend(bags: Bags, w: np.ndarray, *, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Weights and bias after rounds of Adam on all bags, from w on."""
+    bias = -math.log(max(2.0, 4 * (bags.plain.sum() + len(bags.doc)) / len(bags.y))) - 1
+    mean, square, bias_mean, bias_square = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
+    for k in range(1, rounds + 1):
+        _, grad, bias_grad = loss_and_gradient(bags, w, bias, decay)
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        bias_mean, bias_square = 0.9 * bias_mean + 0.1 * bias_grad, 0.99 * bias_square + 0.01 * bias_grad**2
+        w = w - rate * mean / (1 - 0.9**k) / (np.sqrt(square / (1 - 0.99**k)) + 1e-7)
+        bias -= rate * bias_mean / (1 - 0.9**k) / (math.sqrt(bias_square / (1 - 0.99**k)) + 1e-7)
+    return w, bias
+
+
+def clean_evidence(bags: Bags, w: np.ndarray, **options: float) -> tuple[float, float]:
+    """Mean and standard deviation of a clean document's sentences' evidence, each document's by a model of the other folds."""
+    fold, total, square, n = np.arange(len(bags.y)) % FOLDS, 0.0, 0.0, 0.0
+    for k in range(FOLDS):
+        others, own = bags.only(fold != k), bags.only((fold == k) & (bags.y == 0))
+        if not len(own.y) or len(set(others.y.tolist())) < 2:
+            continue
+        evidence = own.evidence(*descend(others, w, **options))
+        total, square, n = total + evidence.sum(), square + (evidence**2).sum(), n + len(evidence) + own.plain.sum()
+    mean = total / n if n else 0.0
+    return mean, math.sqrt(max(0.0, square / n - mean**2)) if n else 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_per_class: int = 4_000, least_z: float = 3.0, rounds: int = 150, rate: float = 0.1, decay: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights by word bucket, and the bias. Without a labelled document of either class, all weights are 0.
+        max_per_class: int = 4_000, least_z: float = 3.0, rounds: int = 150, rate: float = 0.1, decay: float = 0.1) -> Model:
+    """A model of the labelled documents. Without a labelled document of either class, no text scores over 0.
 
     Of the sample (at most 2 * max_per_class documents, whole texts), the driver gathers the features
     chosen, and the sentences that have one of them.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = F.broadcast(training_ids(labels, id_col=id_col, label_col=label_col, max_per_class=max_per_class))  # 2 * max_per_class rows at most
-    sample = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "label"), "sample")
+    sample = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "label"), "sample")
 
     def has(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cached, sums = lru_cache(100_000)(features_of), np.zeros((2, BUCKETS), dtype=np.int64)
@@ -75,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n_clean, n_toxic = sizes.get(False, 0), sizes.get(True, 0)
     weights = np.zeros(BUCKETS)
     if not n_clean or not n_toxic:
-        return weights, 4.0 if n_toxic else 0.0
+        return Model(weights, 0.0)
     counts = sample.mapInPandas(has, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -87,44 +168,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         cached = lru_cache(100_000)(lambda word: [place[f] for f in features_of(word) if f in place])
         for batch in batches:
             each = [[sorted({f for word in WORD.findall(s) for f in cached(word)}) for s in SENTENCE.findall(t.lower())] for t in batch["text"].fillna("")]
-            yield pd.DataFrame({"label": batch["label"], "plain": [sum(not s for s in doc) for doc in each],
+            yield pd.DataFrame({"label": batch["label"], "turn": [crc32(str(i).encode()) for i in batch["id"]], "plain": [sum(not s for s in doc) for doc in each],
                                 "sizes": [[len(s) for s in doc if s] for doc in each], "features": [[f for s in doc for f in s] for doc in each]})
 
-    data = sample.mapInPandas(sentences, "label int, plain int, sizes array<int>, features array<int>").toPandas()
-    y, plain = (data["label"].to_numpy() > 0).astype(float), data["plain"].to_numpy(dtype=float)
-    at = np.concatenate([*data["features"].map(np.asarray), np.empty(0)]).astype(np.int64)
+    data = sample.mapInPandas(sentences, "label int, turn long, plain int, sizes array<int>, features array<int>").orderBy("turn", "label", "plain", "sizes", "features").toPandas()
     lengths = np.concatenate([*data["sizes"].map(np.asarray), np.empty(0)]).astype(np.int64)
-    sentence = np.repeat(np.arange(len(lengths)), lengths)
-    doc = np.repeat(np.arange(len(data)), data["sizes"].map(len))
-    bias = -math.log(max(2.0, 4 * (plain.sum() + len(lengths)) / len(y))) - 1
-    mean, square, bias_mean, bias_square = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    for k in range(1, rounds + 1):  # Adam on the whole sample
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[at], len(lengths)) + bias, -30, 30)))
-        p_plain = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias))))  # of a sentence with no telling feature
-        off = np.exp(np.bincount(doc, np.log1p(-p), len(y)) + plain * math.log1p(-p_plain))  # the chance that no sentence is toxic
-        pull_doc = np.where(y == 1, -off / np.maximum(1 - off, 1e-6), 1.0) / len(y)
-        pull = pull_doc[doc] * p
-        grad = np.bincount(at, pull[sentence], len(used)) + decay * w / len(y)
-        bias_grad = pull.sum() + (pull_doc * plain).sum() * p_plain
-        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-        bias_mean, bias_square = 0.9 * bias_mean + 0.1 * bias_grad, 0.99 * bias_square + 0.01 * bias_grad**2
-        w = w - rate * mean / (1 - 0.9**k) / (np.sqrt(square / (1 - 0.99**k)) + 1e-7)
-        bias -= rate * bias_mean / (1 - 0.9**k) / (math.sqrt(bias_square / (1 - 0.99**k)) + 1e-7)
-    weights[used] = w
-    return weights, float(bias)
+    bags = Bags((data["label"].to_numpy() > 0).astype(float), data["plain"].to_numpy(dtype=float), np.repeat(np.arange(len(data)), data["sizes"].map(len)),
+                np.repeat(np.arange(len(lengths)), lengths), np.concatenate([*data["features"].map(np.asarray), np.empty(0)]).astype(np.int64))
+    options = {"rounds": rounds, "rate": rate, "decay": decay}
+    weights[used], bias = descend(bags, w, **options)
+    return Model(weights, float(bias), *clean_evidence(bags, w, **options))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
-          least_evidence: float = 0.15, carry: Sequence[str] = ()) -> DataFrame:
+def score(docs: DataFrame, fitted: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
     """(id, score, sentences) for each row of docs: the noisy-or, and the sentences at or over the threshold.
 
     A sentence is (begin, end, probability) in characters of the text, the probability being what its
-    features add to the bias: 0 without any, or where they speak against it. Below least_evidence it counts as 0:
-    the traces that ordinary words leave would add up over a long text. Null and empty texts score 0.
+    features add to the bias: 0 without any, or where they speak against it. What as many clean sentences would add up
+    to is taken off a text's evidence. Null and empty texts score 0.
     Null keys and repeated rows give a row each. The columns in ``carry`` follow; others are ignored.
     """
     prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # BUCKETS floats
+    model, bias = docs.sparkSession.sparkContext.broadcast(fitted.weights.astype(np.float32)), fitted.bias  # BUCKETS floats
+    allowance = Model(np.empty(0), bias, fitted.clean_mean, fitted.clean_deviation).allowance
     id_type = docs.schema[id_col].dataType.simpleString()
     found = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
@@ -151,15 +217,15 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "d
                 return 0.0
             z = bias + sum(value for _, value in sorted(found))
             # 1 - (1 - p) / (1 - p of the bias alone)
-            p = -math.expm1(plain - math.log1p(math.exp(max(-30.0, min(30.0, z)))))
-            return p if p >= least_evidence else 0.0
+            return max(0.0, -math.expm1(plain - math.log1p(math.exp(max(-30.0, min(30.0, z))))))
 
         for batch in batches:
             scores, spans = [], []
             for text in batch.column(1).to_pylist():
                 lower = (text or "").lower()
                 each = [probability(s) for s in SENTENCE.findall(lower)]
-                scores.append(0.0 - math.expm1(sum(math.log1p(-p) for p in each if p)))
+                evidence = -sum(math.log1p(-p) for p in each if p)
+                scores.append(-math.expm1(min(0.0, allowance(len(each)) - evidence)) + 0.0)
                 hits = []
                 if each and max(each) >= threshold:
                     # lower-casing can lengthen a text, so its places are looked up in the text itself

@@ -91,18 +91,18 @@ def test_op3_scores_are_the_noisy_or_of_sentences(spark, folder, texts):
     for word in {w for t in texts.values() for w in toxicity.WORD.findall(t.lower())}:
         if rng.random() < 0.2:
             weights[toxicity.bucket(word + ">")] = rng.uniform(-2, 4)
-    bias = -4.0
+    bias, mean, deviation = -4.0, 0.001, 0.02
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    found = {r.doc_id: r.score for r in toxicity.score(docs, weights, bias, least_evidence=0.1).collect()}
+    found = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.Model(weights, bias, mean, deviation)).collect()}
     sigmoid = lambda z: 1 / (1 + math.exp(-z))
     for k, t in texts.items():
-        clean = 1.0
-        for s in toxicity.SENTENCE.findall(t.lower()):
+        evidence, sentences = 0.0, toxicity.SENTENCE.findall(t.lower())
+        for s in sentences:
             features = set().union(*(toxicity.features_of(w) for w in toxicity.WORD.findall(s)))
-            p = sigmoid(bias + sum(float(np.float32(weights[f])) for f in features))
-            left = (1 - p) / (1 - sigmoid(bias))
-            clean *= left if 1 - left >= 0.1 else 1.0
-        assert found[k] == pytest.approx(1 - clean, abs=1e-6)
+            z = max(-30.0, min(30.0, bias + sum(float(np.float32(weights[f])) for f in features)))
+            evidence += max(0.0, math.log(1 - sigmoid(bias)) + math.log1p(math.exp(z)))
+        evidence -= mean * len(sentences) + toxicity.DEVIATIONS * deviation * math.sqrt(len(sentences))
+        assert found[k] == pytest.approx(1 - math.exp(-max(0.0, evidence)), abs=1e-6)
     rows = queries.op3_toxicity(spark, folder).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows) and len(rows) == len(texts)
 

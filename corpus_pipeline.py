@@ -44,8 +44,8 @@ def keeping_columns(stage: Stage) -> Stage:
 @keeping_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity below 0.5, by a model of the labelled rows that aren't held out."""
-    weights, bias = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    scored = toxicity.score(docs.withColumn("__id", F.col("doc_id")), weights, bias, id_col="__id", carry=docs.columns)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = toxicity.score(docs.withColumn("__id", F.col("doc_id")), model, id_col="__id", carry=docs.columns)
     return scored.filter("score < 0.5")
 
 

@@ -71,6 +71,13 @@ def feature_usage_events(raw: DataFrame) -> DataFrame:
     return typed_events(with_stable_id(raw, raw.columns))
 
 
+def partitions_of(new: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The rows of table in the partitions that new has rows in, from those partitions' files alone. The driver holds new's values of the column."""
+    values = [r[0] for r in new.select(column).distinct().collect()]
+    found = F.col(column).isin([v for v in values if v is not None])
+    return table.filter(found | F.col(column).isNull() if None in values else found)
+
+
 def unseen(new: DataFrame, table: DataFrame, natural: Sequence[str]) -> DataFrame:
     """The rows of new whose natural columns aren't in the table yet, each once: what makes a re-run harmless."""
     key = natural_id(*natural)

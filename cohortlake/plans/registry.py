@@ -64,7 +64,10 @@ def _bronze(name: str, shape: Callable[[DataFrame], DataFrame]) -> Table:
         path = f"{ws.raw}/{RAW_FILES[name]}"
         new = shape(read_json_array(ws.spark, path, RAW[name]) if name in RAW_OPTIONS else read_raw(ws.spark, path, RAW[name]))
         if ws.dedupe and tables.exists(ws.spark, ws.path(name)):
-            new = ingest.unseen(new, ws.read(name), [c for c in TABLES[name].names if c != "ingestion_timestamp"])
+            known = ws.read(name)
+            for column in PARTITIONS.get(name, ()):
+                known = ingest.partitions_of(new, known, column)
+            new = ingest.unseen(new, known, [c for c in TABLES[name].names if c != "ingestion_timestamp"])
         return tables.append(new.select(*TABLES[name].names), ws.path(name), partition_by=PARTITIONS.get(name, ()), fmt=ws.fmt)
 
     return Table(name, process)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import day, event_time, iso_date, natural_id, or_default, record_hash
@@ -98,6 +98,12 @@ def q_cohort_ranked(spark, d):
     return cohort.ranked(q_cohort_impact_rewrite(spark, d))
 
 
+def q_cohort_ranked_rows(spark, d):
+    """The ranked result, a few rows for each feature name, with the place of each row in it."""
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    return q_cohort_ranked(spark, d).withColumn("place", place.cast("long")).select("place", "feature_name", "conversion_rate")
+
+
 def q_cohort_lookup(spark, d):
     return q_cohort_impact_rewrite(spark, d).filter("feature_name = 'feature_3' AND cohort = 'used_feature'")
 
@@ -402,6 +408,26 @@ def q_usage_facts_refreshed(spark, d):
     return ws.read("feature_usage_facts")
 
 
+def q_gate_outcomes(spark, d):
+    """What gates say of the orders as a table, as they are and spoiled."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    expected, outcomes = orders.schema, []
+    made = {
+        "as it is": orders, "a column less": orders.drop("o_custkey"), "another type": orders.withColumn("o_custkey", F.col("o_custkey").cast("string")), "no rows": orders.limit(0),
+        "null keys": orders.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey"))), "repeated keys": orders.withColumn("o_orderkey", F.col("o_custkey")), "absent": None,
+    }
+    for case, df in made.items():
+        path, rows = fresh_folder(spark, "gate"), None
+        if df is not None:
+            tables.overwrite(df, path, observed=quality.observed(["o_orderkey"]) if "o_orderkey" in df.columns else {})
+        try:
+            rows, outcome = quality.check_table(spark, path, expected, "orders", keys=["o_orderkey"]), "passed"
+        except (quality.SchemaValidationError, quality.DataValidationError) as e:
+            outcome = type(e).__name__
+        outcomes.append((case, outcome, rows))
+    return spark.createDataFrame(outcomes, "gate string, outcome string, n_rows long")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 _E = r"""e AS (
@@ -469,6 +495,7 @@ ORACLE_SQL = {
     "q_users_by_sketch": f"WITH {_E} SELECT feature_id, count(DISTINCT user_id) AS n_exact, count(*) AS n_events, true AS within_bound FROM used WHERE event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-15' GROUP BY feature_id",
     "q_json_array": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "q_cohort_ranked": f"WITH {_IMPACT} SELECT * FROM impact ORDER BY feature_name, conversion_rate DESC",
+    "q_cohort_ranked_rows": f"WITH {_IMPACT} SELECT row_number() OVER (ORDER BY feature_name, conversion_rate DESC) AS place, feature_name, conversion_rate FROM impact",
     "q_cohort_lookup": f"WITH {_IMPACT} SELECT * FROM impact WHERE feature_name = 'feature_3' AND cohort = 'used_feature'",
     "q_cohort_pivot": f"WITH {_IMPACT} SELECT feature_name, " + ", ".join(f"max(CASE WHEN cohort = '{c}' THEN conversion_rate END) AS {c}" for c in cohort.COHORTS) + " FROM impact GROUP BY feature_name",
     "q_conversion_lift": f"WITH {_IMPACT} {_LIFT}",
@@ -523,6 +550,11 @@ ORACLE_SQL = {
     "q_pipeline_new_versions": f"""WITH {_E}, v AS (
       SELECT feature_id, feature_name, 'v1.0' AS version, effective_from FROM features UNION ALL SELECT feature_id, feature_name, 'v2.0', CAST(effective_from + 12 AS DATE) FROM features WHERE feature_id % 3 = 0
     ) SELECT *, coalesce(lead(effective_from) OVER w, DATE '9999-12-31') AS effective_to, lead(effective_from) OVER w IS NULL AS is_current FROM v WINDOW w AS (PARTITION BY feature_id ORDER BY effective_from)""",
+    "q_gate_outcomes": """SELECT 'as it is' AS gate, 'passed' AS outcome, count(*) AS n_rows FROM orders
+      UNION ALL SELECT 'a column less', 'SchemaValidationError', NULL UNION ALL SELECT 'another type', 'SchemaValidationError', NULL UNION ALL SELECT 'no rows', 'DataValidationError', NULL
+      UNION ALL SELECT 'null keys', CASE WHEN count(*) FILTER (o_orderkey % 10 = 0) > 0 THEN 'DataValidationError' ELSE 'passed' END, NULL FROM orders
+      UNION ALL SELECT 'repeated keys', CASE WHEN count(*) > count(DISTINCT o_custkey) THEN 'DataValidationError' ELSE 'passed' END, NULL FROM orders
+      UNION ALL SELECT 'absent', 'DataValidationError', NULL""",
     "q_stream_event_ids": f"WITH {_E} SELECT count(*) AS n_streamed, count(*) AS n_batch, count(*) AS n_equal FROM used",
     "q_usage_facts_refreshed": f"WITH {_E} " + _FACTS.format(day="2024-01-31", where=""),
     "q_stream_daily_counts": f"""WITH {_E} SELECT event_date, event_type, count(*) AS n FROM (

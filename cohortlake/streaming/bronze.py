@@ -42,9 +42,7 @@ def ingest_available(spark: SparkSession, raw: str, path: str, checkpoint: str,
         events = ingest.typed_events(ingest.with_id_by_file(batch, natural, FILE)).persist()
         try:
             if tables.exists(spark, path):
-                days = [r[0] for r in events.select("event_date").distinct().collect()]
-                of_days = F.col("event_date").isin([d for d in days if d is not None]) | (F.lit(None in days) & F.col("event_date").isNull())
-                known = tables.read(spark, path, TABLES["feature_usage_events"]).filter(of_days)
+                known = ingest.partitions_of(events, tables.read(spark, path, TABLES["feature_usage_events"]), "event_date")
                 new = ingest.unseen(events, known, [c for c in ingest.EVENT_COLUMNS if c != "ingestion_timestamp"])
             else:
                 new = events

@@ -183,3 +183,14 @@ def test_facts_are_kept_up_to_date(spark, tmp_path):
 
 def read_files(df):
     return [r[0] for r in df.select("_metadata.file_path").distinct().collect()]
+
+
+def test_a_rerun_reads_the_partitions_of_its_records_alone(spark, tmp_path):
+    schema = TABLES["user_signups"]
+    rows = [(u, "e", d, "s", "i", datetime.datetime(2024, 1, 1)) for u, d in ((1, "2024-01-01"), (2, "2024-01-02"), (3, None), (4, "2024-01-04"))]
+    tables.append(spark.createDataFrame(rows, schema), str(tmp_path / "t"), partition_by=["signup_date"])
+    known = tables.read(spark, str(tmp_path / "t"), schema)
+    for values, wanted in ((["2024-01-02", "2025-01-01"], [2]), ([None, "2024-01-04"], [3, 4]), ([None], [3]), (["2025-01-01"], []), ([], [])):
+        new = spark.createDataFrame([(v,) for v in values], "signup_date string")
+        found = ingest.partitions_of(new, known, "signup_date")
+        assert sorted(r.user_id for r in found.collect()) == wanted and len(read_files(found)) == len(wanted)

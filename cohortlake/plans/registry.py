@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.columns import iso_date
 from cohortlake.operators import cohort, dims, facts, ingest, quality, scd2
 from cohortlake.schemas import RAW, TABLES
-from cohortlake.sources import tables
+from cohortlake.sources import idfilter, tables
 from cohortlake.sources.history import History
 from cohortlake.sources.raw import read_json_array, read_raw
 
@@ -63,12 +63,13 @@ def _bronze(name: str, shape: Callable[[DataFrame], DataFrame]) -> Table:
     def process(ws: Workspace) -> int:
         path = f"{ws.raw}/{RAW_FILES[name]}"
         new = shape(read_json_array(ws.spark, path, RAW[name]) if name in RAW_OPTIONS else read_raw(ws.spark, path, RAW[name]))
-        if ws.dedupe and tables.exists(ws.spark, ws.path(name)):
-            known = ws.read(name)
-            for column in PARTITIONS.get(name, ()):
-                known = ingest.partitions_of(new, known, column)
-            new = ingest.unseen(new, known, [c for c in TABLES[name].names if c != "ingestion_timestamp"])
-        return tables.append(new.select(*TABLES[name].names), ws.path(name), partition_by=PARTITIONS.get(name, ()), fmt=ws.fmt)
+        new, to = new.select(*TABLES[name].names), ws.path(name)
+        natural = [c for c in TABLES[name].names if c != "ingestion_timestamp"]
+        if name in PARTITIONS:
+            return idfilter.append_noted(new, to, natural, *PARTITIONS[name], only_unseen=ws.dedupe, fmt=ws.fmt)
+        if ws.dedupe and tables.exists(ws.spark, to):
+            new = ingest.unseen(new, ws.read(name), natural)
+        return tables.append(new, to, fmt=ws.fmt)
 
     return Table(name, process)
 

@@ -97,7 +97,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     if not files.getFileStatus(at).isDirectory():
         return True
     names = set(_names(spark, path))
-    return bool(names - {SNAPSHOTS, DATA}) or not names or bool(_snapshot_names(spark, path))
+    return any(n[0] != "_" or "=" in n or n == "_SUCCESS" for n in names) or not names or bool(_snapshot_names(spark, path))
 
 
 def read(spark: SparkSession, path: str, schema: StructType | None = None, *, fmt: str = FORMAT, parts: Iterable[str] = ()) -> DataFrame:
@@ -202,7 +202,7 @@ def tidy(spark: SparkSession, path: str) -> None:
     held = set().union(*(s.held() for s in kept))
     gone = sorted({f for n in names[:-KEPT] for f in _read_snapshot(spark, path, n).held()} - held)
     gone += [f"{DATA}/{n}" for n in _names(spark, f"{path}/{DATA}") if int(n.split("-")[0]) <= kept[-1].number and not any(f.split("/")[1] == n for f in held)]
-    gone += [f"{SNAPSHOTS}/{n}" for n in names[:-KEPT]] + [n for n in _names(spark, path) if n not in (SNAPSHOTS, DATA)]
+    gone += [f"{SNAPSHOTS}/{n}" for n in names[:-KEPT]] + [n for n in _names(spark, path) if n[0] != "_" or "=" in n or n == "_SUCCESS"]
     for name in gone:
         at, files = _path(spark, f"{path}/{name}")
         files.delete(at, True)

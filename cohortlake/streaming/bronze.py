@@ -10,10 +10,10 @@ from pyspark.sql.types import StructType
 
 from cohortlake.operators import ingest
 from cohortlake.schemas import RAW, TABLES
-from cohortlake.sources import tables
+from cohortlake.sources import idfilter
 from cohortlake.sources.history import History
 
-FILE = "__file"
+FILE, EVENTS = "__file", TABLES["feature_usage_events"]
 
 
 def records(spark: SparkSession, raw: str, schema: StructType, *, files_at_once: int = 1000) -> DataFrame:
@@ -33,22 +33,14 @@ def ingest_available(spark: SparkSession, raw: str, path: str, checkpoint: str,
 
     Equal events of one file are told apart by their number. An event that is in several files, or in a file and the
     table already, is taken as often as the file has it that has it most often: whichever files come together, the
-    table is the same. However old, and also without a time, events are taken. Only the days of a micro-batch are
-    read to compare with.
+    table is the same. However old, and also without a time, events are taken. Only days in which the table may have
+    some of them are read to compare with.
     """
     natural = RAW["feature_usage_events"].names
 
     def take(batch: DataFrame, number: int) -> None:
-        events = ingest.typed_events(ingest.with_id_by_file(batch, natural, FILE)).persist()
-        try:
-            if tables.exists(spark, path):
-                known = ingest.partitions_of(events, tables.read(spark, path, TABLES["feature_usage_events"]), "event_date")
-                new = ingest.unseen(events, known, [c for c in ingest.EVENT_COLUMNS if c != "ingestion_timestamp"])
-            else:
-                new = events
-            tables.append(new.select(*ingest.EVENT_COLUMNS), path, partition_by=["event_date"])
-        finally:
-            events.unpersist()
+        events = ingest.typed_events(ingest.with_id_by_file(batch, natural, FILE)).select(*EVENTS.names)
+        idfilter.append_noted(events, path, [c for c in EVENTS.names if c != "ingestion_timestamp"], "event_date", only_unseen=True)
 
     run_available(records(spark, raw, RAW["feature_usage_events"], files_at_once=files_at_once), checkpoint, take)
 

@@ -1,0 +1,78 @@
+import random
+
+import pytest
+
+from cohortlake.operators import ingest
+from cohortlake.sources import idfilter, tables
+
+SCHEMA = "user int, note string, day string"
+NATURAL = ["user", "note", "day"]
+
+
+def lines(df):
+    return sorted(map(repr, df.select(*NATURAL).collect()))
+
+
+def take(spark, path, rows):
+    """One append, as the registry does it; the rows taken, and the partitions that were read to compare with."""
+    new, read = spark.createDataFrame(rows, SCHEMA), []
+    if tables.exists(spark, path):
+        known = tables.read(spark, path, new.schema)
+        maybe = idfilter.marked(new, idfilter._noted(spark, path), NATURAL, "day").filter("__maybe") if tables.exists(spark, f"{path}/{idfilter.FOLDER}") else new
+        read = [r[0] for r in ingest.partitions_of(maybe, known, "day").select("_metadata.file_path").distinct().collect()]
+        new = idfilter.unseen_records(new, known, path, NATURAL, "day")
+    taken = lines(new)
+    idfilter.note(new, path, NATURAL, "day")
+    tables.append(new, path, partition_by=["day"])
+    return taken, read
+
+
+def test_no_record_is_lost_or_doubled(spark, tmp_path):
+    rng, path, known = random.Random(2), str(tmp_path / "t"), set()
+    for _ in range(4):
+        rows = [(rng.choice([*range(150), None]), rng.choice("abc"), rng.choice(["2024-01-01", "2024-01-02", None, "odd"])) for _ in range(250)]
+        fresh = set(rows) - known
+        if not known:  # the first append is of rows as they come
+            rows = sorted(fresh, key=repr)
+        taken, _ = take(spark, path, rows)
+        assert len(taken) == len(fresh)
+        known |= fresh
+        assert len(lines(tables.read(spark, path, spark.createDataFrame([], SCHEMA).schema))) == len(known)
+
+
+def test_only_partitions_with_hits_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    take(spark, path, [(u, "a", f"2024-01-{d:02d}") for d in range(1, 9) for u in range(40)])
+    taken, read = take(spark, path, [(u, "b", f"2024-01-{d:02d}") for d in range(1, 9) for u in range(40)])
+    assert len(taken) == 320 and read == []
+    taken, read = take(spark, path, [(3, "a", "2024-01-05"), (3, "c", "2024-01-06"), (3, "b", "2024-01-07"), (3, "b", "2024-01-07")])
+    assert len(taken) == 1 and {p.split("day=")[1].split("/")[0] for p in read} == {"2024-01-05", "2024-01-07"}
+
+
+def test_few_absent_records_are_compared(spark, tmp_path):
+    path = str(tmp_path / "f")
+    idfilter.note(spark.range(20_000).selectExpr("id AS user", "'2024' AS day"), path, ["user"], "day")
+    asked = spark.range(60_000).selectExpr("id AS user", "'2024' AS day")
+    found = idfilter.marked(asked, spark.read.parquet(f"{path}/{idfilter.FOLDER}"), ["user"], "day").filter("__maybe").collect()
+    assert sum(r.user < 20_000 for r in found) == 20_000 and len(found) - 20_000 < 20
+    other = asked.selectExpr("user", "IF(user % 2 = 0, NULL, '2023') AS day")
+    assert idfilter.marked(other, spark.read.parquet(f"{path}/{idfilter.FOLDER}"), ["user"], "day").filter("__maybe").count() == 0
+
+
+def test_a_table_without_notes_is_noted_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.append(spark.createDataFrame([(1, "a", "2024-01-01"), (2, "a", None)], SCHEMA), path, partition_by=["day"])
+    new = spark.createDataFrame([(1, "a", "2024-01-01"), (2, "a", None), (3, "a", None)], SCHEMA)
+    assert lines(idfilter.unseen_records(new, tables.read(spark, path, new.schema), path, NATURAL, "day")) == ["Row(user=3, note='a', day=None)"]
+    # notes of an append that was cut off before its records were there
+    idfilter.note(new, path, NATURAL, "day")
+    assert lines(idfilter.unseen_records(new, tables.read(spark, path, new.schema), path, NATURAL, "day")) == ["Row(user=3, note='a', day=None)"]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None)]])
+def test_odd_batches(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    idfilter.note(spark.createDataFrame([], SCHEMA), path, NATURAL, "day")
+    assert not tables.exists(spark, path)
+    for n in (len(rows), 0):
+        assert len(take(spark, path, rows)[0]) == n

@@ -194,3 +194,12 @@ def test_a_rerun_reads_the_partitions_of_its_records_alone(spark, tmp_path):
         new = spark.createDataFrame([(v,) for v in values], "signup_date string")
         found = ingest.partitions_of(new, known, "signup_date")
         assert sorted(r.user_id for r in found.collect()) == wanted and len(read_files(found)) == len(wanted)
+
+
+def test_appends_are_noted_once_a_filter_is_kept(spark, raw, tmp_path):
+    """A run that doesn't skip what is there doesn't make the next one that does take it again."""
+    runs = [registry.Workspace(spark, raw, str(tmp_path / "tables"), dedupe=d) for d in (True, False, True)]
+    (Path(raw) / "user_signups.jsonl").write_text(json.dumps({"user_id": 8, "email": "e", "signup_date": "2024-06-30", "company_size": "1", "industry": "i"}) + "\n")
+    assert registry.run_table(runs[0], "user_signups") == 1
+    (Path(raw) / "user_signups.jsonl").write_text(json.dumps({"user_id": 9, "email": "e", "signup_date": "2024-06-30", "company_size": "1", "industry": "i"}) + "\n")
+    assert registry.run_table(runs[1], "user_signups") == 1 and registry.run_table(runs[2], "user_signups") == 0

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortlake.llm import queries, toxicity
@@ -135,6 +136,39 @@ def test_op7(spark, folder):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_op7_by_windows(spark, tmp_path):
+    """So many vectors that windows are widened, and not all rows are verified."""
+    rng = np.random.default_rng(7)
+    vectors = dict(enumerate(rng.normal(size=(1500, 12)) * rng.uniform(0.5, 1.5, (1500, 1))))
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in vectors.items()], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {}
+    for r in queries.op7_nearest_neighbours(spark, str(tmp_path)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == {k for k in vectors if k % 20 == 0} and all(len(f) == 20 for f in found.values())
+    best = {q: set(sorted((k for k in vectors if k != q), key=lambda k: (-(vectors[k] @ vectors[q]), k))[:20]) for q in found}
+    assert sum(len(best[q] & found[q]) for q in found) >= 0.9 * 20 * len(found)
+
+
+CLASHING = ["id", "key", "k", "t", "row", "n", "w", "a", "b", "l", "r", "f", "at", "score", "bucket", "block", "component", "words", "phrase", "spans", "near", "copies", "rank", "part", "hash", "shard", "ids", "n_tokens",
+            "sentences", "canonical", "host", "path", "rule", "verdict", "code", "entity", "term", "kept", "starts", "place", "turn", "size", "center", "neighbour", "query_id"]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, folder, tmp_path_factory):
+    """The same tables with many more columns, of names that operators could use."""
+    path = str(tmp_path_factory.mktemp("crowded"))
+    for table in ("documents", "embeddings", "pages", "labels"):
+        df = spark.read.parquet(f"{folder}/{table}.parquet")
+        df.select("*", *(F.lit("clash").alias(c) for c in CLASHING if c not in df.columns)).write.parquet(f"{path}/{table}.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_further_columns_change_nothing(spark, folder, crowded, name):
+    rows = [sorted(map(repr, queries.QUERIES[name](spark, path).collect())) for path in (folder, crowded)]
+    assert rows[0] == rows[1] and rows[0]
+
+
 def test_queries_of_empty_tables(spark, folder, tmp_path):
     for table in ("documents", "embeddings", "pages", "labels"):
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")

@@ -73,23 +73,24 @@ def ordered(history: DataFrame, key: str) -> DataFrame:
 
 
 def _version_at(points: DataFrame, begun: DataFrame) -> DataFrame:
-    """points (__key, __at) with __version, the last one begun: one pass over both in the order of time, by key and slice.
+    """points (__key, __at) with __version, the last one begun: one pass over both in the order of time.
 
-    A key's time is cut into slices, so that a key with any number of points isn't one task's. What a slice begins with
-    is carried over from those before it, by a pass over one row for each slice.
+    Of days, a key has no more than a calendar. Of times it can have any number: its time is then cut into days, so
+    that it isn't one task's, and what a day begins with is carried over from those before it, by a pass over a row for each.
     """
-    kind = points.schema["__at"].dataType
-    slice_of = F.year("__at") if isinstance(kind, DateType) else F.to_date("__at")
-    points, begun = points.withColumn("__slice", slice_of), begun.withColumn("__slice", slice_of)
-    # of what begins on one day, the one that goes on comes last
-    order = F.struct(F.col("__at"), F.col("__version.effective_to"))
-    ends = begun.groupBy("__key", "__slice").agg(F.max_by("__version", order).alias("__version"))
-    slices = points.select("__key", "__slice").distinct().unionByName(ends, allowMissingColumns=True).groupBy("__key", "__slice").agg(F.first("__version", ignorenulls=True).alias("__version"))
-    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select("__key", "__slice", F.last("__version", ignorenulls=True).over(before).alias("__version")).filter("__version IS NOT NULL")
-    both = points.withColumn("__asked", F.lit(True)).unionByName(begun, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
-    # what is carried over has no time and comes first; on one day, versions come before what is asked
-    in_time = Window.partitionBy("__key", "__slice").orderBy(F.asc_nulls_first("__at"), F.asc_nulls_first("__asked"), "__version.effective_to").rowsBetween(Window.unboundedPreceding, 0)
+    by = ["__key"]
+    carried = None
+    if not isinstance(points.schema["__at"].dataType, DateType):
+        by, day = ["__key", "__slice"], F.to_date("__at")
+        points, begun = points.withColumn("__slice", day), begun.withColumn("__slice", day)
+        ends = begun.groupBy(*by).agg(F.max_by("__version", F.struct("__at", "__version.effective_to")).alias("__version"))
+        slices = points.select(*by).distinct().unionByName(ends, allowMissingColumns=True).groupBy(*by).agg(F.first("__version", ignorenulls=True).alias("__version"))
+        before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = slices.select(*by, F.last("__version", ignorenulls=True).over(before).alias("__version")).filter("__version IS NOT NULL")
+    both = points.withColumn("__asked", F.lit(True)).unionByName(begun, allowMissingColumns=True)
+    both = both if carried is None else both.unionByName(carried, allowMissingColumns=True)
+    # what is carried over has no time and comes first; at one time, versions come before what is asked, and the one that goes on comes last
+    in_time = Window.partitionBy(*by).orderBy(F.asc_nulls_first("__at"), F.asc_nulls_first("__asked"), "__version.effective_to").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("__version", F.last("__version", ignorenulls=True).over(in_time)).filter("__asked").select("__key", "__at", "__version")
 
 

@@ -25,8 +25,10 @@ from cohortlake.llm.stage import Scratch
 from cohortlake.llm.vectors import dimensions, scaled, usable
 
 PROJECTIONS = 64
-#: Share of the projections that must collide, and share of a shard's vectors verified before the windows stop widening.
-COLLIDES, VERIFIED = 0.8, 0.08
+#: Share of the projections that must collide.
+COLLIDES = 0.8
+#: Share of a range's vectors verified before the windows stop widening, where the caller names none.
+SHARE = 0.08
 #: Factor by which windows widen.
 WIDENS = 1.05
 #: Lengths of one range differ by this factor at most, unless it holds so few vectors that all are verified.
@@ -49,10 +51,10 @@ class ProjectionIndex:
         self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32, order="C")
         self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
 
-    def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
-        """For each query, the rows that collide with it in COLLIDES of the windows, once these hold enough rows."""
+    def candidates(self, queries: np.ndarray, k: int, share: float) -> Iterator[np.ndarray]:
+        """For each query, the rows that collide with it in COLLIDES of the windows, once these hold that share of all rows."""
         n = self.order.shape[1]
-        wanted = min(n, max(10 * k, int(np.ceil(VERIFIED * n))))
+        wanted = min(n, max(10 * k, int(np.ceil(share * n))))
         if wanted == n:
             yield from (np.arange(n) for _ in queries)
             return
@@ -91,7 +93,7 @@ def verified(vectors: np.ndarray, query: np.ndarray, rows: np.ndarray, ids: np.n
     return rows[best], scores[best]
 
 
-def nearest_of_shard(vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray, queries: np.ndarray, query_numbers: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def nearest_of_shard(vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray, queries: np.ndarray, query_numbers: np.ndarray, k: int, share: float = SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query, the rows and products of the best k found, its own row (the one of its number) aside."""
     with np.errstate(over="ignore", invalid="ignore", under="ignore"):
         # lengths and hashes are taken of scaled vectors, whose squares neither vanish nor overflow; products of the original ones
@@ -118,7 +120,7 @@ def nearest_of_shard(vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray,
             index = ProjectionIndex(hashed, longest)
             # a query's own length doesn't change the order of its products: windows are centred as if it were as long as the range
             centred = asked[asks] * (longest / own_lengths[asks])[:, None]
-            for i, likely in zip(asks, index.candidates(centred, k + 1), strict=True):
+            for i, likely in zip(asks, index.candidates(centred, k + 1, share), strict=True):
                 likely = rows[likely]
                 likely = likely[likely != own.get(int(query_numbers[i]), -1)]
                 best, scores = verified(vectors, queries[i], likely, ids, k)
@@ -129,13 +131,18 @@ def nearest_of_shard(vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray,
     return found
 
 
-def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, *, k: int = 20, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each row that is_query holds for, its own row aside.
 
     Ties go to the smaller id. Vectors that are null, zero, of another length than most, or hold null or
     non-finite components, and rows with a null id, take no part. Rows that repeat an id are rows of their
     own as candidates (the result can name an id twice), and one query each.
+
+    share: of a range's vectors, how many are verified before the windows stop widening. It sets the recall; with
+    1 all are verified that the lengths don't rule out, and the result is exact.
     """
+    if not 0 < share <= 1:
+        raise ValueError("share is over 0 and at most 1")
     spark = vectors.sparkSession
     scratch = Scratch(spark, "collision")
     dims = dimensions(vectors, vector_col)
@@ -159,7 +166,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id",
         shard = shard.sort_values("row")
         vectors, ids, numbers = np.stack([*shard["v"]]), shard["id"].to_numpy(), shard["row"].to_numpy()
         found = []
-        of_shard = nearest_of_shard(vectors, ids, numbers, np.stack([*ask["v"]]), ask["row"].to_numpy(), k)
+        of_shard = nearest_of_shard(vectors, ids, numbers, np.stack([*ask["v"]]), ask["row"].to_numpy(), k, share)
         for number, query, (best, scores) in zip(ask["row"], ask["id"], of_shard, strict=True):
             found.append(pd.DataFrame({"query": query, "query_row": number, "vec_id": ids[best], "score": scores}))
         return pd.concat(found)

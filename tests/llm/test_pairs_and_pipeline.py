@@ -208,6 +208,26 @@ def test_nearest(spark):
     assert collision.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_exact(spark):
+    """With a share of 1, the result is that of brute force, whatever the lengths, and over several shards."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(9000, 8)) * rng.lognormal(sigma=0.7, size=(9000, 1))
+    vectors[1::1000] = vectors[0]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in collision.search(df, F.col("vec_id") % 100 == 0, k=10, share=1).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ids = np.arange(len(vectors))
+    assert set(found) == set(range(0, 9000, 100))
+    for q, rows in found.items():
+        scores = (vectors * vectors[q]).sum(axis=1)
+        order = np.lexsort((ids, -scores))
+        wanted = [i for i in order if i != q][:10]
+        assert [i for i, _ in rows] == wanted and np.allclose([x for _, x in rows], scores[wanted], rtol=1e-12)
+    with pytest.raises(ValueError, match="share"):
+        collision.search(df, F.col("vec_id") == 0, share=0)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

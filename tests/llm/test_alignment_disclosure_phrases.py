@@ -237,3 +237,15 @@ def test_digests_of_op12(spark, tmp_path):
     listed = ",".join(f"{list(FORMS)[k]}:{s}:{e}" for s, k, e in base_spans(text))
     assert tuple(found[1]) == (1, 1, 1, 1, 1, hashlib.sha256(listed.encode()).hexdigest(), listed)
     assert tuple(found[2]) == (2, 0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+
+
+def test_counts_of_op12_by_kind(spark, tmp_path):
+    rng = random.Random(6)
+    parts = ["a.b@c.org", "10.0.0.1", "4111 1111 1111 1111", "+1 (386) 555-3733", "é", "300.1.1.1", "x@y", "word"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(0, 12))) for _ in range(60)] + ["a@b.co c@d.co e@f.co", "10.0.0.1", "+1 386 555 3733", "é 4111111111111111", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op12_disclosure(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        spans = base_spans(text or "")
+        listed = ",".join(f"{list(FORMS)[k]}:{s}:{e}" for s, k, e in spans)
+        assert tuple(found[i])[:6] == (i, *(sum(x[1] == k for x in spans) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest())

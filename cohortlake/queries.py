@@ -19,7 +19,7 @@ from cohortlake.plans import registry
 from cohortlake.schemas import TABLES
 from cohortlake.sources import tables
 from cohortlake.sources.history import History
-from cohortlake.sources.raw import CORRUPT, read_json_array, read_raw
+from cohortlake.sources.raw import CORRUPT, read_json_array, read_raw, write_json_array
 from cohortlake.streaming import bronze
 from cohortlake.workdir import fresh_folder
 
@@ -133,11 +133,8 @@ def q_users_by_sketch(spark, d):
 def q_json_array(spark, d):
     """Orders as JSON arrays with a line for each record, read by records; each task writes one array."""
     path, lines = fresh_folder(spark, "array"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    records = lines.repartition(4, "o_orderkey").select(F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"), F.lit(1).alias("turn"), F.spark_partition_id().alias("part"))
-    edges = spark.range(4).select(F.explode(F.array(F.struct(F.lit("[").alias("value"), F.lit(0).alias("turn")), F.struct(F.lit("]").alias("value"), F.lit(2).alias("turn")))).alias("e"), F.col("id").cast("int").alias("part")).select("e.value", "e.turn", "part")
-    whole = records.unionByName(edges).repartition(4, "part").sortWithinPartitions("part", "turn")
-    whole.select("value", "part").write.partitionBy("part").text(path)
-    return read_json_array(spark, f"{path}/part=*", lines.schema)
+    write_json_array(lines, path)
+    return read_json_array(spark, path, lines.schema)
 
 
 def q_mrr_summary(spark, d):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -77,3 +78,18 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType, *, most_
     broken = F.raise_error(F.concat(F.lit("a record of the array doesn't parse: "), F.substring(record, 1, 200)))
     parsed = F.when(record.isNotNull() & F.try_parse_json(record).isNull(), broken.cast(schema)).otherwise(F.from_json(record, schema))
     return records.select(parsed.alias("r")).filter("r IS NOT NULL").select("r.*")
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """A folder of files that are one JSON array each, with a line for each record: as many as df has partitions, of which a task holds a batch at a time."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comma = ""
+        yield pa.RecordBatch.from_arrays([pa.array(["["], pa.string())], names=["value"])
+        for batch in batches:
+            records = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(comma if i == 0 else ",") + r for i, r in enumerate(records)], pa.string())], names=["value"])
+            comma = "," if records else comma
+        yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(lines, "value string").write.text(path)

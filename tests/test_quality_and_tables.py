@@ -1,8 +1,10 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql.types import ArrayType, StructType
 
+from cohortlake import queries
 from cohortlake.operators import profile, quality
 from cohortlake.sources import raw, tables
 
@@ -215,3 +217,21 @@ def test_odd_json_arrays(spark, tmp_path):
     (tmp_path / "mixed").write_text('[\n{"id": 1},\n{"id": 2,\n"name": "b"}\n]')
     with pytest.raises(Exception, match="doesn't parse"):
         raw.read_json_array(spark, str(tmp_path / "mixed"), SAMPLE).collect()
+
+
+def test_json_arrays_are_written_as_rows_pass(spark, tmp_path):
+    """One array for each task of the input, of which nobody holds or sorts the whole."""
+    rows = [(i, i % 7, None if i % 5 == 0 else f"a, [{{\n\"{i}") for i in range(500)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string")
+    orders.repartition(9).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    try:
+        found = queries.q_json_array(spark, str(tmp_path))
+        files = [Path(f.removeprefix("file://")) for f in found.inputFiles()]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(files) > 4 and sorted(map(tuple, found.collect())) == rows
+    assert sorted(r["o_orderkey"] for f in files for r in json.loads(f.read_text())) == [r[0] for r in rows]
+    for n, empty in enumerate((orders.limit(0), orders.filter("o_orderkey < 0").repartition(3))):
+        raw.write_json_array(empty, f"{tmp_path}/empty{n}")
+        assert raw.read_json_array(spark, f"{tmp_path}/empty{n}", orders.schema).collect() == []

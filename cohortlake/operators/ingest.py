@@ -86,5 +86,6 @@ def unseen(new: DataFrame, table: DataFrame, natural: Sequence[str]) -> DataFram
     same = F.col("__key") == F.col("__known_key")
     for c in natural:
         same = same & F.col(c).eqNullSafe(F.col(f"__known_{c}"))
-    fresh = new.withColumn("__key", key).join(known, same, "left_anti")
+    # merged: a broadcast would send the table's records through the driver
+    fresh = new.withColumn("__key", key).join(known.hint("merge"), same, "left_anti")
     return fresh.drop("__key").dropDuplicates([*natural])

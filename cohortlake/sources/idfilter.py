@@ -50,16 +50,19 @@ def _noted(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def marked(new: DataFrame, noted: DataFrame, natural: Sequence[str], partition: str) -> DataFrame:
-    """new with __maybe: whether the table may have the record."""
+    """new with __maybe: whether the table may have the record.
+
+    Notes and hits grow with the records, so that they are merged: broadcasts would send them through the driver with every batch.
+    """
     keyed = new.withColumns({"__key": natural_id(*natural), "__part": F.col(partition).cast("string")})
     sized = noted.select(F.col("part").alias("__of"), "generation", "n_blocks").distinct()
     asked = keyed.select("__key", "__part").distinct().join(sized, F.col("__part").eqNullSafe(F.col("__of"))).withColumn("__block", F.pmod(F.col("__key"), F.col("n_blocks")))
-    found = asked.join(noted.drop("n_blocks").withColumnsRenamed({"generation": "__generation", "block": "__b"}),
+    found = asked.join(noted.drop("n_blocks").withColumnsRenamed({"generation": "__generation", "block": "__b"}).hint("merge"),
                        F.col("__part").eqNullSafe(F.col("part")) & (F.col("generation") == F.col("__generation")) & (F.col("__block") == F.col("__b")))
     for bit, w in zip(_bits("__key"), _WORDS, strict=True):
         found = found.filter(F.col(w).bitwiseAND(bit) != 0)
     hits = found.select(F.col("__key").alias("__hit"), F.col("__part").alias("__in")).distinct().withColumn("__maybe", F.lit(True))
-    joined = keyed.join(hits, (F.col("__key") == F.col("__hit")) & F.col("__part").eqNullSafe(F.col("__in")), "left")
+    joined = keyed.join(hits.hint("merge"), (F.col("__key") == F.col("__hit")) & F.col("__part").eqNullSafe(F.col("__in")), "left")
     return joined.select(*new.columns, F.coalesce("__maybe", F.lit(False)).alias("__maybe"))
 
 

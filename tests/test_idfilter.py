@@ -76,3 +76,13 @@ def test_odd_batches(spark, tmp_path, rows):
     assert not tables.exists(spark, path)
     for n in (len(rows), 0):
         assert len(take(spark, path, rows)[0]) == n
+
+
+def test_no_records_are_broadcast(spark, tmp_path):
+    path, new = str(tmp_path / "t"), spark.createDataFrame([(u, "a", f"2024-01-{u % 8 + 1:02d}") for u in range(400)], SCHEMA)
+    take(spark, path, new.collect())
+    noted, known = idfilter._noted(spark, path), tables.read(spark, path, new.schema)
+    for found, n, broadcasts in ((idfilter.marked(new, noted, NATURAL, "day"), 400, 1), (ingest.unseen(new, known, NATURAL), 0, 0)):
+        assert len(found.collect()) == n
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("BroadcastExchange") <= broadcasts, plan  # generations of partitions alone

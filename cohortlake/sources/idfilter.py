@@ -9,7 +9,7 @@ are written before the records: one without a record costs a comparison, a recor
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +66,11 @@ def marked(new: DataFrame, noted: DataFrame, natural: Sequence[str], partition:
     return joined.select(*new.columns, F.coalesce("__maybe", F.lit(False)).alias("__maybe"))
 
 
-def unseen_records(new: DataFrame, table: DataFrame, path: str, natural: Sequence[str], partition: str) -> DataFrame:
+def unseen_records(new: DataFrame, table: DataFrame, path: str, natural: Sequence[str], partition: str, *, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """ingest.unseen(new, table, natural), which reads of the table the partitions of those records alone that the filter can't rule out.
 
-    Appends have to note their records; a table whose appends haven't so far is noted as a whole.
+    Appends have to note their records; a table whose appends haven't so far is noted as a whole. Marked records are
+    used several times: keep can persist them.
     """
     noted = _noted(new.sparkSession, path)
     if noted is None:
@@ -77,7 +78,7 @@ def unseen_records(new: DataFrame, table: DataFrame, path: str, natural: Sequenc
         noted = _noted(new.sparkSession, path)
     if noted is None:  # of no records
         return unseen(new, table.limit(0), natural)
-    both = marked(new, noted, natural, partition)
+    both = keep(marked(new, noted, natural, partition))
     maybe = both.filter("__maybe").drop("__maybe")
     sure = both.filter("NOT __maybe").drop("__maybe").dropDuplicates([*natural])
     return sure.unionByName(unseen(maybe, partitions_of(maybe, table, partition), natural))
@@ -85,12 +86,19 @@ def unseen_records(new: DataFrame, table: DataFrame, path: str, natural: Sequenc
 
 def append_noted(new: DataFrame, path: str, natural: Sequence[str], partition: str, *, only_unseen: bool, fmt: str = tables.FORMAT) -> int:
     """Appends new, or with only_unseen those of its records that the table at path lacks, and notes them; the rows written."""
-    if only_unseen and tables.exists(new.sparkSession, path):
-        new = unseen_records(new, tables.read(new.sparkSession, path, new.schema, fmt=fmt), path, natural, partition)
-    new = new.persist()  # once for the notes, once for the table
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return kept[-1]
+
     try:
+        if only_unseen and tables.exists(new.sparkSession, path):
+            new = unseen_records(new, tables.read(new.sparkSession, path, new.schema, fmt=fmt), path, natural, partition, keep=keep)
+        new = keep(new)  # once for the notes, once for the table
         if only_unseen or _noted(new.sparkSession, path) is not None:
             note(new, path, natural, partition)
         return tables.append(new, path, partition_by=[partition], fmt=fmt)
     finally:
-        new.unpersist()
+        for df in kept:
+            df.unpersist()

@@ -86,3 +86,23 @@ def test_no_records_are_broadcast(spark, tmp_path):
         assert len(found.collect()) == n
         plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert plan.count("BroadcastExchange") <= broadcasts, plan  # generations of partitions alone
+
+
+def test_a_rerun_reads_its_records_once(spark, tmp_path):
+    path, raw, schema = str(tmp_path / "t"), str(tmp_path / "raw"), spark.createDataFrame([], SCHEMA).schema
+    spark.createDataFrame([(u, "a", f"2024-01-{u % 4 + 1:02d}") for u in range(200)], SCHEMA).repartition(1).write.json(raw)
+    read = spark.sparkContext.accumulator(0)
+
+    def rows():
+        def seen(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return spark.read.schema(schema).json(raw).mapInArrow(seen, SCHEMA)
+
+    for wanted in (200, 0):
+        before = read.value
+        assert idfilter.append_noted(rows(), path, NATURAL, "day", only_unseen=True) == wanted
+        assert read.value - before <= 400  # marked beside their hits, and no more
+    assert len(lines(tables.read(spark, path, schema))) == 200
